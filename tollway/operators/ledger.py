@@ -10,7 +10,9 @@ from tollway.operators.prefix import range_bounds, running_totals
 from tollway.schema import COST, COST_SUM, TierSpec, cost_lit, with_tiers
 from tollway.session import materialize
 
-ZERO = cost_lit(0)
+def _zero() -> Column:
+    return cost_lit(0)
+
 
 
 def per_query_columns(models: Column, decision: Column, remaining: Column) -> dict[str, Column]:
@@ -33,11 +35,11 @@ def per_query_columns(models: Column, decision: Column, remaining: Column) -> di
     return {
         "call_made": ~refused,
         "quoted": F.when(~refused, quoted),
-        "cost": F.when(~refused, realized).otherwise(ZERO),
+        "cost": F.when(~refused, realized).otherwise(_zero()),
         "remaining_before": remaining,
         "remaining_after": F.when(refused, remaining)
         .when(within, (remaining - realized).cast(COST))
-        .otherwise(ZERO),
+        .otherwise(_zero()),
         "within_budget": F.when(~refused, within),
         "feasible": ~refused & within,
         "selected_model_id": F.when(~refused & within, decision),
@@ -165,7 +167,7 @@ def multi_call(calls: DataFrame, tiers_by_row: str = "budget", max_calls: int =
     kept = charged & ~F.col("_over")
     return rows.groupBy(*keys).agg(
         F.count_if(charged).alias("n_calls"),
-        F.sum(F.when(charged, F.col("realized")).otherwise(ZERO)).cast(COST_SUM).alias("cost"),
+        F.sum(F.when(charged, F.col("realized")).otherwise(_zero())).cast(COST_SUM).alias("cost"),
         F.bool_and(kept).alias("feasible"),
         F.when(F.bool_and(kept), F.max(F.when(F.col("selected"), F.col("model_id")))).alias("selected_model_id"),
         F.when(F.bool_and(kept), F.max(F.when(F.col("selected"), F.col("quality")))).alias("quality"),
@@ -222,7 +224,7 @@ def sequential_replay(
         """Charge of the decision, zero when it is refused."""
 
         hit = F.try_element_at(F.filter("models", lambda m: m["model_id"] == decision), F.lit(1))
-        return F.when(hit["quoted"] <= balance, hit["realized"]).otherwise(ZERO).cast(COST_SUM)
+        return F.when(hit["quoted"] <= balance, hit["realized"]).otherwise(_zero()).cast(COST_SUM)
 
     settled: list[DataFrame] = []
     while True:

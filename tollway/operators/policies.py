@@ -192,13 +192,13 @@ def exact_utility(nano_quality: Column, quoted: Column, num: Column, den: Column
     return quality_part.cast("decimal(38,0)") - cost_part.cast("decimal(38,0)")
 
 
-def lambda_rule(num: Column, den: Column, name: str = "tuned-lambda") -> Policy:
+def lambda_rule(num: Column, den: Column, name: str = "tuned-lambda", predicted: Column | None = None) -> Policy:
     """Affordable model with the largest exact utility, then lower quote, then ID."""
 
     def choose(v: Visible) -> Column:
         scored = F.zip_with(
             v.candidates,
-            v.predicted,
+            v.predicted if predicted is None else predicted,
             lambda m, q: F.struct(m["model_id"].alias("model_id"), m["quoted"].alias("quoted"), q.alias("q")),
         )
         fits = affordable(scored, v.remaining)
