@@ -355,3 +355,30 @@ def search_size(log: DataFrame, tiers: list[TierSpec], cap: int | None = None) -
     return sums.withColumns(
         {"candidate_bound": total, "utility_bound": (total.cast("decimal(20,0)") * F.col("n_candidates")).cast("decimal(38,0)")}
     )
+
+
+def tune_cumulative(
+    log: DataFrame,
+    tiers: list[TierSpec],
+    grid: list[tuple[int, int]],
+    ledger_keys: list[str] | None = None,
+) -> DataFrame:
+    """Best grid lambda per tier when each tier's budget is shared by the whole ordered log.
+
+    ``log`` carries ``predicted``.  Every grid value is one policy of a single sequential
+    replay, so all (tier, lambda) ledgers advance together.
+    """
+
+    from tollway.operators.ledger import sequential_replay
+    from tollway.operators.policies import shared_lambda
+
+    rules = [shared_lambda(num, den, f"{num}/{den}") for num, den in grid]
+    results = sequential_replay(log, tiers, rules, ledger_keys)
+    scores = results.groupBy("policy", "tier", *(ledger_keys or [])).agg(
+        F.sum("quality").cast("decimal(38,12)").alias("quality_sum"),
+        F.sum("cost").cast(COST_SUM).alias("spend"),
+        F.count_if(~F.col("feasible")).alias("n_infeasible"),
+    )
+    num, den = F.split("policy", "/")[0].cast("bigint"), F.split("policy", "/")[1].cast("bigint")
+    rows = scores.withColumns({"num": num, "den": den}).withColumn("key", fraction_key(F.col("num"), F.col("den")))
+    return select_best(rows, ledger_keys or [])

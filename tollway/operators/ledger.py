@@ -10,11 +10,11 @@ from tollway.operators.prefix import range_bounds, running_totals
 from tollway.schema import COST, COST_SUM, TierSpec, cost_lit, with_tiers
 from tollway.session import materialize
 
+
 def _zero() -> Column:
     return cost_lit(0)
 
 
-
 def per_query_columns(models: Column, decision: Column, remaining: Column) -> dict[str, Column]:
     """Outcome of one call against a budget that starts fresh for this query.
 
@@ -103,7 +103,13 @@ def replay_schedule(log: DataFrame, tiers: list[TierSpec], schedule: DataFrame,
 
 
 def cumulative(
-    calls: DataFrame, keys: list[str], order: str, cost: str, limit: Column, bounds: list[float] | None = None
+    calls: DataFrame,
+    keys: list[str],
+    order: str,
+    cost: str,
+    limit: Column,
+    bounds: list[float] | None = None,
+    tie_break: list[str] | None = None,
 ) -> DataFrame:
     """Shared budget over an executed, ordered call log.
 
@@ -111,7 +117,7 @@ def cumulative(
     charge is positive, and what remains is the positive part of limit - S.
     """
 
-    spent = running_totals(calls, keys, order, {"spent": F.col(cost).cast(COST_SUM)}, bounds)
+    spent = running_totals(calls, keys, order, {"spent": F.col(cost).cast(COST_SUM)}, bounds, tie_break)
     lim, s, c = limit.cast(COST_SUM), F.col("spent").cast(COST_SUM), F.col(cost).cast(COST_SUM)
     return spent.withColumns(
         {
@@ -200,8 +206,9 @@ def sequential_replay(
     pending = materialize(rows.withColumn("policy", F.explode(names)), "ledger-rows")
     bounds = range_bounds(pending, "ord")
     state = materialize(
-        pending.groupBy(*keys).agg(F.first("budget").cast(COST_SUM).alias("balance"), F.lit(-1).cast("bigint").alias("pos"),
-                                   (F.min("ord") - 1).alias("_start")).drop("pos").withColumnRenamed("_start", "pos"),
+        pending.groupBy(*keys).agg(
+            F.first("budget").cast(COST_SUM).alias("balance"), (F.min("ord") - 1).alias("pos")
+        ),
         "ledger-state",
     )
 
