@@ -6,6 +6,8 @@ from __future__ import annotations
 def load():
     """Imports every query module and returns the filled registry."""
 
-    from tollway.catalog import baselines, folds, ledgers, logs, prices, prompts, registry  # noqa: F401
+    from tollway.catalog import (  # noqa: F401
+        baselines, folds, learned, ledgers, logs, prices, prompts, registry, streams,
+    )
 
     return registry

@@ -154,12 +154,12 @@ def feature_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_DEMO = f"""{surface_sql('documents', 'doc_id', 'text')}, demo AS (SELECT l.*, least(1.0, n_char / 500.0::DOUBLE + 0.22::DOUBLE * has_code::INT + 0.22::DOUBLE * has_math::INT + 0.02::DOUBLE * greatest(n_line - 1, 0)) AS difficulty, (rk - 1) / 4.0::DOUBLE AS rank
+DEMO_SQL = f"""{surface_sql('documents', 'doc_id', 'text')}, demo AS (SELECT l.*, least(1.0, n_char / 500.0::DOUBLE + 0.22::DOUBLE * has_code::INT + 0.22::DOUBLE * has_math::INT + 0.02::DOUBLE * greatest(n_line - 1, 0)) AS difficulty, (rk - 1) / 4.0::DOUBLE AS rank
   FROM long l JOIN surf ON k = ord),
 demo_q AS (SELECT *, CAST(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.82::DOUBLE + 0.12::DOUBLE * rank - (0.42::DOUBLE - 0.38::DOUBLE * rank) * difficulty)) * 1e9) AS BIGINT) AS nano FROM demo)"""
 
 
-@query("demo_predictions", "B12", f"WITH {sql_log()}, {_DEMO} SELECT example_id, model_id, round(nano / 1e9, 6) AS predicted FROM demo_q")
+@query("demo_predictions", "B12", f"WITH {sql_log()}, {DEMO_SQL} SELECT example_id, model_id, round(nano / 1e9, 6) AS predicted FROM demo_q")
 def demo_prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = dense_log(spark, sf_dir)
     rows = log.withColumn("predicted", demo_predictions(F.col("prompt"), visible_candidates(F.col("models"))))

@@ -180,37 +180,25 @@ def multi_call(calls: DataFrame, tiers_by_row: str = "budget", max_calls: int =
     )
 
 
-def sequential_replay(
-    log: DataFrame,
-    tiers: list[TierSpec],
-    policies: list[Policy | PrivilegedPolicy],
-    ledger_keys: list[str] | None = None,
+def settle(
+    pending: DataFrame, state: DataFrame, keys: list[str], policies: list[Policy | PrivilegedPolicy]
 ) -> DataFrame:
-    """Shared-budget replay in which what is left decides the next choice.
-
-    The choice at a row is a function of what remains, and what remains only falls, so
-    the log is settled in rounds.  A round assumes each ledger keeps its current balance's
-    choices, adds up the charges as a distributed running total, and keeps every row before
-    the first one whose choice differs under its true balance.  For a choice to differ a
-    quote level must have been crossed, so with a stable catalogue there are at most
-    M + 1 rounds; without one the rounds go on until every ledger is finished.  No ledger
-    is ever gathered in one task.
+    """Decisions of rows whose ledger balance decides what can be chosen.
+
+    ``pending`` is a written table of rows with the ledger ``keys``, ``policy``, ``ord``
+    (unique per ledger) and log columns; ``state`` gives each ledger's ``balance`` and the
+    last settled ``pos``.  Returns keys, example_id, ord, ``_d`` (decision), ``_c`` (charge)
+    and ``_r`` (balance before the row).
+
+    A balance only falls, so the log is settled in rounds.  A round lets each ledger keep
+    its current balance's choices, adds up the charges as a distributed running total, and
+    keeps every row before the first one whose choice differs under its true balance.  For
+    a choice to differ a quote level must have been crossed, so with a stable catalogue
+    there are at most M + 1 rounds; without one the rounds go on until every ledger is
+    finished.  No ledger is ever gathered in one task.
     """
 
-    keys = ["policy", "tier", *(ledger_keys or [])]
-    fields = ["example_id", "ord", "domain", "prompt", "observable_tag", "models", *(ledger_keys or [])]
-    fields += ["predicted"] if "predicted" in log.columns else []
-    rows = with_tiers(log.select(*dict.fromkeys(fields)), tiers)
-    names = F.array(*[F.lit(p.name) for p in policies])
-    spark = log.sparkSession
-    pending = materialize(rows.withColumn("policy", F.explode(names)), "ledger-rows")
-    bounds = range_bounds(pending, "ord")
-    state = materialize(
-        pending.groupBy(*keys).agg(
-            F.first("budget").cast(COST_SUM).alias("balance"), (F.min("ord") - 1).alias("pos")
-        ),
-        "ledger-state",
-    )
+    predicted = F.col("predicted") if "predicted" in pending.columns else None
 
     def choice(balance: Column) -> Column:
         view = Visible(
@@ -219,7 +207,7 @@ def sequential_replay(
             observable_tag=F.col("observable_tag"),
             tier=F.col("tier"),
             remaining=balance.cast(COST_SUM),
-            predicted=F.col("predicted") if "predicted" in log.columns else None,
+            predicted=predicted,
         )
         out = F.lit(None).cast("string")
         for p in policies:
@@ -233,7 +221,8 @@ def sequential_replay(
         hit = F.try_element_at(F.filter("models", lambda m: m["model_id"] == decision), F.lit(1))
         return F.when(hit["quoted"] <= balance, hit["realized"]).otherwise(_zero()).cast(COST_SUM)
 
-    settled: list[DataFrame] = []
+    bounds = range_bounds(pending, "ord")
+    settled: DataFrame | None = None
     while True:
         live = pending.join(state, keys).where(F.col("ord") > F.col("pos"))
         guess = live.withColumn("_d", choice(F.col("balance"))).withColumn(
@@ -243,29 +232,43 @@ def sequential_replay(
         true_balance = F.greatest(F.col("balance") - (F.col("_s") - F.col("_c")), F.lit(0)).cast(COST_SUM)
         checked = summed.withColumn("_r", true_balance).withColumn("_d2", choice(F.col("_r")))
         checked = checked.withColumn("_c2", charge(F.col("_d2"), F.col("_r")))
-        checked = checked.withColumn(
-            "_ok", F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_c") == F.col("_c2"))
-        )
+        same = F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_c") == F.col("_c2"))
         checked = materialize(
-            checked.select(*keys, "example_id", "ord", "_d", "_c", "_r", "_ok", "balance"), "ledger-round"
-        )
-        broken = checked.where(~F.col("_ok")).groupBy(*keys).agg(F.min("ord").alias("_cut"))
-        kept = checked.join(broken, keys, "left").where(F.col("_cut").isNull() | (F.col("ord") < F.col("_cut")))
-        settled.append(kept.select(*keys, "example_id", "ord", "_d", "_c", "_r"))
-        # Ledgers without a broken row are done and leave the state table.
-        state = materialize(
-            checked.join(broken, keys).where(F.col("ord") == F.col("_cut"))
-            .select(*keys, F.col("_r").alias("balance"), (F.col("ord") - 1).alias("pos")),
-            "ledger-state",
+            checked.select(*keys, "example_id", "ord", "_d", "_c", "_r", same.alias("_ok")), "ledger-round"
         )
+        # Ledgers without a differing row are finished and leave the state.
+        cut = checked.where(~F.col("_ok")).groupBy(*keys).agg(F.min(F.struct("ord", "_r")).alias("_cut"))
+        kept = checked.join(cut, keys, "left").where(F.col("_cut").isNull() | (F.col("ord") < F.col("_cut.ord")))
+        kept = kept.select(*keys, "example_id", "ord", "_d", "_c", "_r")
+        settled = kept if settled is None else settled.unionByName(kept)
+        state = cut.select(*keys, F.col("_cut._r").alias("balance"), (F.col("_cut.ord") - 1).alias("pos"))
         if state.isEmpty():
-            break
-    done = settled[0]
-    for part in settled[1:]:
-        done = done.unionByName(part)
-    out = pending.join(done, [*keys, "example_id", "ord"])
-    decision, remaining = F.col("_d"), F.col("_r")
-    cols = per_query_columns(F.col("models"), decision, remaining)
-    out = out.withColumn("decision", decision).withColumn("predicted_nano", F.lit(None).cast("bigint"))
+            return settled
+
+
+def sequential_replay(
+    log: DataFrame,
+    tiers: list[TierSpec],
+    policies: list[Policy | PrivilegedPolicy],
+    ledger_keys: list[str] | None = None,
+) -> DataFrame:
+    """Shared-budget replay: query results when what is left decides the next choice.
+
+    One ledger per policy, tier and value of the ledger keys; see :func:`settle`.
+    """
+
     extra = [k for k in (ledger_keys or []) if k not in RESULT_COLUMNS]
+    keys = ["policy", "tier", *(ledger_keys or [])]
+    fields = ["example_id", "ord", "domain", "prompt", "observable_tag", "models", *(ledger_keys or [])]
+    fields += ["predicted"] if "predicted" in log.columns else []
+    rows = with_tiers(log.select(*dict.fromkeys(fields)), tiers)
+    names = F.array(*[F.lit(p.name) for p in policies])
+    pending = materialize(rows.withColumn("policy", F.explode(names)), "ledger-rows")
+    state = pending.groupBy(*keys).agg(
+        F.first("budget").cast(COST_SUM).alias("balance"), (F.min("ord") - 1).alias("pos")
+    )
+    done = settle(pending, state, keys, policies)
+    out = pending.join(done, [*keys, "example_id", "ord"])
+    cols = per_query_columns(F.col("models"), F.col("_d"), F.col("_r"))
+    out = out.withColumn("decision", F.col("_d")).withColumn("predicted_nano", F.lit(None).cast("bigint"))
     return out.withColumns(cols).select(*RESULT_COLUMNS, *extra)

@@ -1,0 +1,129 @@
+"""Shared budgets and running scores over an event-time stream.
+
+Each micro-batch adds its rows to those still waiting for the watermark, settles the rows
+before the new watermark in event order, and writes the new balances and the rest as this
+epoch's state tables.  Within an epoch the work is the same distributed running total as
+in batch, so a ledger that receives most of the stream does not end up in one task.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tollway.operators.ledger import per_query_columns, settle
+from tollway.operators.policies import Policy
+from tollway.operators.prefix import running_totals
+from tollway.schema import COST_SUM, MODEL_STRUCT, cost_lit
+from tollway.session import materialize
+from tollway.streaming.epochs import EpochTables
+
+CALL_FIELDS = "ledger_key string, call_id string, at timestamp, quoted decimal(28,12), realized decimal(28,12)"
+PENDING = CALL_FIELDS
+BALANCES = "ledger_key string, balance decimal(38,12), spent decimal(38,12), over_calls bigint, n_calls bigint"
+CLOCK = "latest timestamp"
+OUTPUT = (
+    "ledger_key string, call_id string, at timestamp, quoted decimal(28,12), realized decimal(28,12), late boolean, "
+    "accepted boolean, charged decimal(38,12), remaining_before decimal(38,12), remaining_after decimal(38,12), over boolean"
+)
+
+
+def deduplicated(calls: DataFrame, delay: str) -> DataFrame:
+    """A stream of calls with repeats of a call dropped while its state is kept."""
+
+    return calls.withWatermark("at", delay).dropDuplicatesWithinWatermark(["call_id"])
+
+
+@dataclass(frozen=True)
+class LedgerStream:
+    """One budget per ledger key, charged in event order."""
+
+    tables: EpochTables
+    limit: Decimal
+    delay: str
+
+    def _settle(self, ready: DataFrame, balances: DataFrame) -> DataFrame:
+        """Decisions and charges of rows that are in final order."""
+
+        one = running_totals(
+            ready.withColumn("_at", F.unix_micros("at")), ["ledger_key"], "_at", {"ord": F.lit(1).cast("bigint")}, tie_break=["call_id"]
+        )
+        model = F.struct(
+            F.lit("call").alias("model_id"), "quoted", "realized", F.lit(None).cast("decimal(20,12)").alias("quality")
+        ).cast(MODEL_STRUCT)
+        rows = one.select(
+            "ledger_key", F.col("call_id").alias("example_id"), "ord", "at", "quoted", "realized",
+            F.lit("call").alias("policy"), F.lit("call").alias("tier"), F.lit("").alias("prompt"),
+            F.lit(None).cast("string").alias("observable_tag"), F.array(model).alias("models"),
+        )
+        pending = materialize(rows, "stream-ready")
+        start = pending.select("ledger_key").distinct().join(balances.select("ledger_key", "balance"), "ledger_key", "left")
+        state = start.select(
+            "ledger_key", F.coalesce("balance", cost_lit(self.limit)).cast(COST_SUM).alias("balance"), F.lit(0).cast("bigint").alias("pos")
+        )
+        ask = Policy("call", lambda v: F.lit("call"))
+        done = settle(pending, state, ["ledger_key"], [ask])
+        out = pending.join(done, ["ledger_key", "example_id", "ord"])
+        cols = per_query_columns(F.col("models"), F.col("_d"), F.col("_r"))
+        return out.select(
+            "ledger_key", F.col("example_id").alias("call_id"), "at", "quoted", "realized", F.lit(False).alias("late"),
+            cols["call_made"].alias("accepted"), cols["cost"].cast(COST_SUM).alias("charged"),
+            cols["remaining_before"].cast(COST_SUM).alias("remaining_before"),
+            cols["remaining_after"].cast(COST_SUM).alias("remaining_after"),
+            (cols["call_made"] & ~F.coalesce(cols["within_budget"], F.lit(True))).alias("over"),
+        )
+
+    def process(self, batch: DataFrame, epoch: int, flush: bool = False) -> None:
+        """One micro-batch; with ``flush`` everything still waiting is settled."""
+
+        spark = batch.sparkSession
+        t = self.tables
+        before = t.read(spark, "clock", epoch - 1, CLOCK).first()
+        latest = before["latest"] if before else None
+        fresh = batch.select("ledger_key", "call_id", "at", "quoted", "realized")
+        delay = F.expr(f"INTERVAL {self.delay}")
+        is_late = F.lit(False) if latest is None else F.col("at") < (F.lit(latest) - delay)
+        fresh = materialize(fresh.withColumn("_late", is_late), "stream-batch")
+        clock = t.write(
+            fresh.agg(F.max("at").alias("n")).select(F.greatest("n", F.lit(latest).cast("timestamp")).alias("latest")), "clock", epoch
+        )
+        newest = clock.first()["latest"]
+        waiting = t.read(spark, "pending", epoch - 1, PENDING).unionByName(fresh.where(~F.col("_late")).drop("_late"))
+        is_ready = F.lit(True) if flush else F.col("at") < (F.lit(newest).cast("timestamp") - delay)
+        is_ready = F.coalesce(is_ready, F.lit(False))
+        balances = t.read(spark, "balances", epoch - 1, BALANCES)
+        settled = self._settle(waiting.where(is_ready), balances)
+        none = F.lit(None).cast("decimal(38,12)")
+        late = fresh.where("_late").select(
+            "ledger_key", "call_id", "at", "quoted", "realized", F.lit(True).alias("late"), F.lit(False).alias("accepted"),
+            F.lit(0).cast("decimal(38,12)").alias("charged"), none.alias("remaining_before"), none.alias("remaining_after"), F.lit(False).alias("over"),
+        )
+        out = t.write(settled.unionByName(late), "calls", epoch)
+        t.write(waiting.where(~is_ready), "pending", epoch)
+        change = out.where(~F.col("late")).groupBy("ledger_key").agg(
+            F.min("remaining_after").alias("b"), F.sum("charged").alias("s"), F.count_if("over").alias("o"), F.count(F.lit(1)).alias("c")
+        )
+        merged = balances.join(change, "ledger_key", "full").select(
+            "ledger_key",
+            F.coalesce("b", "balance").cast(COST_SUM).alias("balance"),
+            (F.coalesce("spent", F.lit(0)) + F.coalesce("s", F.lit(0))).cast(COST_SUM).alias("spent"),
+            (F.coalesce("over_calls", F.lit(0)) + F.coalesce("o", F.lit(0))).cast("bigint").alias("over_calls"),
+            (F.coalesce("n_calls", F.lit(0)) + F.coalesce("c", F.lit(0))).cast("bigint").alias("n_calls"),
+        )
+        t.write(merged, "balances", epoch)
+
+    def start(self, calls: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+        writer = deduplicated(calls, self.delay).writeStream.foreachBatch(lambda df, epoch: self.process(df, epoch))
+        return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+    def finish(self, spark: SparkSession, last_epoch: int) -> None:
+        """Settles what still waits once the stream has ended, as one more epoch."""
+
+        self.process(spark.createDataFrame([], CALL_FIELDS), last_epoch + 1, flush=True)
+
+    def calls(self, spark: SparkSession) -> DataFrame:
+        return self.tables.read_all(spark, "calls", OUTPUT)
