@@ -11,7 +11,7 @@ from tollway.catalog.logs import EVAL_CASE, wide_log
 from tollway.catalog.prompts import DEMO_SQL, FEATURES_SQL
 from tollway.catalog.registry import query, table
 from tollway.catalog.sample import CATALOGUE, DENSE_BUDGETS, dense_log, predicted_log, sql_log, tiers
-from tollway.catalog.baselines import rounded, shown_card
+from tollway.catalog.baselines import CARD_SQL, SIX, SQL_GAP, rounded, shown_card, sql_results
 from tollway.functions.costs import micro
 from tollway.operators import checks, isotonic, metrics, policies, predict, ridge, stumps
 from tollway.operators import cells as cell_ops
@@ -185,7 +185,7 @@ def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.paired_delta(held, "left", "right", ["held_out"])).drop("delta_gap_recovery")
 
 
-@query("scorecard_files", "S13 A23")
+@query("scorecard_files", "S13 A23", sql_results(SIX) + ", " + SQL_GAP + CARD_SQL)
 def scorecard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation's scorecard written as JSON lines and read back."""
 

@@ -48,7 +48,7 @@ _POINTS = """pts AS (SELECT a.example_id, a.domain, a.nano - b.nano AS dq, a.pic
 
 
 def points(log: DataFrame, keep: list[str]) -> DataFrame:
-    return lambdas.breakpoints(log, lambdas.scored_models(log), keep)
+    return lambdas.breakpoints(log, lambdas.scored_models(), keep)
 
 
 @query("lambda_breakpoints", "L1 J6", f"WITH {scored_sql()}, {_POINTS} SELECT example_id, CAST(dq AS BIGINT) AS dq, CAST(dc AS BIGINT) AS dc, CAST(key AS VARCHAR) AS key FROM pts")

@@ -8,7 +8,7 @@ lambda search reads cells.  Where no two rows agree, cells are simply the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollway.schema import MAX_MODELS_PER_EXAMPLE, TierSpec, bounded_values
@@ -67,7 +67,11 @@ def cells(features: DataFrame, tiers: list[TierSpec], n_models: int) -> DataFram
     )
     ordered = F.array_sort(F.collect_list(F.struct("pos", "q", "c", "o")))
     packed = per_model.groupBy(*keys).agg(F.first("n").alias("n"), ordered.alias("p"))
+
+    def tier_counts(i: int) -> Column:
+        return F.transform("p", lambda e: e["o"][i])
+
     return packed.select(
         *keys, "n", F.col("p.q").alias("sum_q"), F.col("p.c").alias("sum_c"),
-        F.array(*[F.transform("p", lambda e, i=i: e["o"][i]) for i in range(len(tiers))]).alias("over"),
+        F.array(*[tier_counts(i) for i in range(len(tiers))]).alias("over"),
     )

@@ -33,7 +33,7 @@ def lambda_value(num: Column, den: Column) -> Column:
     return num.cast("double") / den.cast("double")
 
 
-def scored_models(log: DataFrame) -> Column:
+def scored_models() -> Column:
     """Candidates of a log row with its ``predicted`` array, costs in whole units."""
 
     return F.zip_with(

@@ -26,16 +26,19 @@ CALL_FIELDS = "ledger_key string, call_id string, at timestamp, quoted decimal(2
 PENDING = CALL_FIELDS
 BALANCES = "ledger_key string, balance decimal(38,12), spent decimal(38,12), over_calls bigint, n_calls bigint"
 CLOCK = "latest timestamp"
+RECENT = "call_id string, at timestamp"
 OUTPUT = (
     "ledger_key string, call_id string, at timestamp, quoted decimal(28,12), realized decimal(28,12), late boolean, "
     "accepted boolean, charged decimal(38,12), remaining_before decimal(38,12), remaining_after decimal(38,12), over boolean"
 )
 
 
-def deduplicated(calls: DataFrame, delay: str) -> DataFrame:
-    """A stream of calls with repeats of a call dropped while its state is kept."""
+def first_copies(calls: DataFrame) -> DataFrame:
+    """One row per call_id, the earliest; a map-side combined minimum."""
 
-    return calls.withWatermark("at", delay).dropDuplicatesWithinWatermark(["call_id"])
+    row = F.struct("at", "ledger_key", "quoted", "realized")
+    kept = calls.groupBy("call_id").agg(F.min(row).alias("r"))
+    return kept.select("r.ledger_key", "call_id", "r.at", "r.quoted", "r.realized")
 
 
 @dataclass(frozen=True)
@@ -84,15 +87,20 @@ class LedgerStream:
         t = self.tables
         before = t.read(spark, "clock", epoch - 1, CLOCK).first()
         latest = before["latest"] if before else None
-        fresh = batch.select("ledger_key", "call_id", "at", "quoted", "realized")
         delay = F.expr(f"INTERVAL {self.delay}")
         is_late = F.lit(False) if latest is None else F.col("at") < (F.lit(latest) - delay)
+        # Calls still waiting, and settled ones no older than the delay before the clock's
+        # watermark, are known; a repeat of them is dropped.
+        held = t.read(spark, "pending", epoch - 1, PENDING)
+        recent = t.read(spark, "recent", epoch - 1, RECENT)
+        known = held.select("call_id").unionByName(recent.select("call_id"))
+        fresh = first_copies(batch).join(known, "call_id", "left_anti")
         fresh = materialize(fresh.withColumn("_late", is_late), "stream-batch")
         clock = t.write(
             fresh.agg(F.max("at").alias("n")).select(F.greatest("n", F.lit(latest).cast("timestamp")).alias("latest")), "clock", epoch
         )
         newest = clock.first()["latest"]
-        waiting = t.read(spark, "pending", epoch - 1, PENDING).unionByName(fresh.where(~F.col("_late")).drop("_late"))
+        waiting = held.unionByName(fresh.where(~F.col("_late")).drop("_late").select(*held.columns))
         is_ready = F.lit(True) if flush else F.col("at") < (F.lit(newest).cast("timestamp") - delay)
         is_ready = F.coalesce(is_ready, F.lit(False))
         balances = t.read(spark, "balances", epoch - 1, BALANCES)
@@ -104,6 +112,9 @@ class LedgerStream:
         )
         out = t.write(settled.unionByName(late), "calls", epoch)
         t.write(waiting.where(~is_ready), "pending", epoch)
+        keep_from = F.lit(newest).cast("timestamp") - delay - delay
+        closed = out.where(~F.col("late")).select("call_id", "at").unionByName(recent)
+        t.write(closed.where(F.col("at") >= keep_from), "recent", epoch)
         change = out.where(~F.col("late")).groupBy("ledger_key").agg(
             F.min("remaining_after").alias("b"), F.sum("charged").alias("s"), F.count_if("over").alias("o"), F.count(F.lit(1)).alias("c")
         )
@@ -117,7 +128,7 @@ class LedgerStream:
         t.write(merged, "balances", epoch)
 
     def start(self, calls: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        writer = deduplicated(calls, self.delay).writeStream.foreachBatch(lambda df, epoch: self.process(df, epoch))
+        writer = calls.writeStream.foreachBatch(lambda df, epoch: self.process(df, epoch))
         return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
     def finish(self, spark: SparkSession, last_epoch: int) -> None:

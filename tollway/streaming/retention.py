@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tollway.operators.metrics import running_retention
 from tollway.streaming.epochs import EpochTables
 
-TOTALS = "tier string, cost decimal(38,12), quality decimal(38,12), oracle decimal(38,12)"
+TOTALS = "tier string, cost_before decimal(38,12), quality_before decimal(38,12), oracle_before decimal(38,12)"
 OUTPUT = (
     "tier string, ord bigint, running_cost decimal(38,12), running_quality decimal(38,12), "
     "running_oracle decimal(38,12), retention double"
@@ -38,7 +38,8 @@ class RetentionStream:
             return (F.col(column) + F.coalesce(F.col(base), F.lit(0))).cast("decimal(38,12)").alias(column)
 
         rows = joined.select(
-            "tier", "ord", carry("running_cost", "cost"), carry("running_quality", "quality"), carry("running_oracle", "oracle")
+            "tier", "ord", carry("running_cost", "cost_before"), carry("running_quality", "quality_before"),
+            carry("running_oracle", "oracle_before"),
         )
         ratio = F.try_divide(F.col("running_quality").cast("double"), F.col("running_oracle").cast("double"))
         out = self.tables.write(rows.withColumn("retention", ratio), "steps", epoch)
@@ -46,7 +47,8 @@ class RetentionStream:
             F.max("running_cost").alias("c"), F.max_by("running_quality", "ord").alias("q"), F.max_by("running_oracle", "ord").alias("o")
         )
         merged = carried.join(last, "tier", "full").select(
-            "tier", F.coalesce("c", "cost").alias("cost"), F.coalesce("q", "quality").alias("quality"), F.coalesce("o", "oracle").alias("oracle")
+            "tier", F.coalesce("c", "cost_before").alias("cost_before"), F.coalesce("q", "quality_before").alias("quality_before"),
+            F.coalesce("o", "oracle_before").alias("oracle_before"),
         )
         self.tables.write(merged, "totals", epoch)
 
