@@ -5,13 +5,14 @@ from fractions import Fraction
 
 import numpy as np
 
-from tollway.functions.surface import CODE_PATTERN, MATH_PATTERN, TAG_PATTERNS, TAGS
+from tollway.functions.surface import CODE_LINE_WORDS, MATH_WORDS, TAG_PHRASES, TAG_WORDS, TAGS
 
 
 def features(prompt):
-    code = bool(re.search(CODE_PATTERN, prompt, re.I)) or bool(re.search(r"</?[a-z][^>]*>", prompt, re.I))
-    math = bool(re.search(MATH_PATTERN, prompt, re.I))
-    tags = {t for t, p in TAG_PATTERNS.items() if re.search(p, prompt, re.I)}
+    code = bool(re.search(r"```|console\.log|</?[a-z][^>]*>", prompt, re.I))
+    code = code or bool(re.search(r"^[ \t]*(%s)\b" % "|".join(CODE_LINE_WORDS), prompt, re.I | re.M))
+    math = bool(re.search(r"\$[^$]+\$|[∑∫√≈≠≤≥]|\b(%s)\b" % "|".join(MATH_WORDS), prompt, re.I))
+    tags = {t for t, w in TAG_WORDS.items() if re.search(r"\b(%s)\b" % "|".join(w), prompt, re.I) or any(k in prompt for k in TAG_PHRASES[t])}
     tags |= {"code"} if code else set()
     tags |= {"math"} if math else set()
     tags = tags or {"general"}

@@ -10,6 +10,7 @@ from samples import MODELS, TIERS, sample_log, sample_rows
 from tollway.operators import checks, metrics, policies
 from tollway.operators.folds import domain_list, fold_violations, with_folds
 from tollway.operators.ledger import cumulative, multi_call, replay, sequential_replay
+from tollway.operators.profile import profile
 from tollway.schema import LOG_SCHEMA, TierSpec, cost_lit
 
 
@@ -182,6 +183,27 @@ def test_unstable_catalogue_is_an_error(spark):
     rows[3][5][0] = ("expert", Decimal("0.99"), Decimal(1), Decimal("0.9"))
     with pytest.raises(ValueError, match="same in every example"):
         checks.catalogue(sample_log(spark, rows))
+    with pytest.raises(ValueError, match="same in every example"):
+        profile(sample_log(spark, rows)).roles()
+    rows[3][5].pop()
+    with pytest.raises(ValueError, match="same models"):
+        profile(sample_log(spark, rows))
+
+
+def test_profile(spark):
+    p = profile(sample_log(spark))
+    assert p.domains == ["code", "general", "math", "science"] and p.counts["math"] == 2
+    assert p.model_ids == sorted(MODELS) and p.quotes == MODELS and p.roles() == ("swift", "expert")
+
+
+def test_custom_policy_reads_the_view(spark):
+    long_prompt = policies.Policy(
+        "by-length", lambda v: F.when(F.length(v.prompt) > 40, F.lit("steady")).otherwise(policies.cheapest_of(v.candidates)), reads_prompt=True
+    )
+    one_shot = {(r["example_id"], r["tier"]): r["decision"] for r in replay(sample_log(spark), TIERS, [long_prompt]).collect()}
+    shared = sequential_replay(sample_log(spark), [TierSpec(t.tier, t.budget * 100, t.weight) for t in TIERS], [long_prompt])
+    assert one_shot == {(r["example_id"], r["tier"]): r["decision"] for r in shared.collect()}
+    assert set(one_shot.values()) == {"swift", "steady"}
 
 
 def test_running_retention(spark):

@@ -12,7 +12,7 @@ from tollway.catalog.registry import query, table
 from tollway.catalog.sample import DENSE_BUDGETS, PREMIUM, TIGHT_BUDGETS, dense_log, sql_log, tiers
 from tollway.functions.costs import micro
 from tollway.operators import metrics, policies
-from tollway.operators.ledger import cumulative, multi_call, sequential_replay
+from tollway.operators.ledger import cumulative, multi_call, sequential_replay, visible
 from tollway.schema import cost_lit, with_tiers
 
 POOL_BUDGETS = {"fast": 4000000, "balanced": 9000000, "premium": 20000000}
@@ -119,7 +119,7 @@ def retention_steps(log: DataFrame) -> DataFrame:
     """Cheapest call next to the oracle call, per tier and row, without a join."""
 
     rows = with_tiers(log, tiers())
-    view = policies.Visible(policies.visible_candidates(F.col("models")), F.col("prompt"), F.col("observable_tag"), F.col("tier"), F.col("budget"))
+    view = visible(rows, F.col("budget"))
     pick = policies.cheapest_of(view.candidates)
     best = policies.oracle().choose(view, F.col("models"))
     hit = lambda c: F.try_element_at(F.filter("models", lambda m: m["model_id"] == c), F.lit(1))

@@ -162,7 +162,7 @@ demo_q AS (SELECT *, CAST(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.82::D
 @query("demo_predictions", "B12", f"WITH {sql_log()}, {DEMO_SQL} SELECT example_id, model_id, round(nano / 1e9, 6) AS predicted FROM demo_q")
 def demo_prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = dense_log(spark, sf_dir)
-    rows = log.withColumn("predicted", demo_predictions(F.col("prompt"), visible_candidates(F.col("models"))))
+    rows = surface.with_flags(log).withColumn("predicted", demo_predictions(visible_candidates(F.col("models"))))
     from tollway.operators.predict import long_predictions
 
     return long_predictions(rows).select("example_id", "model_id", F.round(F.col("predicted_nano") / 1e9, 6).alias("predicted"))

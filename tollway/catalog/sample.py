@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tollway.catalog.registry import table
 from tollway.schema import COST, MODEL_STRUCT, QUALITY, TierSpec
+from tollway.session import spread
 
 # The derived view's catalogue (model, rank, quote in millionths, base quality).
 CATALOGUE = (
@@ -57,7 +58,7 @@ def sample_models(doc_id: Column, n_chars: Column) -> Column:
 def dense_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document is one prompt; its language is the fold, its source the visible tag."""
 
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(
         F.col("doc_id").cast("string").alias("example_id"),
         F.col("doc_id").alias("ord"),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollway.operators.policies import Policy, PrivilegedPolicy, Visible, visible_candidates
+from tollway.operators.policies import (
+    Policy, PrivilegedPolicy, Visible, fact_columns, visible_candidates, with_facts,
+)
 from tollway.operators.prefix import range_bounds, running_totals
 from tollway.schema import COST, COST_SUM, TierSpec, cost_lit, with_tiers
 from tollway.session import materialize
@@ -48,6 +50,21 @@ def per_query_columns(models: Column, decision: Column, remaining: Column) -> di
     }
 
 
+def visible(rows: DataFrame, remaining: Column) -> Visible:
+    """The deployable view of replay rows; slim rows may come without their text."""
+
+    return Visible(
+        candidates=visible_candidates(F.col("models")),
+        prompt=F.col("prompt") if "prompt" in rows.columns else F.lit(None).cast("string"),
+        observable_tag=F.col("observable_tag"),
+        tier=F.col("tier"),
+        tier_pos=F.col("tier_pos"),
+        remaining=remaining,
+        predicted=F.col("predicted") if "predicted" in rows.columns else None,
+        facts=fact_columns(rows),
+    )
+
+
 RESULT_COLUMNS = [
     "policy", "tier", "tier_pos", "weight", "budget", "example_id", "ord", "domain", "decision",
     "predicted_nano", "call_made", "quoted", "cost", "remaining_before", "remaining_after",
@@ -63,16 +80,9 @@ def replay(log: DataFrame, tiers: list[TierSpec], policies: list[Policy | Privil
     """
 
     has_predictions = "predicted" in log.columns
-    rows = with_tiers(log, tiers)
+    rows = with_tiers(with_facts(log, policies, [t.tier for t in tiers]), tiers)
     models, budget = F.col("models"), F.col("budget")
-    view = Visible(
-        candidates=visible_candidates(models),
-        prompt=F.col("prompt"),
-        observable_tag=F.col("observable_tag"),
-        tier=F.col("tier"),
-        remaining=budget,
-        predicted=F.col("predicted") if has_predictions else None,
-    )
+    view = visible(rows, budget)
     chosen = [
         F.struct(
             F.lit(p.name).alias("policy"),
@@ -198,17 +208,8 @@ def settle(
     finished.  No ledger is ever gathered in one task.
     """
 
-    predicted = F.col("predicted") if "predicted" in pending.columns else None
-
     def choice(balance: Column) -> Column:
-        view = Visible(
-            candidates=visible_candidates(F.col("models")),
-            prompt=F.col("prompt"),
-            observable_tag=F.col("observable_tag"),
-            tier=F.col("tier"),
-            remaining=balance.cast(COST_SUM),
-            predicted=predicted,
-        )
+        view = visible(pending, balance.cast(COST_SUM))
         out = F.lit(None).cast("string")
         for p in policies:
             picked = p.choose(view, F.col("models")) if isinstance(p, PrivilegedPolicy) else p.choose(view)
@@ -259,9 +260,12 @@ def sequential_replay(
 
     extra = [k for k in (ledger_keys or []) if k not in RESULT_COLUMNS]
     keys = ["policy", "tier", *(ledger_keys or [])]
-    fields = ["example_id", "ord", "domain", "prompt", "observable_tag", "models", *(ledger_keys or [])]
-    fields += ["predicted"] if "predicted" in log.columns else []
-    rows = with_tiers(log.select(*dict.fromkeys(fields)), tiers)
+    fields = ["example_id", "ord", "domain", "observable_tag", "models", *(ledger_keys or [])]
+    facts = with_facts(log, policies, [t.tier for t in tiers])
+    fields += [c for c in ("predicted", "_facts") if c in facts.columns]
+    # The text is carried through the rounds only for a policy that reads it.
+    fields += ["prompt"] if any(p.reads_prompt for p in policies) else []
+    rows = with_tiers(facts.select(*dict.fromkeys(fields)), tiers)
     names = F.array(*[F.lit(p.name) for p in policies])
     pending = materialize(rows.withColumn("policy", F.explode(names)), "ledger-rows")
     state = pending.groupBy(*keys).agg(

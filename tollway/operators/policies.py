@@ -8,12 +8,12 @@ only :class:`Visible`; outcomes are handed to privileged ones alone.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollway.functions import surface
+from tollway.functions.surface import with_flags
 
 # Lambdas (numerator, denominator) of the demonstration rule per tier.
 DEMO_LAMBDAS = {"fast": (4, 5), "balanced": (7, 20), "premium": (2, 25)}
@@ -30,14 +30,25 @@ class Visible:
     prompt: Column
     observable_tag: Column
     tier: Column
+    tier_pos: Column
     remaining: Column
     predicted: Column | None = None  # array<bigint>, billionths, aligned with candidates
+    facts: dict[str, Column] = field(default_factory=dict)
+
+
+# A fact is worked out once per prompt, before tiers and policies multiply the rows.  It
+# reads the prompt columns of ``with_flags`` and gets the tier names in order.
+Fact = Callable[[list[str]], Column]
 
 
 @dataclass(frozen=True)
 class Policy:
+    """A named choice; one that reads ``prompt`` itself, not only facts, must say so."""
+
     name: str
     choose: Callable[[Visible], Column]
+    facts: dict[str, Fact] = field(default_factory=dict)
+    reads_prompt: bool = False
 
 
 @dataclass(frozen=True)
@@ -46,6 +57,33 @@ class PrivilegedPolicy:
 
     name: str
     choose: Callable[[Visible, Column], Column]
+    facts: dict[str, Fact] = field(default_factory=dict)
+    reads_prompt: bool = False
+
+
+def with_facts(log: DataFrame, policies: list[Policy | PrivilegedPolicy], tier_names: list[str]) -> DataFrame:
+    """Adds the policies' facts as one struct ``_facts``; a narrow step.
+
+    Facts already on the rows are kept, and the text is read only when one is missing.
+    """
+
+    wanted = {name: fact for p in policies for name, fact in p.facts.items()}
+    have = set(log.schema["_facts"].dataType.names) if "_facts" in log.columns else set()
+    missing = {name: fact for name, fact in wanted.items() if name not in have}
+    if not missing:
+        return log
+    kept = [F.col(f"_facts.{name}") for name in sorted(have)]
+    added = [fact(tier_names).alias(name) for name, fact in sorted(missing.items())]
+    columns = [c for c in log.columns if c != "_facts"]
+    flags = [c for c in ("n_char", "n_word", "n_line", "has_code", "has_math", "_low", "_hangul") if c not in columns]
+    rows = with_flags(log) if flags else log
+    return rows.select(*columns, F.struct(*kept, *added).alias("_facts"))
+
+
+def fact_columns(log: DataFrame) -> dict[str, Column]:
+    if "_facts" not in log.columns:
+        return {}
+    return {name: F.col(f"_facts.{name}") for name in log.schema["_facts"].dataType.names}
 
 
 def router_view(log: DataFrame) -> DataFrame:
@@ -114,31 +152,37 @@ def always_premium(model_id: str) -> Policy:
 
 
 def seeded_random(seed: int = RANDOM_SEED) -> Policy:
+    fact = f"draw_{seed}"
+
+    def draws(tier_names: list[str]) -> Column:
+        def one(tier: str) -> Column:
+            text = F.concat(F.lit(f"{seed}\x00"), F.col("prompt"), F.lit(f"\x00{tier}"))
+            return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+
+        return F.array(*[one(t) for t in tier_names])
+
     def choose(v: Visible) -> Column:
         ids = F.array_sort(F.transform(affordable(v.candidates, v.remaining), lambda m: m["model_id"]))
-        text = F.concat(F.lit(str(seed)), F.lit("\x00"), v.prompt, F.lit("\x00"), v.tier)
-        number = F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
         count = F.greatest(F.size(ids), F.lit(1)).cast("decimal(10,0)")
-        picked = F.try_element_at(ids, (number % count).cast("int") + 1)
-        return F.coalesce(picked, cheapest_of(v.candidates))
+        place = (F.get(v.facts[fact], v.tier_pos) % count).cast("int") + 1
+        return F.coalesce(F.try_element_at(ids, place), cheapest_of(v.candidates))
 
-    return Policy("random", choose)
+    return Policy("random", choose, {fact: draws})
 
 
 def length_heuristic(cheap_id: str, strong_id: str, threshold: int = LENGTH_THRESHOLD) -> Policy:
     if threshold < 1:
         raise ValueError("threshold must be positive")
+    fact = f"hard_{threshold}"
+
+    def hard(tier_names: list[str]) -> Column:
+        return (F.col("n_char") >= threshold) | F.col("has_code") | F.col("has_math")
 
     def choose(v: Visible) -> Column:
-        hard = (
-            (surface.char_count(v.prompt) >= threshold)
-            | surface.has_code(v.prompt)
-            | surface.has_math(v.prompt)
-        )
         fits = quote_of(v.candidates, F.lit(strong_id)) <= v.remaining
-        return F.when(hard & fits, F.lit(strong_id)).otherwise(F.lit(cheap_id))
+        return F.when(v.facts[fact] & fits, F.lit(strong_id)).otherwise(F.lit(cheap_id))
 
-    return Policy("length-heuristic", choose)
+    return Policy("length-heuristic", choose, {fact: hard})
 
 
 def oracle() -> PrivilegedPolicy:
@@ -233,8 +277,8 @@ def check_lambda(num: int, den: int) -> None:
         raise ValueError("lambda has too many digits; rescale costs or qualities first")
 
 
-def demo_predictions(prompt: Column, candidates: Column) -> Column:
-    """Closed-form illustrative quality per candidate, in billionths.
+def demo_predictions(candidates: Column) -> Column:
+    """Closed-form illustrative quality per candidate, in billionths, for rows of ``with_flags``.
 
     Longer, multi-line, code and math prompts are harder; dearer models lose less.
     """
@@ -245,10 +289,10 @@ def demo_predictions(prompt: Column, candidates: Column) -> Column:
     last = F.greatest(F.size(candidates) - 1, F.lit(1)).cast("double")
     difficulty = F.least(
         F.lit(1.0),
-        surface.char_count(prompt) / F.lit(500.0)
-        + F.lit(0.22) * surface.has_code(prompt).cast("double")
-        + F.lit(0.22) * surface.has_math(prompt).cast("double")
-        + F.lit(0.02) * F.greatest(surface.line_count(prompt) - 1, F.lit(0)).cast("double"),
+        F.col("n_char") / F.lit(500.0)
+        + F.lit(0.22) * F.col("has_code").cast("double")
+        + F.lit(0.22) * F.col("has_math").cast("double")
+        + F.lit(0.02) * F.greatest(F.col("n_line") - 1, F.lit(0)).cast("double"),
     )
 
     def one(m: Column) -> Column:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tollway.functions.encode import SURFACE_WIDTH, with_features
 from tollway.operators import cells as cell_ops
 from tollway.operators import isotonic, lambdas, metrics, moments, policies, predict, ridge, stumps
-from tollway.operators.folds import SubsetPlan, domain_list
+from tollway.operators.folds import SubsetPlan
 from tollway.operators.ledger import replay
 from tollway.operators.moments import Moments
+from tollway.operators.profile import Profile, profile
 from tollway.operators.scoring import Calibrators, Scorer
 from tollway.plans.evaluate import baseline_policies, prepare
 from tollway.schema import TierSpec, with_tiers
@@ -43,12 +44,12 @@ Config = LinearConfig | StumpConfig
 
 @dataclass(frozen=True)
 class Prepared:
-    """Feature rows, their cells, and what was counted once for all fits."""
+    """Slim feature rows, their cells, and what was counted once for all fits."""
 
     features: DataFrame
     cells: DataFrame
     plan: SubsetPlan
-    model_ids: list[str]
+    profile: Profile
     by_domain: dict[str, Moments]
     width: int
     tiers: list[TierSpec]
@@ -80,16 +81,31 @@ class Benchmark:
     names: list[str] = field(default_factory=list)
 
 
-def prepare_fits(log: DataFrame, tiers: list[TierSpec], embedding: str | None = None, embedding_width: int = 0) -> Prepared:
-    """Feature pass, cells and domain moments: the only steps that read whole rows."""
+def prepare_fits(
+    log: DataFrame,
+    tiers: list[TierSpec],
+    embedding: str | None = None,
+    embedding_width: int = 0,
+    needed: list | None = None,
+) -> Prepared:
+    """The one pass over the texts, then cells and domain moments.
+
+    The pass keeps features, models and the facts that ``needed`` policies ask for, and
+    writes them as a slim table; everything later reads that table and never a text.
+    """
 
-    features = with_features(log, embedding, embedding_width)
-    plan = SubsetPlan(tuple(domain_list(log)))
-    models = cell_ops.model_list(log)
+    known = profile(log)
+    plan = SubsetPlan(tuple(known.domains))
+    rows = with_features(log, embedding, embedding_width)
+    rows = policies.with_facts(rows, needed or [], [t.tier for t in tiers])
+    keep = ["example_id", "ord", "domain", "observable_tag", "models", "x"]
+    keep += [c for c in ("_facts",) if c in rows.columns]
+    features = materialize(rows.select(*keep), "features")
     width = SURFACE_WIDTH + embedding_width
-    cells = materialize(cell_ops.cells(features, tiers, len(models)), "cells")
-    by_domain = moments.load(moments.domain_moments(cells, width, len(models)), width, len(models))
-    return Prepared(features, cells, plan, models, by_domain, width, tiers)
+    n_models = len(known.model_ids)
+    cells = materialize(cell_ops.cells(features, tiers, n_models), "cells")
+    by_domain = moments.load(moments.domain_moments(cells, width, n_models), width, n_models)
+    return Prepared(features, cells, plan, known, by_domain, width, tiers)
 
 
 def fit_base(p: Prepared, config: Config, masks: list[int]) -> Scorer:
@@ -113,7 +129,7 @@ def sweep_rows(p: Prepared, predicted: DataFrame) -> DataFrame:
 
     rows = with_tiers(predicted, p.tiers)
     return rows.withColumn("over", F.get("over", "tier_pos")).withColumn(
-        "model_ids", F.array(*[F.lit(m) for m in p.model_ids])
+        "model_ids", F.array(*[F.lit(m) for m in p.profile.model_ids])
     )
 
 
@@ -194,10 +210,11 @@ def run(
     read that domain's outcomes.
     """
 
-    p = prepare_fits(log, tiers, embedding, embedding_width)
+    baselines = lambda known: baseline_policies(*known.roles(), seed, threshold)
+    asked = [policies.seeded_random(seed), policies.length_heuristic("", "", threshold)]
+    p = prepare_fits(log, tiers, embedding, embedding_width, asked)
     fitted, tuned, learned = {}, {}, []
-    with_table, _, _, cheapest, premium = prepare(log, tiers)
-    rows = with_features(with_table, embedding, embedding_width)
+    rows, _, _ = prepare(p.features, tiers, p.profile)
     for name, config in configs.items():
         fitted[name] = fit(p, config, p.plan.training_masks(), p.plan.calibration_masks())
         tuned[name] = tune_outer(p, fitted[name], cap)
@@ -207,7 +224,7 @@ def run(
         learned.append(policies.lambda_rule(num, den, name, F.col(column)))
     if len(learned) == 1:
         rows = rows.withColumn("predicted", F.col("_pred_0"))
-    results = replay(rows, tiers, [*baseline_policies(cheapest, premium, seed, threshold), *learned])
+    results = replay(rows, tiers, [*baselines(p.profile), *learned])
     return Benchmark(results, metrics.settled_scorecard(results), tuned, fitted, p, list(configs))
 
 

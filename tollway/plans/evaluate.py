@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollway.operators import checks, domain_table, metrics, policies
-from tollway.operators.folds import domain_list
+from tollway.operators import domain_table, metrics, policies
 from tollway.operators.ledger import replay
+from tollway.operators.profile import Profile, profile
 from tollway.schema import TierSpec
 
 BASELINES = (
@@ -22,13 +22,7 @@ class Evaluation:
     results: DataFrame
     card: DataFrame
     table: DataFrame
-    domains: list[str]
-    cheapest: str
-    premium: str
-
-
-def _roles(models: list[tuple[str, object]]) -> tuple[str, str]:
-    return min(models, key=lambda m: (m[1], m[0]))[0], max(models, key=lambda m: (m[1], m[0]))[0]
+    profile: Profile
 
 
 def baseline_policies(cheapest: str, premium: str, seed: int, threshold: int):
@@ -44,13 +38,15 @@ def baseline_policies(cheapest: str, premium: str, seed: int, threshold: int):
     ]
 
 
-def prepare(log: DataFrame, tiers: list[TierSpec]) -> tuple[DataFrame, DataFrame, list[str], str, str]:
+def prepare(log: DataFrame, tiers: list[TierSpec], known: Profile | None = None) -> tuple[DataFrame, DataFrame, Profile]:
     """Checks the catalogue, fits the domain table and joins it to the rows."""
 
-    cheapest, premium = _roles(checks.catalogue(log))
-    domains = domain_list(log)
-    table = domain_table.fit(log, tiers, domains)
-    return domain_table.attach(log, table), table, domains, cheapest, premium
+    known = known or profile(log)
+    known.roles()
+    if len(known.domains) < 2:
+        raise ValueError("leaving one domain out needs at least two domains")
+    table = domain_table.fit(log, tiers, known.domains)
+    return domain_table.attach(log, table), table, known
 
 
 def baseline_results(
@@ -60,8 +56,8 @@ def baseline_results(
     threshold: int = policies.LENGTH_THRESHOLD,
     extra: list | None = None,
 ) -> DataFrame:
-    rows, _, _, cheapest, premium = prepare(log, tiers)
-    return replay(rows, tiers, [*baseline_policies(cheapest, premium, seed, threshold), *(extra or [])])
+    rows, _, known = prepare(log, tiers)
+    return replay(rows, tiers, [*baseline_policies(*known.roles(), seed, threshold), *(extra or [])])
 
 
 def evaluate(
@@ -72,10 +68,10 @@ def evaluate(
 ) -> Evaluation:
     """Scorecard of the six baselines with leave-one-domain-out table fits.
 
-    Three passes over the log: catalogue check, table sums, replay.  Each ends in a small
+    Three column-pruned passes: profile, table sums, replay.  Each ends in a small
     map-side combined aggregate; no pass shuffles the rows themselves.
     """
 
-    rows, table, domains, cheapest, premium = prepare(log, tiers)
-    results = replay(rows, tiers, baseline_policies(cheapest, premium, seed, threshold))
-    return Evaluation(results, metrics.settled_scorecard(results), table, domains, cheapest, premium)
+    rows, table, known = prepare(log, tiers)
+    results = replay(rows, tiers, baseline_policies(*known.roles(), seed, threshold))
+    return Evaluation(results, metrics.settled_scorecard(results), table, known)

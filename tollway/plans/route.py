@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollway.functions.encode import with_features
+from tollway.functions.surface import with_flags
 from tollway.operators import checks, policies, predict
 from tollway.operators.scoring import Calibrators, Scorer
 from tollway.schema import COST, TierSpec, with_tiers
@@ -42,14 +43,14 @@ def route(
     if scorer is not None:
         rows = predict.predict_all(with_features(rows), scorer, calibrators)
     else:
-        rows = rows.withColumn("predicted", policies.demo_predictions(F.col("prompt"), F.col("candidates")))
+        rows = with_flags(rows).withColumn("predicted", policies.demo_predictions(F.col("candidates")))
     rows = with_tiers(rows, tiers)
     left = F.col("budget")
     if "remaining" in prompts.columns:
         too_much = F.raise_error(F.lit("remaining cannot exceed the tier budget")).cast(COST)
         left = F.when(F.col("remaining") > left, too_much).otherwise(F.coalesce("remaining", "budget"))
     view = policies.Visible(
-        F.col("candidates"), F.col("prompt"), F.lit(None).cast("string"), F.col("tier"), left, F.col("predicted")
+        F.col("candidates"), F.col("prompt"), F.lit(None).cast("string"), F.col("tier"), F.col("tier_pos"), left, F.col("predicted")
     )
     rule = policies.tier_lambda(lambdas or policies.DEMO_LAMBDAS)
     rows = rows.withColumn("decision", rule.choose(view))

@@ -61,7 +61,7 @@ def train(
         raise ValueError(f"no fully feasible lambda for tiers {missing}")
     data = artifacts.log_identity(log)
     identity = artifacts.save_predictor(
-        spark, f"{path}/predictor", fitted.scorer, fitted.steps, p.model_ids, list(p.plan.domains),
+        spark, f"{path}/predictor", fitted.scorer, fitted.steps, p.profile.model_ids, list(p.plan.domains),
         list(FEATURE_NAMES), fitted.family, asdict(config), data,
     )
     pairs = predict.long_predictions(rows)

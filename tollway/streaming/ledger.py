@@ -60,7 +60,7 @@ class LedgerStream:
         ).cast(MODEL_STRUCT)
         rows = one.select(
             "ledger_key", F.col("call_id").alias("example_id"), "ord", "at", "quoted", "realized",
-            F.lit("call").alias("policy"), F.lit("call").alias("tier"), F.lit("").alias("prompt"),
+            F.lit("call").alias("policy"), F.lit("call").alias("tier"), F.lit(0).alias("tier_pos"),
             F.lit(None).cast("string").alias("observable_tag"), F.array(model).alias("models"),
         )
         pending = materialize(rows, "stream-ready")
