@@ -332,10 +332,10 @@ def calibration_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = wide.to_long(wide_log(spark, sf_dir)).where("ord % 5 = 0")
     top = wide.max_quotes(long)
     mean = long.groupBy("model_id").agg(F.sum("realized_cost").alias("t"), F.count(F.lit(1)).alias("n"))
-    rows = top.join(mean, "model_id").join(F.broadcast(wide.diagnostic_budgets(top)), F.lit(True))
-    return rows.select(
+    budgets = wide.diagnostic_tiers(wide.quote_map(top))
+    return top.join(mean, "model_id").select(
         "model_id", micro(F.col("quoted_cost")).alias("max_micro"), micro(F.col("t")).alias("total_micro"), "n",
-        micro(F.col("fast")).alias("fast_micro"), micro(F.col("balanced")).alias("balanced_micro"), micro(F.col("premium")).alias("premium_micro"),
+        *[F.lit(int(t.budget * 1000000)).cast("bigint").alias(f"{t.tier}_micro") for t in budgets],
     )
 
 

@@ -13,6 +13,7 @@ from tollway.operators import cells as cell_ops
 from tollway.operators import moments
 from tollway.operators.folds import domain_list, with_folds
 from tollway.operators.policies import demo_predictions, visible_candidates
+from tollway.session import spread
 
 # The patterns again in the other engine's dialect, with explicit word edges.
 _EDGE_L, _EDGE_R = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
@@ -59,14 +60,14 @@ def shown(df: DataFrame, key: str) -> DataFrame:
 
 @query("surface_features", "F1 F2 F3 F4 F5 F6", f"WITH {surface_sql('documents', 'doc_id', 'text')} {SHOWN}")
 def surface_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(surface.with_surface(table(spark, sf_dir, "documents"), "text"), "doc_id")
+    return shown(surface.with_surface(spread(table(spark, sf_dir, "documents")), "text"), "doc_id")
 
 
 @query("surface_features_pages", "F1 F2 F3 F4 F5 F6", f"WITH {surface_sql('pages', 'page_id', 'html')} {SHOWN}")
 def surface_features_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw pages: markup makes the code flag true."""
 
-    return shown(surface.with_surface(table(spark, sf_dir, "pages"), "html"), "page_id")
+    return shown(surface.with_surface(spread(table(spark, sf_dir, "pages")), "html"), "page_id")
 
 
 @query("surface_features_turns", "F1 F2 F3 F4 F5 F6", f"WITH {surface_sql('conversations', 'conv_id * 1000 + turn', 'text')} {SHOWN}")

@@ -67,13 +67,12 @@ def replay_violations(examples: DataFrame, candidates: DataFrame, outcomes: Data
 def stable_catalogue(log: DataFrame) -> DataFrame:
     """Per model: quote range and in how many rows it occurs; stable when all rows agree."""
 
-    n_rows = log.agg(F.count(F.lit(1)).alias("n_examples"))
+    n_examples = log.count()
     per_model = log.select(F.explode("models").alias("m")).groupBy(F.col("m.model_id").alias("model_id")).agg(
         F.min("m.quoted").alias("min_quote"), F.max("m.quoted").alias("max_quote"), F.count(F.lit(1)).alias("n_rows")
     )
-    joined = per_model.join(F.broadcast(n_rows), F.lit(True))
-    return joined.withColumn(
-        "stable", (F.col("min_quote") == F.col("max_quote")) & (F.col("n_rows") == F.col("n_examples"))
+    return per_model.withColumn(
+        "stable", (F.col("min_quote") == F.col("max_quote")) & (F.col("n_rows") == F.lit(n_examples))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tollway.functions.sizing import settle
 from tollway.operators.policies import affordable_both
-from tollway.schema import TierSpec, with_literals, with_tiers
+from tollway.schema import TIERS, TierSpec, with_literals, with_tiers
 
 
 def fit(log: DataFrame, tiers: list[TierSpec], domains: list[str]) -> DataFrame:
@@ -50,9 +50,8 @@ def fit(log: DataFrame, tiers: list[TierSpec], domains: list[str]) -> DataFrame:
 def attach(log: DataFrame, table: DataFrame) -> DataFrame:
     """Adds ``_table`` (tier to model) for each row's fold and tag."""
 
-    wide = table.groupBy("held_out", "tag").agg(
-        F.map_from_entries(F.collect_list(F.struct("tier", "model_id"))).alias("_table")
-    )
+    entries = [v for t in TIERS for v in (F.lit(t), F.max(F.when(F.col("tier") == t, F.col("model_id"))))]
+    wide = table.groupBy("held_out", "tag").agg(F.create_map(*entries).alias("_table"))
     lookup, _ = settle(wide)
     same = (F.col("domain") == F.col("held_out")) & (F.col("observable_tag") == F.col("tag"))
     return log.join(lookup, same, "left").drop("held_out", "tag")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tollway.operators.folds import SubsetPlan
 from tollway.operators.prefix import RANGE, range_bounds, with_range
 from tollway.operators.scoring import Calibrators, Scorer, mask_passes
+from tollway.session import materialize
 
 BLOCKS = "mask int, model_pos int, ub double, y double, n double"
 # Ranges merged into one at each step up, and blocks a scoring task can hold.
@@ -88,7 +89,8 @@ def fit(pairs: DataFrame, ranges: int | None = None) -> DataFrame:
 
     keys = ["mask", "model_pos"]
     merged = pairs.groupBy(*keys, "ub").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
-    bounds = range_bounds(pairs, "ub", ranges)
+    merged = materialize(merged, "score-sums")
+    bounds = range_bounds(merged, "ub", ranges)
     blocks = with_range(merged, "ub", bounds).select(*keys, RANGE, "ub", "y", "n")
     schema = f"mask int, model_pos int, {RANGE} int, ub double, y double, n double"
     left = len(bounds) + 1

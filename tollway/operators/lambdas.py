@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tollway.operators.policies import cost_units
 from tollway.operators.prefix import range_bounds, running_totals
 from tollway.schema import COST_SUM, TierSpec, with_tiers
+from tollway.session import materialize
 
 KEY = "decimal(38,28)"
 # Denominator that values other than roots are rounded to.
@@ -110,6 +111,7 @@ def neighbours(boundaries: DataFrame, by: list[str], bounds: list[float] | None
 def exhaustive_candidates(boundaries: DataFrame, by: list[str]) -> DataFrame:
     """Boundaries, midpoints of neighbours, and the last boundary plus one."""
 
+    boundaries = materialize(boundaries, "boundaries")
     near = neighbours(boundaries, by)
     # One unit of lambda is 0.001 in key units.
     mid = F.when(
@@ -282,9 +284,11 @@ def log_rows(log: DataFrame, tiers: list[TierSpec]) -> DataFrame:
 def curve(events: DataFrame, by: list[str]) -> DataFrame:
     """Quality sum, spend and infeasible count at every event lambda.
 
-    Running totals over ranges of lambda; no task holds a whole curve.
+    The events, already added up per lambda, are written once; running totals over ranges
+    of lambda follow, and no task holds a whole curve.
     """
 
+    events = materialize(events, "lambda-events")
     out = running_totals(
         events, [*by, "tier"], "key",
         {"quality_sum": F.col("dq"), "spend": F.col("dc"), "n_infeasible": F.col("di")},

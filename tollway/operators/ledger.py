@@ -101,12 +101,18 @@ def replay(log: DataFrame, tiers: list[TierSpec], policies: list[Policy | Privil
 
 
 def replay_schedule(log: DataFrame, tiers: list[TierSpec], schedule: DataFrame, name: str) -> DataFrame:
-    """Replays decisions from a (tier, example_id, model_id) table; a missing one is refused."""
+    """Replays decisions from a (tier, example_id, model_id) table; a missing one is refused.
 
-    wide = schedule.groupBy("example_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("tier", "model_id"))).alias("_plan")
-    )
-    rows = log.join(wide, "example_id", "left")
+    Two different decisions for one tier and example are an error.
+    """
+
+    def planned(tier: str) -> Column:
+        mine = F.when(F.col("tier") == tier, F.col("model_id"))
+        clash = F.raise_error(F.lit("a schedule has two decisions for one query"))
+        return F.when(F.min(mine) != F.max(mine), clash).otherwise(F.min(mine))
+
+    plan = F.create_map(*[v for t in tiers for v in (F.lit(t.tier), planned(t.tier))])
+    rows = log.join(schedule.groupBy("example_id").agg(plan.alias("_plan")), "example_id", "left")
     from tollway.operators.policies import scheduled
 
     return replay(rows, tiers, [scheduled(name, F.try_element_at(F.col("_plan"), F.col("tier")))])
@@ -161,9 +167,12 @@ def multi_call(calls: DataFrame, tiers_by_row: str = "budget", max_calls: int =
     ``calls`` has policy, tier, example_id, call_idx, model_id, quoted, realized, quality,
     budget and ``selected`` (true on the call whose output is kept).  A query ends at its
     first refused or overspending call, or when it asks for more calls than allowed.
-    Groups are single queries of a declared few calls.
+    ``call_idx`` counts a query's calls from zero; a call past the first forbidden one can
+    never run, so a group holds at most ``max_calls + 1`` rows.
     """
 
+    calls = calls.where(F.col("call_idx") <= max_calls)
+
     keys = ["policy", "tier", "example_id"]
     order = Window.partitionBy(*keys).orderBy("call_idx")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)

@@ -208,16 +208,11 @@ def paired_delta(card: DataFrame, left: str, right: str, keys: list[str] | None
     """Right minus left for every score column; null if either side is null, no winner named."""
 
     measures = ["fast_quality", "balanced_quality", "premium_quality", "weighted_quality", "gap_recovery"]
-    keys = keys or []
+    def of(name: str, measure: str) -> Column:
+        return F.max(F.when(F.col("policy") == name, F.col(measure)))
 
-    def side(name: str) -> DataFrame:
-        return card.where(F.col("policy") == name).select(*keys, *[F.col(m).alias(f"{name}_{m}") for m in measures])
-
-    a, b = side(left), side(right)
-    both = a.join(b, keys) if keys else a.join(F.broadcast(b), F.lit(True))
-    return both.select(
-        *keys, *[(F.col(f"{right}_{m}") - F.col(f"{left}_{m}")).alias(f"delta_{m}") for m in measures]
-    )
+    pairs = card.where(F.col("policy").isin(left, right)).groupBy(*(keys or []))
+    return pairs.agg(*[(of(right, m) - of(left, m)).alias(f"delta_{m}") for m in measures])
 
 
 def oracle_violations(results: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

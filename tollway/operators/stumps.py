@@ -13,6 +13,7 @@ from tollway.operators.folds import SubsetPlan
 from tollway.operators.moments import Moments, combine
 from tollway.operators.prefix import range_bounds, running_totals
 from tollway.operators.scoring import StumpScorer
+from tollway.session import materialize
 
 ROUNDS = 32
 RATE = 0.1
@@ -53,7 +54,7 @@ def _residual_sums(cells: DataFrame, scorer: StumpScorer, plan: SubsetPlan, mask
     )
 
 
-def best_splits(sums: DataFrame, n_models: int, min_leaf: int, bounds: list[float], active: list[tuple[int, int]]) -> DataFrame:
+def best_splits(sums: DataFrame, n_models: int, min_leaf: int, bounds: list[float]) -> DataFrame:
     """Best split per (mask, model): largest gain, then lowest feature, then lowest value.
 
     Running sums along each feature's values give the left side of every split at once.
@@ -122,11 +123,11 @@ def fit(
         if not live:
             break
         scorer = StumpScorer(rate, base, chains).only(live)
-        sums = _residual_sums(cells, scorer, plan, live, n_models)
+        # Written once per round, so the Python pass over the cells runs once.
+        sums = materialize(_residual_sums(cells, scorer, plan, live, n_models), "residual-sums")
         if bounds is None:
-            values = sums.select("value")
-            bounds = range_bounds(values, "value")
-        found = {(r["mask"], r["model_pos"]): r for r in best_splits(sums, n_models, min_leaf, bounds, sorted(active)).collect()}
+            bounds = range_bounds(sums, "value")
+        found = {(r["mask"], r["model_pos"]): r for r in best_splits(sums, n_models, min_leaf, bounds).collect()}
         for head in sorted(active):
             r = found.get(head)
             if r is None or r["gain"] <= max(min_gain, 10.0**-GAIN_DIGITS):

@@ -17,7 +17,7 @@ from tollway.operators.profile import Profile, profile
 from tollway.operators.scoring import Calibrators, Scorer
 from tollway.plans.evaluate import baseline_policies, prepare
 from tollway.schema import TierSpec, with_tiers
-from tollway.session import materialize
+from tollway.session import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -100,10 +100,10 @@ def prepare_fits(
     rows = policies.with_facts(rows, needed or [], [t.tier for t in tiers])
     keep = ["example_id", "ord", "domain", "observable_tag", "models", "x"]
     keep += [c for c in ("_facts",) if c in rows.columns]
-    features = materialize(rows.select(*keep), "features")
+    features = spread(materialize(rows.select(*keep), "features"))
     width = SURFACE_WIDTH + embedding_width
     n_models = len(known.model_ids)
-    cells = materialize(cell_ops.cells(features, tiers, n_models), "cells")
+    cells = spread(materialize(cell_ops.cells(features, tiers, n_models), "cells"))
     by_domain = moments.load(moments.domain_moments(cells, width, n_models), width, n_models)
     return Prepared(features, cells, plan, known, by_domain, width, tiers)
 
@@ -152,8 +152,7 @@ def tune(p: Prepared, predicted: DataFrame, by: list[str], cap: int | None = Non
     """
 
     rows = sweep_rows(p, predicted)
-    events = materialize(lambdas.change_events(rows, by), "lambda-events")
-    full = lambdas.curve(events, by)
+    full = lambdas.curve(lambdas.change_events(rows, by), by)
     if cap is None:
         return lambdas.select_best(full, by)
     scored = F.transform(

@@ -162,17 +162,6 @@ def diagnostic_tiers(quotes: dict[str, Decimal]) -> list[TierSpec]:
     return [TierSpec(t, b, w) for (t, w), b in zip(TIER_WEIGHTS, budgets)]
 
 
-def diagnostic_budgets(quotes: DataFrame) -> DataFrame:
-    """The same three budgets as a one-row table (the quote table has one row per model)."""
-
-    ordered = F.array_sort(F.collect_list("quoted_cost"))
-    return quotes.agg(ordered.alias("q")).select(
-        F.element_at("q", 1).alias("fast"),
-        F.element_at("q", F.floor(F.size("q") / 2).cast("int") + 1).alias("balanced"),
-        F.element_at("q", -1).alias("premium"),
-    )
-
-
 def to_log(wide: DataFrame, quotes: dict[str, Decimal], include_unmapped: bool = False) -> DataFrame:
     """Log rows with quotes fitted elsewhere; rows outside the scope are dropped or renamed."""
 
