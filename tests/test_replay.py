@@ -37,7 +37,7 @@ def test_refused_and_overspent_queries(spark):
     assert not over["feasible"] and over["cost"] == 3 and over["remaining_after"] == 0 and over["within_budget"] is False
     assert not dear["feasible"] and dear["cost"] == 0 and dear["remaining_after"] == 2 and not dear["call_made"]
     assert unknown["error"] == "unknown model" and unknown["quality"] is None
-    assert replay(log, tier("2"), [policies.oracle()]).first()["error"].startswith("no candidate")
+    assert replay(log, tier("2"), [policies.oracle()]).first()["error"].startswith("nothing")
 
 
 def test_random_matches_its_definition(spark):

@@ -48,3 +48,17 @@ def score_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = dense_log(spark, sf_dir)
     plan = folds.SubsetPlan(tuple(folds.domain_list(log)))
     return folds.score_blocks(log, plan).select("mask", "n_omitted", "domain", "n_rows")
+
+
+@query("domain_views", "P11 M1", """SELECT lang AS domain, count(*) AS n_rows, count(*) AS n_labelled FROM documents WHERE lang <> 'en' GROUP BY lang""")
+def domain_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and labels written per domain and read back for one fold's training side."""
+
+    from tollway.functions.encode import with_features
+    from tollway.operators import views
+
+    log = dense_log(spark, sf_dir)
+    features = views.by_domain(views.feature_view(with_features(log)), "features-by-domain").where("domain <> 'en'")
+    labels = views.by_domain(views.label_view(log), "labels-by-domain").where("domain <> 'en'")
+    both = features.join(labels.drop("domain"), "example_id", "left")
+    return both.groupBy("domain").agg(F.count(F.lit(1)).alias("n_rows"), F.count("targets").alias("n_labelled"))

@@ -14,8 +14,8 @@ from tollway.catalog.sample import CATALOGUE, DENSE_BUDGETS, dense_log, predicte
 from tollway.catalog.baselines import CARD_SQL, SIX, SQL_GAP, rounded, shown_card, sql_results
 from tollway.functions.costs import micro
 from tollway.operators import checks, isotonic, metrics, policies, predict, ridge, stumps
-from tollway.operators import cells as cell_ops
 from tollway.operators.scoring import StumpScorer
+from tollway.operators.views import label_view
 from tollway.plans import benchmark, diagnostic, showcase
 from tollway.plans.route import route
 from tollway.plans.train import train
@@ -120,7 +120,7 @@ def subset_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row scored by every subset that left its domain out."""
 
     p = prepared(spark, sf_dir)
-    scorer = benchmark.fit_base(p, benchmark.LinearConfig(), p.plan.training_masks())
+    scorer = benchmark.LinearConfig().fit_base(p, p.plan.training_masks())
     return shown_scores(p, scorer, p.plan.training_masks())
 
 
@@ -286,7 +286,7 @@ def stream_showcase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("targets_by_model", "M1", f"WITH {sql_log()} SELECT example_id, string_agg(CAST(q AS VARCHAR), ',' ORDER BY model_id) AS q_milli FROM long GROUP BY example_id")
 def targets_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = cell_ops.targets(dense_log(spark, sf_dir))
+    t = label_view(dense_log(spark, sf_dir))
     return t.select("example_id", F.concat_ws(",", F.transform("targets", lambda v: (v * 1000).cast("bigint").cast("string"))).alias("q_milli"))
 
 

@@ -168,8 +168,8 @@ def scheduled_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("decision_checks", "P9 J3", f"""WITH {sql_log()}, pick AS (
   SELECT tier, example_id, any_value(budget) AS budget, CASE ord % 7 WHEN 5 THEN 'm9' WHEN 6 THEN NULL ELSE 'm' || CAST(1 + ord % 7 AS VARCHAR) END AS model_id
   FROM lt GROUP BY tier, example_id, ord)
-SELECT p.tier, CASE WHEN p.model_id IS NULL THEN 'no candidate model fits the remaining budget' WHEN l.model_id IS NULL THEN 'unknown model'
-  WHEN l.quoted > p.budget THEN 'quote exceeds the remaining budget' ELSE 'accepted' END AS verdict, count(*) AS n
+SELECT p.tier, CASE WHEN p.model_id IS NULL THEN 'nothing affordable' WHEN l.model_id IS NULL THEN 'unknown model'
+  WHEN l.quoted > p.budget THEN 'quote above what is left' ELSE 'accepted' END AS verdict, count(*) AS n
 FROM pick p LEFT JOIN long l USING (example_id, model_id) GROUP BY ALL""")
 def decision_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tollway.schema import with_tiers
@@ -218,6 +218,14 @@ def decision_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.decision_identity(replay(dense_log(spark, sf_dir), tiers(), [policies.always_cheapest()]))
 
 
+@query("prediction_identity", "A20 M15", f"WITH {sql_log()}, p AS (SELECT example_id, model_id, CAST(round((0.2::DOUBLE + 0.1::DOUBLE * rk) * 1e9) AS BIGINT) AS nano FROM long) " + _digest_sql(["example_id", "model_id", "nano"], "p"))
+def prediction_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tollway.operators.predict import long_predictions
+
+    scores = spark.createDataFrame([(f"m{r}", 0.2 + 0.1 * r) for r in range(1, 6)], "model_id string, score double")
+    return fingerprint.prediction_identity(long_predictions(policies.static_predictions(dense_log(spark, sf_dir), scores)))
+
+
 @query("prompt_hashes", "F10", "SELECT doc_id, sha256(text) AS prompt_sha256 FROM documents")
 def prompt_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", prompt_hash(F.col("text")).alias("prompt_sha256"))

@@ -17,12 +17,6 @@ from tollway.schema import TierSpec
 WIDE_MODELS = 64
 
 
-def targets(log: DataFrame) -> DataFrame:
-    """Observed qualities per example, in catalogue order."""
-
-    return log.select("example_id", "domain", F.transform("models", lambda m: m["quality"]).alias("targets"))
-
-
 def cells(features: DataFrame, tiers: list[TierSpec], n_models: int) -> DataFrame:
     """(domain, quotes, x) with row count and per-model sums.
 

@@ -131,7 +131,7 @@ def decision_check(decision: Column, candidates: Column, remaining: Column) -> C
 
     hit = F.try_element_at(F.filter(candidates, lambda m: m["model_id"] == decision), F.lit(1))
     return (
-        F.when(decision.isNull(), "no candidate model fits the remaining budget")
+        F.when(decision.isNull(), "nothing affordable")
         .when(hit.isNull(), "unknown model")
-        .when(hit["quoted"] > remaining, "quote exceeds the remaining budget")
+        .when(hit["quoted"] > remaining, "quote above what is left")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,10 @@ def per_query_columns(models: Column, decision: Column, remaining: Column) -> di
     refused = decision.isNull() | hit.isNull() | (quoted > remaining)
     within = realized <= remaining
     error = (
-        F.when(decision.isNull(), "no candidate model fits the remaining budget")
+        F.when(decision.isNull(), "nothing affordable")
         .when(hit.isNull(), "unknown model")
-        .when(quoted > remaining, "quote exceeds the remaining budget")
-        .when(~within, "charge exceeds the remaining budget")
+        .when(quoted > remaining, "quote above what is left")
+        .when(~within, "charge above what was left")
     )
     return {
         "call_made": ~refused,
@@ -72,11 +74,20 @@ RESULT_COLUMNS = [
 ]
 
 
-def replay(log: DataFrame, tiers: list[TierSpec], policies: list[Policy | PrivilegedPolicy]) -> DataFrame:
+Ledger = Callable[[Column, Column, Column], dict[str, Column]]
+
+
+def replay(
+    log: DataFrame,
+    tiers: list[TierSpec],
+    policies: list[Policy | PrivilegedPolicy],
+    ledger: Ledger = per_query_columns,
+) -> DataFrame:
     """Query results of all policies on all tiers under per-query budgets.
 
     Narrow from end to end: one input row fans out to tiers and policies in place.
-    A ``predicted`` array column, when there is one, is offered to the policies.
+    A ``predicted`` array column, when there is one, is offered to the policies.  Another
+    ``ledger`` maps models, decision and budget to the same result columns.
     """
 
     has_predictions = "predicted" in log.columns
@@ -97,7 +108,7 @@ def replay(log: DataFrame, tiers: list[TierSpec], policies: list[Policy | Privil
     if has_predictions:
         shown = F.when(place > 0, F.try_element_at("predicted", place.cast("int")))
     rows = rows.withColumn("predicted_nano", shown)
-    return rows.withColumns(per_query_columns(models, F.col("decision"), budget)).select(*RESULT_COLUMNS)
+    return rows.withColumns(ledger(models, F.col("decision"), budget)).select(*RESULT_COLUMNS)
 
 
 def replay_schedule(log: DataFrame, tiers: list[TierSpec], schedule: DataFrame, name: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tollway.functions.sizing import small_copy
 from tollway.schema import COST_SUM
 
 TOLERANCE = 1e-12
+# Policies x tiers x domains of one report.
+MAX_REPORT_ROWS = 100_000
 
 
 def _mean(total: Column, count: Column) -> Column:
@@ -47,19 +50,23 @@ def weighted_quality(scores: DataFrame, by: list[str] | None = None) -> DataFram
 
 
 def align(scores: DataFrame, by: list[str] | None = None, cheapest: str = "always-cheapest", oracle: str = "oracle") -> DataFrame:
-    """Each policy's tiers next to the cheapest and oracle tiers; differing scopes fail."""
+    """Each policy's tiers next to the cheapest and oracle tiers; differing scopes fail.
 
-    keys = [*(by or []), "tier"]
-    mine = scores.select("policy", *keys, "weight", "n_queries", "mean_quality")
+    A window over the few score rows of a tier, so the results behind them are worked out
+    once, not once per side.
+    """
 
-    def side(name: str, prefix: str) -> DataFrame:
-        picked = scores.where(F.col("policy") == name)
-        return picked.select(
-            *keys, F.col("n_queries").alias(f"{prefix}_n"), F.col("weight").alias(f"{prefix}_w"),
-            F.col("mean_quality").alias(f"{prefix}_quality"),
-        )
+    tier = Window.partitionBy(*(by or []), "tier")
 
-    joined = mine.join(side(cheapest, "c"), keys, "left").join(side(oracle, "o"), keys, "left")
+    def side(name: str, column: str) -> Column:
+        return F.max(F.when(F.col("policy") == name, F.col(column))).over(tier)
+
+    joined = scores.select("policy", *(by or []), "tier", "weight", "n_queries", "mean_quality").withColumns(
+        {
+            "c_n": side(cheapest, "n_queries"), "c_w": side(cheapest, "weight"), "c_quality": side(cheapest, "mean_quality"),
+            "o_n": side(oracle, "n_queries"), "o_w": side(oracle, "weight"), "o_quality": side(oracle, "mean_quality"),
+        }
+    )
     n, w = F.col("n_queries"), F.col("weight")
     same = (F.col("c_n") == n) & (F.col("o_n") == n) & (F.col("c_w") == w) & (F.col("o_w") == w)
     scope = F.when(~F.coalesce(same, F.lit(False)), F.raise_error(F.lit("reports cover different scopes")))
@@ -133,24 +140,7 @@ def failure_counts(results: DataFrame) -> DataFrame:
 
 
 def scorecard(results: DataFrame) -> DataFrame:
-    """One row per policy: tier qualities, weighted quality, gap recovery, cost, quote error."""
-
-    scores = tier_scores(results)
-    by_tier = scores.groupBy("policy").agg(
-        *[F.max(F.when(F.col("tier") == t, F.col("mean_quality"))).alias(f"{t}_quality") for t in ("fast", "balanced", "premium")]
-    )
-    overall = quote_error(results).where("tier is null").select(
-        "policy", "calls", "absolute_error", "underquoted_amount", "overquoted_amount", "net_direction", "net_amount"
-    )
-    return (
-        by_tier.join(weighted_quality(scores), "policy")
-        .join(gap_recovery(scores), "policy")
-        .join(overall, "policy", "left")
-    )
-
-
-def settled_scorecard(results: DataFrame) -> DataFrame:
-    """Scorecard from one pass over the results.
+    """One row per policy: tier qualities, weighted quality, gap recovery, cost, quote error.
 
     The results shrink to one row per policy and tier first; everything else is computed
     from that small table, so the log is scanned once however many columns there are.
@@ -173,7 +163,7 @@ def settled_scorecard(results: DataFrame) -> DataFrame:
         F.sum(F.when(made, F.greatest(r - q, F.lit(0)))).cast(COST_SUM).alias("underquoted_amount"),
         F.sum(F.when(made, F.greatest(q - r, F.lit(0)))).cast(COST_SUM).alias("overquoted_amount"),
     )
-    small = sums.sparkSession.createDataFrame(sums.collect(), sums.schema)
+    small = small_copy(sums, MAX_REPORT_ROWS, "policy and tier rows")
     overall = with_net_difference(
         small.groupBy("policy").agg(
             *[F.max(F.when(F.col("tier") == t, F.col("mean_quality"))).alias(f"{t}_quality") for t in ("fast", "balanced", "premium")],
@@ -195,7 +185,7 @@ def held_out_scores(results: DataFrame) -> DataFrame:
     """Per held-out domain: tier means, weighted quality and gap recovery."""
 
     scores = tier_scores(results.withColumn("held_out", F.col("domain")), ["held_out"])
-    small = scores.sparkSession.createDataFrame(scores.collect(), scores.schema)
+    small = small_copy(scores, MAX_REPORT_ROWS, "policy, domain and tier rows")
     tiers = small.groupBy("policy", "held_out").agg(
         *[F.max(F.when(F.col("tier") == t, F.col("mean_quality"))).alias(f"{t}_quality") for t in ("fast", "balanced", "premium")]
     )
@@ -218,15 +208,16 @@ def paired_delta(card: DataFrame, left: str, right: str, keys: list[str] | None
 def oracle_violations(results: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Queries on which a policy beats the per-query oracle, or the oracle itself failed."""
 
-    best = results.where("policy = 'oracle'").select(
-        "tier", "example_id", F.col("quality").alias("oracle_quality"), F.col("feasible").alias("oracle_feasible")
+    query = Window.partitionBy("tier", "example_id")  # one row per policy
+    is_oracle = F.col("policy") == "oracle"
+    rows = results.select("policy", "tier", "example_id", "feasible", "quality").withColumns(
+        {
+            "oracle_quality": F.max(F.when(is_oracle, F.col("quality"))).over(query),
+            "oracle_feasible": F.max(F.when(is_oracle, F.col("feasible"))).over(query),
+        }
     )
     over = F.col("feasible") & (F.col("quality").cast("double") > F.col("oracle_quality").cast("double") + tolerance)
-    return (
-        results.join(best, ["tier", "example_id"])
-        .where(~F.col("oracle_feasible") | over)
-        .select("policy", "tier", "example_id", "quality", "oracle_quality")
-    )
+    return rows.where(~F.col("oracle_feasible") | over).select("policy", "tier", "example_id", "quality", "oracle_quality")
 
 
 def running_retention(steps: DataFrame, keys: list[str], order: str, bounds: list[float] | None = None) -> DataFrame:

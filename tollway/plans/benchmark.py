@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollway.functions.encode import SURFACE_WIDTH, with_features
+from tollway.functions.sizing import small_copy
 from tollway.operators import cells as cell_ops
 from tollway.operators import isotonic, lambdas, metrics, moments, policies, predict, ridge, stumps
 from tollway.operators.folds import SubsetPlan
@@ -16,7 +18,7 @@ from tollway.operators.moments import Moments
 from tollway.operators.profile import Profile, profile
 from tollway.operators.scoring import Calibrators, Scorer
 from tollway.plans.evaluate import baseline_policies, prepare
-from tollway.schema import TierSpec, with_tiers
+from tollway.schema import MAX_DOMAINS, TierSpec, with_tiers
 from tollway.session import materialize, spread
 
 
@@ -27,6 +29,10 @@ class LinearConfig:
     ridge: float = 1.0
     family: str = "bilinear"
 
+    def fit_base(self, p: Prepared, masks: list[int]) -> Scorer:
+        rows = ridge.fit_subsets(p.cells.sparkSession, p.by_domain, p.plan, masks, self.ridge)
+        return ridge.load(rows)
+
 
 @dataclass(frozen=True)
 class StumpConfig:
@@ -38,8 +44,20 @@ class StumpConfig:
     min_gain: float = 0.0
     family: str = "stumps"
 
+    def fit_base(self, p: Prepared, masks: list[int]) -> Scorer:
+        return stumps.fit(p.cells, p.by_domain, p.plan, masks, self.rounds, self.rate, self.min_leaf, self.min_gain)
+
+
+class Config(Protocol):
+    """A trainer: base fits for training subsets named by the domains they leave out.
+
+    Own trainers implement this; the scorer they return has ``score(x, mask)``,
+    ``only(masks)`` and ``size()``.
+    """
+
+    family: str
 
-Config = LinearConfig | StumpConfig
+    def fit_base(self, p: Prepared, masks: list[int]) -> Scorer: ...
 
 
 @dataclass(frozen=True)
@@ -108,18 +126,10 @@ def prepare_fits(
     return Prepared(features, cells, plan, known, by_domain, width, tiers)
 
 
-def fit_base(p: Prepared, config: Config, masks: list[int]) -> Scorer:
-    if isinstance(config, LinearConfig):
-        return ridge.load(ridge.fit_subsets(p.cells.sparkSession, p.by_domain, p.plan, masks, config.ridge))
-    return stumps.fit(
-        p.cells, p.by_domain, p.plan, masks, config.rounds, config.rate, config.min_leaf, config.min_gain
-    )
-
-
 def fit(p: Prepared, config: Config, base_masks: list[int], contexts: list[int]) -> Fitted:
     """Base fits for all subsets, then one calibrator per context and model."""
 
-    scorer = fit_base(p, config, base_masks)
+    scorer = config.fit_base(p, base_masks)
     steps = materialize(isotonic.fit(isotonic.calibration_pairs(p.cells, scorer, p.plan, contexts)), "steps")
     return Fitted(scorer, isotonic.load(steps), steps, config.family)
 
@@ -144,15 +154,38 @@ def outer_predictions(p: Prepared, f: Fitted) -> DataFrame:
     return scored.withColumn("outer", outer)
 
 
-def tune(p: Prepared, predicted: DataFrame, by: list[str], cap: int | None = None) -> DataFrame:
+def tune(
+    p: Prepared,
+    predicted: DataFrame,
+    by: list[str],
+    cap: int | None = None,
+    grid: dict[str, list[tuple[int, int]]] | None = None,
+) -> DataFrame:
     """Selected lambda per (by, tier).
 
     Without a cap every breakpoint is searched through the metric curve.  With one, a
-    bounded hash sample of roots is rank-spaced to the cap and read off the same curve.
+    bounded hash sample of roots is rank-spaced to the cap and read off the same curve.  A
+    given grid (tier to fractions) is read off it too.
     """
 
+    if cap is not None and grid is not None:
+        raise ValueError("a cap and a grid exclude each other")
     rows = sweep_rows(p, predicted)
     full = lambdas.curve(lambdas.change_events(rows, by), by)
+    if grid is not None:
+        for fraction in (f for values in grid.values() for f in values):
+            policies.check_lambda(*fraction)
+        values = F.array(
+            *[
+                F.struct(F.lit(t).alias("tier"), F.lit(num).cast("bigint").alias("num"), F.lit(den).cast("bigint").alias("den"))
+                for t, values in grid.items() for num, den in values
+            ]
+        )
+        groups = full.select(*by).distinct() if by else full.sparkSession.range(1).select()
+        given = groups.select(*by, F.inline(values))
+        return lambdas.select_best(
+            lambdas.at_grid(full, given.withColumn("key", lambdas.fraction_key(F.col("num"), F.col("den"))), by), by
+        )
     if cap is None:
         return lambdas.select_best(full, by)
     scored = F.transform(
@@ -161,20 +194,22 @@ def tune(p: Prepared, predicted: DataFrame, by: list[str], cap: int | None = Non
     )
     points = lambdas.breakpoints(predicted, scored, by)
     sample = lambdas.bounded_roots(points, by, cap)
-    grid = lambdas.rank_spaced(lambdas.exhaustive_candidates(sample, by), by, cap)
+    spaced = lambdas.rank_spaced(lambdas.exhaustive_candidates(sample, by), by, cap)
     names = F.array(*[F.lit(t.tier) for t in p.tiers])
-    return lambdas.select_best(lambdas.at_grid(full, grid.withColumn("tier", F.explode(names)), by), by)
+    return lambdas.select_best(lambdas.at_grid(full, spaced.withColumn("tier", F.explode(names)), by), by)
 
 
-def tune_outer(p: Prepared, f: Fitted, cap: int | None = None) -> Tuned:
-    selection = tune(p, outer_predictions(p, f), ["outer"], cap)
-    rows = selection.collect()  # at most domains x tiers rows
+def tune_outer(
+    p: Prepared, f: Fitted, cap: int | None = None, grid: dict[str, list[tuple[int, int]]] | None = None
+) -> Tuned:
+    selection = small_copy(tune(p, outer_predictions(p, f), ["outer"], cap, grid), 3 * MAX_DOMAINS, "selections")
+    rows = selection.collect()
     by_key = {(r["outer"], r["tier"]): (int(r["num"]), int(r["den"])) for r in rows}
     for d in p.plan.domains:
         for t in p.tiers:
             if (d, t.tier) not in by_key:
                 raise ValueError(f"no fully feasible lambda for fold {d!r}, tier {t.tier!r}")
-    return Tuned(by_key, p.cells.sparkSession.createDataFrame(rows, selection.schema))
+    return Tuned(by_key, selection)
 
 
 def lambda_columns(tuned: Tuned) -> tuple[Column, Column]:
@@ -202,6 +237,7 @@ def run(
     embedding_width: int = 0,
     seed: int = policies.RANDOM_SEED,
     threshold: int = policies.LENGTH_THRESHOLD,
+    grid: dict[str, list[tuple[int, int]]] | None = None,
 ) -> Benchmark:
     """Baselines and learned policies over one population, replayed in one pass.
 
@@ -216,7 +252,7 @@ def run(
     rows, _, _ = prepare(p.features, tiers, p.profile)
     for name, config in configs.items():
         fitted[name] = fit(p, config, p.plan.training_masks(), p.plan.calibration_masks())
-        tuned[name] = tune_outer(p, fitted[name], cap)
+        tuned[name] = tune_outer(p, fitted[name], cap, grid)
         column = f"_pred_{len(learned)}"
         rows = held_out_predictions(rows, p, fitted[name]).withColumnRenamed("predicted", column)
         num, den = lambda_columns(tuned[name])
@@ -224,7 +260,17 @@ def run(
     if len(learned) == 1:
         rows = rows.withColumn("predicted", F.col("_pred_0"))
     results = replay(rows, tiers, [*baselines(p.profile), *learned])
-    return Benchmark(results, metrics.settled_scorecard(results), tuned, fitted, p, list(configs))
+    return Benchmark(results, metrics.scorecard(results), tuned, fitted, p, list(configs))
+
+
+def fold_router(bench: Benchmark, domain: str, name: str | None = None) -> tuple[Scorer, Calibrators, int, dict[str, tuple[int, int]]]:
+    """One outer fold's predictor, its context and its lambdas, ready for ``route``."""
+
+    name = name or bench.names[0]
+    mask = bench.prepared.plan.bit(domain)
+    f = bench.fitted[name]
+    prices = {t.tier: bench.tuned[name].by_key[(domain, t.tier)] for t in bench.prepared.tiers}
+    return f.scorer.only([mask]), f.calibrators.only([mask]), mask, prices
 
 
 def compare(bench: Benchmark) -> tuple[DataFrame, DataFrame]:

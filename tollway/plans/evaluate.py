@@ -74,4 +74,4 @@ def evaluate(
 
     rows, table, known = prepare(log, tiers)
     results = replay(rows, tiers, baseline_policies(*known.roles(), seed, threshold))
-    return Evaluation(results, metrics.settled_scorecard(results), table, known)
+    return Evaluation(results, metrics.scorecard(results), table, known)

@@ -31,17 +31,19 @@ def route(
     scorer: Scorer | None = None,
     calibrators: Calibrators | None = None,
     keep: list[str] | None = None,
+    mask: int = 0,
 ) -> DataFrame:
     """A decision per prompt and tier: model, quote, predicted quality, refusal reason.
 
     ``prompts`` has ``prompt``, any ``keep`` columns, and optionally ``remaining`` (what is
-    left of the tier's budget, never more than it).  Without a fitted scorer the
-    demonstration rule's closed form predicts.
+    left of the tier's budget, never more than it).  ``mask`` names the fitted context; 0 is
+    the one on all rows.  Without a fitted scorer the demonstration rule's closed form
+    predicts.
     """
 
     rows = prompts.withColumn("candidates", catalogue_array(catalogue))
     if scorer is not None:
-        rows = predict.predict_all(with_features(rows), scorer, calibrators)
+        rows = predict.predict_all(with_features(rows), scorer, calibrators, mask)
     else:
         rows = with_flags(rows).withColumn("predicted", policies.demo_predictions(F.col("candidates")))
     rows = with_tiers(rows, tiers)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tollway.functions import fingerprint
 from tollway.functions.encode import FEATURE_NAMES
+from tollway.functions.sizing import small_copy
 from tollway.operators import lambdas, predict
 from tollway.plans.benchmark import Config, Fitted, Prepared, fit, prepare_fits, tune
 from tollway.schema import TierSpec
@@ -54,7 +55,8 @@ def train(
         selection, strategy = lambdas.tune_cumulative(rows, tiers, grid), "given-grid"
     else:
         raise ValueError(f"unknown ledger {ledger!r}")
-    chosen = selection.collect()  # one row per tier
+    selection = small_copy(selection, len(tiers), "selections")
+    chosen = selection.collect()
     by_tier = {r["tier"]: (int(r["num"]), int(r["den"])) for r in chosen}
     missing = [t.tier for t in tiers if t.tier not in by_tier]
     if missing:
@@ -72,5 +74,4 @@ def train(
             "prediction": fingerprint.identity(pairs, ["example_id", "model_id", "predicted_nano"]),
         },
     )
-    kept = spark.createDataFrame(chosen, selection.schema).withColumn("strategy", F.lit(strategy))
-    return Trained(p, fitted, by_tier, kept, identity)
+    return Trained(p, fitted, by_tier, selection.withColumn("strategy", F.lit(strategy)), identity)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,11 @@ def local_session(app_name: str = "tollway", cpus: str | None = None, memory: st
     return spark
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tollway-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
@@ -41,9 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR_KEY} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tollway-")
-    spark.conf.set(CHECKPOINT_DIR_KEY, folder)
-    return folder
+    return _local_folder()
 
 
 def run_folder(spark: SparkSession) -> str:

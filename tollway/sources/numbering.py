@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tollway.functions.sizing import settle
 from tollway.session import materialize
 
+# Offsets, two numbers per scan task, are broadcast up to this many tasks.
+MAX_SCAN_TASKS = 500_000
+
 
 def with_ord(df: DataFrame, name: str = "ord") -> DataFrame:
     """Adds 0-based numbers in source order, in two passes.
@@ -21,9 +25,10 @@ def with_ord(df: DataFrame, name: str = "ord") -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per scan task
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    short, _ = settle(offsets, MAX_SCAN_TASKS)
     return (
         placed.withColumn("_part", part)
-        .join(offsets, "_part")
+        .join(short, "_part")
         .withColumn(name, (F.col("_off") + local).cast("bigint"))
         .drop("_part", "_off", "_id")
     )
