@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tollway.catalog.learned_sql import CALIBRATED_SQL, RAW_SQL, RIDGE_SQL, benchmark_sql, stump_sql, trained_sql
 from tollway.catalog.logs import EVAL_CASE, wide_log
 from tollway.catalog.prompts import DEMO_SQL, FEATURES_SQL
 from tollway.catalog.registry import query, table
@@ -44,12 +45,12 @@ c AS (SELECT *, sum(y) OVER w AS cy, sum(n) OVER w AS cn FROM g WINDOW w AS (PAR
 ab AS (SELECT a.pos, a.i AS a, b.i AS b, (b.cy - a.cy + a.y)::DOUBLE / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.pos = b.pos AND b.i >= a.i),
 lowest AS (SELECT pos, a, b, min(mean) OVER (PARTITION BY pos, a ORDER BY b DESC) AS low FROM ab),
 fit AS (SELECT pos, b AS i, max(low) / 1000.0 AS value FROM lowest GROUP BY pos, b)"""
-_CALIBRATED_SQL = _MONOTONE + """
+_MONOTONE_SQL = _MONOTONE + """
 SELECT l.example_id, CAST(l.rk - 1 AS INT) AS model_pos, round(f.value, 6) AS calibrated FROM long l
 JOIN g ON g.pos = l.rk - 1 AND g.s = l.q * 500000 + l.blur * 1000000 JOIN fit f ON f.pos = g.pos AND f.i = g.i"""
 
 
-@query("isotonic_calibration", "M7 M8 J8 J15", _CALIBRATED_SQL)
+@query("isotonic_calibration", "M7 M8 J8 J15", _MONOTONE_SQL)
 def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps fitted range by range, then looked up with the distributed nearest-step join."""
 
@@ -92,13 +93,14 @@ def stump_first_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
-@query("stump_scores", "M10 M11 M12")
+@query("stump_scores", "M10 M11 M12", stump_sql(ROUNDS) + """
+SELECT CAST(doc_id AS VARCHAR) AS example_id, lang AS domain, CAST(mask AS INT) AS mask, CAST(mp AS INT) AS model_pos, round(s, 6) AS score FROM raw WHERE bit_count(mask) = 1""")
 def stump_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out raw scores of short stump chains for every row."""
 
     p = prepared(spark, sf_dir)
     scorer = stumps.fit(p.cells, p.by_domain, p.plan, p.plan.masks(1), rounds=ROUNDS)
-    return shown_scores(p, scorer, p.plan.masks(1))
+    return rounded(shown_scores(p, scorer, p.plan.masks(1)))
 
 
 def shown_scores(p: benchmark.Prepared, scorer, masks: list[int]) -> DataFrame:
@@ -106,25 +108,29 @@ def shown_scores(p: benchmark.Prepared, scorer, masks: list[int]) -> DataFrame:
     return rows.select("example_id", "domain", "mask", F.posexplode("scores").alias("model_pos", "score"))
 
 
-@query("ridge_coefficients", "M3 M5 K7")
+@query("ridge_coefficients", "M3 M5 K7", RIDGE_SQL + """
+SELECT CAST(mask AS INT) AS mask, CAST(mp AS INT) AS model_pos, CAST(i - 1 AS INT) AS feature, round(coef.w, 6) + 0.0 AS weight, round(bias, 6) AS bias FROM coef JOIN model USING (mask, mp) WHERE mask > 0""")
 def ridge_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One centered ridge fit per training subset and model."""
 
     p = prepared(spark, sf_dir)
     rows = ridge.fit_subsets(spark, p.by_domain, p.plan, p.plan.training_masks(), 1.0)
-    return rows.select("mask", "model_pos", F.posexplode("weights").alias("feature", "weight"), "bias")
+    out = rows.select("mask", "model_pos", F.posexplode("weights").alias("feature", "weight"), F.round("bias", 6).alias("bias"))
+    return out.withColumn("weight", F.round("weight", 6) + F.lit(0.0))
 
 
-@query("subset_scores", "M6 J11")
+@query("subset_scores", "M6 J11", RAW_SQL + """
+SELECT CAST(doc_id AS VARCHAR) AS example_id, lang AS domain, CAST(mask AS INT) AS mask, CAST(mp AS INT) AS model_pos, round(s, 6) AS score FROM raw WHERE mask > 0""")
 def subset_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row scored by every subset that left its domain out."""
 
     p = prepared(spark, sf_dir)
     scorer = benchmark.LinearConfig().fit_base(p, p.plan.training_masks())
-    return shown_scores(p, scorer, p.plan.training_masks())
+    return rounded(shown_scores(p, scorer, p.plan.training_masks()))
 
 
-@query("calibrated_predictions", "M9 M13 M14 J5 J9")
+@query("calibrated_predictions", "M9 M13 M14 J5 J9", CALIBRATED_SQL + """
+SELECT CAST(doc_id AS VARCHAR) AS example_id, 'm' || CAST(mp + 1 AS VARCHAR) AS model_id, round(round(value * 1e9) / 1e9 + 1e-10, 8) AS predicted FROM pred WHERE ctx = (1 << pos)""")
 def calibrated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-fitted table: each row predicted by the calibrated fit that never saw its domain."""
 
@@ -133,7 +139,7 @@ def calibrated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = predict.long_predictions(benchmark.held_out_predictions(p.features, p, f))
     want = p.features.select("example_id", F.explode("models").alias("m")).select("example_id", "m.model_id")
     checks.require_empty(checks.coverage(want, pairs, ["example_id", "model_id"]), "predictions do not cover the log")
-    return pairs
+    return pairs.select("example_id", "model_id", shown_nano())
 
 
 def run_benchmark(spark: SparkSession, sf_dir: str, *families: str, cap: int | None = None) -> benchmark.Benchmark:
@@ -141,12 +147,12 @@ def run_benchmark(spark: SparkSession, sf_dir: str, *families: str, cap: int | N
     return benchmark.run(dense_log(spark, sf_dir), tiers(), {f: known[f] for f in families}, cap)
 
 
-@query("benchmark_bilinear", "K2 K7 L10 B7 J7 U1")
+@query("benchmark_bilinear", "K2 K7 L10 B7 J7 U1", benchmark_sql() + ", " + SQL_GAP + CARD_SQL)
 def benchmark_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_card(run_benchmark(spark, sf_dir, "bilinear").card)
 
 
-@query("benchmark_stumps", "K3 M12 L10")
+@query("benchmark_stumps", "K3 M12 L10", benchmark_sql("stumps", stump_sql(ROUNDS)) + ", " + SQL_GAP + CARD_SQL)
 def benchmark_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_card(run_benchmark(spark, sf_dir, "stumps").card)
 
@@ -194,7 +200,7 @@ def scorecard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_card(scorecards.round_trip(evaluate(dense_log(spark, sf_dir), tiers()).card))
 
 
-@query("train_and_route", "K5 K6 S8 S10 S11 S12 B11 M9 M13")
+@query("train_and_route", "K5 K6 S8 S10 S11 S12 B11 M9 M13", trained_sql())
 def train_and_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on all rows, save, verify against the data, load, and choose for every prompt."""
 
@@ -204,25 +210,32 @@ def train_and_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     lambdas = artifacts.verify_policy(spark, f"{path}/policy", f"{path}/predictor", log, tiers())
     p = artifacts.load_predictor(spark, f"{path}/predictor")
     return route(log.select("example_id", "prompt"), catalogue(), tiers(), lambdas, p.scorer, p.calibrators, ["example_id"]).select(
-        "example_id", "tier", "decision", micro(F.col("quoted")).alias("quoted_micro"), "predicted_nano", "error"
+        "example_id", "tier", "decision", micro(F.col("quoted")).alias("quoted_micro"), shown_nano()
     )
 
 
+def shown_nano():
+    """Predicted quality; a hair is added so that means of few rows never sit on a rounding tie."""
+
+    return F.round(F.col("predicted_nano") / 1e9 + 1e-10, 8).alias("predicted")
+
+
 def catalogue() -> dict[str, Decimal]:
     return {m: Decimal(q) / 1000000 for m, _, q, _ in CATALOGUE}
 
 
-@query("train_stumps_saved", "S9 M11 M12 K5")
+@query("train_stumps_saved", "S9 M11 M12 K5", trained_sql(stump_sql(ROUNDS)))
 def train_stumps_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stump predictor saved, loaded and applied to every prompt."""
 
     log = dense_log(spark, sf_dir)
     path = scratch_path(spark, "trained-stumps")
     train(log, tiers(), benchmark.StumpConfig(rounds=ROUNDS), path)
+    lambdas = artifacts.verify_policy(spark, f"{path}/policy", f"{path}/predictor", log, tiers())
     p = artifacts.load_predictor(spark, f"{path}/predictor")
     assert isinstance(p.scorer, StumpScorer)
-    return route(log.select("example_id", "prompt"), catalogue(), tiers(), None, p.scorer, p.calibrators, ["example_id"]).select(
-        "example_id", "tier", "decision", micro(F.col("quoted")).alias("quoted_micro"), "predicted_nano"
+    return route(log.select("example_id", "prompt"), catalogue(), tiers(), lambdas, p.scorer, p.calibrators, ["example_id"]).select(
+        "example_id", "tier", "decision", micro(F.col("quoted")).alias("quoted_micro"), shown_nano()
     )
 
 
@@ -268,7 +281,11 @@ def prefix_smoke_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("policy", "tier", "n_queries", F.col("n_failed").cast("int").alias("n_failed"), "mean_quality", micro(F.col("spent")).alias("spent_micro"))
 
 
-@query("stream_showcase", "K10 W3 L10 B10")
+@query("stream_showcase", "K10 W3 L10 B10", benchmark_sql() + """, st AS (SELECT CAST(ord AS BIGINT) AS step, CAST(ord AS VARCHAR) AS example_id, ['fast', 'balanced', 'premium'][ord % 3 + 1] AS tier FROM (SELECT doc_id AS ord FROM documents)),
+pair AS (SELECT step, st.example_id, st.tier, max(model_id) FILTER (policy = 'bilinear') AS selected_model_id, max(model_id) FILTER (policy = 'oracle') AS oracle_model_id,
+  max(realized) FILTER (policy = 'bilinear') AS r, max(c.q) FILTER (policy = 'bilinear') AS q, max(c.q) FILTER (policy = 'oracle') AS o
+  FROM st JOIN calls c ON c.example_id = st.example_id AND c.tier = st.tier WHERE policy IN ('bilinear', 'oracle') GROUP BY step, st.example_id, st.tier)
+SELECT step, example_id, tier, selected_model_id, oracle_model_id, CAST(sum(r) OVER w AS BIGINT) AS cost_micro, round(sum(q) OVER w / sum(o) OVER w, 9) AS retention FROM pair WINDOW w AS (ORDER BY step)""")
 def stream_showcase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one step on one tier: learned call, oracle call, running retention."""
 
@@ -279,7 +296,7 @@ def stream_showcase(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     s = showcase.stream_steps(b, steps)
     return s.select(
-        "step", "example_id", "tier", "selected_model_id", "oracle_model_id", "predicted_nano",
+        "step", "example_id", "tier", "selected_model_id", "oracle_model_id",
         micro(F.col("running_cost")).alias("cost_micro"), F.round("retention", 9).alias("retention"),
     )
 
