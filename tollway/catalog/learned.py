@@ -7,12 +7,14 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollway.catalog.learned_sql import CALIBRATED_SQL, RAW_SQL, RIDGE_SQL, benchmark_sql, stump_sql, trained_sql
+from tollway.catalog.learned_sql import (
+    CALIBRATED_SQL, RAW_SQL, RIDGE_SQL, benchmark_sql, capped_sql, stump_sql, trained_sql,
+)
 from tollway.catalog.logs import EVAL_CASE, wide_log
 from tollway.catalog.prompts import DEMO_SQL, FEATURES_SQL
 from tollway.catalog.registry import query, table
 from tollway.catalog.sample import CATALOGUE, DENSE_BUDGETS, dense_log, predicted_log, sql_log, tiers
-from tollway.catalog.baselines import CARD_SQL, SIX, SQL_GAP, rounded, shown_card, sql_results
+from tollway.catalog.baselines import CARD_SQL, HELD_OUT_SQL, SIX, SQL_GAP, rounded, shown_card, sql_results
 from tollway.functions.costs import micro
 from tollway.operators import checks, isotonic, metrics, policies, predict, ridge, stumps
 from tollway.operators.scoring import StumpScorer
@@ -157,14 +159,32 @@ def benchmark_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_card(run_benchmark(spark, sf_dir, "stumps").card)
 
 
-@query("benchmark_capped", "K2 L3 L4 L5")
+@query("benchmark_capped", "K2 L3 L4 L5", capped_sql(32) + ", " + SQL_GAP + CARD_SQL)
 def benchmark_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The learned benchmark with a bounded candidate set per fold and tier."""
 
     return shown_card(run_benchmark(spark, sf_dir, "bilinear", cap=32).card)
 
 
-@query("compare_predictors", "K4 A21 A22")
+def _delta_sql() -> str:
+    """Stumps minus bilinear per held-out domain, and over all of them (held_out null)."""
+
+    measures = ["fast_quality", "balanced_quality", "premium_quality", "weighted_quality", "gap_recovery"]
+    sides = {"l": benchmark_sql(), "r": benchmark_sql("stumps", stump_sql(ROUNDS))}
+    names = {"l": "bilinear", "r": "stumps"}
+
+    def rows(side: str, tail: str, key: str) -> str:
+        # Fifteen digits: the difference is rounded, not its sides.
+        return f"(SELECT {key}, {', '.join(measures)} FROM ({sides[side]}{tail.replace(', 6)', ', 15)')}) WHERE policy = '{names[side]}') {side}"
+
+    deltas = ", ".join(f"round(r.{m} - l.{m}, 6) AS delta_{m}" for m in measures)
+    held = f"SELECT l.held_out, {deltas} FROM {rows('l', HELD_OUT_SQL, 'held_out')} JOIN {rows('r', HELD_OUT_SQL, 'held_out')} ON l.held_out = r.held_out"
+    card = ", " + SQL_GAP + CARD_SQL
+    overall = f"SELECT NULL AS held_out, {deltas} FROM {rows('l', card, '1 AS k')} JOIN {rows('r', card, '1 AS k')} ON l.k = r.k"
+    return f"{held} UNION ALL {overall}"
+
+
+@query("compare_predictors", "K4 A21 A22", _delta_sql())
 def compare_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stumps minus bilinear, overall and per held-out domain."""
 

@@ -127,6 +127,35 @@ def benchmark_sql(name: str = "bilinear", fitted: str = RAW_SQL) -> str:
     return f"{fitted}, {_CALIBRATE}, {tune_sql(_OUTER)}, {SQL_TABLE}, picks AS ({picks}), {SQL_CALLS}"
 
 
+def capped_sql(cap: int) -> str:
+    """As ``benchmark_sql`` with a rank-spaced hash sample of breakpoints, every value replayed."""
+
+    one = "10000000000000000000000000000"
+    grid = f"""allc AS MATERIALIZED (SELECT o.pos AS outer_pos, l.ord, l.rk, CAST(round(p.value * 1e9) AS HUGEINT) AS nano, CAST(l.quoted AS HUGEINT) * 1000000 AS pico
+  FROM dom o JOIN pred p ON p.pos <> o.pos AND p.ctx = ((1 << o.pos) | (1 << p.pos)) JOIN long l ON l.ord = p.doc_id AND l.rk - 1 = p.mp),
+cpt AS (SELECT a.outer_pos, a.nano - b.nano AS dq, a.pico - b.pico AS dc, (2 * (a.nano - b.nano) * {one}::HUGEINT + (a.pico - b.pico)) // (2 * (a.pico - b.pico)) AS key
+  FROM allc a JOIN allc b USING (outer_pos, ord) WHERE a.pico > b.pico AND a.nano >= b.nano),
+creal AS (SELECT outer_pos, key, min(dq * 1000) AS num, arg_min(dc, dq) AS den FROM cpt GROUP BY outer_pos, key),
+chash AS (SELECT *, row_number() OVER (PARTITION BY outer_pos ORDER BY sha256(CAST(key // {one} AS VARCHAR) || '.' || lpad(CAST(key % {one} AS VARCHAR), 28, '0'))) AS h,
+  row_number() OVER (PARTITION BY outer_pos ORDER BY key) AS lo, row_number() OVER (PARTITION BY outer_pos ORDER BY key DESC) AS hi FROM creal),
+cbnd AS (SELECT outer_pos, key, any_value(num) AS num, any_value(den) AS den FROM (SELECT outer_pos, key, num, den FROM chash WHERE h <= {cap} OR lo = 1 OR hi = 1
+  UNION ALL SELECT pos, 0, 0, 1 FROM dom) GROUP BY outer_pos, key),
+cnext AS (SELECT *, lead(key) OVER (PARTITION BY outer_pos ORDER BY key) AS nk FROM cbnd),
+cand AS (SELECT outer_pos, key, num, den FROM cbnd UNION ALL
+  SELECT outer_pos, CASE WHEN nk IS NULL THEN key + 10000000000000000000000000 ELSE (key + nk) // 2 END,
+    CASE WHEN nk IS NULL THEN (key + 10000000000000000000000000 + 5000000000000) // 10000000000000 ELSE (key + nk + 10000000000000) // 20000000000000 END, 1000000000000 FROM cnext),
+crank AS (SELECT *, row_number() OVER (PARTITION BY outer_pos ORDER BY key) - 1 AS i, count(*) OVER (PARTITION BY outer_pos) AS n FROM cand),
+cgrid AS MATERIALIZED (SELECT outer_pos, key, CAST(num AS HUGEINT) AS num, CAST(den AS HUGEINT) AS den FROM crank WHERE i IN (SELECT (j * (n - 1)) // {cap - 1} FROM range({cap}) t(j))),
+ot AS MATERIALIZED ({_OUTER}),
+cwin AS (SELECT g.outer_pos, o.tier, g.key, g.num, g.den, o.q, o.realized, o.realized > o.budget AS bad FROM cgrid g JOIN ot o USING (outer_pos)
+  QUALIFY row_number() OVER (PARTITION BY g.outer_pos, o.tier, g.key, o.ord ORDER BY g.den * 1000 * o.nano - g.num * o.pico DESC, o.quoted, o.model_id) = 1),
+csum AS (SELECT outer_pos, tier, key, any_value(num) AS num, any_value(den) AS den, sum(q) AS tq, sum(realized) AS tc, count(*) FILTER (bad) AS tb FROM cwin GROUP BY outer_pos, tier, key),
+lam AS MATERIALIZED (SELECT outer_pos, tier, num AS dq, den * 1000 AS dc FROM csum WHERE tb = 0 QUALIFY row_number() OVER (PARTITION BY outer_pos, tier ORDER BY tq DESC, tc, key) = 1)"""
+    learned = _pick("'bilinear' AS policy, lt.tier, lt.example_id, lt.model_id", "(SELECT * FROM pred WHERE ctx = (1 << pos))", "lam.outer_pos = p.pos")
+    picks = " UNION ALL ".join([*SQL_PICKS.values(), SQL_TABLE_PICK, learned])
+    return f"{CALIBRATED_SQL}, {grid}, {SQL_TABLE}, picks AS ({picks}), {SQL_CALLS}"
+
+
 def trained_sql(fitted: str = RAW_SQL) -> str:
     """Every prompt routed by the fit on all rows with lambdas tuned on cross-fitted scores."""
 
