@@ -105,6 +105,19 @@ def test_orc_of_odd_rows(spark, library):
     assert orc_tokens.write_and_read(docs.limit(0), PATH).count() == 0
 
 
+def test_ids_of_odd_texts_equal_the_library(library, monkeypatch):
+    texts = [*ODD, "\x00 \x01a\x7fb", "</w> a</w>b", "don't DON'T 'tis", "a<|b <|endoftext|> c|>", "Éçaux,leÀ İstanbul Straße·ÿ", "e\u0301tude ŉ Ĳ ŀ ¼x²", "».Ünd" * 9, "ªº µ \xad-\xa0\x85", "J\u030c"]
+    for limit in (900_000, 5):
+        monkeypatch.setattr(orc_tokens, "REMEMBERED", limit)
+        known = orc_tokens.Ids(PATH)
+        for some in (texts, texts[::-1], texts[5:9]):
+            for text, got in zip(some, known.encode(some)):
+                assert np.frombuffer(got, dtype="<i4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    every = [chr(c) + "a" + chr(c) + chr(c) + "1 " + chr(c) for c in range(0x250)]
+    for text, got in zip(every, known.encode(every)):
+        assert np.frombuffer(got, dtype="<i4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_orc_lookup_prunes(spark, sf_dir, tmp_path, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files, also of a small table

@@ -2,12 +2,16 @@
 
 Documents are dealt out by ranges of ``doc_id`` and sorted, so every file and every stripe holds one
 narrow range of ids; footers, row indexes and Bloom filters then let a reader skip stripes, and Spark
-reads stripes in parallel.  The ids come from the tokenizers library, which a task asks once per
-distinct piece of text.
+reads stripes in parallel.  The ids come from the tokenizers library, which a worker asks once per
+distinct word.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import unicodedata
 import zlib
 from functools import cache
 
@@ -17,7 +21,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tollway.llm.bpe import REMEMBERED, pieces
 from tollway.llm.common import map_slices, rows_hash
 from tollway.session import scratch_path
 
@@ -32,6 +35,7 @@ WRITER = {
 def library(path: str):
     """The tokenizer of a file, with truncation and padding off."""
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -40,24 +44,88 @@ def library(path: str):
     return tokenizer
 
 
+#: Words whose ids a worker remembers from task to task; beyond that it starts afresh.
+REMEMBERED = 900_000
+#: Texts whose characters all come before this one are cut into words here; others go to the library whole.
+LATIN_END = "\u0180"
+
+
+def _latin_words() -> re.Pattern:
+    """The tokenizer's own cut of a normal text, for Latin characters: contractions, letters, single digits, other runs."""
+
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(ord(LATIN_END)) if unicodedata.category(chr(c))[0] == kind)
+    letters, numbers, blanks = of("L"), of("N"), r"\t-\r \x85\xa0"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}{blanks}]+")
+
+
+_LATIN = _latin_words()
+
+
+class Ids:
+    """Ids of texts as little-endian bytes, from the tokenizers library.
+
+    The library is asked for many new words in one call.  The last token of a word, and no other, spells
+    the end of a word, so the ids of a call fall apart into words again.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = library(path)
+        with open(path, encoding="utf-8") as f:
+            end = json.load(f)["model"]["end_of_word_suffix"]
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(end) for i in range(self.tokenizer.get_vocab_size())])
+        self.words: dict[str, bytes] = {}
+
+    def alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+
+    def add(self, new: list[str]) -> None:
+        parts = [new[i : i + 4000] for i in range(0, len(new), 4000)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<i4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):
+                self.words.update((w, self.alone(w)) for w in part)
+                continue
+            flat = ids.tobytes()
+            self.words.update(zip(part, [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; null has none."""
+
+        cut: list[list[str]] = []
+        whole: dict[int, str] = {}
+        for i, text in enumerate(texts):
+            if not text or text.isascii() and "<|" not in text:
+                cut.append(_LATIN.findall((text or "").lower()))
+            elif "<|" not in text and max(normal := unicodedata.normalize("NFC", text)) < LATIN_END:
+                cut.append(_LATIN.findall(normal.lower()))
+            else:
+                cut.append([])
+                whole[i] = text
+        new = set().union(*cut).difference(self.words)
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = set().union(*cut)
+        if new:
+            self.add(list(new))
+        get = self.words.__getitem__
+        return [self.alone(whole[i]) if i in whole else b"".join(map(get, words)) for i, words in enumerate(cut)]
+
+
+@cache
+def ids_of(path: str) -> Ids:
+    return Ids(path)
+
+
 def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, tie, ids (with the end id) in the order of the input."""
 
     def start():
-        tokenizer = library(path)
-        known: dict[str, bytes] = {}
+        ids_from = ids_of(path)
         end = np.array([end_id], dtype="<i4").tobytes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            cut = [pieces(t) for t in batch.column("text").to_pylist()]
-            new = set().union(*cut).difference(known)
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set().union(*cut)
-            new = list(new)
-            for piece, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, dtype="<i4").tobytes()
-            flat = [b"".join([known[p] for p in ps]) + end for ps in cut]
+            flat = [b + end for b in ids_from.encode(batch.column("text").to_pylist())]
             ends = np.cumsum([0, *(len(b) // 4 for b in flat)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), dtype="<i4")))
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), ids], names=["doc_id", "tie", "ids"])
