@@ -96,6 +96,32 @@ def test_tiles_connect_what_all_pairs_connect(seed, n, part):
     assert len(got) < max(1, len(fps))
 
 
+def test_dense_groups_of_a_tile():
+    rng = np.random.default_rng(8)
+    pairs_of_bits = [(a, b) for a in range(40) for b in range(a)]
+    dense = np.unique(np.array([np.uint64(2**63) ^ np.uint64((1 << a) | (1 << b)) for a, b in pairs_of_bits] + list(rng.integers(0, 2**63, size=300, dtype=np.uint64)), dtype=np.uint64))
+    for part in (8, 64, 256):
+        u, v = simhash.tile_links(dense.view(np.int64), 4, part)
+        pairs = [(int(a), int(b)) for i, a in enumerate(dense) for b in dense[i + 1 :] if (int(a) ^ int(b)).bit_count() <= 4]
+        got = [(int(a), int(b)) for a, b in zip(u.view(np.uint64), v.view(np.uint64))]
+        assert len(got) < len(dense)
+        label = {int(n): int(n) for n in dense}
+
+        def find(x, label=label):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        def groups(links, label=label):
+            label.update({int(n): int(n) for n in dense})
+            for a, b in links:
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+            return {n: find(n) for n in label}
+
+        assert groups(pairs) == groups(got)
+
+
 def test_split_band_values_find_every_link(spark):
     rng = np.random.default_rng(5)
     fps = near_prints(rng, 900)

@@ -89,9 +89,12 @@ def tile_links(fps: np.ndarray, radius: int, part: int = PART, apart: np.ndarray
                 near = np.triu(near, 1)
             if near.any():
                 i, j = np.nonzero(near)
-                i, j = _star(i, j + len(near)) if len(i) > 4 * part else (i, j + len(near))
-                rows.append(i + a)
-                columns.append(np.where(j >= len(near), j - len(near) + b, j + a))
+                i, j = i + a, j + b
+                if len(i) > 4 * part:  # many links: keep a star of each group
+                    nodes, both = np.unique(np.concatenate([i, j]), return_inverse=True)
+                    i, j = (nodes[x] for x in _star(both[: len(i)], both[len(i) :]))
+                rows.append(i)
+                columns.append(j)
     if not rows:
         return fps[:0], fps[:0]
     i, j = _star(np.concatenate(rows), np.concatenate(columns))
