@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollway.llm import bpe, decontaminate, orc_tokens, pii, quality, simhash
+from tollway.llm import bpe, decontaminate, orc_tokens, pii, quality, simhash, warc_zip
 from tollway.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def page_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.write_and_read(table(spark, sf_dir, "pages"))
+
+
 def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
@@ -48,10 +52,22 @@ def benchmark_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_feistel_pseudonyms": pseudonyms,
     "op2_rank_array_bpe": bpe_round_trip,
+    "op3_warc_in_zip": page_archives,
     "op4_distribution_divergence": divergence,
     "op6_orc_tokens": orc_ids,
     "op9_simhash_tiles": near_copies,
     "op10_benchmark_alignment": benchmark_copies,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_in_zip": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        sized AS (
+            SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
+                   min(page_id) OVER (PARTITION BY payload) AS first_id
+            FROM payloads)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+        FROM sized""",
+}
