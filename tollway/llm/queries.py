@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollway.llm import bpe, decontaminate, orc_tokens, pii, quality, simhash, warc_zip
+from tollway.llm import bpe, decontaminate, orc_tokens, pii, ppm, quality, simhash, warc_zip
 from tollway.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.write_and_read(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc_in_zip": page_archives,
     "op4_distribution_divergence": divergence,
     "op6_orc_tokens": orc_ids,
+    "op7_ppm_scores": model_scores,
     "op9_simhash_tiles": near_copies,
     "op10_benchmark_alignment": benchmark_copies,
 }
