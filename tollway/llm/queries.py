@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollway.llm import bpe, decontaminate, orc_tokens, pii, ppm, quality, simhash, warc_zip
+from tollway.llm import bpe, decontaminate, orc_tokens, pii, ppm, quality, simhash, toxicity, warc_zip
 from tollway.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op4_distribution_divergence": divergence,
     "op6_orc_tokens": orc_ids,
     "op7_ppm_scores": model_scores,
+    "op8_weak_supervision": toxicity_scores,
     "op9_simhash_tiles": near_copies,
     "op10_benchmark_alignment": benchmark_copies,
 }
