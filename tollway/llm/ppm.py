@@ -68,8 +68,8 @@ def _unpack(data: bytes) -> list[tuple]:
     return out
 
 
-def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, step_bytes: int = STEP_BYTES) -> DataFrame:
-    """(block, data): texts with A-Z lowered, packed; a block never has more than ``block_bytes`` and one text."""
+def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, step_bytes: int = STEP_BYTES, lower: bool = True) -> DataFrame:
+    """(block, data): texts, with A-Z lowered if asked, packed; a block never has more than ``block_bytes`` and one text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(number: int, held: list[tuple]) -> pa.RecordBatch:
@@ -80,7 +80,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, step_bytes: int
         for batch in batches:
             for part in slices(batch):
                 for doc_id, learns, text in zip(part.column("doc_id").to_pylist(), part.column("learns").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    raw = utf8(text).lower()
+                    raw = utf8(text).lower() if lower else utf8(text)
                     if held and (size + len(raw) > step_bytes or total + len(raw) > block_bytes):
                         yield out(number, held)
                         held, size = [], 0

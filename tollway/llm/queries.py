@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollway.llm import bpe, decontaminate, orc_tokens, pii, ppm, quality, simhash, toxicity, warc_zip
+from tollway.llm import bpe, decontaminate, orc_tokens, pii, ppm, quality, simhash, suffix_dedup, toxicity, warc_zip
 from tollway.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.write_and_read(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op2_rank_array_bpe": bpe_round_trip,
     "op3_warc_in_zip": page_archives,
     "op4_distribution_divergence": divergence,
+    "op5_suffix_repeats": repeated_strings,
     "op6_orc_tokens": orc_ids,
     "op7_ppm_scores": model_scores,
     "op8_weak_supervision": toxicity_scores,
