@@ -76,6 +76,15 @@ def test_runs_cover_every_string_once_and_equal_strings_have_equal_seeds(texts,
         assert by.setdefault(joined[p : p + width], v) == v
 
 
+def test_seeds_do_not_depend_on_the_step(monkeypatch):
+    raw = np.random.default_rng(3).integers(97, 100, size=3000, dtype=np.uint8)
+    want = [x.tolist() for x in S.seeds_at(raw, 60, 13)]
+    h = S.seed_hashes(raw, 13)
+    assert want[1] == [int(i + np.argmin(h[i : i + 48])) for i in range(3000 - 59)] and want[0] == h[want[1]].tolist()
+    monkeypatch.setattr(S, "STEP", 7)
+    assert [x.tolist() for x in S.seeds_at(raw, 60, 13)] == want
+
+
 @pytest.mark.parametrize("hot", [4000, 1])
 def test_repeats_in_small_blocks_and_shards(spark, hot):
     rng = np.random.default_rng(2)

@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,11 @@ from tollway.llm.common import materialize
 from tollway.llm.ppm import _unpack, pack_blocks
 
 WIDTH, SEED = 200, 48
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of runs that are sorted together, and runs of a seed after which it is counted by rows.
 SHARD_BYTES, HOT_RUNS = 1 << 20, 4000
+#: Bytes whose seeds are found at once.
+STEP = 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,19 +61,29 @@ def seed_hashes(raw: np.ndarray, size: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-def window_least(h: np.ndarray, size: int) -> np.ndarray:
-    """Place of the least of every ``size`` hashes in a row; the leftmost of equal ones."""
+def window_least(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of every ``size`` hashes in a row and its place; the leftmost of equal ones."""
 
     place, length = np.arange(len(h), dtype=np.int32), 1
-    while 2 * length <= size:
-        a, b = place[: len(place) - length], place[length:]
-        place = np.where(h[b] < h[a], b, a)
-        length *= 2
-    if length < size:
-        step = size - length
-        a, b = place[: len(place) - step], place[step:]
-        place = np.where(h[b] < h[a], b, a)
-    return place
+    while length < size:
+        step = min(length, size - length)  # two overlapping stretches cover the last one
+        right = h[step:] < h[:-step]
+        place = np.where(right, place[step:], place[:-step])
+        h = np.minimum(h[step:], h[:-step])
+        length += step
+    return h, place
+
+
+def seeds_at(raw: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of the seed of each ``width``-byte string, worked out in pieces that stay in the cache."""
+
+    hashes, places = [], []
+    for start in range(0, len(raw) - width + 1, STEP):
+        part = raw[start : start + STEP + width - 1]
+        h, place = window_least(seed_hashes(part, seed), width - seed + 1)
+        hashes.append(h)
+        places.append(place + start)
+    return np.concatenate(hashes), np.concatenate(places)
 
 
 def runs_of(texts: list[bytes], width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,17 +93,17 @@ def runs_of(texts: list[bytes], width: int, seed: int) -> tuple[np.ndarray, np.n
     joined = np.frombuffer(b"".join(texts), dtype=np.uint8)
     if len(joined) < width:
         return none, none, none
-    h = seed_hashes(joined, seed)
-    place = window_least(h, width - seed + 1)
+    h, place = seeds_at(joined, width, seed)
     size = np.array([len(t) for t in texts])
-    last = np.repeat(np.cumsum(size) - width, size)[: len(place)]  # of the text that a byte is in
-    starts = np.flatnonzero(np.arange(len(place)) <= last)
+    end = np.repeat(np.cumsum(size).astype(np.int32), size)[: len(place)]  # of the text that a byte is in
+    starts = np.flatnonzero(np.arange(len(place), dtype=np.int32) <= end - width).astype(np.int32)
     if not len(starts):
         return none, none, none
-    text = np.repeat(np.arange(len(texts)), size)[starts]
-    new = np.concatenate([[True], (place[starts][1:] != place[starts][:-1]) | (text[1:] != text[:-1])])
-    first = np.flatnonzero(new)
-    return starts[first], np.diff(np.append(first, len(starts))), h[place[starts[first]]].view(np.int64)
+    place, end = place[starts], end[starts]
+    new = (place[1:] != place[:-1]) | (end[1:] != end[:-1])
+    first = np.concatenate([[0], np.flatnonzero(new) + 1])
+    del place, end, new
+    return starts[first], np.diff(np.append(first, len(starts))), h[starts[first]].view(np.int64)
 
 
 def _block(parts: list[bytes]) -> list[tuple]:
@@ -98,29 +111,37 @@ def _block(parts: list[bytes]) -> list[tuple]:
 
 
 def _seeds(blocks: DataFrame, width: int, seed: int) -> DataFrame:
-    """(block, seed, n): how many runs of a block have a seed."""
+    """(block, seed, n): how many runs of a block have a seed; and one row per block with all its runs, packed."""
+
+    names = ["block", "seed", "n", "starts", "sizes", "seeds"]
+    none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64())]
 
     def run(batches):
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                value, n = np.unique(runs_of([t for _, _, t in _unpack(data)], width, seed)[2], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), block)), pa.array(value), pa.array(n)], names=["block", "seed", "n"])
+                start, size, value = runs_of([t for _, _, t in _unpack(data)], width, seed)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *none, *(pa.array([x.tobytes()], pa.binary()) for x in (start.astype("<i4"), size.astype("<i4"), value.astype("<i8")))], names=names)
+                value, n = np.unique(value, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), block)), pa.array(value), pa.array(n), *(pa.nulls(len(value), pa.binary()) for _ in range(3))], names=names)
 
-    return blocks.mapInArrow(run, "block long, seed long, n long")
+    return blocks.mapInArrow(run, "block long, seed long, n long, starts binary, sizes binary, seeds binary")
 
 
 def digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def _occurrences(blocks: DataFrame, wanted: DataFrame, width: int, seed: int) -> DataFrame:
-    """(block, seed, key, starts, size) of the runs that have a repeated seed; equal runs of a block are one row."""
+def _occurrences(blocks: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(block, seed, key, starts, size) of the runs that have a repeated seed; equal runs of a block are one row.
+
+    ``wanted`` has the repeated seeds of a block and the row with its packed runs.
+    """
 
     def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = [t for _, _, t in _block(left.column("data").to_pylist())]
-        start, size, value = runs_of(texts, width, seed)
-        known = np.isin(value, right.column("seed").to_numpy())
-        joined = b"".join(texts)
+        joined = b"".join(t for _, _, t in _block(left.column("data").to_pylist()))
+        packed = right.filter(pc.is_valid(right.column("starts")))
+        start, size, value = (np.frombuffer(b"".join(packed.column(c).to_pylist()), dtype=t) for c, t in (("starts", "<i4"), ("sizes", "<i4"), ("seeds", "<i8")))
+        known = np.isin(value, right.column("seed").drop_null().to_numpy())
         found: dict[tuple, list] = {}
         for a, n, v in zip(start[known].tolist(), size[known].tolist(), value[known].tolist(), strict=True):
             found.setdefault((v, digest(joined[a : a + n + width - 1]), n), []).append(a)
@@ -411,8 +432,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, hot_ru
         raise ValueError("a seed is shorter than the strings")
     blocks = materialize(pack_blocks(docs, block_bytes, block_bytes, lower=False), "repeat-blocks")
     seeds = materialize(_seeds(blocks, width, seed), "repeat-seeds")
-    often = seeds.groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
-    places = materialize(_occurrences(blocks, seeds.select("block", "seed").join(often, "seed", "left_semi"), width, seed), "repeat-runs")
+    single = seeds.filter("starts is null").select("block", "seed", "n")
+    often = single.groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
+    wanted = single.select("block", "seed").join(often, "seed", "left_semi").unionByName(seeds.filter("starts is not null").select("block", "starts", "sizes", "seeds"), allowMissingColumns=True)
+    places = materialize(_occurrences(blocks, wanted, width), "repeat-runs")
     found = _repeats(blocks, places.filter("block is not null"), width, hot_runs, shard_bytes)
     cuts = places.join(found, "key").select("block", "starts", "spans")
     return blocks.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_cut(width), RESULT)
