@@ -124,6 +124,22 @@ def test_numbers_follow_source_order(spark):
     assert all(r["x"] == r["ord"] for r in rows) and len(rows) == 1000
 
 
+def test_numbers_follow_files_of_unequal_size(spark, tmp_path):
+    sizes, n = [50, 500, 20, 900], 0
+    for i, size in enumerate(sizes):
+        (tmp_path / f"part-{i}.txt").write_text("".join(f"{n + k} {'x' * (k % 90)}\n" for k in range(size)))
+        n += size
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # several splits of a file, and files packed by size
+    try:
+        lines = spark.read.text(str(tmp_path)).where(F.length("value") > 0)
+        rows = numbering.with_ord(lines).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == n and all(int(r["value"].split()[0]) == r["ord"] for r in rows)
+    assert set(rows[0].asDict()) == {"value", "ord"}
+
+
 WIDE = ["sample_id", "prompt", "eval_name", "oracle_model_to_route_to", "a", "a|model_response", "a|total_cost"]
 
 

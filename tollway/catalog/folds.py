@@ -50,15 +50,18 @@ def score_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.score_blocks(log, plan).select("mask", "n_omitted", "domain", "n_rows")
 
 
-@query("domain_views", "P11 M1", """SELECT lang AS domain, count(*) AS n_rows, count(*) AS n_labelled FROM documents WHERE lang <> 'en' GROUP BY lang""")
+@query("domain_views", "P11 M1", """SELECT f.lang AS fold, d.lang AS domain, count(*) AS n_rows, count(*) AS n_labelled
+FROM documents d JOIN (SELECT DISTINCT lang FROM documents) f ON d.lang <> f.lang GROUP BY f.lang, d.lang""")
 def domain_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features and labels written per domain and read back for one fold's training side."""
+    """Features and labels written per domain and read back for the training side of every fold."""
 
     from tollway.functions.encode import with_features
     from tollway.operators import views
 
     log = dense_log(spark, sf_dir)
-    features = views.by_domain(views.feature_view(with_features(log)), "features-by-domain").where("domain <> 'en'")
-    labels = views.by_domain(views.label_view(log), "labels-by-domain").where("domain <> 'en'")
+    features = views.by_domain(views.feature_view(with_features(log)), "features-by-domain")
+    labels = views.by_domain(views.label_view(log), "labels-by-domain")
     both = features.join(labels.drop("domain"), "example_id", "left")
-    return both.groupBy("domain").agg(F.count(F.lit(1)).alias("n_rows"), F.count("targets").alias("n_labelled"))
+    counted = both.groupBy("domain").agg(F.count(F.lit(1)).alias("n_rows"), F.count("targets").alias("n_labelled"))
+    every = counted.agg(F.collect_list(F.struct("domain", "n_rows", "n_labelled")).alias("d"))  # one entry per domain
+    return every.select(F.explode("d.domain").alias("fold"), "d").select("fold", F.inline("d")).where("fold <> domain")

@@ -84,20 +84,20 @@ def sequential_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("multi_call_queries", "R5", f"""WITH {sql_log(DENSE_BUDGETS)}, k AS (SELECT *, row_number() OVER (PARTITION BY tier, example_id ORDER BY rk) AS idx FROM lt WHERE rk IN (1, 2, 3)),
+@query("multi_call_queries", "R5", f"""WITH {sql_log(DENSE_BUDGETS)}, k AS (SELECT *, row_number() OVER (PARTITION BY tier, example_id ORDER BY rk) AS idx FROM lt),
 b AS (SELECT *, greatest(budget - coalesce(sum(realized) OVER w, 0), 0) AS before FROM k WINDOW w AS (PARTITION BY tier, example_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT *, quoted > before OR idx > 3 AS refused, quoted <= before AND realized > before AS over FROM b),
+f AS (SELECT *, quoted > before OR idx > 5 AS refused, quoted <= before AND realized > before AS over FROM b),
 st AS (SELECT *, coalesce(bool_or(refused OR over) OVER (PARTITION BY tier, example_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS stopped FROM f)
 SELECT tier, example_id, count(*) FILTER (NOT stopped AND NOT refused) AS n_calls, CAST(coalesce(sum(realized) FILTER (NOT stopped AND NOT refused), 0) AS BIGINT) AS cost_micro,
   bool_and(NOT stopped AND NOT refused AND NOT over) AS feasible,
-  CASE WHEN bool_and(NOT stopped AND NOT refused AND NOT over) THEN max(model_id) FILTER (idx = 3) END AS selected_model_id FROM st GROUP BY tier, example_id""")
+  CASE WHEN bool_and(NOT stopped AND NOT refused AND NOT over) THEN max(model_id) FILTER (idx = 5) END AS selected_model_id FROM st GROUP BY tier, example_id""")
 def multi_call_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three escalating calls per query, the last one's output kept."""
+    """Escalating calls of all five candidates per query, the last one's output kept."""
 
     rows = with_tiers(dense_log(spark, sf_dir), tiers())
-    calls = rows.select(F.lit("cascade").alias("policy"), "tier", "budget", "example_id", F.posexplode(F.slice("models", 1, 3)).alias("call_idx", "m"))
-    calls = calls.select("policy", "tier", "budget", "example_id", "call_idx", "m.model_id", "m.quoted", "m.realized", "m.quality", (F.col("call_idx") == 2).alias("selected"))
-    r = multi_call(calls, max_calls=3)
+    calls = rows.select(F.lit("cascade").alias("policy"), "tier", "budget", "example_id", F.posexplode("models").alias("call_idx", "m"))
+    calls = calls.select("policy", "tier", "budget", "example_id", "call_idx", "m.model_id", "m.quoted", "m.realized", "m.quality", (F.col("call_idx") == 4).alias("selected"))
+    r = multi_call(calls, max_calls=5)
     return r.select("tier", "example_id", "n_calls", micro(F.col("cost")).alias("cost_micro"), "feasible", "selected_model_id")
 
 

@@ -330,14 +330,14 @@ def wide_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.value_violations(spoiled.drop("ord"))
 
 
-@query("calibration_quotes", "A8 A9 A10", f"""WITH {sql_log()}, fit AS (SELECT model_id, max(realized) AS max_micro, sum(realized) AS total_micro, count(*) AS n FROM long WHERE ord % 5 = 0 GROUP BY model_id),
+@query("calibration_quotes", "A8 A9 A10", f"""WITH {sql_log()}, fit AS (SELECT model_id, max(realized) AS max_micro, sum(realized) AS total_micro, count(*) AS n FROM long GROUP BY model_id),
 s AS (SELECT list(max_micro ORDER BY max_micro) AS l FROM fit)
 SELECT model_id, CAST(max_micro AS BIGINT) AS max_micro, CAST(total_micro AS BIGINT) AS total_micro, n,
   CAST(l[1] AS BIGINT) AS fast_micro, CAST(l[len(l) // 2 + 1] AS BIGINT) AS balanced_micro, CAST(l[len(l)] AS BIGINT) AS premium_micro FROM fit, s""")
 def calibration_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes fitted on a calibration fifth, and the budgets they imply."""
+    """Quotes fitted on all rows, and the budgets they imply."""
 
-    long = wide.to_long(wide_log(spark, sf_dir)).where("ord % 5 = 0")
+    long = wide.to_long(wide_log(spark, sf_dir))
     top = wide.max_quotes(long)
     mean = long.groupBy("model_id").agg(F.sum("realized_cost").alias("t"), F.count(F.lit(1)).alias("n"))
     budgets = wide.diagnostic_tiers(wide.quote_map(top))
