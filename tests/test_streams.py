@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tollway.streaming.epochs import EpochTables
@@ -98,3 +99,13 @@ def test_retention_carries_over(spark, tmp_path):
         job.process(spark.createDataFrame(rows[2 * epoch : 2 * epoch + 2], schema), epoch)
     got = job.steps(spark).orderBy("ord").collect()
     assert [r["running_cost"] for r in got] == [1, 2, 3, 4, 5, 6] and all(r["retention"] == 0.5 for r in got)
+
+
+def test_retention_stops_at_steps_out_of_order(spark, tmp_path):
+    schema = "tier string, ord bigint, realized decimal(28,12), quality decimal(20,12), oracle_quality decimal(20,12)"
+    job = RetentionStream(EpochTables(str(tmp_path / "state")))
+    row = lambda tier, i: (tier, i, Decimal(1), Decimal("0.5"), Decimal(1))
+    job.process(spark.createDataFrame([row("fast", 5), row("slow", 1)], schema), 0)
+    job.process(spark.createDataFrame([row("slow", 2)], schema), 1)
+    with pytest.raises(ValueError, match="out of order"):
+        job.process(spark.createDataFrame([row("fast", 4), row("slow", 3)], schema), 2)
