@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tollway.operators import isotonic, lambdas, moments, policies, ridge, stumps
+from tollway.operators import isotonic, lambdas, moments, policies, prefix, ridge, stumps
 from tollway.operators.folds import SubsetPlan
 from tollway.operators.moments import Moments
 from tollway.operators.prefix import next_step, running_totals
@@ -54,7 +54,7 @@ def test_range_wise_pooling_equals_one_pass(spark):
     y = score + rng.normal(scale=0.4, size=600)
     rows = [(0, 0, float(s), float(t), 1.0) for s, t in zip(score, y)]
     pairs = spark.createDataFrame(rows, isotonic.BLOCKS)
-    got = isotonic.load(isotonic.fit(pairs, ranges=37)).steps[(0, 0)]
+    got = isotonic.load(isotonic.fit(pairs, group_blocks=5)).steps[(0, 0)]
     points = np.unique(score)
     sums = np.array([y[score == p].sum() for p in points])
     counts = np.array([(score == p).sum() for p in points], float)
@@ -62,6 +62,41 @@ def test_range_wise_pooling_equals_one_pass(spark):
     assert np.allclose(got[0], ub) and np.allclose(got[1], s / n)
 
 
+@pytest.mark.parametrize("shape", ["rising", "falling", "late drop", "saw"])
+def test_pooling_in_groups_keeps_blocks_apart(spark, shape):
+    i = np.arange(400)
+    y = {
+        "rising": i / 400, "falling": 1 - i / 400, "late drop": np.where(i < 390, i / 400, 0.0), "saw": (i % 7) / 7 + i / 800,
+    }[shape]
+    rows = [(0, k, float(s), float(v), 1.0) for k in range(2) for s, v in zip(i, y)]
+    steps = isotonic.fit(spark.createDataFrame(rows, isotonic.BLOCKS), group_blocks=32)
+    got = isotonic.load(steps).steps
+    ub, s, n = isotonic.pool(i.astype(float), y, np.ones(400))
+    for k in range(2):
+        assert np.allclose(got[(0, k)][0], ub) and np.allclose(got[(0, k)][1], s / n)
+
+
+def test_a_common_value_spreads_over_ranges(spark):
+    df = spark.range(20000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(77).alias("o"), "id", F.lit("k").alias("k"))
+    sizes = [r["count"] for r in prefix.deal(df, "o", ["id"]).groupBy(prefix.RANGE).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20000 / 8
+    out = running_totals(df, ["k"], "o", {"t": F.lit(1)}, tie_break=["id"]).orderBy("t").collect()
+    assert [r["t"] for r in out] == list(range(1, 20001))
+    assert [(r["o"], r["id"]) for r in out] == sorted((r["o"], r["id"]) for r in out)
+
+
+def test_common_points_and_nulls_find_their_steps(spark):
+    points = [(0, i, 0.5 if i % 10 else i / 1000) for i in range(500)] + [(0, 500, None), (None, 501, 0.3)]
+    steps = [(0, 0.2, 1.0), (0, 0.5, 2.0), (0, 0.9, 3.0)]
+    got = next_step(
+        spark.createDataFrame(points, "k int, i int, s double"), spark.createDataFrame(steps, "k int, ub double, value double"),
+        ["k"], "s", "ub", "value",
+    )
+    value = {r["i"]: r["value"] for r in got.collect()}
+    assert len(value) == 502 and value[500] is None and value[501] is None
+    assert all(value[i] == (1.0 if s <= 0.2 else 2.0) for _, i, s in points[:500])
+
+
 def test_nearest_step_join_equals_local_lookup(spark):
     rng = np.random.default_rng(5)
     ub = np.sort(rng.choice(np.arange(0, 1000) / 1000, 60, replace=False))

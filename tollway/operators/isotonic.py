@@ -6,17 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollway.operators.folds import SubsetPlan
-from tollway.operators.prefix import RANGE, range_bounds, with_range
+from tollway.operators.prefix import RANGE, next_step, range_bounds, with_range
 from tollway.operators.scoring import Calibrators, Scorer, mask_passes
 from tollway.session import materialize
 
 BLOCKS = "mask int, model_pos int, ub double, y double, n double"
-# Ranges merged into one at each step up, and blocks a scoring task can hold.
-MERGE_WIDTH = 16
+# Blocks of one key that a pooling task takes in, and blocks a scoring task can hold.
+GROUP_BLOCKS = 50_000
 MAX_LOCAL_STEPS = 4_000_000
 
 
@@ -71,14 +71,21 @@ def calibration_pairs(cells: DataFrame, scorer: Scorer, plan: SubsetPlan, masks:
     return parts
 
 
-def fit(pairs: DataFrame, ranges: int | None = None) -> DataFrame:
+def fit(pairs: DataFrame, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """Calibration blocks per (mask, model_pos).
 
-    Equal scores are added up first.  Pooling consecutive score ranges apart and then
-    pooling their blocks together gives the same fit as one pass, so each task sees one
-    range; ranges are merged a few at a time until one is left.
+    Equal scores are added up first.  Pooling adjacent violators in any order gives the same
+    fit, so blocks are pooled in groups of at most ``group_blocks`` neighbours until no two
+    neighbours are in the wrong order.  Every other pass shifts the groups by half their
+    size, so each border lies inside a group of the next pass, and no pass gathers a key:
+    a rising input keeps all its blocks, spread over all groups.  Passes end early because
+    observed values are bounded: a block that has taken in k rising neighbours of total
+    rise r stops before k * r / 2 exceeds that bound.
     """
 
+    if group_blocks < 2:
+        raise ValueError("a group holds two blocks at least")
+
     def pooled(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ub")
         ub, y, n = pool(pdf["ub"].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy())
@@ -90,16 +97,33 @@ def fit(pairs: DataFrame, ranges: int | None = None) -> DataFrame:
     keys = ["mask", "model_pos"]
     merged = pairs.groupBy(*keys, "ub").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
     merged = materialize(merged, "score-sums")
-    bounds = range_bounds(merged, "ub", ranges)
-    blocks = with_range(merged, "ub", bounds).select(*keys, RANGE, "ub", "y", "n")
+    ranges = -(-merged.count() // group_blocks)
     schema = f"mask int, model_pos int, {RANGE} int, ub double, y double, n double"
-    left = len(bounds) + 1
-    blocks = blocks.groupBy(*keys, RANGE).applyInPandas(pooled, schema)
-    while left > 1:
-        left = -(-left // MERGE_WIDTH)
-        blocks = blocks.withColumn(RANGE, F.floor(F.col(RANGE) / MERGE_WIDTH).cast("int"))
-        blocks = blocks.groupBy(*keys, RANGE).applyInPandas(pooled, schema)
-    return blocks.select(*keys, "ub", (F.col("y") / F.col("n")).alias("value"), "n")
+    cut = with_range(merged, "ub", range_bounds(merged, "ub", ranges)).select(*keys, RANGE, "ub", "y", "n")
+    shift = 0
+    while True:
+        blocks = materialize(cut.groupBy(*keys, RANGE).applyInPandas(pooled, schema), "blocks")
+        # One row per group: its ends, its size, and the blocks of the groups before it.
+        ends = blocks.groupBy(*keys, RANGE).agg(
+            F.count(F.lit(1)).alias("size"),
+            F.min_by(F.struct("y", "n"), "ub").alias("first"),
+            F.max_by(F.struct("y", "n"), "ub").alias("last"),
+        )
+        along = Window.partitionBy(*keys).orderBy(RANGE)
+        ends = ends.withColumns(
+            {
+                "before": F.lag("last").over(along),
+                "offset": F.sum("size").over(along) - F.col("size"),
+            }
+        )
+        wrong = F.col("before.y") * F.col("first.n") > F.col("first.y") * F.col("before.n")
+        if ends.where(wrong).isEmpty():
+            return blocks.select(*keys, "ub", (F.col("y") / F.col("n")).alias("value"), "n")
+        shift = group_blocks // 2 - shift
+        at = F.row_number().over(Window.partitionBy(*keys, RANGE).orderBy("ub")) - 1
+        placed = blocks.withColumn("_at", at).join(ends.select(*keys, RANGE, "offset"), [*keys, RANGE])
+        group = F.floor((F.col("offset") + F.col("_at") + shift) / group_blocks).cast("int")
+        cut = placed.select(*keys, group.alias(RANGE), "ub", "y", "n")
 
 
 def load(steps: DataFrame) -> Calibrators:
@@ -117,6 +141,4 @@ def load(steps: DataFrame) -> Calibrators:
 def apply_steps(scores: DataFrame, steps: DataFrame) -> DataFrame:
     """Calibrated values for (mask, model_pos, score) rows, whatever the step table's size."""
 
-    from tollway.operators.prefix import next_step
-
     return next_step(scores, steps.select("mask", "model_pos", "ub", "value"), ["mask", "model_pos"], "score", "ub", "value")

@@ -292,6 +292,7 @@ def curve(events: DataFrame, by: list[str]) -> DataFrame:
     out = running_totals(
         events, [*by, "tier"], "key",
         {"quality_sum": F.col("dq"), "spend": F.col("dc"), "n_infeasible": F.col("di")},
+        range_bounds(events, "key"),
     )
     return out.select(
         *by, "tier", "key", "num", "den", F.col("quality_sum").cast("decimal(38,12)").alias("quality_sum"),

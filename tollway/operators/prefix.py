@@ -1,9 +1,13 @@
 """Running totals and nearest-step lookups that never put one key in one task.
 
-A plain ``Window.partitionBy(key).orderBy(x)`` sends a whole key to one task.  Here the
-order column is cut at global quantiles, so a (key, range) group holds at most one range's
-share of all rows, however hot the key is.  Range totals (a map-side combined aggregate,
-at most ``ranges`` rows per key) give each range its starting offset.
+A plain ``Window.partitionBy(key).orderBy(x)`` sends a whole key to one task.  Here all
+rows are cut into ranges of the order first, so a (key, range) group holds at most one
+range's share of all rows, however hot the key is.  Range totals (a map-side combined
+aggregate, at most ``ranges`` rows per key) give each range its starting offset.
+
+Rows whose order values may repeat are cut by ``deal``: on the order, then the tie break,
+then a hash of the row, so a common value spreads over ranges too.  ``with_range`` cuts on
+the value alone and is for tables that hold each value once per key.
 """
 
 from __future__ import annotations
@@ -12,10 +16,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollway.session import shuffle_width
+from tollway.session import materialize, shuffle_width
 
 RANGE = "_range"
 _SORT_KEY = "_range_key"
+_TIE = "_range_tie"
 
 
 def range_bounds(df: DataFrame, order: str, ranges: int | None = None) -> list[float]:
@@ -44,6 +49,20 @@ def with_range(df: DataFrame, order: str, bounds: list[float]) -> DataFrame:
     return cut.withColumn(RANGE, F.col(RANGE).cast("int")).drop(_SORT_KEY)
 
 
+def deal(df: DataFrame, order: str, tie_break: list[str]) -> DataFrame:
+    """A written copy with range numbers ascending in (order, tie break, hash of the row).
+
+    Spark samples the sort key for the cut points.  The numbers are read from the written
+    table, so every later pass agrees on them.  Only rows equal in every column must share
+    a range.  Nulls come first.
+    """
+
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    tied = df.withColumn(_TIE, F.xxhash64(*hashed))
+    cut = tied.repartitionByRange(shuffle_width(df.sparkSession), order, *tie_break, _TIE)
+    return materialize(cut.withColumn(RANGE, F.spark_partition_id()), "ranges")
+
+
 def running_totals(
     df: DataFrame,
     keys: list[str],
@@ -55,17 +74,22 @@ def running_totals(
     """Inclusive running sums per key in the given order.
 
     ``sums`` maps new column names to the expressions to add up.  Rows that share an
-    order value are put in a fixed sequence by ``tie_break``.
+    order value are put in a fixed sequence by ``tie_break``, then by a hash of the row.
+    ``bounds`` are cut points for tables with distinct order values per key, from
+    :func:`range_bounds`; without them the rows are dealt out by :func:`deal`.
     """
 
-    if bounds is None:
-        bounds = range_bounds(df, order)
-    ranged = with_range(df, order, bounds)
+    added = df
     for name, expression in sums.items():
-        ranged = ranged.withColumn(name, expression)
-    local = Window.partitionBy(*keys, RANGE).orderBy(order, *(tie_break or []))
+        added = added.withColumn(name, expression)
+    if bounds is None:
+        ranged = deal(added, order, tie_break or [])
+        local = Window.partitionBy(*keys, RANGE).orderBy(order, *(tie_break or []), _TIE)
+    else:
+        ranged = with_range(added, order, bounds)
+        local = Window.partitionBy(*keys, RANGE).orderBy(order, *(tie_break or []))
     local = local.rowsBetween(Window.unboundedPreceding, 0)
-    if not bounds:
+    if bounds is not None and not bounds:
         for name in sums:
             ranged = ranged.withColumn(name, F.sum(name).over(local))
         return ranged.drop(RANGE)
@@ -98,11 +122,25 @@ def next_step(
 ) -> DataFrame:
     """For each point the value of the first step whose bound is >= the point.
 
-    Points above every bound take the last step.  Works for step tables too long to
-    broadcast: both sides are cut into the same ranges, and a range that holds no later
-    step takes the first step of a later range.
+    Points above every bound take the last step; null points get null.  Works for step
+    tables too long to broadcast: both sides are cut into the same ranges, and a range that
+    holds no later step takes the first step of a later range.  Equal points are looked up
+    once and joined back, so a common point crowds no range.
     """
 
+    places = points.select(*keys, point).where(F.col(point).isNotNull()).distinct()
+    places = materialize(places, "points")
+    found = _step_of(places, steps, keys, point, bound, value)
+    named = found.select(*[F.col(c).alias(f"_p_{c}") for c in [*keys, point]], value)
+    same = F.col(point) == F.col(f"_p_{point}")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    return points.join(named, same, "left").select(*points.columns, value)
+
+
+def _step_of(points: DataFrame, steps: DataFrame, keys: list[str], point: str, bound: str, value: str) -> DataFrame:
+    """``next_step`` for distinct points."""
+
     bounds = range_bounds(points, point)
     marks = steps.select(
         *keys, F.col(bound).alias(point), F.struct(F.col(bound), F.col(value)).alias("_step")
