@@ -183,6 +183,21 @@ def test_split_ignores_outcomes_and_survives_salting(spark):
     assert {e for e, _ in pick(8)} != {e for e, _ in {(r["example_id"], r["role"]) for r in splits.balanced_split(rows, "other", 20, 5).collect()}}
 
 
+def test_share_split_takes_every_row_in_proportion(spark):
+    rows = spark.range(9000).select(F.col("id").cast("string").alias("example_id"), F.when(F.col("id") % 10 < 7, "hot").otherwise("cold").alias("domain"))
+    got = {(r["domain"], r["role"]): r["count"] for r in splits.share_split(rows, "r", 2, 1).groupBy("domain", "role").count().collect()}
+    assert sum(got.values()) == 9000
+    assert abs(got["hot", "evaluation"] - 2100) < 150 and abs(got["cold", "evaluation"] - 900) < 100
+    with pytest.raises(ValueError):
+        splits.share_split(rows, "r", 0, 1)
+
+
+def test_prefix_split_covers_the_log(spark):
+    rows = spark.range(503).select((F.col("id") * 7).alias("ord")).repartition(3)
+    got = splits.prefix_split(rows).collect()
+    assert len(got) == 503 and {r["ord"] for r in got if r["role"] == "calibration"} == {7 * i for i in range(100)}
+
+
 def test_identities(spark):
     log = sample_log(spark)
     shuffled = log.repartition(5).orderBy(F.desc("example_id"))

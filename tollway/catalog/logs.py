@@ -357,22 +357,25 @@ def source_order_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("balanced_split", "W5", """
-WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS example_id, doc_id, lang AS domain,
-  row_number() OVER (PARTITION BY lang ORDER BY sha256('rev1' || chr(31) || lang || chr(31) || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents)
-SELECT example_id, domain, CASE WHEN rn <= 64 THEN 'calibration' ELSE 'evaluation' END AS role, rn AS rank FROM r WHERE rn <= 72""")
+SELECT CAST(doc_id AS VARCHAR) AS example_id, lang AS domain,
+  CASE WHEN substr(sha256('rev1' || chr(31) || lang || chr(31) || CAST(doc_id AS VARCHAR)), 1, 15) < 'e38e38e38e38e38' THEN 'calibration' ELSE 'evaluation' END AS role FROM documents""")
 def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of every domain, eight parts to calibrate on and one to evaluate."""
+
     from tollway.operators import splits
 
-    rows = dense_log(spark, sf_dir).select("example_id", "ord", "domain")
-    return splits.balanced_split(rows, "rev1").select("example_id", "domain", "role", F.col("rank").cast("bigint").alias("rank"))
+    rows = dense_log(spark, sf_dir).select("example_id", "domain")
+    return splits.share_split(rows, "rev1").select("example_id", "domain", "role")
 
 
-@query("prefix_split", "W7", """WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS example_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents ORDER BY doc_id LIMIT 200)
-SELECT example_id, CASE WHEN rn <= 40 THEN 'calibration' ELSE 'evaluation' END AS role FROM f""")
+@query("prefix_split", "W7", """WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS example_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM documents)
+SELECT example_id, CASE WHEN rn <= greatest(1, n // 5) THEN 'calibration' ELSE 'evaluation' END AS role FROM f""")
 def prefix_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log in source order, its first fifth to calibrate on."""
+
     from tollway.operators import splits
 
-    return splits.prefix_split(dense_log(spark, sf_dir).select("example_id", "ord"), 200).select("example_id", "role")
+    return splits.prefix_split(dense_log(spark, sf_dir).select("example_id", "ord")).select("example_id", "role")
 
 
 @query("domain_counts", "A14 A24", f"WITH n AS (SELECT {EVAL_CASE} AS eval_name FROM documents) SELECT {DOMAIN_CASE} AS domain, count(*) AS n_rows, {DOMAIN_CASE} IS NOT NULL AS in_scope FROM n GROUP BY ALL")

@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Members per domain of the balanced split, and the prefix rule's bound.
+# Calibration and evaluation members of every domain (counts in the balanced
+# split, parts of the whole in the share split), and the share that a prefix split calibrates on.
 CALIBRATION_PER_DOMAIN = 64
 EVALUATION_PER_DOMAIN = 8
-PREFIX_CALIBRATION = 1000
+PREFIX_ONE_IN = 5
+
+
+def share_split(
+    rows: DataFrame,
+    revision: str,
+    calibrate: int = CALIBRATION_PER_DOMAIN,
+    evaluate: int = EVALUATION_PER_DOMAIN,
+) -> DataFrame:
+    """Every row by a hash of (revision, domain, id): ``calibrate`` parts to ``evaluate`` parts.
+
+    Outcomes, costs and texts play no part, each domain is split in the same proportion, and
+    no row is left out.  One expression per row, without a shuffle.
+    """
+
+    if calibrate < 1 or evaluate < 1:
+        raise ValueError("both sides need a share")
+    sep = F.lit("\x1f")
+    digest = F.sha2(F.concat(F.lit(revision), sep, F.coalesce("domain", F.lit("")), sep, "example_id"), 256)
+    end = F.lit(f"{16**15 * calibrate // (calibrate + evaluate):015x}")
+    side = F.when(F.substring(digest, 1, 15) < end, "calibration").otherwise("evaluation")
+    return rows.withColumn("role", side)
 
 
 def balanced_split(
@@ -37,20 +59,15 @@ def balanced_split(
     return top.withColumn("role", role).withColumn("rank", F.col("_rn")).drop("_rank", "_salt", "_rn")
 
 
-def prefix_split(rows: DataFrame, limit: int, total: int | None = None) -> DataFrame:
-    """First rows in source order: min(1000, a fifth) calibrate, the rest evaluate.
+def prefix_split(rows: DataFrame, one_in: int = PREFIX_ONE_IN) -> DataFrame:
+    """The whole log in source order: the first part in ``one_in`` calibrates, the rest evaluates."""
 
-    The row limit is the operator's own parameter: a smoke replay of a prefix.
-    """
+    from tollway.operators.prefix import running_totals
 
-    first = rows.orderBy("ord").limit(limit)
-    n = total if total is not None else first.count()
-    calibrate = max(1, min(PREFIX_CALIBRATION, n // 5))
-    order = Window.orderBy("ord")  # at most `limit` rows get here
-    numbered = first.withColumn("_rn", F.row_number().over(order))
-    return numbered.withColumn(
-        "role", F.when(F.col("_rn") <= calibrate, "calibration").otherwise("evaluation")
-    ).drop("_rn")
+    numbered = running_totals(rows, [], "ord", {"_rn": F.lit(1).cast("bigint")})
+    n = rows.count()
+    role = F.when(F.col("_rn") <= max(1, n // one_in), "calibration").otherwise("evaluation")
+    return numbered.withColumn("role", role).drop("_rn")
 
 
 def surrogate_ids(rows: DataFrame, prefix: str, width: int = 4) -> DataFrame:

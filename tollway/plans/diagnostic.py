@@ -15,9 +15,6 @@ from tollway.schema import TierSpec
 from tollway.session import materialize
 from tollway.sources import wide
 
-# Fixed value: candidate cap of the balanced diagnostic.
-LAMBDA_CAP = 32
-
 
 @dataclass(frozen=True)
 class Diagnostic:
@@ -32,11 +29,12 @@ def balanced_diagnostic(
     configs: dict[str, Config],
     calibrate: int = splits.CALIBRATION_PER_DOMAIN,
     evaluate: int = splits.EVALUATION_PER_DOMAIN,
-    cap: int | None = LAMBDA_CAP,
+    cap: int | None = None,
 ) -> Diagnostic:
-    """Nested benchmark on a small balanced split, quotes from calibration rows only.
+    """Nested benchmark on the evaluation share of every domain, quotes from calibration rows only.
 
-    ``table`` is a wide log with ``ord``.  Quotes are the calibration rows' largest
+    ``table`` is a wide log with ``ord``; ``calibrate`` to ``evaluate`` is the proportion.
+    Every breakpoint of lambda is searched unless ``cap`` asks for a sample.  Quotes are the calibration rows' largest
     charges; an evaluation charge above its quote stops the run before any fit.
     """
 
@@ -44,7 +42,7 @@ def balanced_diagnostic(
     scoped = table.withColumn("domain", wide.eval_domain(F.col("eval_name")))
     counts = splits.domain_counts(scoped)
     inside = scoped.where("domain is not null").withColumn("example_id", F.col("sample_id"))
-    split = materialize(splits.balanced_split(inside, revision, calibrate, evaluate), "balanced-split")
+    split = materialize(splits.share_split(inside, revision, calibrate, evaluate), "balanced-split")
     chosen = split.where("role = 'calibration'").select(*table.columns)
     quotes = wide.quote_map(wide.max_quotes(wide.to_long(chosen)))
     tiers = wide.diagnostic_tiers(quotes)
@@ -54,19 +52,16 @@ def balanced_diagnostic(
     return Diagnostic(run(log, tiers, configs, cap), tiers, counts)
 
 
-def prefix_replay(table: DataFrame, limit: int) -> DataFrame:
-    """Cheapest-model smoke replay of a source-order prefix with mean quotes.
+def prefix_replay(table: DataFrame, one_in: int = splits.PREFIX_ONE_IN) -> DataFrame:
+    """Cheapest-model smoke replay of a log in source order with mean quotes.
 
-    The first calibration rows give the quotes, the next ``limit`` rows are replayed under
-    one budget that covers the cheapest model's quote and largest charge.
+    The first part in ``one_in`` gives the quotes, all other rows are replayed under one
+    budget that covers the cheapest model's quote and largest charge.
     """
 
     wide.require_valid(table)
     scoped = table.withColumn("domain", wide.eval_domain(F.col("eval_name"))).where("domain is not null")
-    n = scoped.count()
-    calibrate = min(splits.PREFIX_CALIBRATION, max(1, n // 5))
-    first = splits.prefix_split(scoped, calibrate + limit, total=n)
-    first = materialize(first, "prefix")
+    first = materialize(splits.prefix_split(scoped, one_in), "prefix")
     chosen = first.where("role = 'calibration'").select(*table.columns)
     quotes = wide.quote_map(wide.mean_quotes(wide.to_long(chosen)))
     log = wide.to_log(first.where("role = 'evaluation'").select(*table.columns), quotes)
