@@ -35,6 +35,20 @@ def test_moments_merge_like_one_pass():
         assert np.allclose(a, b, atol=1e-9)
 
 
+def test_moments_keep_the_spread_of_a_feature_with_a_large_mean(spark):
+    rng = np.random.default_rng(8)
+    x = np.stack([1e6 + rng.normal(scale=1e-3, size=3000), rng.normal(size=3000)], axis=1)
+    y = np.round(0.5 + rng.uniform(-0.5, 0.5, size=(3000, 1)), 6)
+    domains = ["hot" if i % 3 else "cold" for i in range(3000)]
+    cells = cells_of(spark, domains, x, y).repartition(5)
+    total = moments.combine(moments.load(moments.domain_moments(cells, 2, 1), 2, 1), [])
+    xc, yc = x - x.mean(0), y - y.mean(0)
+    for got, want in zip(total.centered, (xc.T @ xc, xc.T @ yc)):
+        assert np.allclose(got, want, rtol=1e-6, atol=1e-6 * np.abs(want).max())
+    assert abs(total.centered[0][0, 0] / (xc[:, 0] @ xc[:, 0]) - 1) < 1e-6
+    assert np.allclose(total.mean_x, x.mean(0), rtol=1e-12) and total.n == 3000
+
+
 def test_packed_moments_round_trip():
     m = of(np.arange(12).reshape(4, 3), np.arange(8).reshape(4, 2))
     back = moments.unpack(moments._pack(m), 3, 2)

@@ -33,13 +33,13 @@ def solve(m: Moments, ridge: float, scaled: int = len(CONTINUOUS), surface: bool
     scale[:scaled] = np.where(deviation > 0, deviation, 1.0)
     kept = np.ones(width, dtype=bool)
     if surface:
-        kept[FIRST_TAG:SURFACE_WIDTH] = m.sx[FIRST_TAG:SURFACE_WIDTH] > 0
+        kept[FIRST_TAG:SURFACE_WIDTH] = m.mean_x[FIRST_TAG:SURFACE_WIDTH] > 0
     a = (xx / np.outer(scale, scale))[np.ix_(kept, kept)] + ridge * np.eye(int(kept.sum()))
     b = (xy / scale[:, None])[kept]
     fitted = np.zeros((width, xy.shape[1]))
     fitted[kept] = np.linalg.solve(a, b)
     weights = (fitted / scale[:, None]).T
-    bias = m.sy / m.n - weights @ (m.sx / m.n)
+    bias = m.sy / m.n - weights @ m.mean_x
     if not (np.isfinite(weights).all() and np.isfinite(bias).all()):
         raise ValueError("ridge fit is not finite")
     return weights, bias
