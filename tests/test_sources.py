@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samples import ROWS, TIERS, sample_log
-from tollway.functions.fingerprint import data_identity, replay_identity
+from tollway.functions.fingerprint import data_identity, replay_identity, row_digest
 from tollway.operators import splits
 from tollway.plans import benchmark
 from tollway.plans.route import route
@@ -209,6 +209,12 @@ def test_identities(spark):
     assert data_identity(log).first() != data_identity(changed).first()
 
 
+def test_digests_tell_fields_and_nulls_apart(spark):
+    rows = [("a\x1fb", "c"), ("a", "b\x1fc"), ("a", "b1:c"), ("a1:b", "c"), (None, "c"), ("-", "c"), ("\x00", "c"), ("", "c"), ("", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(row_digest([F.col("a"), F.col("b")]).alias("d")).distinct().count() == len(rows)
+
+
 def test_embedding_checks(spark):
     log = sample_log(spark)
     vectors = log.select("example_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))

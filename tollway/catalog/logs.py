@@ -182,7 +182,7 @@ def decision_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _digest_sql(columns: list[str], source: str, group: str = "") -> str:
-    text = " || chr(31) || ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in columns)
+    text = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
     a, b = "('0x' || substr(d, 1, 15))::BIGINT", "('0x' || substr(d, 16, 15))::BIGINT"
     head = f"{group}, " if group else ""
     tail = f" GROUP BY {group}" if group else ""
@@ -194,12 +194,12 @@ _LONG_TEXT = """longtext AS (SELECT *, CAST(CAST(quoted AS DECIMAL(28,12)) * 0.0
   CAST(CAST(realized AS DECIMAL(28,12)) * 0.000001 AS DECIMAL(28,12)) AS rc, CAST(CAST(q AS DECIMAL(20,12)) * 0.001 AS DECIMAL(20,12)) AS qq FROM long)"""
 
 
-@query("data_identity", "A19", f"WITH {sql_log()}, {_LONG_TEXT} " + _digest_sql(["example_id", "prompt", "domain", "tag", "model_id", "qc", "rc", "qq"], "longtext"))
+@query("data_identity", "A19", f"WITH {sql_log()}, {_LONG_TEXT} " + _digest_sql(["example_id", "sha256(prompt)", "domain", "tag", "model_id", "qc", "rc", "qq"], "longtext"))
 def data_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.data_identity(dense_log(spark, sf_dir))
 
 
-@query("replay_identity", "A19", f"WITH {sql_log()}, {_LONG_TEXT} " + _digest_sql(["ord", "example_id", "prompt", "domain", "tag", "model_id", "qc", "rc", "qq"], "longtext"))
+@query("replay_identity", "A19", f"WITH {sql_log()}, {_LONG_TEXT} " + _digest_sql(["ord", "example_id", "sha256(prompt)", "domain", "tag", "model_id", "qc", "rc", "qq"], "longtext"))
 def replay_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.replay_identity(dense_log(spark, sf_dir))
 

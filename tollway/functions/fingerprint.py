@@ -2,7 +2,8 @@
 
 Each row is hashed; the hashes are combined by count, sum and exclusive-or, so a partial
 result per partition is enough and no row order is needed.  Where order matters the
-position is one of the hashed columns.  The purpose is to notice mixed-up inputs.
+position is one of the hashed columns.  Fields carry their lengths, so no value can pass
+for another or for null.  The purpose is to notice mixed-up inputs.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SEPARATOR = "\x1f"
-_NULL = "\x00"
+_NULL = "-"
 
 
 def row_digest(columns: list[Column]) -> Column:
-    parts = [F.coalesce(c.cast("string"), F.lit(_NULL)) for c in columns]
-    return F.sha2(F.concat_ws(_SEPARATOR, *parts), 256)
+    texts = [c.cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit(_NULL)) for t in texts]
+    return F.sha2(F.concat(*parts), 256)
 
 
 def _slice(digest: Column, start: int) -> Column:
@@ -48,11 +49,11 @@ def identity(df: DataFrame, columns: list[str]) -> str:
 
 
 def long_models(log: DataFrame) -> DataFrame:
-    """One row per example and model."""
+    """One row per example and model; the text is hashed once, before the models fan out."""
 
-    return log.select(
-        "example_id", "ord", "prompt", "domain", "observable_tag", F.explode("models").alias("m")
-    ).select("example_id", "ord", "prompt", "domain", "observable_tag", "m.*")
+    facts = ["example_id", "ord", "domain", "observable_tag"]
+    text = F.sha2("prompt", 256).alias("prompt_sha256")
+    return log.select(*facts, text, F.explode("models").alias("m")).select(*facts, "prompt_sha256", "m.*")
 
 
 def data_identity(log: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def data_identity(log: DataFrame) -> DataFrame:
 
     return fingerprint(
         long_models(log),
-        ["example_id", "prompt", "domain", "observable_tag", "model_id", "quoted", "realized", "quality"],
+        ["example_id", "prompt_sha256", "domain", "observable_tag", "model_id", "quoted", "realized", "quality"],
     )
 
 
@@ -69,7 +70,7 @@ def replay_identity(log: DataFrame) -> DataFrame:
 
     return fingerprint(
         long_models(log),
-        ["ord", "example_id", "prompt", "domain", "observable_tag", "model_id", "quoted", "realized", "quality"],
+        ["ord", "example_id", "prompt_sha256", "domain", "observable_tag", "model_id", "quoted", "realized", "quality"],
     )
 
 

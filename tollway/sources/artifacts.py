@@ -186,7 +186,7 @@ def verify_policy(spark: SparkSession, path: str, predictor_path: str, log: Data
     return lambdas
 
 
-_DATA = ["example_id", "prompt", "domain", "observable_tag", "model_id", "quoted", "realized", "quality"]
+_DATA = ["example_id", "prompt_sha256", "domain", "observable_tag", "model_id", "quoted", "realized", "quality"]
 
 
 def log_identity(log: DataFrame) -> str:
