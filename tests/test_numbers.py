@@ -11,7 +11,7 @@ from tollway.operators import isotonic, lambdas, moments, policies, prefix, ridg
 from tollway.operators.folds import SubsetPlan
 from tollway.operators.moments import Moments
 from tollway.operators.prefix import next_step, running_totals
-from tollway.operators.scoring import Calibrators
+from tollway.operators.scoring import Calibrators, StumpScorer
 
 
 def of(x, y):
@@ -152,6 +152,32 @@ def test_stumps_hand_case(spark):
     assert np.allclose(scorer.score(np.array(x), 0).ravel(), [0.25, 0.25, 1.75, 1.75])
 
 
+def test_stump_splits_do_not_depend_on_ranges(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    y = np.round(0.5 + 0.1 * x[:, :1] + rng.uniform(-0.2, 0.2, (300, 2)), 3)
+    domains = [("a", "b", "c", "d")[i % 4] for i in range(300)]
+    plan, masks = SubsetPlan(("a", "b", "c", "d")), [0, 1, 6]
+    scorer = StumpScorer(0.1, {m: np.full(2, 0.5) for m in masks}, {m: [[], []] for m in masks})
+    sums = stumps._residual_sums(cells_of(spark, domains, x, y).repartition(4), scorer, plan, masks, 2)
+    whole, cut = [
+        {(r["mask"], r["model_pos"]): r for r in stumps.best_splits(sums, masks, 2, 2, bounds).collect()} for bounds in ([], [-0.9, 0.0, 0.7])
+    ]
+    assert len(whole) == 6
+    for (mask, k), r in whole.items():
+        at = [i for i, d in enumerate(domains) if not plan.bit(d) & mask]
+        q = y[at, k] - 0.5
+        gains = {}
+        for f in range(3):
+            for v in np.unique(x[at, f]):
+                side = x[at, f] < v
+                if min(side.sum(), (~side).sum()) >= 2:
+                    gains[f, v] = q[side].sum() ** 2 / side.sum() + q[~side].sum() ** 2 / (~side).sum() - q.sum() ** 2 / len(q)
+        f, v = min(gains, key=lambda g: (-round(gains[g], 10), g))
+        for got in (r, cut[mask, k]):
+            assert (got["feature"], got["value"]) == (f, v) and np.isclose(got["gain"], gains[f, v])
+
+
 def test_stumps_constant_target(spark):
     x, y = [[0.0], [1.0], [2.0]], [[0.5]] * 3
     scorer = stumps.fit(cells_of(spark, ["a"] * 3, x, y), {"a": of(x, y)}, SubsetPlan(("a", "b")), [0], rounds=3, min_leaf=1)

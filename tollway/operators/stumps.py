@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollway.operators.folds import SubsetPlan
 from tollway.operators.moments import Moments, combine
-from tollway.operators.prefix import range_bounds, running_totals
+from tollway.operators.prefix import RANGE, range_bounds, with_range
 from tollway.operators.scoring import StumpScorer
 from tollway.session import materialize
 
@@ -20,76 +23,95 @@ RATE = 0.1
 MIN_LEAF = 2
 # Gains closer than this are ties, settled by feature and then split value.
 GAIN_DIGITS = 10
+# Sums that a split search takes in at once.
+RANGE_BYTES = 64 * 1024 * 1024
 
 
 def _residual_sums(cells: DataFrame, scorer: StumpScorer, plan: SubsetPlan, masks: list[int], n_models: int) -> DataFrame:
-    """(mask, feature, value, n, r...) with residual sums per model, pre-added per batch."""
-
-    names = [f"r{k}" for k in range(n_models)]
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x_all = np.stack(pdf["x"].to_list())
-            y_all = np.stack(pdf["y"].to_list())
-            n_all = pdf["n"].to_numpy(dtype=float)
-            bits = np.array([plan.bit(d) for d in pdf["domain"]])
-            for mask in masks:
-                at = np.flatnonzero((bits & mask) == 0)
-                if not len(at):
-                    continue
-                x, n = x_all[at], n_all[at]
-                r = y_all[at] - n[:, None] * scorer.score(x, mask)
-                for f in range(x.shape[1]):
-                    values, group = np.unique(x[:, f], return_inverse=True)
-                    out = {"mask": mask, "feature": f, "value": values, "n": np.bincount(group, n)}
-                    for k, name in enumerate(names):
-                        out[name] = np.bincount(group, r[:, k])
-                    yield pd.DataFrame(out)
+    """(feature, value, v): one row per feature value for all subsets and models.
+
+    ``v`` holds the count of each subset, then the residual sums of each subset's models.
+    Tasks add up a batch's equal values before the JVM adds up the arrays.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x, y = matrix("x"), matrix("y")
+            n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+            bits = np.array([plan.bit(d) for d in batch.column("domain").to_pylist()])
+            member = np.stack([(bits & m) == 0 for m in masks], axis=1)
+            parts = [n[:, None] * member]
+            for i, mask in enumerate(masks):
+                parts.append((y - n[:, None] * scorer.score(x, mask)) * member[:, i, None])
+            v = np.concatenate(parts, axis=1)
+            for f in range(x.shape[1]):
+                order = np.argsort(x[:, f], kind="stable")
+                values, starts = np.unique(x[order, f], return_index=True)
+                sums = np.add.reduceat(v[order], starts, axis=0)
+                ends = np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(values), f, np.int32)), pa.array(values), pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel()))],
+                    names=["feature", "value", "v"],
+                )
 
     slim = cells.select("domain", "n", "x", F.col("sum_q").cast("array<double>").alias("y"))
-    schema = "mask int, feature int, value double, n double, " + ", ".join(f"{c} double" for c in names)
-    parts = slim.mapInPandas(rows, schema)
-    return parts.groupBy("mask", "feature", "value").agg(
-        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]
-    )
+    return _added(slim.mapInArrow(rows, "feature int, value double, v array<double>"), "feature", "value")
+
 
+def _added(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
 
-def best_splits(sums: DataFrame, n_models: int, min_leaf: int, bounds: list[float]) -> DataFrame:
+
+def best_splits(sums: DataFrame, masks: list[int], n_models: int, min_leaf: int, bounds: list[float]) -> DataFrame:
     """Best split per (mask, model): largest gain, then lowest feature, then lowest value.
 
-    Running sums along each feature's values give the left side of every split at once.
+    Each range of a feature's values is searched by itself, from the sums of the ranges
+    before it; only one candidate per range and head goes on.
     """
 
-    names = [f"r{k}" for k in range(n_models)]
-    running = running_totals(
-        sums, ["mask", "feature"], "value", {"_n": F.col("n"), **{f"_{c}": F.col(c) for c in names}}, bounds
-    )
-    totals = sums.where("feature = 0").groupBy("mask").agg(
-        F.sum("n").alias("tn"), *[F.sum(c).alias(f"t{c}") for c in names]
-    )
-    # Every (mask, value) row meets its mask's totals; at most one row per subset.
-    rows = running.join(F.broadcast(totals), "mask")
-    sides = F.array(
-        *[
-            F.struct(F.lit(k).alias("model_pos"), (F.col(f"_{c}") - F.col(c)).alias("left"), F.col(f"t{c}").alias("total"))
-            for k, c in enumerate(names)
-        ]
-    )
-    split = rows.select("mask", "feature", "value", (F.col("_n") - F.col("n")).alias("nl"), "tn", F.explode(sides).alias("s"))
-    split = split.select("mask", "feature", "value", "nl", (F.col("tn") - F.col("nl")).alias("nr"), "tn", "s.*")
-    split = split.where((F.col("nl") >= min_leaf) & (F.col("nr") >= min_leaf))
-    right = F.col("total") - F.col("left")
-    gain = (
-        F.col("left") * F.col("left") / F.col("nl")
-        + right * right / F.col("nr")
-        - F.col("total") * F.col("total") / F.col("tn")
-    )
-    ranked = split.withColumns(
-        {"gain": gain, "lv": F.col("left") / F.col("nl"), "rv": right / F.col("nr")}
+    m = len(masks)
+    ranged = with_range(sums, "value", bounds)
+
+    def offsets(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(RANGE)
+        v = np.stack(pdf["v"].to_list())
+        along = np.cumsum(v, axis=0)
+        return pd.DataFrame(
+            {"feature": pdf["feature"], RANGE: pdf[RANGE], "before": list(along - v), "total": [along[-1]] * len(pdf)}
+        )
+
+    def search(pdf: pd.DataFrame, offset: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("value")
+        v = np.stack(pdf["v"].to_list())
+        left = np.cumsum(v, axis=0) - v + offset["before"].iloc[0]
+        total = offset["total"].iloc[0]
+        # A value that a subset does not hold splits nothing of its own.
+        nl, nr = left[:, :m], total[:m] - left[:, :m]
+        fits = (v[:, :m] > 0) & (nl >= min_leaf) & (nr >= min_leaf)
+        l, t = left[:, m:].reshape(-1, m, n_models), total[m:].reshape(m, n_models)
+        nl, nr, tn = np.where(fits, nl, 1.0)[:, :, None], np.where(fits, nr, 1.0)[:, :, None], np.maximum(total[:m], 1.0)[:, None]
+        gain = np.where(fits[:, :, None], l * l / nl + (t - l) ** 2 / nr - t * t / tn, -np.inf)
+        at = np.round(gain, GAIN_DIGITS).argmax(axis=0)
+        take = lambda a: np.take_along_axis(a, at[None], axis=0)[0].ravel()
+        out = pd.DataFrame(
+            {
+                "mask": np.repeat(masks, n_models), "model_pos": np.tile(np.arange(n_models), m), "gain": take(gain),
+                "feature": pdf["feature"].iloc[0], "value": pdf["value"].to_numpy()[at.ravel()], "lv": take(l / nl), "rv": take((t - l) / nr),
+            }
+        )
+        return out[np.isfinite(out["gain"])]
+
+    totals = _added(ranged, "feature", RANGE)
+    ahead = totals.groupBy("feature").applyInPandas(offsets, f"feature int, {RANGE} int, before array<double>, total array<double>")
+    split = ranged.groupBy("feature", RANGE).cogroup(ahead.groupBy("feature", RANGE)).applyInPandas(
+        search, "mask int, model_pos int, gain double, feature int, value double, lv double, rv double"
     )
     key = F.struct((-F.round("gain", GAIN_DIGITS)).alias("g"), "feature", "value")
     best = F.min_by(F.struct("gain", "feature", "value", "lv", "rv"), key)
-    return ranked.groupBy("mask", "model_pos").agg(best.alias("b")).select("mask", "model_pos", "b.*")
+    return split.groupBy("mask", "model_pos").agg(best.alias("b")).select("mask", "model_pos", "b.*")
 
 
 def fit(
@@ -126,8 +148,8 @@ def fit(
         # Written once per round, so the Python pass over the cells runs once.
         sums = materialize(_residual_sums(cells, scorer, plan, live, n_models), "residual-sums")
         if bounds is None:
-            bounds = range_bounds(sums, "value")
-        found = {(r["mask"], r["model_pos"]): r for r in best_splits(sums, n_models, min_leaf, bounds).collect()}
+            bounds = range_bounds(sums, "value", -(-sums.count() * len(live) * (1 + n_models) * 8 // RANGE_BYTES))
+        found = {(r["mask"], r["model_pos"]): r for r in best_splits(sums, live, n_models, min_leaf, bounds).collect()}
         for head in sorted(active):
             r = found.get(head)
             if r is None or r["gain"] <= max(min_gain, 10.0**-GAIN_DIGITS):
