@@ -13,7 +13,7 @@ from tollway.operators import cells as cell_ops
 from tollway.operators import moments
 from tollway.operators.folds import domain_list, with_folds
 from tollway.operators.policies import demo_predictions, visible_candidates
-from tollway.session import spread
+from tollway.session import materialize, spread
 
 # The patterns again in the other engine's dialect, with explicit word edges.
 _EDGE_L, _EDGE_R = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
@@ -127,7 +127,7 @@ def domain_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centered co-moments of features with features and with model qualities."""
 
     log = dense_log(spark, sf_dir)
-    cells = cell_ops.cells(encode.with_features(log), tiers(), 5)
+    cells = materialize(cell_ops.cells(encode.with_features(log), tiers(), 5), "cells")
     return shown_moments(moments.domain_moments(cells, 12, 5))
 
 

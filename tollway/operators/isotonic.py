@@ -97,7 +97,8 @@ def fit(pairs: DataFrame, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     keys = ["mask", "model_pos"]
     merged = pairs.groupBy(*keys, "ub").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
     merged = materialize(merged, "score-sums")
-    ranges = -(-merged.count() // group_blocks)
+    largest = merged.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    ranges = -(-largest // group_blocks)
     schema = f"mask int, model_pos int, {RANGE} int, ub double, y double, n double"
     cut = with_range(merged, "ub", range_bounds(merged, "ub", ranges)).select(*keys, RANGE, "ub", "y", "n")
     shift = 0
