@@ -178,6 +178,68 @@ def test_stump_splits_do_not_depend_on_ranges(spark):
             assert (got["feature"], got["value"]) == (f, v) and np.isclose(got["gain"], gains[f, v])
 
 
+def exact_chain(x, y, rounds):
+    """One model's stumps row by row in whole fractions: best gain to GAIN_DIGITS digits, then feature, then value."""
+
+    y = [Fraction(str(v)) for v in y]
+    r, chain = [v - sum(y) / len(y) for v in y], []
+    for _ in range(rounds):
+        best, total = None, sum(r)
+        for f in range(x.shape[1]):
+            for v in np.unique(x[:, f])[1:]:
+                side = [q for q, w in zip(r, x[:, f]) if w < v]
+                nl, nr, left = len(side), len(r) - len(side), sum(side)
+                if min(nl, nr) >= 2:
+                    gain = left**2 / nl + (total - left) ** 2 / nr - total**2 / len(r)
+                    key = (-round(gain, stumps.GAIN_DIGITS), f, v)
+                    if best is None or key < best[0]:
+                        best = (key, left / nl, (total - left) / nr)
+        (gain, f, v), left, right = best
+        if -gain <= 10**-stumps.GAIN_DIGITS:
+            break
+        chain.append((f, float(v), float(left), float(right)))
+        r = [q - (left if w < v else right) / 10 for q, w in zip(r, x[:, f])]
+    return chain
+
+
+def test_all_rounds_equal_exact_rows(spark):
+    rng = np.random.default_rng(11)
+    a = np.round(rng.normal(size=36), 1)
+    # every split of the first feature is one of the second, too, and one of the third from the other side
+    x = np.stack([a, np.exp(a), -a, np.round(rng.normal(size=36), 1)], axis=1)
+    y = np.round(rng.uniform(0, 1, (36, 2)), 3)
+    domains = [("a", "b", "c")[i % 3] for i in range(36)]
+    by_domain = {d: of(x[[e == d for e in domains]], y[[e == d for e in domains]]) for d in "abc"}
+    plan = SubsetPlan(("a", "b", "c"))
+    scorer = stumps.fit(cells_of(spark, domains, x, y).repartition(5), by_domain, plan, [0, 2])
+    for mask in (0, 2):
+        at = [i for i, d in enumerate(domains) if not plan.bit(d) & mask]
+        for k in range(2):
+            want, got = exact_chain(x[at], y[at, k], 32), scorer.stumps[mask][k]
+            assert len(got) == 32 and [g[0] for g in got] == [w[0] for w in want]
+            assert np.allclose([g[1:] for g in got], [w[1:] for w in want], atol=1e-11)
+
+
+def test_residual_sums_are_exact_in_any_order(spark):
+    rng = np.random.default_rng(12)
+    a = np.round(rng.normal(size=400), 1)
+    x, y = np.stack([a, np.exp(a), -a], axis=1), np.round(rng.uniform(0, 1, (400, 1)), 3)
+    scorer = StumpScorer(0.1, {0: np.array([1 / 3])}, {0: [[(0, 0.1, -1 / 7, 1 / 9)]]})
+    cells = cells_of(spark, ["a"] * 400, x, y)
+    runs = []
+    for parts in (1, 7):
+        rows = stumps._residual_sums(cells.repartition(parts), scorer, SubsetPlan(("a", "b")), [0], 1).collect()
+        runs.append([[list(r["v"]) for r in sorted(rows, key=lambda r: r["value"]) if r["feature"] == f] for f in range(3)])
+    (first, copy, turned), again = runs
+    assert first == copy == turned[::-1] and runs[0] == again
+
+
+def test_registered_stumps_run_the_default_rounds():
+    from tollway.catalog import learned
+
+    assert learned.ROUNDS == stumps.ROUNDS == 32
+
+
 def test_stumps_constant_target(spark):
     x, y = [[0.0], [1.0], [2.0]], [[0.5]] * 3
     scorer = stumps.fit(cells_of(spark, ["a"] * 3, x, y), {"a": of(x, y)}, SubsetPlan(("a", "b")), [0], rounds=3, min_leaf=1)

@@ -25,7 +25,7 @@ from tollway.plans.train import train
 from tollway.session import scratch_path
 from tollway.sources import artifacts, scorecards
 
-ROUNDS = 4
+ROUNDS = stumps.ROUNDS
 
 
 def blurred_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

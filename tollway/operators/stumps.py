@@ -7,8 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +19,11 @@ from tollway.session import materialize
 ROUNDS = 32
 RATE = 0.1
 MIN_LEAF = 2
-# Gains closer than this are ties, settled by feature and then split value.
+# Gains that agree in this many digits are ties, settled by feature and then split value.
 GAIN_DIGITS = 10
+# Residuals are whole multiples of FINE, kept as a multiple of COARSE and a rest, so that sums of up to
+# 2^31 are exact in any order and splits of the same rows have the same gain to the last bit.
+COARSE, FINE = 2.0**-22, 2.0**-44
 # Sums that a split search takes in at once.
 RANGE_BYTES = 64 * 1024 * 1024
 
@@ -30,8 +31,8 @@ RANGE_BYTES = 64 * 1024 * 1024
 def _residual_sums(cells: DataFrame, scorer: StumpScorer, plan: SubsetPlan, masks: list[int], n_models: int) -> DataFrame:
     """(feature, value, v): one row per feature value for all subsets and models.
 
-    ``v`` holds the count of each subset, then the residual sums of each subset's models.
-    Tasks add up a batch's equal values before the JVM adds up the arrays.
+    ``v`` holds the count of each subset, then the coarse parts of the residual sums of each
+    subset's models, then their fine parts.  Tasks add up a batch's equal values before the shuffle.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,26 +44,52 @@ def _residual_sums(cells: DataFrame, scorer: StumpScorer, plan: SubsetPlan, mask
             n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
             bits = np.array([plan.bit(d) for d in batch.column("domain").to_pylist()])
             member = np.stack([(bits & m) == 0 for m in masks], axis=1)
-            parts = [n[:, None] * member]
-            for i, mask in enumerate(masks):
-                parts.append((y - n[:, None] * scorer.score(x, mask)) * member[:, i, None])
-            v = np.concatenate(parts, axis=1)
+            r = np.concatenate([(y - n[:, None] * scorer.score(x, mask)) * member[:, i, None] for i, mask in enumerate(masks)], axis=1)
+            coarse = np.rint(r / COARSE) * COARSE
+            v = np.concatenate([n[:, None] * member, coarse, np.rint((r - coarse) / FINE) * FINE], axis=1)
             for f in range(x.shape[1]):
                 order = np.argsort(x[:, f], kind="stable")
                 values, starts = np.unique(x[order, f], return_index=True)
                 sums = np.add.reduceat(v[order], starts, axis=0)
-                ends = np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(values), f, np.int32)), pa.array(values), pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel()))],
-                    names=["feature", "value", "v"],
-                )
+                # + 0.0 leaves one zero for the shuffle
+                yield _packed(["feature", "value"], [np.full(len(values), f, np.int32), values + 0.0], sums)
 
     slim = cells.select("domain", "n", "x", F.col("sum_q").cast("array<double>").alias("y"))
     return _added(slim.mapInArrow(rows, "feature int, value double, v array<double>"), "feature", "value")
 
 
+def _packed(keys: list[str], columns: list[np.ndarray], sums: np.ndarray) -> pa.RecordBatch:
+    ends = np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)
+    arrays = [*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel()))]
+    return pa.RecordBatch.from_arrays(arrays, names=[*keys, "v"])
+
+
 def _added(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+    """Sums of ``v`` per key.  Plain additions, as a mean times a count would not be exact."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list[np.ndarray], np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            starts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+            columns, sums = [c[starts] for c in columns], np.add.reduceat(v, starts, axis=0)
+            if held is not None:
+                if all(h[0] == c[0] for h, c in zip(held[0], columns, strict=True)):
+                    sums[0] += held[1][0]
+                else:
+                    yield _packed(list(keys), *held)
+            if len(sums) > 1:
+                yield _packed(list(keys), [c[:-1] for c in columns], sums[:-1])
+            held = [c[-1:] for c in columns], sums[-1:]
+        if held is not None:
+            yield _packed(list(keys), *held)
+
+    slim = rows.select(*keys, "v")
+    within = slim.sortWithinPartitions(*keys).mapInArrow(add, slim.schema)
+    return within.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, slim.schema)
 
 
 def best_splits(sums: DataFrame, masks: list[int], n_models: int, min_leaf: int, bounds: list[float]) -> DataFrame:
@@ -91,15 +118,17 @@ def best_splits(sums: DataFrame, masks: list[int], n_models: int, min_leaf: int,
         # A value that a subset does not hold splits nothing of its own.
         nl, nr = left[:, :m], total[:m] - left[:, :m]
         fits = (v[:, :m] > 0) & (nl >= min_leaf) & (nr >= min_leaf)
-        l, t = left[:, m:].reshape(-1, m, n_models), total[m:].reshape(m, n_models)
+        # Both sides are exact sums until their two parts are put together.
+        sides = lambda a: a[..., m:].reshape(*a.shape[:-1], 2, m, n_models).sum(axis=-3)
+        l, r, t = sides(left), sides(total - left), sides(total)
         nl, nr, tn = np.where(fits, nl, 1.0)[:, :, None], np.where(fits, nr, 1.0)[:, :, None], np.maximum(total[:m], 1.0)[:, None]
-        gain = np.where(fits[:, :, None], l * l / nl + (t - l) ** 2 / nr - t * t / tn, -np.inf)
+        gain = np.where(fits[:, :, None], l * l / nl + r * r / nr - t * t / tn, -np.inf)
         at = np.round(gain, GAIN_DIGITS).argmax(axis=0)
         take = lambda a: np.take_along_axis(a, at[None], axis=0)[0].ravel()
         out = pd.DataFrame(
             {
                 "mask": np.repeat(masks, n_models), "model_pos": np.tile(np.arange(n_models), m), "gain": take(gain),
-                "feature": pdf["feature"].iloc[0], "value": pdf["value"].to_numpy()[at.ravel()], "lv": take(l / nl), "rv": take((t - l) / nr),
+                "feature": pdf["feature"].iloc[0], "value": pdf["value"].to_numpy()[at.ravel()], "lv": take(l / nl), "rv": take(r / nr),
             }
         )
         return out[np.isfinite(out["gain"])]
@@ -148,7 +177,7 @@ def fit(
         # Written once per round, so the Python pass over the cells runs once.
         sums = materialize(_residual_sums(cells, scorer, plan, live, n_models), "residual-sums")
         if bounds is None:
-            bounds = range_bounds(sums, "value", -(-sums.count() * len(live) * (1 + n_models) * 8 // RANGE_BYTES))
+            bounds = range_bounds(sums, "value", -(-sums.count() * len(live) * (1 + 2 * n_models) * 8 // RANGE_BYTES))
         found = {(r["mask"], r["model_pos"]): r for r in best_splits(sums, live, n_models, min_leaf, bounds).collect()}
         for head in sorted(active):
             r = found.get(head)
