@@ -40,6 +40,16 @@ def test_pieces_equal_the_library(library):
         assert vocab.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("odd", ["\x1c", "\x1d", "\x1e", "\x1f", "\x1c\x1f"])
+def test_separators_at_the_ends_are_kept(spark, library, odd):
+    texts = [f"a{odd}", f"{odd}ab", odd, f" {odd} a {odd}\n", f"{odd}a b{odd}", f"\x85a{odd}\xa0"]
+    vocab = bpe.vocabulary(PATH)
+    for text in texts:
+        assert [i for p in vocab.encode_pieces(bpe.pieces(text)) for i in p] == library.encode(text, add_special_tokens=False).ids, text
+    docs = documents(spark, texts)
+    assert rows_of(bpe.digests(docs, PATH)) == sorted((r.doc_id, *expected(library, r.text)) for r in docs.collect())
+
+
 def test_matrix_and_lists_take_the_same_merges():
     vocab = bpe.vocabulary(PATH)
     rng = np.random.default_rng(3)

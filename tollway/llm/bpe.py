@@ -199,7 +199,8 @@ def pieces(text: str | None) -> list[str]:
 
     if not text:
         return []
-    return _BLANK.split(text.strip()) if _ODD_BLANK.search(text) else text.split()
+    # split() and strip() also drop U+001C to U+001F, which the pattern keeps
+    return [p for p in _BLANK.split(text) if p] if _ODD_BLANK.search(text) else text.split()
 
 
 @cache
