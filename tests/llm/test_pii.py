@@ -57,6 +57,36 @@ def test_each_kind_keeps_its_format(spark):
             assert "/" not in old or (int(old[:2]) > 12) == (int(new[:2]) > 12)
 
 
+def test_cards_before_other_digits(spark):
+    number = "4111111111111111"
+    heads = [number, "4111 1111 1111 1111", "4111-1111-1111-1111"]
+    tails = [" 12/27", " 123", " 12", " 1", " 12/27 123", " 9 99 5 1234"]
+    texts = [f"card {h}{t} end" for h in heads for t in tails]
+    new = run(spark, [number])[0].text
+    for r, text in zip(run(spark, texts), texts):
+        head = next(h for h in heads if h in text)
+        tail = text[5 + len(head) :]
+        assert r.n_card == 1 and r.text.endswith(tail) and re.sub("[ -]", "", r.text[5 : -len(tail)]) == new, text
+    after, phone, ssn, two = run(spark, [f"qty 3 {number}", f"{number} 415 555 0100", f"{number} 123-45-6789", f"{number} 123 {number}"])
+    assert after.text == f"qty 3 {new}" and two.text == f"{new} 123 {new}"
+    assert phone.n_card == phone.n_phone == 1 and ssn.n_card == ssn.n_ssn == 1
+    assert phone.text.startswith(new) and "555 0100" not in phone.text and "123-45-6789" not in ssn.text
+    changed = pii.pseudonymize_text(documents(spark, [f"{number} 12/27"]), KEY).first()
+    assert changed.text == f"{new} 12/27"
+
+
+def test_grouped_ibans(spark):
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "AT611904300234573201", "NO9386011117947"]
+    tails = ["", ", thanks", " BANK", " 12", " 1234 5678"]
+    whole = {i: r.text for i, r in zip(ibans, run(spark, ibans))}
+    grouped = lambda s: " ".join(s[k : k + 4] for k in range(0, len(s), 4))
+    texts = [(i, t) for i in ibans for t in tails]
+    for r, (i, t) in zip(run(spark, [f"to {grouped(i)}{t}" for i, t in texts]), texts):
+        assert whole[i] != i and r.n_iban == r.n_values == 1 and r.text == f"to {grouped(whole[i])}{t}"
+    bad = run(spark, ["to DE88 3704 0044 0532 0130 00"])[0]
+    assert bad.n_values == 0 and bad.text == "to DE88 3704 0044 0532 0130 00"
+
+
 def test_equal_values_stay_linked_and_keys_matter(spark):
     texts = ["a 4012888888881881 b", "4012888888881881 and 4012888888881881"]
     one, two = run(spark, texts)

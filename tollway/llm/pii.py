@@ -7,8 +7,8 @@ remain.  Without the key the permutation can't be undone.
 
 | kind | valid if | what is permuted |
 | --- | --- | --- |
-| card | 13 to 19 digits from 3 to 6 on, Luhn | all digits but the first; the last is the checksum |
-| iban | ISO 13616 checksum | account digits and letters; check digits anew |
+| card | 13 to 19 digits from 3 to 6 on, Luhn; the longest such run of whole digit groups | all digits but the first; the last is the checksum |
+| iban | ISO 13616 checksum, in one piece or in groups of four | account digits and letters; check digits anew |
 | phone | ten digits as in North America, with +1, (area) or valid codes | area, exchange and line; valid codes stay valid |
 | ssn | no 000, 666, 9xx area; no 00 group; no 0000 serial | all three parts |
 | ip | four octets up to 255 | the address |
@@ -38,7 +38,10 @@ PATTERNS = {
     "phone": r"(?<![0-9+])(?:(?:\+?1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:1[ .-])?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-]?[0-9]{4})(?![0-9])",
     "card": r"(?<![0-9-])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-ANY = "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "ip", "iban", "date", "ssn", "phone", "card"))
+#: An IBAN in groups of four, the last of up to four.
+GROUPED_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Kinds whose places the pattern alone tells; cards and grouped IBANs end where their checksum says, see :func:`_pattern`.
+FIXED = ("email", "ip", "iban", "date", "ssn", "phone")
 
 
 def _digest(key: str, *parts) -> Column:
@@ -143,6 +146,11 @@ def _as_date(m: Column) -> Column:
     return F.when(m.contains("-"), iso).when(m.contains("."), parsed("dd.MM.yyyy")).otherwise(F.coalesce(parsed("MM/dd/yyyy"), parsed("dd/MM/yyyy")))
 
 
+def _iban_passes(m: Column) -> Column:
+    c = F.replace(m, F.lit(" "), F.lit(""))
+    return (F.length(c) <= 34) & (mod97(F.concat(F.substring(c, 5, 30), F.substring(c, 1, 4))) == 1)
+
+
 def kind_of(m: Column) -> Column:
     """The kind whose checks a found text passes; null if none."""
 
@@ -153,7 +161,7 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), F.lit("email"))
         .when(whole("ip"), F.when(octets, "ip"))
-        .when(whole("iban"), F.when(mod97(F.concat(F.substring(m, 5, 30), F.substring(m, 1, 4))) == 1, "iban"))
+        .when(whole("iban") | m.rlike(f"^(?:{GROUPED_IBAN})$"), F.when(_iban_passes(m), "iban"))
         .when(whole("date"), F.when(_as_date(m).isNotNull(), "date"))
         .when(whole("ssn"), F.when(ssn, "ssn"))
         .when(whole("card") & (luhn_sum(d, 1) % 10 == 0), F.lit("card"))
@@ -175,7 +183,9 @@ def pseudonym(kind: Column, m: Column, key: str) -> Column:
     address = permute_number(octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3), 65536, 65536, key, F.lit("ip"))
     ip = F.transform(F.array(address), lambda x: F.concat_ws(".", *[F.pmod(F.shiftright(x, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]))[0]
 
-    account = F.transform(F.array(permute_text(F.substring(m, 5, 30), key, F.concat(F.lit("iban|"), F.substring(m, 1, 2)))), lambda x: F.concat(F.substring(m, 1, 2), F.lpad((98 - mod97(F.concat(x, F.substring(m, 1, 2), F.lit("00")))).cast("string"), 2, "0"), x))[0]
+    c = F.replace(m, F.lit(" "), F.lit(""))
+    account = F.transform(F.array(permute_text(F.substring(c, 5, 30), key, F.concat(F.lit("iban|"), F.substring(c, 1, 2)))), lambda x: F.concat(F.substring(c, 1, 2), F.lpad((98 - mod97(F.concat(x, F.substring(c, 1, 2), F.lit("00")))).cast("string"), 2, "0"), x))[0]
+    account = F.when(m.contains(" "), F.regexp_replace(account, "(.{4})(?=.)", "$1 ")).otherwise(account)
 
     middle = F.length(d) - 2
     low = F.floor(middle / 2).cast("int")
@@ -217,15 +227,45 @@ def pseudonym(kind: Column, m: Column, key: str) -> Column:
     return out.otherwise(m)
 
 
-def _found(text: Column) -> Column:
+def _longest(text: Column, span: str, heads: list[str], passes: Callable[[Column], Column]) -> Column:
+    """The values in text that pass: at each place where a span begins, the first of its heads, longest first, that does."""
+
+    spans = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({span}))"), F.lit(1)))
+    first = lambda s: F.get(F.filter(F.array(*[F.regexp_extract(s, f"^{h}", 0) for h in heads]), lambda h: (h != "") & passes(h)), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(spans, first), lambda v: v.isNotNull()))
+
+
+def _pattern(text: Column) -> Column:
+    """The pattern of all places in a text, with its own cards and grouped IBANs spelled out.
+
+    What follows a card or an IBAN after a blank, such as an expiry date, is text of its own.
+    """
+
+    cards = _longest(text, PATTERNS["card"], [rf"(?:[0-9][ -]?){{{n - 1}}}[0-9](?![0-9])" for n in range(19, 12, -1)], lambda v: luhn_sum(digits(v), 1) % 10 == 0)
+    groups = [rf"[A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{k}}}{tail}(?![A-Za-z0-9])" for k in range(7, 1, -1) for tail in (" [A-Z0-9]{1,3}", "")]
+    ibans = _longest(text, GROUPED_IBAN, groups, lambda v: (F.length(v) > 17) & _iban_passes(v))
+
+    def spelled(values: Column, before: str, after: str) -> Column:
+        longest = F.reverse(F.array_sort(F.transform(values, lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
+        return F.when(F.size(values) > 0, F.concat(F.lit(before), F.array_join(longest["v"], "|"), F.lit(after)))
+
+    fixed = "|".join(f"(?:{PATTERNS[k]})" for k in FIXED)
+    # a null is left out; grouped IBANs go first, as their digits can look like a card or a phone number
+    return F.concat_ws(
+        "|", F.when(text.rlike(GROUPED_IBAN), spelled(ibans, "(?:(?<![A-Za-z0-9])(?:", ")(?![A-Za-z0-9]))")), F.lit(fixed),
+        F.when(text.rlike(PATTERNS["card"]), spelled(cards, "(?:(?<![0-9-])(?:", ")(?![0-9]))")),
+    )
+
+
+def _found(text: Column, pattern: Column) -> Column:
     """(kind, value) of every place that looks like a personal value, in order; kind is null if it fails its checks."""
 
-    places = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    places = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, pattern, F.lit(0)))
     return F.transform(places, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))
 
 
-def _replaced(text: Column, found: Column, key: str) -> Column:
-    gaps = F.split(text, ANY, -1)
+def _replaced(text: Column, pattern: Column, found: Column, key: str) -> Column:
+    gaps = F.split(text, pattern, -1)
     new = F.transform(found, lambda f: pseudonym(f["kind"], f["value"], key))
     joined = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
     return F.when(F.exists(found, lambda f: f["kind"].isNotNull()), joined).otherwise(text)
@@ -239,14 +279,17 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     narrow pass without Python and without a shuffle.
     """
 
-    rows = docs.select(F.col("doc_id"), F.col("text").alias("before"), _found(F.col("text")).alias("found"))
+    rows = docs.select(F.col("doc_id"), F.col("text").alias("before"), _pattern(F.col("text")).alias("pattern"))
+    rows = rows.select("doc_id", "before", "pattern", _found(F.col("before"), F.col("pattern")).alias("found"))
     count = lambda k: F.coalesce(F.size(F.filter("found", lambda f: f["kind"] == k)), F.lit(0)).alias(f"n_{k}")
-    rows = rows.select("doc_id", _replaced(F.col("before"), F.col("found"), key).alias("text"), *[count(k) for k in KINDS])
+    rows = rows.select("doc_id", _replaced(F.col("before"), F.col("pattern"), F.col("found"), key).alias("text"), *[count(k) for k in KINDS])
     return rows.withColumn("n_values", sum((F.col(f"n_{k}") for k in KINDS[1:]), F.col(f"n_{KINDS[0]}")))
 
 
 def pseudonymize_text(docs: DataFrame, key: str) -> DataFrame:
     """The documents with pseudonyms in ``text``; ``n_chars``, if there, follows.  All other columns stay."""
 
-    new = docs.withColumn("text", _replaced(F.col("text"), _found(F.col("text")), key))
+    # each stands in an array of one, so that it is worked out once per row
+    place = F.transform(F.array(_pattern(F.col("text"))), lambda p: F.struct(p.alias("pattern"), _found(F.col("text"), p).alias("found")))
+    new = docs.withColumn("text", F.transform(place, lambda s: _replaced(F.col("text"), s["pattern"], s["found"], key))[0])
     return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else new
