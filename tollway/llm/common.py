@@ -34,13 +34,13 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that hold few rows and few text bytes, so that one task's memory stays bounded."""
 
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
-        if i > start and (i - start >= SLICE_ROWS or total + n > SLICE_BYTES):
+        if i > start and (i - start >= SLICE_ROWS or total + n > limit):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollway.llm import bpe, decontaminate, orc_tokens, pii, ppm, quality, simhash, suffix_dedup, toxicity, warc_zip
+from tollway.llm import align, bpe, decontaminate, orc_tokens, pii, ppm, quality, simhash, suffix_dedup, toxicity, warc_zip
 from tollway.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def benchmark_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.scores(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_feistel_pseudonyms": pseudonyms,
     "op2_rank_array_bpe": bpe_round_trip,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op8_weak_supervision": toxicity_scores,
     "op9_simhash_tiles": near_copies,
     "op10_benchmark_alignment": benchmark_copies,
+    "op12_merge_path_alignment": token_alignment,
 }
 
 ORACLES: dict[str, str] = {
