@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollway.llm import align, bpe, decontaminate, orc_tokens, pii, ppm, quality, simhash, suffix_dedup, toxicity, warc_zip
+from tollway.llm import align, bpe, decontaminate, orc_tokens, phrases, pii, ppm, quality, simhash, suffix_dedup, toxicity, warc_zip
 from tollway.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def benchmark_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def phrase_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.scores(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op8_weak_supervision": toxicity_scores,
     "op9_simhash_tiles": near_copies,
     "op10_benchmark_alignment": benchmark_copies,
+    "op11_phrase_stripes": phrase_stripes,
     "op12_merge_path_alignment": token_alignment,
 }
 
@@ -90,4 +95,38 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
         FROM sized""",
+    "op11_phrase_stripes": r"""
+        WITH lowered AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents),
+        pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM lowered),
+        lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+        totals AS (SELECT lang, sum(len(words)) AS n FROM lists GROUP BY lang),
+        sizes AS (SELECT unnest([1, 2, 3, 4]) AS m),
+        occurrences AS (
+            SELECT lang, m, unnest(list_transform(range(1, len(words) - m + 2), lambda i : array_to_string(words[i : i + m - 1], ' '))) AS phrase
+            FROM lists, sizes WHERE len(words) >= m),
+        counts AS (SELECT lang, m, phrase, count(*) AS f FROM occurrences GROUP BY lang, m, phrase HAVING count(*) >= 30),
+        candidates AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS words, f AS a FROM counts WHERE m > 1),
+        inner_sizes AS (SELECT unnest([2, 3]) AS size),
+        inner_phrases AS (
+            SELECT lang, a, unnest(list_transform(range(1, m - size + 2), lambda i : array_to_string(words[i : i + size - 1], ' '))) AS phrase
+            FROM candidates, inner_sizes WHERE size < m),
+        dropped AS (
+            SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN inner_phrases i ON c.lang = i.lang AND c.phrase = i.phrase
+            WHERE 100 * i.a >= 80 * c.a),
+        free AS (SELECT c.* FROM candidates c ANTI JOIN dropped d ON c.lang = d.lang AND c.phrase = d.phrase),
+        cuts AS (
+            SELECT lang, phrase, m, a, k, array_to_string(words[1 : k], ' ') AS head, array_to_string(words[k + 1 : m], ' ') AS rest
+            FROM (SELECT *, unnest(range(1, m)) AS k FROM free)),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, c.k, h.f AS l, r.f AS r,
+                   CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(h.f AS HUGEINT) + r.f) AS BIGINT) AS score
+            FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts r ON r.lang = c.lang AND r.phrase = c.rest),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+               CAST(n AS BIGINT) AS n, score
+        FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
