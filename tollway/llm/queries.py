@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollway.llm import align, bpe, decontaminate, orc_tokens, phrases, pii, ppm, quality, simhash, suffix_dedup, toxicity, warc_zip
+from tollway.llm import align, bpe, decontaminate, main_text, orc_tokens, phrases, pii, ppm, quality, simhash, suffix_dedup, toxicity, warc_zip
 from tollway.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.scores(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_feistel_pseudonyms": pseudonyms,
     "op2_rank_array_bpe": bpe_round_trip,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op10_benchmark_alignment": benchmark_copies,
     "op11_phrase_stripes": phrase_stripes,
     "op12_merge_path_alignment": token_alignment,
+    "op13_text_density": page_texts,
 }
 
 ORACLES: dict[str, str] = {
