@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from odd import odd_documents, with_clashes
+from odd import odd_documents, rows_of, with_clashes
 
 from tollway.llm import ppm, queries
 
@@ -103,13 +103,16 @@ def test_probabilities_of_a_context_add_up():
         assert abs(p.sum() + left - 1) < 1e-9
 
 
-def test_dense_tables_equal_search(monkeypatch):
-    rng = np.random.default_rng(4)
-    texts = [bytes(rng.integers(0, 250, size=300, dtype=np.uint8)) for _ in range(5)]
-    code = np.unique(ppm.gram_codes(texts, 5))
-    fast = ppm.Walk(code, 5).places(texts, 5)
-    monkeypatch.setattr(ppm.Walk, "DENSE", 1)
-    assert np.array_equal(fast, ppm.Walk(code, 5).places(texts, 5)) and np.array_equal(code[fast], ppm.gram_codes(texts, 5))
+@pytest.mark.parametrize("rows", ["1", "7"])
+def test_parts_of_a_block_may_come_in_any_batches(spark, rows):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).repartition(2)
+    whole = rows_of(ppm.score(docs, block_bytes=20_000))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        assert rows_of(ppm.score(docs, block_bytes=20_000)) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_longer_contexts_predict_held_out_texts_better(spark):

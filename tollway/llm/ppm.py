@@ -9,7 +9,7 @@ the sum of log10 probabilities of its bytes and of its end.
 How the work is laid out: texts are packed into blocks of bounded size.  Each block lists its distinct
 byte grams and words with their training counts; the counts are added up over all blocks, the trie's
 probabilities are worked out once per distinct gram, and each block gets back the values of its own
-grams and words only.  So nothing is broadcast that grows with the corpus, but for the counts of
+grams and words only, as a stream sorted by gram.  So nothing is broadcast that grows with the corpus, but for the counts of
 contexts of up to one byte (at most 257 x 257 numbers), and no task holds more than its block.
 """
 
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +29,9 @@ from tollway.llm.common import materialize, slices, utf8
 
 ORDER = 5
 #: Text bytes of a block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 #: Text bytes whose grams are worked on at once.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Bytes that UTF-8 never has: before a text's start, and its end.
 PAD, END = 0xFE, 0xFF
 #: Symbols of the last resort: 256 byte values and the end.
@@ -321,85 +320,75 @@ def word_counts(surveyed: DataFrame) -> DataFrame:
 
 # ---- scoring ----
 
-class Walk:
-    """Finds each gram's place among a block's sorted grams, byte by byte, with dense tables of child numbers."""
-
-    #: Entries of a dense table; a level that would need more is searched instead, with equal results.
-    DENSE = 1 << 25
-
-    def __init__(self, code: np.ndarray, order: int):
-        self.code, self.levels = code, []
-        symbols = np.unique(np.concatenate([(code >> (8 * j)) & 255 for j in range(order + 1)])) if len(code) else np.zeros(0, dtype=np.int64)
-        self.alphabet = np.zeros(256, dtype=np.int64)
-        self.alphabet[symbols] = np.arange(len(symbols))
-        self.width = max(1, len(symbols))
-        above = np.zeros(len(code), dtype=np.int64)  # each gram's number at the level before
-        count = 1
-        for j in range(order, -1, -1):
-            key = above * self.width + self.alphabet[(code >> (8 * j)) & 255]
-            if count * self.width > self.DENSE:
-                self.levels = None
-                return
-            new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=bool)
-            above = np.cumsum(new) - 1
-            child = np.zeros(count * self.width, dtype=np.int32)
-            child[key[new]] = above[new]
-            self.levels.append(child)
-            count = int(new.sum())
-
-    def places(self, texts: list[bytes], order: int) -> np.ndarray:
-        if self.levels is None:
-            return np.searchsorted(self.code, gram_codes(texts, order))
-        joined = np.frombuffer(b"".join([_PAD[:order] + t + b"\xff" for t in texts]), dtype=np.uint8)
-        symbol = self.alphabet[joined]
-        keep = np.flatnonzero(joined[order:] != PAD)
-        at = np.zeros(len(keep), dtype=np.int64)
-        for j, child in enumerate(self.levels):
-            at = child[at * self.width + symbol[keep + j]]
-        return at
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_PARTS = "block long, kind int, prefix long, lows array<int>, values array<double>, words array<binary>, n array<long>, data binary"
 
 
-def _score_block(table: pa.Table, values: pa.Table, totals: tuple[int, int, int], order: int) -> pa.Table:
-    """Scores of a block's texts.  totals: training tokens N, distinct training tokens V, training texts."""
+class _Block:
+    """Values of a block's grams and words, taken in part by part: grams in rising order, then words, then texts."""
 
-    tokens, distinct, ends = totals
-    grams = values.filter(pc.equal(values.column("kind"), 0)).sort_by("prefix").combine_chunks()
-    lows = grams.column("lows").combine_chunks() if grams.num_rows else None
-    if lows is not None:
-        size = np.diff(lows.offsets.to_numpy())
-        code = (np.repeat(grams.column("prefix").to_numpy(), size) << _LOW) | lows.flatten().to_numpy()
-        value = grams.column("values").combine_chunks().flatten().to_numpy()
-    else:
-        code, value = np.zeros(0, dtype=np.int64), np.zeros(0)
-    words = values.filter(pc.equal(values.column("kind"), 1))
-    known: dict[bytes, int] = {}
-    for ws, ks in zip(words.column("words").to_pylist(), words.column("n").to_pylist(), strict=True):
-        known.update(zip(ws, ks, strict=True))
-    del words, grams
-    walk = Walk(code, order)
-    scale = np.log10(tokens + distinct + 1)
-    of_end = np.log10(ends + 1)
-    out: list[list] = [[] for _ in range(6)]
-    for data in table.column("data").to_pylist():
+    def __init__(self, totals: tuple[int, int, int], order: int):
+        self.order, self.parts, self.words = order, [], {}
+        self.tokens, distinct, self.ends = totals
+        self.scale, self.of_end = np.log10(self.tokens + distinct + 1), np.log10(self.ends + 1)
+        self.code = self.value = None
+
+    def add_grams(self, prefix: np.ndarray, lows: pa.ListArray, values: pa.ListArray) -> None:
+        code = np.repeat(prefix, lows.value_lengths().to_numpy()) << _LOW
+        code |= lows.flatten().to_numpy()
+        self.parts.append((code, values.flatten().to_numpy().copy()))
+
+    def add_words(self, words: list[list[bytes]], n: list[list[int]]) -> None:
+        for ws, ks in zip(words, n, strict=True):
+            self.words.update(zip(ws, ks, strict=True))
+
+    def score(self, data: bytes) -> pa.RecordBatch:
+        if self.code is None:
+            none = [(np.zeros(0, dtype=np.int64), np.zeros(0))]
+            self.code, self.value = (np.concatenate([p[k] for p in none + self.parts]) for k in (0, 1))
+            self.parts = []
         rows = _unpack(data)
         texts = [t for _, _, t in rows]
         length = np.array([len(t) + 1 for t in texts])
-        scores = np.add.reduceat(value[walk.places(texts, order)], np.cumsum(length) - length)
-        for (doc_id, learns, text), score in zip(rows, scores.tolist(), strict=True):
-            n = np.array([known[w] for w in text.split()], dtype=np.float64)
+        scores = np.add.reduceat(self.value[np.searchsorted(self.code, gram_codes(texts, self.order))], np.cumsum(length) - length)
+        out: list[list] = [[] for _ in range(5)]
+        for doc_id, learns, text in rows:
+            n = np.array([self.words[w] for w in text.split()], dtype=np.float64)
             out[0].append(doc_id)
             out[1].append(not learns)
             out[2].append(len(n) + 1)
-            out[3].append(int((n > 0).sum()) + (ends > 0))
-            out[4].append(float(np.log10(n + 1).sum() + of_end - (len(n) + 1) * scale))
-            out[5].append(score)
-    return pa.table({
-        "doc_id": pa.array(out[0], pa.int64()), "held_out": pa.array(out[1], pa.bool_()), "n_tokens": pa.array(out[2], pa.int64()), "n_known": pa.array(out[3], pa.int64()),
-        "train_tokens": pa.array([tokens] * len(out[0]), pa.int64()), "base_score": pa.array(out[4], pa.float64()), "score": pa.array(out[5], pa.float64()),
-    })
+            out[3].append(int((n > 0).sum()) + (self.ends > 0))
+            out[4].append(float(np.log10(n + 1).sum() + self.of_end - (len(n) + 1) * self.scale))
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
+        doc_id, held, n_tokens, n_known, base = (pa.array(x, t) for x, t in zip(out, kinds, strict=True))
+        return pa.RecordBatch.from_arrays([doc_id, held, n_tokens, n_known, pa.array([self.tokens] * len(rows), pa.int64()), base, pa.array(scores)], names=[c.split()[0] for c in SCORED.split(", ")])
+
+
+def _score_parts(totals: tuple[int, int, int], order: int):
+    """Scores blocks whose rows come sorted by (block, kind, prefix); totals: training tokens, distinct ones, training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(block)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if block[a] != number:
+                    number, held = block[a], _Block(totals, order)
+                part = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    held.add_grams(part.column("prefix").to_numpy(), part.column("lows"), part.column("values"))
+                elif kind[a] == 1:
+                    held.add_words(part.column("words").to_pylist(), part.column("n").to_pylist())
+                else:
+                    for data in part.column("data"):
+                        yield held.score(data.as_py())
+
+    return run
 
 
 def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -421,6 +410,11 @@ def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -
     known = ((row["counted"] or 0) + ends, (row["seen"] or 0) + (ends > 0), ends)
     asked = surveyed.filter("kind = 0").select("block", "prefix", "lows").join(model(surveyed, order), "prefix").select("block", "prefix", "lows", "known", "values")
     own = asked.mapInArrow(_own_grams, "block long, prefix long, lows array<int>, values array<double>")
-    right = own.select("block", F.lit(0).alias("kind"), "prefix", "lows", "values", F.lit(None).cast("array<binary>").alias("words"), F.lit(None).cast("array<long>").alias("n")).unionByName(
-        counted.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("array<int>").alias("lows"), F.lit(None).cast("array<double>").alias("values"), "words", "n"))
-    return blocks.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(lambda a, b: _score_block(a, b, known, order), SCORED)
+    names = [c.rsplit(" ", 1) for c in _PARTS.split(", ")]
+
+    def part(df: DataFrame, kind: int) -> DataFrame:
+        return df.select(*[F.lit(kind).alias(c) if c == "kind" else F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in names])
+
+    # one stream per block, its grams sorted by Spark, so that a task holds them once and its texts one step at a time
+    parts = part(own, 0).unionByName(part(counted.select("block", "words", "n"), 1)).unionByName(part(blocks, 2))
+    return parts.repartition("block").sortWithinPartitions("block", "kind", "prefix").mapInArrow(_score_parts(known, order), SCORED)
