@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -64,7 +65,7 @@ def test_equals_a_plain_count(spark, seed, least, top):
     assert rows_of(phrases.collocations(docs_of(spark, rows), least, top=top)) == plain(rows, least, top)
 
 
-@pytest.mark.parametrize("bits,block,entries", [(1 << 15, 200, 3), (1 << 20, 1, 1), (1 << 15, 1 << 20, 2000)])
+@pytest.mark.parametrize("bits,block,entries", [(1 << 9, 200, 3), (1 << 20, 1, 1), (1 << 15, 1 << 20, 2000)])
 def test_sizes_change_nothing(spark, monkeypatch, bits, block, entries):
     monkeypatch.setattr(phrases, "STEP_BYTES", 300)
     monkeypatch.setattr(phrases, "ENTRIES", entries)
@@ -73,14 +74,21 @@ def test_sizes_change_nothing(spark, monkeypatch, bits, block, entries):
     assert rows_of(found) == plain(rows, 3)
 
 
-def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
-    import zlib
-
-    monkeypatch.setattr(phrases, "bitmap", lambda entries, bits: zlib.compress(b"\xff" * (bits // 8)))
+def test_full_bitmaps_change_nothing(spark, monkeypatch):
+    full = zlib.compress(b"\xff" * 512)
+    monkeypatch.setattr(phrases, "word_bitmap", lambda *a: full)
+    monkeypatch.setattr(phrases, "frequent_hashes", lambda *a: full)
     rows = texts(5)
     assert rows_of(phrases.collocations(docs_of(spark, rows), 3)) == plain(rows, 3)
 
 
+def test_more_buckets_and_high_limits(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "PER_BUCKET", 2)
+    rows = [*texts(7), ("en", "new york city. " * 400)]
+    for least in (3, 300):
+        assert rows_of(phrases.collocations(docs_of(spark, rows).repartition(4), least)) == plain(rows, least)
+
+
 def test_two_and_three_words(spark):
     rows = texts(6)
     for longest in (2, 3):

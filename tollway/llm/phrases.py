@@ -7,10 +7,11 @@ a phrase with its count, a prefix's own count is its entry in the shorter stripe
 entries that extend a phrase, to the right in its own stripe or to the left as the last entry of another
 prefix, decides whether a longer phrase subsumes it.
 
-A phrase cannot be more frequent than a part of it.  So stripes of one word are filled only where both words
-reach the least count, longer ones only where all their word pairs do.  Which words and pairs do is told
-by a bitmap of fixed size over hashes: it may let a rare one through, never hold a frequent one
-back, and counts are compared with the limit in the end.  So results do not depend on its size.
+A phrase cannot be more frequent than a part of it, and rare phrases are by far the most.  So before stripes are filled,
+phrases are counted as bare hashes, first pairs of frequent words, then longer ones made of frequent pairs: a
+block sends six bytes per distinct phrase.  A bitmap of fixed size over the hashes tells what may be
+frequent: it may let a rare one through, never hold a frequent one back, and the counts in the stripes are compared
+with the limit in the end.  So results do not depend on hashes or on the bitmap's size.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 from tollway.llm.common import materialize, slices, utf8
 
 LEAST, LONGEST, TOP = 30, 4, 2000
-#: Bits of the bitmap of frequent words or pairs.
-BITS = 1 << 26
+#: Bits of a bitmap of frequent phrases, a power of two.
+BITS = 1 << 27
+#: Words of the corpus per bucket of hashes, the fewest and the most buckets.
+PER_BUCKET, BUCKETS = 1 << 20, (32, 1 << 20)
+#: Bits of a hash that are kept beside its bucket.
+KEPT = 40
 #: Text bytes read at once, and those whose stripes are counted together.
 STEP_BYTES, BLOCK_BYTES = 4 << 20, 24 << 20
 #: Entries of a stripe in one row.
@@ -63,14 +68,15 @@ def hash_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Bitmap:
-    """A set of hashes in a fixed number of bits."""
+    """A set of hashes, told apart by as many of their first bits as a fixed number of bits can."""
 
-    def __init__(self, data: bytes, bits: int):
-        self.octets, self.bits = np.frombuffer(zlib.decompress(data), dtype=np.uint8), bits
+    def __init__(self, data: bytes):
+        self.octets = np.frombuffer(zlib.decompress(data), dtype=np.uint8)
+        self.shift = np.uint64(64 - (8 * len(self.octets)).bit_length() + 1)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes % np.uint64(self.bits)).astype(np.int64)
-        return (self.octets[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        at = hashes >> self.shift
+        return (self.octets[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 class Block:
@@ -139,47 +145,52 @@ def _count_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nd
     return (code >> 32).astype(np.int32), (code & 0xFFFFFFFF).astype(np.int32), n, of.astype(np.int32)
 
 
-def _fill(block: Block, longest: int, pairs: Bitmap | None) -> Iterator[pa.RecordBatch]:
-    """Stripes of a block: of no words, of one word, or of two and more, as far as filters are given."""
+def _frequent(order: np.ndarray, hashes: np.ndarray, longest: int, pairs: Bitmap | None, longer: Bitmap | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For 2 to ``longest`` words: where phrases begin that the filters let through, and their hashes.
+
+    A longer phrase needs both phrases that are one word shorter.
+    """
+
+    at = np.flatnonzero((order[:-1] > 0) & (order[1:] > 0))
+    code, keep = hash_pairs(hashes[order[at]], hashes[order[at + 1]]), pairs
+    for size in range(2, longest + 1):
+        if size > 2:
+            begins = np.zeros(len(order) + 1, dtype=bool)
+            begins[at] = True
+            both = begins[at + 1]
+            at, code, keep = at[both], code[both], longer
+            code = hash_pairs(code, hashes[order[at + size - 1]])
+        if keep is not None:
+            passed = keep.has(code)
+            at, code = at[passed], code[passed]
+        yield size, at, code
+
+
+def _fill(block: Block, longest: int, pairs: Bitmap | None, longer: Bitmap | None) -> Iterator[pa.RecordBatch]:
+    """Stripes of a block: without filters of no words, with filters of one and more words."""
 
     names, hashes, order = block.take()
-    strings = pa.array(names[:1] and [b"", *names[1:]], pa.binary()).cast(pa.string())
+    strings = pa.array([b"", *names[1:]], pa.binary()).cast(pa.string())
     if block.frequent is None:
         n = np.bincount(order, minlength=len(names))[1:]
         yield from _stripe_rows(block.lang, strings, [], np.arange(1, len(names), dtype=np.int32), n)
         return
-    at = np.flatnonzero((order[:-1] > 0) & (order[1:] > 0))
-    if pairs is None:
-        left, right, n, _ = _count_pairs(order[at], order[at + 1])
-        yield from _stripe_rows(block.lang, strings, [left], right, n)
-        return
-    at = at[pairs.has(hash_pairs(hashes[order[at]], hashes[order[at + 1]]))]
-    goes_on = np.zeros(len(order) + longest, dtype=bool)  # a frequent pair begins here
-    goes_on[at] = True
     prefixes: list[np.ndarray] = []
-    codes = order.astype(np.int32)  # a number per place for the words up to here
-    for k in range(1, longest):
-        # phrases of k + 1 words that begin at these places
-        left, right, n, of = _count_pairs(codes[at], order[at + k])
-        prefixes = [p[left] for p in prefixes] if k > 1 else [left]
-        if k > 1:
-            yield from _stripe_rows(block.lang, strings, prefixes, right, n)
+    codes = order.astype(np.int32)  # a number per place for the phrase of one word less that begins there
+    for size, at, _ in _frequent(order, hashes, longest, pairs, longer):
+        left, right, n, of = _count_pairs(codes[at], order[at + size - 1])
+        prefixes = [p[left] for p in prefixes] if size > 2 else [left]
+        yield from _stripe_rows(block.lang, strings, prefixes, right, n)
         prefixes = [*prefixes, right]
         codes = np.zeros(len(order), dtype=np.int32)
         codes[at] = of
-        at = at[goes_on[at + k]]
 
 
-def stripes(docs: DataFrame, longest: int = LONGEST, words: bytes | None = None, pairs: bytes | None = None, bits: int = BITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Stripes (lang, prefix, k, nexts, counts) of blocks of texts.
-
-    Without filters those of no words; with frequent ``words`` those of one word, where both words are frequent;
-    with frequent ``pairs`` too those of 2 to ``longest - 1`` words, where all pairs are.
-    """
+def _by_block(docs: DataFrame, schema: str, words: bytes | None, others: list[bytes | None], fill, block_bytes: int) -> DataFrame:
+    """Applies fill to blocks of the texts of one language; a task holds ``block_bytes`` of text and a step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_words = Bitmap(words, bits) if words else None
-        of_pairs = Bitmap(pairs, bits) if pairs else None
+        of_words, *filters = [Bitmap(x) if x else None for x in (words, *others)]
         held: dict[str, Block] = {}
         for batch in batches:
             for part in slices(batch, limit=STEP_BYTES):
@@ -188,13 +199,75 @@ def stripes(docs: DataFrame, longest: int = LONGEST, words: bytes | None = None,
                     held.setdefault(lang, Block(lang, of_words)).add([t for x, t in zip(langs, texts, strict=True) if x == lang])
                 if sum(b.size for b in held.values()) > block_bytes:
                     for block in held.values():
-                        yield from _fill(block, longest, of_pairs)
+                        yield from fill(block, *filters)
                     held = {}
         for block in held.values():
-            yield from _fill(block, longest, of_pairs)
+            yield from fill(block, *filters)
 
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
-    return rows.mapInArrow(run, STRIPES)
+    return rows.mapInArrow(run, schema)
+
+
+def stripes(docs: DataFrame, longest: int = LONGEST, words: bytes | None = None, pairs: bytes | None = None, longer: bytes | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Stripes (lang, prefix, k, nexts, counts) of blocks of texts.
+
+    Without filters those of no words; with the bitmap of frequent ``words`` those of 1 to ``longest - 1`` words
+    whose entries the filters let through.
+    """
+
+    return _by_block(docs, STRIPES, words, [pairs, longer], lambda block, *filters: _fill(block, longest, *filters), block_bytes)
+
+
+def frequent_hashes(docs: DataFrame, sizes: tuple[int, int], words: bytes, pairs: bytes | None, buckets: int, least: int = LEAST, bits: int = BITS, block_bytes: int = BLOCK_BYTES) -> bytes:
+    """Bitmap of the hashes of phrases of so many words, from the first to the last size, that ``least`` phrases share.
+
+    A block sends each bucket of hashes its distinct ones with their counts, up to ``least``; a bucket adds them up
+    and gives its stretch of the bitmap.
+    """
+
+    width = buckets.bit_length() - 1
+    count = np.dtype("u1" if least < 256 else "<u8")
+
+    def pack(block: Block, of_pairs: Bitmap | None) -> Iterator[pa.RecordBatch]:
+        _, hashes, order = block.take()
+        for size, _, code in _frequent(order, hashes, sizes[1], of_pairs, None):
+            if size < sizes[0] or not len(code):
+                continue
+            code, n = np.unique(code >> np.uint64(64 - KEPT - width), return_counts=True)
+            bucket = (code >> np.uint64(KEPT)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            rest = code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEPT // 8]
+            n = np.minimum(n, least).astype(count)
+            ends = [*first[1:].tolist(), len(code)]
+            data = [rest[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        each = KEPT // 8 + count.itemsize
+        codes, counts = [], []
+        for data in table.column("data"):
+            raw = np.frombuffer(data.as_py(), dtype=np.uint8)
+            n = len(raw) // each
+            wide = np.zeros((n, 8), dtype=np.uint8)
+            wide[:, : KEPT // 8] = raw[: n * (KEPT // 8)].reshape(n, -1)
+            codes.append(wide.view("<u8").ravel())
+            counts.append(raw[n * (KEPT // 8) :].view(count).astype(np.int64))
+        code, n = np.concatenate(codes), np.concatenate(counts)
+        by = np.argsort(code)
+        code, n = code[by], n[by]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        found = code[first][np.add.reduceat(n, first) >= least]
+        at = found >> np.uint64(KEPT - (bits // buckets).bit_length() + 1)
+        stretch = np.zeros(bits // buckets, dtype=np.uint8)
+        stretch[at.astype(np.int64)] = 1
+        return pa.table({"bucket": table.column("bucket")[:1], "octets": pa.array([np.packbits(stretch, bitorder="little").tobytes()], pa.binary())})
+
+    packed = _by_block(docs, "bucket long, data binary", words, [pairs], pack, block_bytes)
+    summed = packed.groupBy("bucket").applyInArrow(add_up, "bucket long, octets binary")
+    octets, size = bytearray(bits // 8), bits // buckets // 8
+    for row in summed.toLocalIterator():  # bits / 8 bytes in all, whatever the corpus
+        octets[row["bucket"] * size : (row["bucket"] + 1) * size] = row["octets"]
+    return zlib.compress(bytes(octets), 1)
 
 
 def merge(parts: DataFrame, least: int = 1) -> DataFrame:
@@ -207,26 +280,24 @@ def merge(parts: DataFrame, least: int = 1) -> DataFrame:
     return entries.groupBy("lang", "prefix", "k", F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("n")).filter(F.col("n") >= least)
 
 
-def bitmap(entries: DataFrame, bits: int = BITS) -> bytes:
-    """The hashes of entries' phrases, of one or two words, as a compressed bitmap of ``bits`` bits."""
+def word_bitmap(words: DataFrame, bits: int = BITS) -> bytes:
+    """The hashes of words (lang, next) as a compressed bitmap."""
+
+    size = 1 << 15  # bits of a chunk, as bitmap_construct_agg makes them
+    shift = np.uint64(64 - bits.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, prefixes, nexts = (batch.column(c).to_pylist() for c in ("lang", "prefix", "next"))
-            last = np.array([hash_word(x, w.encode()) for x, w in zip(langs, nexts, strict=True)], dtype=np.uint64)
-            first = np.array([hash_word(x, p.encode()) for x, p in zip(langs, prefixes, strict=True)], dtype=np.uint64)
-            single = np.array([not p for p in prefixes], dtype=bool)
-            places = np.where(single, last, hash_pairs(first, last)) % np.uint64(bits)
+            langs, found = batch.column("lang").to_pylist(), batch.column("next").to_pylist()
+            places = np.array([hash_word(x, w.encode()) for x, w in zip(langs, found, strict=True)], dtype=np.uint64) >> shift
             yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64))], names=["place"])
 
-    size = 1 << 15  # bits of a chunk, as bitmap_construct_agg makes them
-    places = entries.select("lang", "prefix", "next").mapInArrow(run, "place long")
+    places = words.select("lang", "next").mapInArrow(run, "place long")
     chunks = places.groupBy(F.shiftright("place", 15).alias("chunk")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(size - 1))).alias("set"))
     octets = bytearray(max(bits, size) // 8)
-    for row in chunks.toLocalIterator():  # at most bits / 8 bytes, whatever the corpus
-        start = row["chunk"] * size // 8
-        octets[start : start + size // 8] = row["set"]
-    return zlib.compress(bytes(octets[: max(1, bits // 8)]), 1)
+    for row in chunks.toLocalIterator():  # bits / 8 bytes in all, whatever the corpus
+        octets[row["chunk"] * size // 8 : (row["chunk"] + 1) * size // 8] = row["set"]
+    return zlib.compress(bytes(octets[: bits // 8]), 1)
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = BITS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -234,14 +305,14 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, b
 
     words = materialize(merge(stripes(docs, block_bytes=block_bytes)), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n_words"))
+    total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
+    buckets = min(max(BUCKETS[0], 1 << (total // PER_BUCKET).bit_length()), BUCKETS[1], bits // 8)
     entries = words.filter(F.col("n") >= least)
     if longest > 1:
-        of_words = bitmap(entries, bits)
-        pairs = materialize(merge(stripes(docs, longest, of_words, None, bits, block_bytes), least), "pairs")
-        entries = entries.unionByName(pairs)
-    if longest > 2:
-        longer = merge(stripes(docs, longest, of_words, bitmap(pairs, bits), bits, block_bytes), least)
-        entries = entries.unionByName(materialize(longer, "longer"))
+        of_words = word_bitmap(entries, bits)
+        pairs = frequent_hashes(docs, (2, 2), of_words, None, buckets, least, bits, block_bytes)
+        longer = frequent_hashes(docs, (3, longest), of_words, pairs, buckets, least, bits, block_bytes) if longest > 2 else None
+        entries = entries.unionByName(merge(stripes(docs, longest, of_words, pairs, longer, block_bytes), least))
     phrase = F.when(F.col("k") == 0, F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
     return materialize(entries.select("lang", phrase.alias("phrase"), "prefix", "k", "next", "n"), "stripes"), totals
 
