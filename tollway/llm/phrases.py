@@ -37,7 +37,7 @@ PER_BUCKET, BUCKETS = 1 << 20, (32, 1 << 20)
 KEPT = 40
 #: Text bytes read at once, and those whose stripes are counted together.
 STEP_BYTES, BLOCK_BYTES = 4 << 20, 24 << 20
-#: Entries of a stripe in one row.
+#: Entries of stripes in one row.
 ENTRIES = 2000
 #: Groups in which each language's first phrases are found before they meet.
 SALTS = 64
@@ -45,7 +45,7 @@ _CUT = 0xFF  # never in UTF-8: stands between pieces
 _LOWER = bytes(
     _CUT if x in b".,;:!?\n\x0b\x0c\r" else 0x20 if x == 9 else x + 32 if 65 <= x <= 90 else x for x in range(256)
 )
-STRIPES = "lang string, prefix string, k int, nexts array<string>, counts array<long>"
+STRIPES = "lang string, k int, prefixes array<string>, nexts array<string>, counts array<long>"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -111,31 +111,18 @@ class Block:
 
 
 def _stripe_rows(lang: str, names: pa.Array, prefixes: list[np.ndarray], nexts: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of entries that are sorted by prefix; a long stripe goes on in further rows."""
+    """Rows of up to ``ENTRIES`` entries that are sorted by prefix: a stripe's entries stand together, a long stripe goes on."""
 
-    n = len(nexts)
-    if not n:
-        return
-    new = np.ones(n, dtype=bool)
-    if prefixes:
-        new[1:] = np.any([p[1:] != p[:-1] for p in prefixes], axis=0)
-    else:
-        new[1:] = False
-    start = np.flatnonzero(new)
-    within = np.arange(n) - start[np.cumsum(new) - 1]
-    start = np.flatnonzero(within % ENTRIES == 0)
     k = len(prefixes)
-    for a in range(0, len(start), 100_000):
-        first = start[a : a + 100_000]
-        end = int(start[a + 100_000]) if a + 100_000 < len(start) else n
-        offsets = pa.array(np.append(first, end) - first[0], pa.int32())
-        columns = [names.take(pa.array(p[first])) for p in prefixes]
-        prefix = pc.binary_join_element_wise(*columns, " ") if k > 1 else columns[0] if k else pa.array([""] * len(first))
-        part = slice(int(first[0]), end)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([lang] * len(first)), prefix, pa.array(np.full(len(first), k, dtype=np.int32)),
-            pa.ListArray.from_arrays(offsets, names.take(pa.array(nexts[part]))), pa.ListArray.from_arrays(offsets, pa.array(counts[part], pa.int64())),
-        ], names=["lang", "prefix", "k", "nexts", "counts"])
+    for a in range(0, len(nexts), 100 * ENTRIES):
+        part = slice(a, min(a + 100 * ENTRIES, len(nexts)))
+        size = part.stop - a
+        offsets = pa.array([*range(0, size, ENTRIES), size], pa.int32())
+        columns = [names.take(pa.array(p[part])) for p in prefixes]
+        prefix = pc.binary_join_element_wise(*columns, " ") if k > 1 else columns[0] if k else pa.array([""] * size)
+        values = (prefix, names.take(pa.array(nexts[part])), pa.array(counts[part], pa.int64()))
+        n = len(offsets) - 1
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array([k] * n, pa.int32()), *(pa.ListArray.from_arrays(offsets, v) for v in values)], names=["lang", "k", "prefixes", "nexts", "counts"])
 
 
 def _count_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +196,7 @@ def _by_block(docs: DataFrame, schema: str, words: bytes | None, others: list[by
 
 
 def stripes(docs: DataFrame, longest: int = LONGEST, words: bytes | None = None, pairs: bytes | None = None, longer: bytes | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Stripes (lang, prefix, k, nexts, counts) of blocks of texts.
+    """Stripes (lang, k, prefixes, nexts, counts) of blocks of texts, entry by entry.
 
     Without filters those of no words; with the bitmap of frequent ``words`` those of 1 to ``longest - 1`` words
     whose entries the filters let through.
@@ -276,8 +263,8 @@ def merge(parts: DataFrame, least: int = 1) -> DataFrame:
     A row per entry, so that the stripe of a common prefix is never held by one task.
     """
 
-    entries = parts.select("lang", "prefix", "k", F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
-    return entries.groupBy("lang", "prefix", "k", F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("n")).filter(F.col("n") >= least)
+    entries = parts.select("lang", "k", F.explode(F.arrays_zip("prefixes", "nexts", "counts")).alias("e"))
+    return entries.groupBy("lang", F.col("e.prefixes").alias("prefix"), "k", F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("n")).filter(F.col("n") >= least)
 
 
 def word_bitmap(words: DataFrame, bits: int = BITS) -> bytes:
