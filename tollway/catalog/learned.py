@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollway.catalog.learned_sql import (
-    CALIBRATED_SQL, RAW_SQL, RIDGE_SQL, benchmark_sql, capped_sql, stump_sql, trained_sql,
+    CALIBRATED_SQL, EMBEDDED_RAW_SQL, RAW_SQL, RIDGE_SQL, VECTOR_WIDTH, benchmark_sql, capped_sql, of_vector_documents,
+    stump_sql, trained_sql,
 )
 from tollway.catalog.logs import EVAL_CASE, wide_log
 from tollway.catalog.prompts import DEMO_SQL, FEATURES_SQL
@@ -16,6 +17,7 @@ from tollway.catalog.registry import query, table
 from tollway.catalog.sample import CATALOGUE, DENSE_BUDGETS, dense_log, predicted_log, sql_log, tiers
 from tollway.catalog.baselines import CARD_SQL, HELD_OUT_SQL, SIX, SQL_GAP, rounded, shown_card, sql_results
 from tollway.functions.costs import micro
+from tollway.functions.surface import prompt_hash
 from tollway.operators import checks, isotonic, metrics, policies, predict, ridge, stumps
 from tollway.operators.scoring import StumpScorer
 from tollway.operators.views import label_view
@@ -24,8 +26,10 @@ from tollway.plans.route import route
 from tollway.plans.train import train
 from tollway.session import scratch_path
 from tollway.sources import artifacts, scorecards
+from tollway.sources import embeddings as vectors
 
 ROUNDS = stumps.ROUNDS
+VECTOR_IDENTITY = vectors.EmbeddingIdentity("table", "embeddings", "1", "none", False, "0" * 64, VECTOR_WIDTH)
 
 
 def blurred_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +238,31 @@ def train_and_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prompt_vectors(spark: SparkSession, sf_dir: str) -> vectors.Embedded:
+    """A vector for every prompt of the documents, written with its identity and read back."""
+
+    raw = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    firsts = dense_log(spark, sf_dir).groupBy(prompt_hash(F.col("prompt")).alias("prompt_sha256")).agg(F.min("ord").alias("first_id"))
+    placed = firsts.withColumn("vec_id", F.col("first_id") % F.lit(raw.count())).join(raw, "vec_id")
+    path = scratch_path(spark, "vectors")
+    vectors.save(vectors.Embedded(VECTOR_IDENTITY, placed), path)
+    return vectors.load(spark, path)
+
+
+@query("train_and_route_embedded", "S7 S8 S12 K5 K6 F8 J13", trained_sql(EMBEDDED_RAW_SQL))
+def train_and_route_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predictor of surface and embedding features: fitted, saved with the vectors' identity, verified, loaded, routed."""
+
+    log, embedded = dense_log(spark, sf_dir), prompt_vectors(spark, sf_dir)
+    path = scratch_path(spark, "trained-embedded")
+    train(log, tiers(), benchmark.LinearConfig(), path, embedded=embedded)
+    lambdas = artifacts.verify_policy(spark, f"{path}/policy", f"{path}/predictor", log, tiers())
+    p = artifacts.load_predictor(spark, f"{path}/predictor", embedded.identity)
+    return route(
+        log.select("example_id", "prompt"), catalogue(), tiers(), lambdas, p.scorer, p.calibrators, ["example_id"], embedded=embedded
+    ).select("example_id", "tier", "decision", micro(F.col("quoted")).alias("quoted_micro"), shown_nano())
+
+
 def shown_nano():
     """Predicted quality; a hair is added so that means of few rows never sit on a rounding tie."""
 
@@ -327,13 +356,11 @@ def targets_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("example_id", F.concat_ws(",", F.transform("targets", lambda v: (v * 1000).cast("bigint").cast("string"))).alias("q_milli"))
 
 
-@query("embedded_benchmark", "S7 F8 F9 M2 M5 M6 K2")
+@query("embedded_benchmark", "S7 F8 F9 M2 M5 M6 K2", of_vector_documents(benchmark_sql("bilinear", "") + ", " + SQL_GAP + CARD_SQL))
 def embedded_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The learned benchmark on the documents that have a vector, surface plus embedding features."""
 
     from tollway.catalog.logs import embedded_log
-    from tollway.sources import embeddings as vectors
-
     log, recorded = embedded_log(spark, sf_dir)
     joined = vectors.attach(log, recorded, 64)
     return shown_card(benchmark.run(joined, tiers(), {"bilinear": benchmark.LinearConfig()}, embedding="embedding", embedding_width=64).card)

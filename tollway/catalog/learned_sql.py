@@ -7,30 +7,39 @@ instead of intervals.
 
 from __future__ import annotations
 
+import re
+
 from tollway.catalog.baselines import SQL_CALLS, SQL_PICKS, SQL_TABLE, SQL_TABLE_PICK
 from tollway.catalog.prompts import FEATURES_SQL
 from tollway.catalog.sample import sql_log
 
-# Members of every training subset, named by the mask of omitted domains.
-_MEMBERS = """dom AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS pos FROM (SELECT DISTINCT lang FROM documents)),
+# Members of every training subset, named by the mask of omitted domains; {features} has doc_id, lang and x.
+_MEMBERS_OF = """dom AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS pos FROM (SELECT DISTINCT lang FROM documents)),
 masks AS (SELECT m AS mask FROM range(0, 16) r(m) WHERE bit_count(m) <= 3),
 ys AS (SELECT ord, list(q / 1000.0::DOUBLE ORDER BY model_id) AS y FROM long GROUP BY ord),
-fy AS MATERIALIZED (SELECT f.doc_id, f.lang, pos, x, y FROM feat f JOIN ys ON ord = doc_id JOIN dom USING (lang)),
+fy AS MATERIALIZED (SELECT f.doc_id, f.lang, pos, x, y FROM {features} f JOIN ys ON ord = doc_id JOIN dom USING (lang)),
 mem AS MATERIALIZED (SELECT mask, doc_id, x, y FROM masks JOIN fy ON (mask >> pos) & 1 = 0),
 pp AS (SELECT unnest(range(0, 5)) AS mp)"""
+_MEMBERS = _MEMBERS_OF.replace("{features}", "feat")
+
+
+def ridge_sql(width: int = 12) -> str:
+    """Ridge weights per training subset by Gauss-Jordan elimination; the first three features are scaled."""
 
-# Ridge weights per training subset by Gauss-Jordan elimination.
-_RIDGE = """ii AS (SELECT unnest(range(1, 13)) AS i), jj AS (SELECT unnest(range(1, 18)) AS j),
+    return _RIDGE.replace("{w}", str(width)).replace("{w1}", str(width + 1)).replace("{w6}", str(width + 6))
+
+
+_RIDGE = """ii AS (SELECT unnest(range(1, {w1})) AS i), jj AS (SELECT unnest(range(1, {w6})) AS j),
 scl AS MATERIALIZED (SELECT mask, i, avg(x[i]) AS mx, CASE WHEN i <= 3 AND stddev_pop(x[i]) > 0 THEN stddev_pop(x[i]) ELSE 1 END AS s FROM mem, ii GROUP BY mask, i),
-cov AS (SELECT mask, i, j, covar_pop(x[i], CASE WHEN j <= 12 THEN x[j] ELSE y[j - 12] END) * count(*) AS c FROM mem, ii, jj GROUP BY mask, i, j),
+cov AS (SELECT mask, i, j, covar_pop(x[i], CASE WHEN j <= {w} THEN x[j] ELSE y[j - {w}] END) * count(*) AS c FROM mem, ii, jj GROUP BY mask, i, j),
 nrm AS (SELECT c.mask, c.i, c.j, c.c / a.s / coalesce(b.s, 1) + CASE WHEN c.i = c.j THEN 1 ELSE 0 END AS v
   FROM cov c JOIN scl a ON a.mask = c.mask AND a.i = c.i LEFT JOIN scl b ON b.mask = c.mask AND b.i = c.j),
 lines AS (SELECT mask, i, list(v ORDER BY j) AS r FROM nrm GROUP BY mask, i),
 mat AS (SELECT mask, list(r ORDER BY i) AS m FROM lines GROUP BY mask),
 gj AS (SELECT mask, 1 AS k, m FROM mat UNION ALL
   SELECT mask, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
-     ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM gj WHERE k <= 12),
-coef AS MATERIALIZED (SELECT g.mask, mp, scl.i, m[scl.i][13 + mp] / s AS w, mx FROM gj g JOIN scl USING (mask), pp WHERE k = 13),
+     ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM gj WHERE k <= {w}),
+coef AS MATERIALIZED (SELECT g.mask, mp, scl.i, m[scl.i][{w1} + mp] / s AS w, mx FROM gj g JOIN scl USING (mask), pp WHERE k = {w1}),
 my AS (SELECT mask, mp, avg(y[mp + 1]) AS my FROM mem, pp GROUP BY mask, mp),
 model AS MATERIALIZED (SELECT mask, mp, list(w ORDER BY i) AS w, any_value(my) - sum(w * mx) AS bias FROM coef JOIN my USING (mask, mp) GROUP BY mask, mp)"""
 
@@ -110,11 +119,35 @@ def _pick(columns: str, contexts: str, price: str) -> str:
 
 
 _HEAD = f"WITH RECURSIVE {sql_log()}, {FEATURES_SQL}, {_MEMBERS}"
-RIDGE_SQL = f"{_HEAD}, {_RIDGE}"
+RIDGE_SQL = f"{_HEAD}, {ridge_sql()}"
 RAW_SQL = f"{RIDGE_SQL}, {_RAW}"
 CALIBRATED_SQL = f"{RAW_SQL}, {_CALIBRATE}"
 
 
+#: Embedding entries in the table ``embeddings``.
+VECTOR_WIDTH = 64
+# Each prompt has the vector numbered by the first document of that text, modulo the number of vectors.
+_WIDE = """firsts AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents),
+wide AS MATERIALIZED (SELECT f.doc_id, f.lang, list_concat(f.x, list_transform(e.embedding, lambda v: CAST(v AS DOUBLE))) AS x
+  FROM feat f JOIN firsts USING (doc_id) JOIN embeddings e ON e.vec_id = first_id % (SELECT count(*) FROM embeddings))"""
+_OF_WIDE = f"{_MEMBERS_OF.replace('{features}', 'wide')}, {ridge_sql(12 + VECTOR_WIDTH)}, {_RAW}"
+EMBEDDED_RAW_SQL = f"WITH RECURSIVE {sql_log()}, {FEATURES_SQL}, {_WIDE}, {_OF_WIDE}"
+# Only documents that have a vector of their own number.
+_OWN_VECTOR = """wide AS MATERIALIZED (SELECT f.doc_id, f.lang, list_concat(f.x, list_transform(e.embedding, lambda v: CAST(v AS DOUBLE))) AS x
+  FROM feat f JOIN embeddings e ON e.vec_id = f.doc_id)"""
+_VECTOR_DOCUMENTS = "vector_documents AS (SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"
+
+
+def of_vector_documents(rest: str) -> str:
+    """A statement on the surface and embedding features of the documents that have a vector of their own number."""
+
+    def named(sql: str) -> str:
+        return re.sub(r"\bdocuments\b", "vector_documents", sql)
+
+    fitted = f"WITH RECURSIVE {_VECTOR_DOCUMENTS}, {named(sql_log())}, {named(FEATURES_SQL)}, {_OWN_VECTOR}, {named(_OF_WIDE)}"
+    return fitted + named(rest)
+
+
 def stump_sql(rounds: int) -> str:
     return f"{_HEAD}, {stump_raw(rounds)}"
 

@@ -12,6 +12,7 @@ from tollway.functions.surface import with_flags
 from tollway.operators import checks, policies, predict
 from tollway.operators.scoring import Calibrators, Scorer
 from tollway.schema import COST, TierSpec, with_tiers
+from tollway.sources.embeddings import Embedded, attach_prompts
 
 
 def catalogue_array(catalogue: dict[str, Decimal]):
@@ -32,17 +33,22 @@ def route(
     calibrators: Calibrators | None = None,
     keep: list[str] | None = None,
     mask: int = 0,
+    embedded: Embedded | None = None,
 ) -> DataFrame:
     """A decision per prompt and tier: model, quote, predicted quality, refusal reason.
 
     ``prompts`` has ``prompt``, any ``keep`` columns, and optionally ``remaining`` (what is
     left of the tier's budget, never more than it).  ``mask`` names the fitted context; 0 is
-    the one on all rows.  Without a fitted scorer the demonstration rule's closed form
-    predicts.
+    the one on all rows.  A predictor of embeddings needs ``embedded``, whose identity
+    ``load_predictor`` has compared.  Without a fitted scorer the demonstration rule's closed
+    form predicts.
     """
 
     rows = prompts.withColumn("candidates", catalogue_array(catalogue))
-    if scorer is not None:
+    if scorer is not None and embedded is not None:
+        rows = with_features(attach_prompts(rows, embedded), "embedding", embedded.identity.width)
+        rows = predict.predict_all(rows, scorer, calibrators, mask)
+    elif scorer is not None:
         rows = predict.predict_all(with_features(rows), scorer, calibrators, mask)
     else:
         rows = with_flags(rows).withColumn("predicted", policies.demo_predictions(F.col("candidates")))

@@ -14,6 +14,7 @@ from tollway.operators import lambdas, predict
 from tollway.plans.benchmark import Config, Fitted, Prepared, fit, prepare_fits, tune
 from tollway.schema import TierSpec
 from tollway.sources import artifacts
+from tollway.sources.embeddings import Embedded, attach_prompts
 
 
 @dataclass(frozen=True)
@@ -33,16 +34,24 @@ def train(
     ledger: str = "per_query",
     grid: list[tuple[int, int]] | None = None,
     cap: int | None = None,
+    embedded: Embedded | None = None,
 ) -> Trained:
     """Predictor on all rows, calibrated out of fold; lambdas tuned on cross-fitted scores.
 
     The deployable fit leaves no domain out.  Lambdas come from predictions by the fits
     that never saw a row's own domain, under per-query budgets (full search) or a budget
-    shared by the ordered log (given grid).
+    shared by the ordered log (given grid).  With ``embedded``, each prompt's vector joins its surface
+    features, and the identity of the vectors is saved with the predictor.
     """
 
     spark = log.sparkSession
-    p = prepare_fits(log, tiers)
+    names, identity_of = list(FEATURE_NAMES), None
+    if embedded is None:
+        p = prepare_fits(log, tiers)
+    else:
+        identity_of = embedded.identity.to_json()
+        names += [f"embedding:{k}" for k in range(embedded.identity.width)]
+        p = prepare_fits(attach_prompts(log, embedded), tiers, "embedding", embedded.identity.width)
     base = [0, *p.plan.masks(1), *p.plan.masks(2)]
     fitted = fit(p, config, base, [0, *p.plan.masks(1)])
     crossed = predict.predict_excluding(p.cells, p.plan, fitted.scorer, fitted.calibrators, p.plan.masks(1))
@@ -64,7 +73,7 @@ def train(
     data = artifacts.log_identity(log)
     identity = artifacts.save_predictor(
         spark, f"{path}/predictor", fitted.scorer, fitted.steps, p.profile.model_ids, list(p.plan.domains),
-        list(FEATURE_NAMES), fitted.family, asdict(config), data,
+        names, fitted.family, asdict(config), data, identity_of,
     )
     pairs = predict.long_predictions(rows)
     artifacts.save_policy(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from tollway.functions import fingerprint
 from tollway.operators import isotonic
 from tollway.operators.scoring import Calibrators, LinearScorer, Scorer, StumpScorer
 from tollway.schema import TierSpec
+from tollway.sources.embeddings import EmbeddingIdentity
 
 FORMAT = 1
 LINEAR_ROWS = "mask int, model_id string, weights array<double>, bias double"
@@ -96,13 +97,33 @@ def save_predictor(
     return predictor_identity(spark, path)
 
 
-def load_predictor(spark: SparkSession, path: str) -> Predictor:
-    """Reads a saved predictor; fails on another format, missing models or bad numbers."""
+def _check_embedding(meta: dict, given: EmbeddingIdentity | None) -> None:
+    """A predictor of embeddings is used with vectors of the very identity it was trained on, others with none."""
+
+    if meta["embedding"] is None:
+        if given is not None:
+            raise ValueError("predictor was trained without embeddings")
+        return
+    saved = EmbeddingIdentity.from_json(meta["embedding"])
+    if given is None:
+        raise ValueError("predictor needs embeddings of the identity it was trained on")
+    for name, value in asdict(saved).items():
+        if getattr(given, name) != value:
+            raise ValueError(f"predictor was trained with another embedding {name}")
+
+
+def load_predictor(spark: SparkSession, path: str, embedding: EmbeddingIdentity | None = None) -> Predictor:
+    """Reads a saved predictor; fails on another format, missing models or bad numbers.
+
+    ``embedding`` is the identity of the vectors that it will be given; it has to be the saved one.
+    """
 
     meta = spark.read.schema(META_ROWS).parquet(f"{path}/meta").collect()
     if len(meta) != 1 or meta[0]["format"] != FORMAT:
         raise ValueError("not a predictor of this format")
     m = meta[0].asDict()
+    _check_embedding(m, embedding)
+    width = len(m["feature_names"])
     ids = list(m["model_ids"])
     place = {name: k for k, name in enumerate(ids)}
     if m["family"] == "bilinear":
@@ -114,6 +135,8 @@ def load_predictor(spark: SparkSession, path: str) -> Predictor:
             bias[r["mask"]][place[r["model_id"]]] = r["bias"]
         if not all(np.isfinite(b).all() and np.isfinite(weights[k]).all() for k, b in bias.items()):
             raise ValueError("predictor has missing or non-finite coefficients")
+        if any(w.shape[1] != width for w in weights.values()):
+            raise ValueError("predictor has other features than it names")
         scorer: Scorer = LinearScorer(weights, bias)
     else:
         rows = spark.read.schema(STUMP_ROWS).parquet(f"{path}/models").collect()
@@ -122,6 +145,8 @@ def load_predictor(spark: SparkSession, path: str) -> Predictor:
         for r in rows:
             base[r["mask"]][place[r["model_id"]]] = r["base"]
             chains[r["mask"]][place[r["model_id"]]] = [(s["feature"], s["split"], s["left"], s["right"]) for s in r["stumps"]]
+        if any(not 0 <= f < width for models in chains.values() for chain in models for f, *_ in chain):
+            raise ValueError("predictor has other features than it names")
         if not all(np.isfinite(b).all() for b in base.values()):
             raise ValueError("predictor has missing base values")
         scorer = StumpScorer(rows[0]["rate"], base, chains)
