@@ -142,6 +142,10 @@ def cells_of(spark, domains, x, y):
     return spark.createDataFrame(rows, "domain string, n bigint, x array<double>, sum_q array<decimal(38,12)>")
 
 
+def slim_cells(spark, domains, x, y):
+    return cells_of(spark, domains, x, y).select("domain", "n", "x", F.col("sum_q").cast("array<double>").alias("y"))
+
+
 def test_stumps_hand_case(spark):
     x, y = [[0.0], [1.0], [2.0], [3.0]], [[0], [0], [2], [2]]
     plan = SubsetPlan(("a", "b"))
@@ -159,9 +163,10 @@ def test_stump_splits_do_not_depend_on_ranges(spark):
     domains = [("a", "b", "c", "d")[i % 4] for i in range(300)]
     plan, masks = SubsetPlan(("a", "b", "c", "d")), [0, 1, 6]
     scorer = StumpScorer(0.1, {m: np.full(2, 0.5) for m in masks}, {m: [[], []] for m in masks})
-    sums = stumps._residual_sums(cells_of(spark, domains, x, y).repartition(4), scorer, plan, masks, 2)
+    cells = slim_cells(spark, domains, x, y).repartition(4)
     whole, cut = [
-        {(r["mask"], r["model_pos"]): r for r in stumps.best_splits(sums, masks, 2, 2, bounds).collect()} for bounds in ([], [-0.9, 0.0, 0.7])
+        {(r["mask"], r["model_pos"]): r for r in stumps.best_splits(stumps.residual_sums(cells, scorer, plan, masks, bounds), masks, 2, 2).collect()}
+        for bounds in ([], [-0.9, 0.0, 0.7])
     ]
     assert len(whole) == 6
     for (mask, k), r in whole.items():
@@ -225,15 +230,35 @@ def test_residual_sums_are_exact_in_any_order(spark):
     a = np.round(rng.normal(size=400), 1)
     x, y = np.stack([a, np.exp(a), -a], axis=1), np.round(rng.uniform(0, 1, (400, 1)), 3)
     scorer = StumpScorer(0.1, {0: np.array([1 / 3])}, {0: [[(0, 0.1, -1 / 7, 1 / 9)]]})
-    cells = cells_of(spark, ["a"] * 400, x, y)
+    cells = slim_cells(spark, ["a"] * 400, x, y)
     runs = []
     for parts in (1, 7):
-        rows = stumps._residual_sums(cells.repartition(parts), scorer, SubsetPlan(("a", "b")), [0], 1).collect()
-        runs.append([[list(r["v"]) for r in sorted(rows, key=lambda r: r["value"]) if r["feature"] == f] for f in range(3)])
+        rows = stumps.residual_sums(cells.repartition(parts), scorer, SubsetPlan(("a", "b")), [0], []).collect()
+        added = [{}, {}, {}]
+        for r in rows:
+            if r["kind"] == stumps.VALUE:
+                at = added[r["feature"]]
+                at[r["value"]] = [p + q for p, q in zip(at.get(r["value"], [0.0] * 3), r["v"])]
+        runs.append([[at[v] for v in sorted(at)] for at in added])
     (first, copy, turned), again = runs
     assert first == copy == turned[::-1] and runs[0] == again
 
 
+def test_scores_written_between_rounds_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x, y = np.round(rng.normal(size=(60, 3)), 1), np.round(rng.uniform(0, 1, (60, 2)), 3)
+    domains = [("a", "b", "c")[i % 3] for i in range(60)]
+    by_domain = {d: of(x[[e == d for e in domains]], y[[e == d for e in domains]]) for d in "abc"}
+    cells, plan = cells_of(spark, domains, x, y).repartition(3), SubsetPlan(("a", "b", "c"))
+    monkeypatch.setattr(stumps, "CHUNK_BYTES", 500)
+    chains = []
+    for refresh, size in ((100, stumps.RANGE_BYTES), (1, 900), (3, stumps.RANGE_BYTES)):
+        monkeypatch.setattr(stumps, "REFRESH", refresh)
+        monkeypatch.setattr(stumps, "RANGE_BYTES", size)
+        chains.append(stumps.fit(cells, by_domain, plan, [0, 2, 4], rounds=7).stumps)
+    assert chains[0] == chains[1] == chains[2] and all(len(c) == 7 for m in chains[0].values() for c in m)
+
+
 def test_registered_stumps_run_the_default_rounds():
     from tollway.catalog import learned
 

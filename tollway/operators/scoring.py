@@ -40,10 +40,12 @@ class StumpScorer:
     base: dict[int, np.ndarray]
     stumps: dict[int, list[list[tuple[int, float, float, float]]]]
 
-    def score(self, x: np.ndarray, mask: int) -> np.ndarray:
-        out = np.tile(self.base[mask], (len(x), 1))
+    def score(self, x: np.ndarray, mask: int, scored: np.ndarray | None = None, done: int = 0) -> np.ndarray:
+        """Scores by the whole chains, or by the stumps after the first ``done`` on top of what those ``scored``."""
+
+        out = np.tile(self.base[mask], (len(x), 1)) if scored is None else scored.copy()
         for k, chain in enumerate(self.stumps[mask]):
-            for f, split, left, right in chain:
+            for f, split, left, right in chain[done:]:
                 out[:, k] = out[:, k] + self.rate * np.where(x[:, f] < split, left, right)
         return out
 
