@@ -4,91 +4,84 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
+from tollway.streaming import budgets
 from tollway.streaming.epochs import EpochTables
-from tollway.streaming.ledger import LedgerStream
 from tollway.streaming.retention import RetentionStream
 
 START = datetime(2024, 1, 1)
-SCHEMA = "ledger_key string, call_id string, at timestamp, quoted decimal(28,12), realized decimal(28,12)"
 
 
 def call(key, i, minute, cost, quote=0):
     return (key, f"c{i}", START + timedelta(minutes=minute), Decimal(quote), Decimal(cost))
 
 
-def put(spark, path, rows):
-    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+TICK = (None, None, START + timedelta(days=900), None, None)
 
 
-def run(spark, job, path, progress):
-    stream = spark.readStream.schema(SCHEMA).parquet(path)
-    q = job.start(stream, progress)
-    q.awaitTermination()
-    return q
+class Runs:
+    """A stream that is stopped after each batch and goes on from its checkpoint."""
+
+    def __init__(self, spark, folder, limit=10, delay="5 minutes", keep="1 hour"):
+        self.spark, self.folder, self.limit, self.delay, self.keep = spark, folder, Decimal(limit), delay, keep
+
+    def take(self, *rows):
+        self.spark.createDataFrame(list(rows), budgets.CALL_FIELDS).coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
+        stream = self.spark.readStream.schema(budgets.CALL_FIELDS).parquet(f"{self.folder}/in")
+        settled = budgets.settle_stream(stream, self.limit, self.delay, self.keep)
+        budgets.start(settled, f"{self.folder}/out", f"{self.folder}/progress").awaitTermination()
+
+    def rows(self):
+        found = budgets.settled_calls(self.spark, f"{self.folder}/out").collect()
+        assert len(found) == len({(r["ledger_key"], r["call_id"]) for r in found})
+        return {r["call_id"]: r for r in found}
 
 
 def test_order_late_repeat_and_restart(spark, tmp_path):
-    path, progress = str(tmp_path / "in"), str(tmp_path / "progress")
-    job = LedgerStream(EpochTables(str(tmp_path / "state")), Decimal(10), "5 minutes")
-    put(spark, path, [call("a", 1, 2, 4), call("a", 2, 0, 3), call("b", 3, 1, 20)])
-    run(spark, job, path, progress)
+    runs = Runs(spark, tmp_path)
+    runs.take(call("a", 1, 2, 4), call("a", 2, 0, 3), call("b", 3, 1, 20))
     # Restart with newer rows: c1 comes again, the clock moves to minute 30.
-    put(spark, path, [call("a", 1, 2, 4), call("a", 4, 3, 5), call("a", 5, 30, 1)])
-    run(spark, job, path, progress)
-    # Too late now: minute 10 lies before 30 - 5.
-    put(spark, path, [call("a", 6, 10, 1), call("a", 7, 31, 1)])
-    q = run(spark, job, path, progress)
-    job.finish(spark, max(p["batchId"] for p in q.recentProgress))
-    rows = {r["call_id"]: r for r in job.calls(spark).collect()}
-    assert job.calls(spark).count() == 7
+    runs.take(call("a", 1, 2, 4), call("a", 4, 3, 5), call("a", 5, 30, 1))
+    assert set(runs.rows()) == {"c1", "c2", "c3", "c4"}
+    # Too late now: minute 10 lies before 30 - 5; c2 has been settled and comes again.
+    runs.take(call("a", 6, 10, 1), call("a", 2, 0, 3), call("a", 7, 31, 1))
+    runs.take(TICK)
+    rows = runs.rows()
+    assert len(rows) == 7
     assert [rows[c]["remaining_after"] for c in ("c2", "c1", "c4", "c5", "c7")] == [7, 3, 0, 0, 0]
     assert [rows[c]["over"] for c in ("c2", "c1", "c4", "c5", "c7")] == [False, False, True, True, True]
     assert rows["c3"]["over"] and rows["c3"]["remaining_after"] == 0
-    assert rows["c6"]["late"] and rows["c6"]["charged"] == 0
-
-
-def test_late_rows_are_reported_not_charged(spark, tmp_path):
-    job = LedgerStream(EpochTables(str(tmp_path / "state")), Decimal(10), "5 minutes")
-    job.process(spark.createDataFrame([call("a", 1, 0, 1), call("a", 2, 60, 1)], SCHEMA), 0)
-    job.process(spark.createDataFrame([call("a", 3, 10, 5), call("a", 4, 58, 2)], SCHEMA), 1)
-    job.finish(spark, 1)
-    rows = {r["call_id"]: r for r in job.calls(spark).collect()}
-    assert rows["c3"]["late"] and rows["c3"]["charged"] == 0
-    assert [rows[c]["remaining_after"] for c in ("c1", "c4", "c2")] == [9, 7, 6]
-    total = job.tables.read(spark, "balances", 2, "ledger_key string, spent decimal(38,12)").first()
-    assert total["spent"] == 4
-
-
-def test_repeated_epoch_changes_nothing(spark, tmp_path):
-    job = LedgerStream(EpochTables(str(tmp_path / "state")), Decimal(10), "1 minutes")
-    first = spark.createDataFrame([call("a", 1, 0, 1), call("a", 2, 9, 2)], SCHEMA)
-    second = spark.createDataFrame([call("a", 3, 20, 3), call("a", 4, 40, 4)], SCHEMA)
-    job.process(first, 0)
-    job.process(second, 1)
-    once = sorted(map(str, job.calls(spark).collect()))
-    job.process(second, 1)
-    assert sorted(map(str, job.calls(spark).collect())) == once
-
-
-def test_a_repeat_after_settlement_is_dropped(spark, tmp_path):
-    job = LedgerStream(EpochTables(str(tmp_path / "state")), Decimal(10), "5 minutes")
-    job.process(spark.createDataFrame([call("a", 1, 0, 1), call("a", 2, 6, 2)], SCHEMA), 0)
-    job.process(spark.createDataFrame([call("a", 1, 4, 1), call("a", 2, 6, 2), call("a", 3, 8, 3), call("a", 3, 9, 3)], SCHEMA), 1)
-    job.finish(spark, 1)
-    rows = job.calls(spark).collect()
-    assert sorted(r["call_id"] for r in rows) == ["c1", "c2", "c3"]
-    assert min(r["remaining_after"] for r in rows) == 4
+    assert rows["c6"]["late"] and rows["c6"]["charged"] == 0 and rows["c6"]["remaining_after"] is None
 
 
 def test_refused_calls_leave_the_balance(spark, tmp_path):
-    job = LedgerStream(EpochTables(str(tmp_path / "state")), Decimal(10), "1 minutes")
-    job.process(spark.createDataFrame([call("a", 1, 0, 8, 8), call("a", 2, 1, 5, 5), call("a", 3, 2, 2, 2), call("a", 4, 3, 1, 1)], SCHEMA), 0)
-    job.finish(spark, 0)
-    rows = {r["call_id"]: r for r in job.calls(spark).collect()}
-    assert [rows[f"c{i}"]["accepted"] for i in (1, 2, 3, 4)] == [True, False, True, False]
-    assert [rows[f"c{i}"]["remaining_after"] for i in (1, 2, 3, 4)] == [2, 2, 0, 0]
+    runs = Runs(spark, tmp_path, delay="1 minutes")
+    runs.take(call("a", 1, 0, 8, 8), call("a", 2, 1, 5, 5), call("a", 3, 2, 2, 2), call("a", 4, 3, 1, 1), call(None, 5, 3, 4, 4), TICK)
+    rows = runs.rows()
+    assert [rows[f"c{i}"]["accepted"] for i in (1, 2, 3, 4, 5)] == [True, False, True, False, True]
+    assert [rows[f"c{i}"]["remaining_after"] for i in (1, 2, 3, 4, 5)] == [2, 2, 0, 0, 6]
+
+
+def test_repeats_and_late_ones_among_many_batches(spark, tmp_path):
+    runs = Runs(spark, tmp_path, limit=100)
+    runs.take(call("a", 1, 0, 1), call("a", 2, 60, 1), call("a", 2, 61, 1))
+    runs.take(call("a", 3, 10, 5), call("a", 4, 58, 2), call("a", 1, 0, 1))
+    runs.take(call("a", 5, 57, 7), call("a", 4, 58, 2), call("a", 3, 10, 5), call("a", 6, 62, 3))
+    runs.take(TICK)
+    spark_rows = budgets.settled_calls(spark, f"{tmp_path}/out").collect()
+    charged = {r["call_id"]: r["remaining_after"] for r in spark_rows if not r["late"]}
+    assert charged == {"c1": 99, "c5": 92, "c4": 90, "c2": 89, "c6": 86}
+    # a late call is not remembered: its repeat is reported once more, and never charged
+    assert [r["call_id"] for r in spark_rows if r["late"]] == ["c3", "c3"]
+
+
+def test_names_are_forgotten_after_a_while(spark, tmp_path):
+    runs = Runs(spark, tmp_path, keep="10 minutes")
+    runs.take(call("a", 1, 0, 1), call("a", 2, 30, 1))
+    runs.take(call("a", 3, 60, 1))
+    runs.take(call("a", 1, 0, 1), call("a", 4, 61, 1))
+    found = budgets.settled_calls(spark, f"{tmp_path}/out").collect()
+    assert sorted((r["call_id"], r["late"]) for r in found) == [("c1", False), ("c1", True), ("c2", False)]
 
 
 def test_retention_carries_over(spark, tmp_path):

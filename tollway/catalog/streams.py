@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,9 @@ from tollway.catalog.registry import query, table
 from tollway.catalog.sample import sql_log, tiers
 from tollway.functions.costs import micro
 from tollway.plans.route import route
-from tollway.session import scratch_path
+from tollway.session import materialize, scratch_path
+from tollway.streaming import budgets
 from tollway.streaming.epochs import EpochTables
-from tollway.streaming.ledger import LedgerStream
 from tollway.streaming.retention import RetentionStream
 from tollway.streaming.route import routed, start_routing
 
@@ -40,22 +41,29 @@ def stream_route_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(spark, path, decisions.schema).select("example_id", "tier", "decision", micro(F.col("quoted")).alias("quoted_micro"))
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as calls: the charge is the value, the quote a little below it."""
+def event_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls: the charge is the value, the quote zero."""
 
     cost = F.col("value").cast("decimal(28,12)")
-    return stream_of(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("ledger_key"), F.col("event_id").cast("string").alias("call_id"),
         F.col("ts").cast("timestamp").alias("at"), F.lit(0).cast("decimal(28,12)").alias("quoted"), cost.alias("realized"),
     )
 
 
-def run_ledger(spark: SparkSession, calls: DataFrame, limit: Decimal, delay: str = "10 minutes") -> LedgerStream:
-    job = LedgerStream(EpochTables(scratch_path(spark, "ledger")), limit, delay)
-    q = job.start(calls, scratch_path(spark, "ledger-progress"))
-    q.awaitTermination()
-    job.finish(spark, q.lastProgress["batchId"] if q.lastProgress else -1)
-    return job
+def run_ledger(spark: SparkSession, batches: list[DataFrame], limit: Decimal, delay: str = "10 minutes", keep: str = "1 hour") -> DataFrame:
+    """Calls that arrive batch by batch, each settled by a stream that goes on from the checkpoint.
+
+    A last call of no ledger, far in the future, moves the clock past all others.
+    """
+
+    folder, path, progress = (scratch_path(spark, name) for name in ("arrivals", "settled", "ledger-progress"))
+    tick = spark.createDataFrame([(None, None, datetime(2200, 1, 1), None, None)], budgets.CALL_FIELDS)
+    for batch in [*batches, tick]:
+        batch.select(*tick.columns).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(tick.schema).parquet(folder)
+        budgets.start(budgets.settle_stream(stream, limit, delay, keep), path, progress).awaitTermination()
+    return budgets.settled_calls(spark, path)
 
 
 @query("stream_ledger", "ST2 R2", EVENTS_SQL + """
@@ -64,8 +72,7 @@ SELECT CAST(user_id AS VARCHAR) AS ledger_key, CAST(event_id AS VARCHAR) AS call
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every call accepted (its quote is zero), so the result is the closed form."""
 
-    job = run_ledger(spark, event_stream(spark, sf_dir), Decimal(1000))
-    return job.calls(spark).select("ledger_key", "call_id", "late", micro(F.col("remaining_after")).alias("remaining_micro"), "over")
+    return run_ledger(spark, [event_calls(spark, sf_dir)], Decimal(1000)).select("ledger_key", "call_id", "late", micro(F.col("remaining_after")).alias("remaining_micro"), "over")
 
 
 @query("stream_ledger_rejections", "ST2 R3 P9", """WITH RECURSIVE c AS (SELECT user_id, event_id, CAST(round(CAST(value AS DECIMAL(28,12)) * 1000000) AS BIGINT) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
@@ -76,13 +83,41 @@ SELECT CAST(user_id AS VARCHAR) AS ledger_key, CAST(event_id AS VARCHAR) AS call
 def stream_ledger_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes equal charges, so a call that no longer fits is refused and smaller ones still pass."""
 
-    calls = event_stream(spark, sf_dir).withColumn("quoted", F.col("realized"))
-    job = run_ledger(spark, calls, Decimal(300))
-    return job.calls(spark).select(
+    calls = event_calls(spark, sf_dir).withColumn("quoted", F.col("realized"))
+    return run_ledger(spark, [calls], Decimal(300)).select(
         "ledger_key", "call_id", "accepted", micro(F.col("remaining_before")).alias("before_micro"), micro(F.col("remaining_after")).alias("remaining_micro")
     )
 
 
+SLICES = 4
+
+
+@query("stream_ledger_late", "ST2 R3 P9", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(CAST(ts AS TIMESTAMP)) AS us, CAST(round(CAST(value AS DECIMAL(28,12)) * 1000000) AS BIGINT) AS cost FROM events),
+placed AS (SELECT e.*, (us - lo) * {SLICES} // (hi - lo + 1) + CASE WHEN event_id % 100 = 7 THEN 1 ELSE 0 END AS slice FROM e, (SELECT min(us) AS lo, max(us) AS hi FROM e)),
+clock AS (SELECT slice, max(max(us)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 * 1000 - 600000000 AS watermark FROM placed GROUP BY slice),
+marked AS (SELECT user_id, event_id, us, cost, coalesce(us < watermark, FALSE) AS late FROM placed JOIN clock USING (slice)),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, CAST(event_id AS VARCHAR)) AS rn FROM marked WHERE NOT late),
+run AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, NULL::BIGINT AS event_id, CAST(300000000 AS BIGINT) AS before, CAST(300000000 AS BIGINT) AS balance, FALSE AS accepted FROM c GROUP BY user_id
+  UNION ALL SELECT c.user_id, c.rn, c.event_id, r.balance, CASE WHEN c.cost > r.balance THEN r.balance ELSE r.balance - c.cost END, c.cost <= r.balance
+  FROM run r JOIN c ON c.user_id = r.user_id AND c.rn = r.rn + 1)
+SELECT CAST(user_id AS VARCHAR) AS ledger_key, CAST(event_id AS VARCHAR) AS call_id, FALSE AS late, accepted, before AS before_micro, balance AS remaining_micro FROM run WHERE rn > 0
+UNION ALL SELECT CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR), TRUE, FALSE, NULL, NULL FROM marked WHERE late""")
+def stream_ledger_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in four batches: one in a hundred arrives a batch later, one in forty comes twice, order within a batch is any."""
+
+    calls = event_calls(spark, sf_dir).withColumn("quoted", F.col("realized"))
+    micros, number = F.unix_micros("at"), F.col("call_id").cast("bigint")
+    ends = calls.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi")).first()
+    part = F.floor((micros - F.lit(ends["lo"])) * SLICES / F.lit(ends["hi"] - ends["lo"] + 1)) if ends["lo"] is not None else F.lit(0)
+    placed = calls.withColumn("slice", part + F.when(number % 100 == 7, 1).otherwise(0))
+    twice = placed.where(number % 40 == 3).withColumn("slice", F.col("slice") + 1)
+    arrivals = materialize(placed.unionByName(twice), "arrivals-by-batch", ["slice"])
+    batches = [arrivals.where(F.col("slice") == k) for k in range(SLICES + 1)]
+    return run_ledger(spark, batches, Decimal(300), keep="1000 days").select(
+        "ledger_key", "call_id", "late", "accepted", micro(F.col("remaining_before")).alias("before_micro"), micro(F.col("remaining_after")).alias("remaining_micro")
+    )
+
+
 @query("stream_retention", "ST3 W3", f"""WITH {sql_log()}, o AS (SELECT tier, ord, min(-q * 100000000 + realized) AS k FROM lt WHERE quoted <= budget AND realized <= budget GROUP BY tier, ord),
 b AS (SELECT lt.tier, lt.ord, max(q) AS oq FROM lt JOIN o ON o.tier = lt.tier AND o.ord = lt.ord AND -lt.q * 100000000 + lt.realized = o.k AND lt.quoted <= lt.budget GROUP BY lt.tier, lt.ord),
 p AS (SELECT l.tier, l.ord, l.realized AS r, l.q, b.oq FROM lt l JOIN b ON b.tier = l.tier AND b.ord = l.ord WHERE rk = 1)
