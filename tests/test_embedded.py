@@ -13,6 +13,7 @@ from tollway.plans.route import route
 from tollway.plans.train import train
 from tollway.session import scratch_path
 from tollway.sources import artifacts, embeddings
+from tollway.streaming.route import FittedRouting, release
 
 IDENTITY = embeddings.EmbeddingIdentity("own", "lengths", "r1", "mean", False, "ab" * 32, 2)
 CATALOGUE = {m: Decimal("0.001") * (k + 1) for k, m in enumerate(sorted(MODELS))}
@@ -101,3 +102,37 @@ def test_identities_are_checked(change):
 def test_unknown_identity_fields_are_refused():
     with pytest.raises(ValueError, match="known fields"):
         embeddings.EmbeddingIdentity.from_json('{"provider": "own"}')
+
+
+def test_a_stream_takes_up_a_new_release(spark):
+    log = sample_log(spark)
+    known = vectors_of(log)
+    root = scratch_path(spark, "releases-test")
+    paths = [f"{root}/{name}" for name in ("linear", "stumps")]
+    train(log, TIERS, benchmark.LinearConfig(), paths[0], embedded=known)
+    train(log, TIERS, benchmark.StumpConfig(rounds=3), paths[1], embedded=known)
+    job = FittedRouting(f"{root}/releases", CATALOGUE, TIERS, f"{root}/out", ["example_id"], known)
+    with pytest.raises(ValueError, match="released"):
+        job._latest(spark)
+    wanted = []
+    for number, path in enumerate(paths, 1):
+        assert release(spark, job.releases, path) == number
+        new = log.select(F.concat("example_id", F.lit(f"-{number}")).alias("example_id"), "prompt")
+        new.write.mode("append").parquet(f"{root}/in")
+        job.start(spark.readStream.schema(new.schema).parquet(f"{root}/in"), f"{root}/progress").awaitTermination()
+        p = artifacts.load_predictor(spark, f"{path}/predictor", IDENTITY)
+        lambdas, _ = artifacts.load_policy(spark, f"{path}/policy")
+        batch = route(new, CATALOGUE, TIERS, lambdas, p.scorer, p.calibrators, ["example_id"], embedded=known)
+        wanted += [(*r, number) for r in batch.collect()]
+    assert sorted(map(repr, map(tuple, job.decisions(spark).collect()))) == sorted(map(repr, wanted))
+
+
+def test_a_stream_refuses_other_vectors(spark, saved):
+    log, path, _ = saved
+    root = scratch_path(spark, "refusal-test")
+    release(spark, f"{root}/releases", path)
+    other = embeddings.Embedded(replace(IDENTITY, revision="r2"), vectors_of(log).vectors)
+    with pytest.raises(ValueError, match="another embedding revision"):
+        FittedRouting(f"{root}/releases", CATALOGUE, TIERS, f"{root}/out", embedded=other)._latest(spark)
+    with pytest.raises(ValueError, match="other tiers"):
+        FittedRouting(f"{root}/releases", CATALOGUE, TIERS[:1], f"{root}/out", embedded=vectors_of(log))._latest(spark)

@@ -8,18 +8,21 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollway.catalog.learned import catalogue
+from tollway.catalog.learned import catalogue, shown_nano
+from tollway.catalog.learned_sql import trained_sql
 from tollway.catalog.ledgers import EVENTS_SQL, retention_steps
 from tollway.catalog.prompts import DEMO_SQL
 from tollway.catalog.registry import query, table
-from tollway.catalog.sample import sql_log, tiers
+from tollway.catalog.sample import dense_log, sql_log, tiers
 from tollway.functions.costs import micro
+from tollway.plans import benchmark
 from tollway.plans.route import route
+from tollway.plans.train import train
 from tollway.session import materialize, scratch_path
 from tollway.streaming import budgets
 from tollway.streaming.epochs import EpochTables
 from tollway.streaming.retention import RetentionStream
-from tollway.streaming.route import routed, start_routing
+from tollway.streaming.route import FittedRouting, release, routed, start_routing
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +44,19 @@ def stream_route_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(spark, path, decisions.schema).select("example_id", "tier", "decision", micro(F.col("quoted")).alias("quoted_micro"))
 
 
+@query("stream_route_fitted", "ST1 K6 S8 S11 B9", trained_sql())
+def stream_route_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream, routed by a released predictor that was trained on them."""
+
+    path, releases = scratch_path(spark, "trained-for-stream"), scratch_path(spark, "releases")
+    train(dense_log(spark, sf_dir), tiers(), benchmark.LinearConfig(), path)
+    release(spark, releases, path)
+    prompts = stream_of(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("example_id"), F.col("text").alias("prompt"))
+    job = FittedRouting(releases, catalogue(), tiers(), scratch_path(spark, "routed-fitted"), ["example_id"])
+    job.start(prompts, scratch_path(spark, "routed-fitted-progress")).awaitTermination()
+    return job.decisions(spark).select("example_id", "tier", "decision", micro(F.col("quoted")).alias("quoted_micro"), shown_nano())
+
+
 def event_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as calls: the charge is the value, the quote zero."""
 
