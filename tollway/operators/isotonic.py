@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,24 +50,28 @@ def calibration_pairs(cells: DataFrame, scorer: Scorer, plan: SubsetPlan, masks:
         held = set(group)
         part_scorer = scorer.only(group)
 
-        def rows(batches: Iterator[pd.DataFrame], held=held, part_scorer=part_scorer) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for domain, at in pdf.groupby("domain").indices.items():
-                    x = np.stack(pdf["x"].iloc[at].to_list())
-                    y = np.stack(pdf["y"].iloc[at].to_list())
-                    n = pdf["n"].to_numpy(dtype=float)[at]
+        def rows(batches: Iterator[pa.RecordBatch], held=held, part_scorer=part_scorer) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                matrix = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)  # noqa: E731, B023
+                x_all, y_all, n_all = matrix("x"), matrix("y"), batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+                names = batch.column("domain").dictionary_encode()
+                of_row = names.indices.to_numpy()
+                for d, domain in enumerate(names.dictionary.to_pylist()):
+                    at = np.flatnonzero(of_row == d)
+                    x, y, n = x_all[at], y_all[at], n_all[at]
                     bit = plan.bit(domain)
                     for mask in masks:
                         if mask & bit or (mask | bit) not in held:
                             continue
                         raw = part_scorer.score(x, mask | bit)
-                        for k in range(raw.shape[1]):
-                            yield pd.DataFrame(
-                                {"mask": mask, "model_pos": k, "ub": raw[:, k], "y": y[:, k], "n": n}
-                            )
+                        size, heads = raw.shape
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(size * heads, mask, np.int32)), pa.array(np.tile(np.arange(heads, dtype=np.int32), size)),
+                            pa.array(raw.ravel()), pa.array(y.ravel()), pa.array(np.repeat(n, heads)),
+                        ], names=["mask", "model_pos", "ub", "y", "n"])
 
         slim = cells.select("domain", "n", "x", F.col("sum_q").cast("array<double>").alias("y"))
-        part = slim.mapInPandas(rows, BLOCKS)
+        part = slim.mapInArrow(rows, BLOCKS)
         parts = part if parts is None else parts.unionByName(part)
     return parts
 

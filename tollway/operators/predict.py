@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,23 +24,48 @@ def _passes(scorer: Scorer, steps: Calibrators, masks: list[int]) -> list[list[i
     return groups
 
 
+def _features(x: pa.ListArray) -> np.ndarray:
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+
+
+def _nested(lists: np.ndarray, flat: np.ndarray, width: int) -> pa.ListArray:
+    """Per row so many lists of ``width`` entries each, from one flat buffer."""
+
+    inner = pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lists)).astype(np.int32)), pa.ListArray.from_arrays(inner, pa.array(flat)))
+
+
+def _left_out_udf(plan: SubsetPlan, masks: list[int], kind: str, scored):
+    """For each row the lists (mask, one value per model) of all subsets that left its domain out.
+
+    ``scored`` gives a matrix of values for feature rows and a subset.
+    """
+
+    def run(x: pa.Array, domain: pa.Array) -> pa.Array:
+        values = _features(x)
+        names = domain.dictionary_encode()
+        mine = [[m for m in masks if m & plan.bit(name)] for name in names.dictionary.to_pylist()]
+        of_row = names.indices.to_numpy()
+        lists = np.array([len(m) for m in mine], dtype=np.int64)[of_row] if mine else np.zeros(0, dtype=np.int64)
+        rows = [np.flatnonzero(of_row == k) for k in range(len(mine))]
+        blocks = [[scored(values[at], m) for m in own] for own, at in zip(mine, rows, strict=True)]
+        width = 1 + next((block.shape[1] for part in blocks for block in part), 0)
+        starts = (np.cumsum(lists) - lists) * width
+        flat = np.empty(int(lists.sum()) * width, dtype=np.int64 if kind == "bigint" else np.float64)
+        for own, at, part in zip(mine, rows, blocks, strict=True):
+            for i, (m, block) in enumerate(zip(own, part, strict=True)):
+                place = (starts[at] + i * width)[:, None] + np.arange(width)
+                flat[place[:, 0]] = m
+                flat[place[:, 1:]] = block
+        return _nested(lists, flat, width)
+
+    # the hints that say how a batch is passed are read at run time
+    run.__annotations__ = {"x": pa.Array, "domain": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, f"array<array<{kind}>>")
+
+
 def _excluding_udf(plan: SubsetPlan, scorer: Scorer, steps: Calibrators, masks: list[int]):
-    def run(x: pd.Series, domain: pd.Series) -> pd.Series:
-        result: list = [[]] * len(x)
-        for name, at in domain.groupby(domain).indices.items():
-            mine = [m for m in masks if m & plan.bit(name)]
-            if not mine:
-                continue
-            values = np.stack(x.iloc[at].to_list())
-            blocks = []
-            for m in mine:
-                nano = nano_array(steps.apply(scorer.score(values, m), m))
-                blocks.append(np.concatenate([np.full((len(nano), 1), m, dtype=np.int64), nano], axis=1))
-            for place, row in zip(at, np.stack(blocks, axis=1).tolist()):
-                result[place] = row
-        return pd.Series(result)
-
-    return F.pandas_udf(run, "array<array<bigint>>")
+    return _left_out_udf(plan, masks, "bigint", lambda x, m: nano_array(steps.apply(scorer.score(x, m), m)))
 
 
 def predict_excluding(rows: DataFrame, plan: SubsetPlan, scorer: Scorer, steps: Calibrators, masks: list[int]) -> DataFrame:
@@ -66,31 +91,20 @@ def predict_all(rows: DataFrame, scorer: Scorer, steps: Calibrators, mask: int =
 
     part_scorer, part_steps = scorer.only([mask]), steps.only([mask])
 
-    def run(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        values = np.stack(x.to_list())
-        return pd.Series(nano_array(part_steps.apply(part_scorer.score(values, mask), mask)).tolist())
+    def run(x: pa.Array) -> pa.Array:
+        values = _features(x)
+        nano = nano_array(part_steps.apply(part_scorer.score(values, mask), mask)) if len(values) else np.zeros((0, 0), dtype=np.int64)
+        width = nano.shape[1]
+        return pa.ListArray.from_arrays(pa.array((np.arange(len(nano) + 1) * width).astype(np.int32)), pa.array(nano.ravel()))
 
-    return rows.withColumn("predicted", F.pandas_udf(run, "array<bigint>")("x"))
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return rows.withColumn("predicted", F.arrow_udf(run, "array<bigint>")("x"))
 
 
 def raw_scores(rows: DataFrame, plan: SubsetPlan, scorer: Scorer, masks: list[int]) -> DataFrame:
     """Uncalibrated scores: (.., mask, scores) for every subset that left the row's domain out."""
 
-    def run(x: pd.Series, domain: pd.Series) -> pd.Series:
-        result: list = [[]] * len(x)
-        for name, at in domain.groupby(domain).indices.items():
-            mine = [m for m in masks if m & plan.bit(name)]
-            if not mine:
-                continue
-            values = np.stack(x.iloc[at].to_list())
-            blocks = [np.concatenate([np.full((len(at), 1), float(m)), scorer.score(values, m)], axis=1) for m in mine]
-            for place, row in zip(at, np.stack(blocks, axis=1).tolist()):
-                result[place] = row
-        return pd.Series(result)
-
-    udf = F.pandas_udf(run, "array<array<double>>")
+    udf = _left_out_udf(plan, masks, "double", scorer.score)
     part = rows.withColumn("_p", F.explode(udf("x", "domain")))
     return part.withColumn("mask", F.element_at("_p", 1).cast("int")).withColumn(
         "scores", F.slice("_p", F.lit(2), F.size("_p") - 1)
