@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -57,6 +58,24 @@ def test_matrix_and_lists_take_the_same_merges():
     assert vocab.merge_short(words) == [vocab.merge_long(w) for w in words]
 
 
+def test_very_long_words_equal_the_library(library):
+    vocab = bpe.vocabulary(PATH)
+    rng = np.random.default_rng(8)
+    start = time.perf_counter()
+    for letters, size in ((b"acgt", 300_000), (b"abcdefghijklmnopqrstuvwxyz", 300_000), (b"a", 1_000_000)):
+        word = bytes(rng.choice(list(letters), size=size)).decode()
+        assert vocab.encode_pieces([word])[0] == library.encode(word, add_special_tokens=False).ids
+    assert time.perf_counter() - start < 120
+
+
+def test_long_pieces_are_not_remembered(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "LONGEST", 4)
+    docs = documents(spark, ["one seventeen one", "seventeen two", "", "seventeen"])
+    assert rows_of(bpe.digests(docs.coalesce(1), PATH)) == sorted((r.doc_id, *expected(library, r.text)) for r in docs.collect())
+    ids = {r.doc_id: r.ids for r in bpe.encode(docs.coalesce(1), PATH).collect()}
+    assert ids[3] == library.encode("seventeen", add_special_tokens=False).ids
+
+
 def test_digests_of_the_whole_table(spark, sf_dir, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = queries.QUERIES["op2_rank_array_bpe"](spark, sf_dir).collect()
