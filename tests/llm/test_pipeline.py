@@ -57,4 +57,4 @@ def test_stages_stand_odd_rows(spark, sf_dir):
 
 def test_every_stage_is_one_operator():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontaminated", "pseudonyms", "tokens"]
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
