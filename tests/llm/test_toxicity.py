@@ -62,7 +62,75 @@ def test_held_out_labels_change_nothing(spark):
     assert rows_of(X.score(renamed, labels)) == rows_of(X.score(docs, labels))
 
 
-def test_label_model_finds_rates_without_labels():
+def counted(spark, votes, parts=3):
+    seen, count = np.unique(votes, return_counts=True)
+    return spark.createDataFrame(list(zip(seen.tolist(), count.tolist(), strict=True)), "votes long, n long").repartition(parts)
+
+
+def plain_model(votes, cliques, lexicons, rounds=60):
+    """Expectation maximization text by text, in plain numbers."""
+
+    n = len(votes)
+    p = [0.9 if v & lexicons else 0.01 for v in votes]
+    state = [[sum(((v >> one) & 1) << k for k, one in enumerate(c)) for v in votes] for c in cliques]
+    for _ in range(rounds):
+        weight = [[1 - x for x in p], p]
+        prior = min(max(sum(p) / n, 1e-4), 0.5)
+        silent = [(sum(w for w, v in zip(side, votes, strict=True) if not v & lexicons) + 0.01) / (sum(side) + 0.02) for side in weight]
+        rates = []
+        for c, of in zip(cliques, state, strict=True):
+            rates.append([])
+            for side in weight:
+                sums = [0.01] * (1 << len(c))
+                for s, w in zip(of, side, strict=True):
+                    sums[s] += w
+                rates[-1].append([x / sum(sums) for x in sums])
+        p = []
+        for i, v in enumerate(votes):
+            side = [1 - prior, prior]
+            for y in (0, 1):
+                for of, rate in zip(state, rates, strict=True):
+                    side[y] *= rate[y][of[i]] if of[i] else 1.0
+                side[y] *= 1.0 if v & lexicons else silent[y]
+            p.append(side[1] / sum(side))
+    return prior, silent, rates, p
+
+
+def test_label_model_equals_a_plain_one_over_all_combinations(spark):
+    rng = np.random.default_rng(11)
+    n, lexicons = 1500, 0b11111
+    y = rng.random(n) < 0.2
+    fire = np.stack([np.where(y, rng.random(n) < 0.4, rng.random(n) < 0.03) for _ in range(5)] + [rng.random(n) < 0.1 for _ in X.PATTERNS], axis=1)
+    votes = (fire << np.arange(9)).sum(axis=1).tolist()
+    cliques = [[0, 2], [1], [3, 4, 5], [6], [7], [8]]
+    prior, silent, rates, p = plain_model(votes, cliques, lexicons)
+    got = X.expect(counted(spark, votes), cliques, lexicons)
+    assert abs(got.prior - prior) < 1e-4 and np.abs(got.silent - silent).max() < 1e-4
+    assert max(np.abs(a - np.array(b)).max() for a, b in zip(got.rates, rates, strict=True)) < 1e-4
+    assert np.abs(got.posterior(np.array(votes)) - p).max() < 1e-3
+
+
+def test_label_model_does_not_depend_on_how_rows_are_dealt(spark):
+    rng = np.random.default_rng(12)
+    votes = rng.integers(0, 1 << 12, size=9000)  # some 3,600 combinations
+    lexicon = X.Lexicon(voter_of=list(range(8)))
+    one, many = (X.fit_label_model(counted(spark, votes, k), lexicon, X.Config()) for k in (1, 7))
+    assert one.cliques == many.cliques and one.prior == many.prior and all((a == b).all() for a, b in zip(one.rates, many.rates, strict=True))
+
+
+def test_sums_stay_exact_for_huge_numbers_of_texts():
+    votes, n = np.array([0, 1, 3]), np.array([(1 << 47) + 1, (1 << 33) + 5, 7])
+    sums = X.part_sums(votes, n, np.array([0.0, 1.0, 1.0]), [[0], [1]], 0b11, 2)
+    clean, toxic = sums[: len(sums) // 2], sums[len(sums) // 2 :]
+    assert [x // X.SHARES for x in clean] == [(1 << 47) + 1, (1 << 47) + 1, (1 << 47) + 1, 0, (1 << 47) + 1, 0, 0, 0, 0, 0]
+    assert [x // X.SHARES for x in toxic] == [(1 << 33) + 12, 0, 0, (1 << 33) + 12, (1 << 33) + 5, 7, (1 << 33) + 12, 7, 7, 7]
+
+
+def test_no_vote_combinations_give_no_model(spark):
+    assert X.fit_label_model(spark.createDataFrame([], "votes long, n long"), X.Lexicon(voter_of=[0]), X.Config()) is None
+
+
+def test_label_model_finds_rates_without_labels(spark):
     rng = np.random.default_rng(7)
     lexicon = X.Lexicon(voter_of=[0, 1, 2, 3])
     n = 20_000
@@ -70,14 +138,12 @@ def test_label_model_finds_rates_without_labels():
     fire = np.stack([np.where(y, rng.random(n) < a, rng.random(n) < b) for a, b in [(0.6, 0.001), (0.5, 0.002), (0.4, 0.001), (0.5, 0.001)]], axis=1)
     pattern = rng.random((n, len(X.PATTERNS))) < 0.05  # tell nothing
     votes = (np.concatenate([fire, pattern], axis=1) << np.arange(8)).sum(axis=1)
-    seen, count = np.unique(votes, return_counts=True)
-    model = X.fit_label_model(seen, count.astype(float), lexicon, X.Config())
+    model = X.fit_label_model(counted(spark, votes), lexicon, X.Config())
     guess = model.posterior(votes) > 0.5
     assert (guess == y).mean() > 0.985 and 0.07 < model.prior < 0.13
     twice = np.concatenate([fire, fire[:, :1], pattern], axis=1)  # one voter stands twice
     votes = (twice << np.arange(9)).sum(axis=1)
-    seen, count = np.unique(votes, return_counts=True)
-    model = X.fit_label_model(seen, count.astype(float), X.Lexicon(voter_of=[0, 1, 2, 3, 4]), X.Config())
+    model = X.fit_label_model(counted(spark, votes), X.Lexicon(voter_of=[0, 1, 2, 3, 4]), X.Config())
     assert any({0, 4} <= set(c) for c in model.cliques) and ((model.posterior(votes) > 0.5) == y).mean() > 0.985
 
 

@@ -233,43 +233,104 @@ class LabelModel:
         return p[1] / p.sum(axis=0)
 
 
-def _expect(votes: np.ndarray, n: np.ndarray, cliques: list[list[int]], lexicons: int, p: np.ndarray, rounds: int = 60) -> tuple[LabelModel, np.ndarray]:
-    """Expectation maximization from first posteriors p."""
+#: Posteriors are counted in whole shares and texts 16 bits of their number at a time, so that every sum of
+#: ``SUM_ROWS`` rows is a whole number below 2^53: the model is the same however the rows are dealt to tasks.
+SHARES, SUM_ROWS = 1 << 24, 4096
+
+
+def part_sums(votes: np.ndarray, n: np.ndarray, p: np.ndarray, cliques: list[list[int]], lexicons: int, pairs: int) -> list[int]:
+    """For clean, then toxic texts: their shares, those silent in all lexicons, those in each state of each clique,
+    and with ``pairs`` voters, those in which each two of them fire."""
+
+    toxic = np.rint(p * SHARES)
+    quiet = votes & lexicons == 0
+    states = [sum((((votes >> v) & 1) << k for k, v in enumerate(c)), np.zeros(len(votes), dtype=np.int64)) for c in cliques]
+    fired = ((votes[:, None] >> np.arange(pairs)) & 1).astype(float)
+    out = [0] * (2 * (2 + sum(1 << len(c) for c in cliques) + pairs * pairs))
+    for bits in range(0, 64, 16):
+        some = ((n >> bits) & 0xFFFF).astype(float)
+        if not some.any():
+            continue
+        found: list[float] = []
+        for w in ((SHARES - toxic) * some, toxic * some):
+            found += [w.sum(), w[quiet].sum()]
+            for clique, state in zip(cliques, states, strict=True):
+                found.extend(np.bincount(state, weights=w, minlength=1 << len(clique)))
+            found.extend(((fired * w[:, None]).T @ fired).ravel())
+        out = [o + (int(f) << bits) for o, f in zip(out, found, strict=True)]
+    return out
+
+
+def add_up(seen: DataFrame, chance, cliques: list[list[int]], lexicons: int, pairs: int = 0) -> np.ndarray:
+    """``part_sums`` of all vote combinations as texts, a row per class; each task hands on one row of sums."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, SUM_ROWS):
+                votes, n = (batch.column(c).slice(at, SUM_ROWS).to_numpy() for c in ("votes", "n"))
+                own = part_sums(votes, n, chance(votes), cliques, lexicons, pairs)
+                total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([[str(t) for t in total]], pa.list_(pa.string()))], names=["sums"])
+
+    out = [0] * (2 * (2 + sum(1 << len(c) for c in cliques) + pairs * pairs))
+    for row in seen.select("votes", "n").mapInArrow(run, "sums array<string>").collect():  # one row of fixed width per task
+        out = [a + int(b) for a, b in zip(out, row["sums"], strict=True)]
+    return np.array([t / SHARES for t in out]).reshape(2, -1)
+
+
+def model_of(sums: np.ndarray, cliques: list[list[int]], lexicons: int) -> LabelModel:
+    """Rates from summed shares, lightly smoothed."""
 
-    total = n.sum()
+    weight = sums[:, 0]
+    model = LabelModel(float(np.clip(weight[1] / weight.sum(), 1e-4, 0.5)), cliques, [], lexicons, (sums[:, 1] + 0.01) / (weight + 0.02))
+    at = 2
+    for clique in cliques:
+        rate = sums[:, at : at + (1 << len(clique))] + 0.01
+        model.rates.append(rate / rate.sum(axis=1, keepdims=True))
+        at += 1 << len(clique)
+    return model
+
+
+def expect(seen: DataFrame, cliques: list[list[int]], lexicons: int, rounds: int = 60) -> LabelModel | None:
+    """Expectation maximization, a job per round over all vote combinations; None if there are none.
+
+    At first, texts on which a lexicon fires are taken as toxic at 0.9, others at 0.01.
+    """
+
+    model, chance = None, lambda votes: np.where(votes & lexicons > 0, 0.9, 0.01)
     for _ in range(rounds):
-        weight = np.stack([(1 - p) * n, p * n])
-        quiet = (weight[:, votes & lexicons == 0].sum(axis=1) + 0.01) / (weight.sum(axis=1) + 0.02)
-        model = LabelModel(float(np.clip(weight[1].sum() / total, 1e-4, 0.5)), cliques, [], lexicons, quiet)
-        for clique in cliques:
-            state = model.states(votes, clique)
-            rate = np.stack([np.bincount(state, weights=w, minlength=1 << len(clique)) for w in weight]) + 0.01
-            model.rates.append(rate / rate.sum(axis=1, keepdims=True))
-        new = model.posterior(votes)
-        if np.abs(new - p).max() < 1e-9:
+        sums = add_up(seen, chance, cliques, lexicons)
+        if not sums[:, 0].sum():
+            return None
+        last, model = model, model_of(sums, cliques, lexicons)
+        if last and max(np.abs(a - b).max() for a, b in zip([last.silent, *last.rates], [model.silent, *model.rates], strict=True)) < 1e-7:
             break
-        p = new
-    return model, p
+        chance = model.posterior
+    return model
 
 
-def fit_label_model(votes: np.ndarray, n: np.ndarray, lexicon: Lexicon, config: Config) -> LabelModel:
-    """Voters' rates from vote combinations and their numbers, without labels.
+def fit_label_model(seen: DataFrame, lexicon: Lexicon, config: Config) -> LabelModel | None:
+    """Voters' rates from all (votes, n), combinations of votes and how many texts have each, without labels.
 
     First all voters count as independent.  Then pairs whose votes are correlated within the classes, by more than
-    ``config.correlation``, are put into cliques of up to three, and the rates are estimated again.
+    ``config.correlation``, are put into cliques of up to three, and the rates are estimated again.  The driver
+    gets sums by clique state and by pair of voters, never the combinations.
     """
 
     m = lexicon.voters
-    fired = ((votes[:, None] >> np.arange(m)) & 1).astype(float)
     lexicons = (1 << lexicon.lexicon_voters) - 1
-    first = np.where(votes & lexicons > 0, 0.9, 0.01)
-    _, p = _expect(votes, n, [[v] for v in range(m)], lexicons, first)
+    alone = expect(seen, [[v] for v in range(m)], lexicons)
+    if alone is None:
+        return None
     strength = []
-    for w in ((1 - p) * n, p * n):
-        if w.sum() < 50:
+    for row in add_up(seen, alone.posterior, [], lexicons, m):
+        if row[0] < 50:
             continue
-        mean = (w[:, None] * fired).sum(0) / w.sum()
-        cov = (fired * w[:, None]).T @ fired / w.sum() - np.outer(mean, mean)
+        both = row[2:].reshape(m, m) / row[0]
+        mean = np.diag(both)
+        cov = both - np.outer(mean, mean)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         strength += [(abs(cov[a, b]) / (sd[a] * sd[b]) if min(sd[a], sd[b]) > 1e-5 else 0.0, a, b) for a in range(m) for b in range(a)]
     member = {v: [v] for v in range(m)}
@@ -279,8 +340,7 @@ def fit_label_model(votes: np.ndarray, n: np.ndarray, lexicon: Lexicon, config:
             one += two
             for v in two:
                 member[v] = one
-    cliques = [c for v, c in member.items() if c[0] == v]
-    return _expect(votes, n, cliques, lexicons, first)[0]
+    return expect(seen, [c for v, c in member.items() if c[0] == v], lexicons)
 
 
 def fit_linear(rows: list[list[int]], target: np.ndarray, size: int, config: Config) -> np.ndarray:
@@ -318,13 +378,14 @@ def score(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Data
     rows = sample(docs, labels, config)
     lexicon = gather_lexicon(rows, config)
     found = materialize(hits_table(docs, lexicon), "hits")
-    patterns_seen = found.filter(may_learn(F.col("doc_id"))).groupBy("votes").agg(F.count("*").alias("n"))
-    seen = sorted((r["votes"], r["n"]) for r in _bounded(patterns_seen, lexicon.voters))
     size = len(lexicon.voter_of) + len(PATTERNS)
     weights = np.zeros(size + 1)
     weights[size] = -4.0
-    if seen and lexicon.voter_of:
-        model = fit_label_model(np.array([s[0] for s in seen], dtype=np.int64), np.array([s[1] for s in seen], dtype=float), lexicon, config)
+    model = None
+    if lexicon.voter_of:
+        seen = found.filter(may_learn(F.col("doc_id"))).groupBy("votes").agg(F.count("*").alias("n"))
+        model = fit_label_model(materialize(seen, "votes"), lexicon, config)
+    if model:
         hits = sorted(list(r["hits"]) for r in hits_table(rows, lexicon).select("hits").toLocalIterator())  # a few numbers of each sampled row
         weights = fit_linear(hits, model.posterior(np.array([lexicon.votes(h) for h in hits], dtype=np.int64)), size, config)
     values = F.array(*[F.lit(float(w)) for w in weights[:size]])
@@ -332,9 +393,3 @@ def score(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Data
     chance = 1 / (1 + F.exp(-total))
     out = found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"), chance.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= config.threshold).cast("int"))
-
-
-def _bounded(patterns_seen: DataFrame, voters: int) -> list:
-    """Vote combinations with their numbers.  Those of over 2^18, the rarest, are left to the classifier, which needs no rate for them."""
-
-    return patterns_seen.orderBy(F.desc("n"), "votes").limit(min(1 << voters, 1 << 18)).collect()
