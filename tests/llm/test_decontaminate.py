@@ -94,3 +94,52 @@ def test_align_equals_cells():
         a, b = rng.integers(0, 4, size=rng.integers(1, 12)), rng.integers(0, 4, size=rng.integers(0, 30))
         words = lambda x: " ".join("abcd"[i] for i in x)
         assert D.align(a, b, D.Match())[0] == (round(full_score(words(a), words(b)) * 2 * len(a)) if len(b) else 0)
+
+
+def edited(words, rng, share, common):
+    """A copy with a share of its words changed, left out or followed by another."""
+
+    out = []
+    for w in words:
+        kind = rng.random()
+        if kind < share / 3:
+            out.append(str(rng.choice(common)))
+        elif kind < 2 * share / 3:
+            continue
+        else:
+            out += [w, str(rng.choice(common))] if kind < share else [w]
+    return out
+
+
+def zipf_words(rng, n, vocabulary, rank):
+    return [vocabulary[i] for i in np.minimum(rng.zipf(1.3, size=n) + rank - 1, len(vocabulary) - 1)]
+
+
+@pytest.mark.parametrize("least, most", [(5, 9), (10, 19), (20, 39), (40, 80)])
+def test_edited_copies_are_found_as_by_full_alignment(spark, least, most):
+    rng = np.random.default_rng(least)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    items = [zipf_words(rng, int(rng.integers(least, most + 1)), vocabulary, 0) for _ in range(40)]
+    texts = [" ".join(zipf_words(rng, 20, vocabulary, 0) + edited(item, rng, share, vocabulary[:50]) + zipf_words(rng, 20, vocabulary, 0)) for item in items for share in (0.1, 0.25, 0.4)]
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(documents(spark, texts), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()}
+    known = D.read_items([(i, " ".join(w)) for i, w in enumerate(items)])
+    want = {(d, i) for d, t in enumerate(texts) for i, seq in enumerate(known.sequences) if D.align(seq, D.numbered(D.fold(t), known), D.Match())[0] / (2 * len(seq)) >= 0.5 and i == d // 3}
+    assert len(want) > 60 and len(want & got) >= 0.9 * len(want)
+
+
+def test_other_documents_change_no_row(spark, items):
+    words = ITEM.split()
+    own = [f"{filler(20, i)} {' '.join(w for j, w in enumerate(words) if (j + i) % 5)}" for i in range(10)] + [filler(30, 77)]
+    want = rows_of(D.contaminated(documents(spark, own), items))
+    more = documents(spark, own + [filler(400, 1000 + i) for i in range(200)])
+    assert want and rows_of(D.contaminated(more, items)) == want
+
+
+def test_repeated_items_are_aligned_once_and_all_reported(spark, monkeypatch):
+    monkeypatch.setattr(D, "PASS_BYTES", 4 * len(ITEM))
+    items = spark.createDataFrame([(i, ITEM) for i in range(300)] + [(7, ITEM), (None, ITEM), (900, None)], "item_id long, text string")
+    docs = documents(spark, [f"{filler(9, 1)} {ITEM}", filler(9, 2)])
+    assert len(list(D.item_passes(docs, items, D.Match()))) == 1
+    got = D.contaminated(docs, items).collect()
+    assert sorted((r.item_id is None, r.item_id) for r in got if r.item_id is not None) == sorted((False, i) for i in [*range(300), 7])
+    assert len(got) == 302 and {(r.doc_id, r.score) for r in got} == {(0, 1.0)}

@@ -1,12 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are the word n-grams of the test items that the corpus' own word shares make unlikely; a
-frequent passage thus keeps its seeds however often it was copied.  A document and an item that
-share a seed are aligned locally, word by word, around the shared seeds; the score is the best
-alignment's as a share of what a whole copy of the item scores.
-
-The seeds go to the tasks with the job.  Test items are taken in passes of at most ``PASS_BYTES`` of
-text, so this stays bounded for a test collection of any size.  Nothing is shuffled but word counts.
+Seeds are the word n-grams of the test items that the corpus' own word shares make unlikely, by one
+limit for a corpus of any size; a frequent passage thus keeps its seeds however often it was copied.
+Of short items all n-grams are seeds.  A document and an item that share a seed are aligned locally,
+word by word, around the shared seeds; the score is the best alignment's as a share of what a whole
+copy of the item scores.
+
+Items are aligned once per different text, and found texts are joined back to the items that have them.
+The seeds go to the tasks with the job.  Texts are taken in passes of about ``PASS_BYTES``, so this stays
+bounded for a test collection of any size and for items that repeat.  Nothing is shuffled but word counts.
 """
 
 from __future__ import annotations
@@ -26,15 +28,18 @@ from pyspark.sql import functions as F
 from tollway.llm.common import map_slices, utf8
 
 PASS_BYTES = 8 << 20
+_MIX = np.int64(0x1E3779B97F4A7C15)  # any odd number with mixed bits
 _FOLD = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(128)).lower() + bytes(range(128, 256))
 
 
 @dataclass(frozen=True)
 class Match:
-    """Seed length in words, least surprise of a seed in bits, alignment scores and the least share of a whole copy's score."""
+    """Seed length in words, least surprise of a seed in bits, words from which an item does without its common
+    n-grams, alignment scores and the least share of a whole copy's score."""
 
     seed_words: int = 3
     seed_bits: float = 27.0
+    long_item: int = 20
     hit: int = 2
     miss: int = -1
     gap: int = -1
@@ -99,20 +104,25 @@ def word_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     return out, total
 
 
+def gram_codes(words: np.ndarray, k: int) -> np.ndarray:
+    """A number for the k words from each place on; different n-grams with one number cost an alignment, no result."""
+
+    n = len(words) - k + 1
+    code = np.zeros(n, dtype=np.int64)
+    for j in range(k):
+        code = (code ^ words[j : j + n]) * _MIX  # wraps round at 64 bits
+        code ^= code >> 29
+    return code
+
+
 def add_seeds(items: Items, counts: np.ndarray, total: int, match: Match) -> Items:
-    """Seeds of each item: n-grams that are unlikely enough, and the less likely half of all in any case.
+    """Seeds of each item: n-grams with a surprise of ``seed_bits``, and the less likely half of all in any case.
 
-    Unlikely enough is a surprise of ``seed_bits``, or, in a corpus so small that fewer do, less than
-    one expected place in it by chance.
-    An item shorter than a seed is one seed as a whole.
+    Of items below ``long_item`` words every n-gram is a seed; one shorter than a seed is a seed as a whole.
     """
 
     k = match.seed_words
     bits = -np.log2(np.maximum(counts, 1) / max(total, 1))
-    least = min(match.seed_bits, math.log2(max(total, 2)))
-    span = len(items.words) + 1
-    if math.log2(span) * k > 62:
-        raise ValueError("too many different words in a pass for seeds of this length")
     codes, owner, offset = [], [], []
     items.short = defaultdict(list)
     for i, words in enumerate(items.sequences):
@@ -120,12 +130,11 @@ def add_seeds(items: Items, counts: np.ndarray, total: int, match: Match) -> Ite
             items.short[tuple(words.tolist())].append(i)
             continue
         n = len(words) - k + 1
-        code, surprise = np.zeros(n, dtype=np.int64), np.zeros(n)
-        for j in range(k):
-            code = code * span + words[j : j + n]
-            surprise += bits[words[j : j + n]]
-        rare = np.union1d(np.flatnonzero(surprise >= least), np.argsort(-surprise, kind="stable")[: (n + 1) // 2])
-        codes.append(code[rare])
+        surprise = sum(bits[words[j : j + n]] for j in range(k))
+        rare = np.arange(n)
+        if len(words) >= match.long_item:
+            rare = np.union1d(np.flatnonzero(surprise >= match.seed_bits), np.argsort(-surprise, kind="stable")[: (n + 1) // 2])
+        codes.append(gram_codes(words, k)[rare])
         owner.append(np.full(len(rare), i))
         offset.append(rare)
     flat = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (codes, owner, offset)]
@@ -168,10 +177,7 @@ def found_in(words: np.ndarray, items: Items, match: Match) -> Iterator[tuple[in
     at = np.flatnonzero(whole)
     if not len(at):
         return
-    span = len(items.words) + 1
-    code = np.zeros(len(at), dtype=np.int64)
-    for j in range(k):
-        code = code * span + words[at + j]
+    code = gram_codes(words, k)[at]
     low, high = np.searchsorted(items.codes, code), np.searchsorted(items.codes, code, side="right")
     hits = defaultdict(list)
     for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
@@ -195,15 +201,19 @@ def found_in(words: np.ndarray, items: Items, match: Match) -> Iterator[tuple[in
             yield i, best[0], best[1]
 
 
+def text_key() -> F.Column:
+    return F.sha2(F.col("text"), 256).alias("key")
+
+
 def item_passes(docs: DataFrame, items: DataFrame, match: Match) -> Iterator[Items]:
-    """Items with their seeds, ``PASS_BYTES`` of their text at a time."""
+    """Different item texts by their keys, with seeds, some ``PASS_BYTES`` of text at a time."""
 
-    rows = items.select("item_id", "text")
+    rows = items.filter(F.col("text").isNotNull()).select(text_key(), "text").dropDuplicates(["key"])
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, math.ceil(1.25 * size / PASS_BYTES))
     for k in range(passes):
-        part = rows if passes == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        found = read_items([(r["item_id"], r["text"]) for r in part.toLocalIterator()])
+        part = rows if passes == 1 else rows.filter(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
+        found = read_items([(r["key"], r["text"]) for r in part.toLocalIterator()])
         if found.ids:
             yield add_seeds(found, *word_counts(docs, found), match)
 
@@ -217,8 +227,7 @@ def contaminated(docs: DataFrame, items: DataFrame, match: Match = Match()) -> D
     """
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kind = items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id long, item_id {kind}, score double, end_word long"
+    schema = "doc_id long, key string, score double, end_word long"
 
     def one(known: Items) -> DataFrame:
         names = pa.array(known.ids)
@@ -235,12 +244,13 @@ def contaminated(docs: DataFrame, items: DataFrame, match: Match = Match()) -> D
                     score.append(s)
                     end.append(e)
             chosen = names.take(pa.array(item, pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), chosen, pa.array(score, pa.float64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "score", "end_word"])
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), chosen, pa.array(score, pa.float64()), pa.array(end, pa.int64())], names=["doc_id", "key", "score", "end_word"])
 
         return map_slices(rows, work, schema)
 
     parts = [one(known) for known in item_passes(rows, items, match)]
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+    found = reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+    return found.join(items.select("item_id", text_key()), "key").select("doc_id", "item_id", "score", "end_word")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, match: Match = Match()) -> DataFrame:
