@@ -9,7 +9,7 @@ from tollway.catalog.baselines import SHOWN_SQL, SQL_CALLS, shown_results
 from tollway.catalog.registry import query
 from tollway.catalog.sample import DENSE_BUDGETS, TIGHT_BUDGETS, predicted_log, sql_log, tiers
 from tollway.functions.costs import micro
-from tollway.operators import lambdas, policies
+from tollway.operators import lambdas, policies, tuning
 from tollway.operators.folds import domain_list, with_folds
 from tollway.operators.ledger import replay
 
@@ -189,10 +189,13 @@ POOLED = {"fast": 12000000, "balanced": 30000000, "premium": 60000000}
 _POOL_VALUES = ", ".join(f"({n}, {d})" for n, d in POOL_GRID)
 
 
-@query("cumulative_lambda_tuning", "L8 R3 J7", f"""WITH RECURSIVE {scored_sql(POOLED)}, grid(num, den) AS (VALUES {_POOL_VALUES}),
+def _pool_sql(grid: str, meet: str) -> str:
+    """Every grid value of every ledger replayed call by call, then the best feasible one."""
+
+    return f"""WITH RECURSIVE {scored_sql(POOLED)}, {grid},
 cand AS (SELECT tag, tier, ord, any_value(budget) AS budget, row_number() OVER (PARTITION BY tag, tier ORDER BY ord) AS rn,
   list({{'id': model_id, 'quoted': quoted, 'realized': realized, 'q': q, 'nano': nano, 'pico': pico}} ORDER BY quoted) AS c FROM sc GROUP BY tag, tier, ord),
-ranked AS (SELECT num, den, tag, tier, rn, budget, list_sort(list_transform(c, lambda v: {{'u': -(den * 1000 * v.nano - num * v.pico), 'quoted': v.quoted, 'id': v.id, 'realized': v.realized, 'q': v.q}})) AS c FROM cand, grid),
+ranked AS (SELECT num, den, tag, tier, rn, budget, list_sort(list_transform(c, lambda v: {{'u': -(den * 1000 * v.nano - num * v.pico), 'quoted': v.quoted, 'id': v.id, 'realized': v.realized, 'q': v.q}})) AS c FROM cand {meet}),
 run AS (
   SELECT num, den, tag, tier, CAST(0 AS BIGINT) AS rn, CAST(any_value(budget) AS BIGINT) AS balance, CAST(0 AS BIGINT) AS q, CAST(0 AS BIGINT) AS spend, CAST(0 AS BIGINT) AS bad FROM ranked GROUP BY num, den, tag, tier
   UNION ALL
@@ -202,7 +205,10 @@ run AS (
     FROM run r JOIN ranked s ON s.num = r.num AND s.den = r.den AND s.tag = r.tag AND s.tier = r.tier AND s.rn = r.rn + 1)),
 done AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY num, den, tag, tier ORDER BY rn DESC) = 1)
 SELECT tag, tier, round(num::DOUBLE / den, 9) AS lam, q AS q_milli, spend AS spend_micro FROM done WHERE bad = 0
-QUALIFY row_number() OVER (PARTITION BY tag, tier ORDER BY q DESC, spend, num::DOUBLE / den) = 1""")
+QUALIFY row_number() OVER (PARTITION BY tag, tier ORDER BY q DESC, spend, num::DOUBLE / den) = 1"""
+
+
+@query("cumulative_lambda_tuning", "L8 R3 J7", _pool_sql(f"grid(num, den) AS (VALUES {_POOL_VALUES})", ", grid"))
 def cumulative_lambda_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best grid value per source and tier when the source's queries share one budget."""
 
@@ -212,3 +218,23 @@ def cumulative_lambda_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tag", "tier", F.round(lambdas.lambda_value(F.col("num"), F.col("den")), 9).alias("lam"),
         (F.col("quality_sum") * 1000).cast("bigint").alias("q_milli"), micro(F.col("spend")).alias("spend_micro"),
     )
+
+
+# Brute force: zero and every root of two models of one prompt.
+_POOL_ROOTS = """aff AS (SELECT * FROM sc WHERE quoted <= budget),
+rt AS (SELECT a.tag, a.tier, a.nano - b.nano AS dq, a.pico - b.pico AS dc,
+    (2 * (a.nano - b.nano) * 10000000000000000000000000000::HUGEINT + (a.pico - b.pico)) // (2 * (a.pico - b.pico)) AS key
+  FROM aff a JOIN aff b USING (tag, tier, example_id) WHERE a.pico > b.pico AND a.nano >= b.nano),
+grid AS (SELECT tag, tier, min(dq) * 1000 AS num, arg_min(dc, dq) AS den FROM rt GROUP BY tag, tier, key UNION ALL SELECT DISTINCT tag, tier, 0, 1 FROM sc)"""
+
+
+@query("shared_budget_lambda", "L8 R3 J7", _pool_sql(_POOL_ROOTS, "JOIN grid USING (tag, tier)"))
+def shared_budget_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best of all lambdas per source and tier when the source's queries share one budget; the SQL tries every root."""
+
+    log = predicted_log(spark, sf_dir).withColumn("tag", F.col("observable_tag"))
+    best = tuning.tune_shared_budget(log, tiers(POOLED), ["tag"])
+    return best.select(
+        "tag", "tier", F.round(lambdas.lambda_value(F.col("num"), F.col("den")), 9).alias("lam"),
+        (F.col("quality_sum") * 1000).cast("bigint").alias("q_milli"), micro(F.col("spend")).alias("spend_micro"),
+    )

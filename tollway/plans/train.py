@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tollway.functions import fingerprint
 from tollway.functions.encode import FEATURE_NAMES
 from tollway.functions.sizing import small_copy
-from tollway.operators import lambdas, predict
+from tollway.operators import lambdas, predict, tuning
 from tollway.plans.benchmark import Config, Fitted, Prepared, fit, prepare_fits, tune
 from tollway.schema import TierSpec
 from tollway.sources import artifacts
@@ -40,7 +40,7 @@ def train(
 
     The deployable fit leaves no domain out.  Lambdas come from predictions by the fits
     that never saw a row's own domain, under per-query budgets (full search) or a budget
-    shared by the ordered log (given grid).  With ``embedded``, each prompt's vector joins its surface
+    shared by the ordered log (exact search, or a given grid).  With ``embedded``, each prompt's vector joins its surface
     features, and the identity of the vectors is saved with the predictor.
     """
 
@@ -59,9 +59,10 @@ def train(
     if ledger == "per_query":
         selection, strategy = tune(p, crossed, [], cap), "exhaustive" if cap is None else "bounded-hash-sample"
     elif ledger == "cumulative":
-        if not grid:
-            raise ValueError("a shared budget is tuned on a given grid")
-        selection, strategy = lambdas.tune_cumulative(rows, tiers, grid), "given-grid"
+        if grid:
+            selection, strategy = lambdas.tune_cumulative(rows, tiers, grid), "given-grid"
+        else:
+            selection, strategy = tuning.tune_shared_budget(rows, tiers), "exhaustive"
     else:
         raise ValueError(f"unknown ledger {ledger!r}")
     selection = small_copy(selection, len(tiers), "selections")
