@@ -124,6 +124,36 @@ def test_nearest_step_join_equals_local_lookup(spark):
         assert got[i] == min(np.searchsorted(ub, s, side="left"), 59)
 
 
+def test_steps_are_found_in_small_groups(spark):
+    rng = np.random.default_rng(8)
+    ub = np.sort(rng.choice(np.arange(0, 3000) / 1000, 900, replace=False))
+    steps = [("a", float(u), float(i)) for i, u in enumerate(ub)] + [("b", 1.5, 7.0)]
+    # A third of all points are one value, equal to a bound; one key has no steps.
+    points = [("a", i, float(ub[450]) if i % 3 == 0 else float(s)) for i, s in enumerate(rng.integers(-100, 3200, 2400) / 1000)]
+    points += [("b", 2400, 9.0), ("b", 2401, 0.0), ("c", 2402, 1.0)]
+    p = spark.createDataFrame(points, "k string, i int, s double")
+    t = spark.createDataFrame(steps, "k string, ub double, value double")
+    for group in (40, 100_000):
+        got = {r["i"]: r["value"] for r in next_step(p, t, ["k"], "s", "ub", "value", group).collect()}
+        assert len(got) == 2403 and (got[2400], got[2401], got[2402]) == (7.0, 7.0, None)
+        assert all(got[i] == min(np.searchsorted(ub, s, side="left"), 899) for k, i, s in points if k == "a")
+    none = next_step(p, t.limit(0), ["k"], "s", "ub", "value")
+    assert none.count() == 2403 and none.where("value is not null").isEmpty()
+    assert next_step(p.limit(0), t, ["k"], "s", "ub", "value").isEmpty()
+
+
+def test_falls_are_found_within_and_across_ranges(spark):
+    rows = [(k, i / 100, float(i // 5)) for k in range(2) for i in range(400)]
+    schema = "k int, ub double, value double"
+    assert prefix.falls(spark.createDataFrame(rows, schema), ["k"], "ub", "value").isEmpty()
+    for at in (1, 57, 200, 399):
+        bad = rows[:at] + [(0, at / 100, -1.0)] + rows[at + 1:]
+        found = prefix.falls(spark.createDataFrame(bad, schema), ["k"], "ub", "value").collect()
+        assert [(r["k"], r["ub"]) for r in found] == [(0, at / 100)]
+    twice = prefix.falls(spark.createDataFrame([*rows, (1, 2.0, 500.0)], schema), ["k"], "ub", "value").collect()
+    assert {r["k"] for r in twice} == {1}
+
+
 def test_running_totals_with_a_hot_key(spark):
     rows = [("hot", i, Decimal(i % 7)) for i in range(3000)] + [(f"k{i % 50}", i, Decimal(1)) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, i bigint, v decimal(28,12)").repartition(5)

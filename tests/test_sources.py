@@ -244,6 +244,32 @@ def test_train_save_load_route(spark, tmp_path, config):
             artifacts.verify_policy(spark, f"{path}/policy", f"{path}/predictor", bad_log, bad_tiers)
 
 
+def test_steps_beyond_a_task_give_the_same_scores(spark, tmp_path, monkeypatch):
+    from tollway.operators import isotonic, predict
+    from tollway.operators.scoring import Calibrators, StepTable
+
+    log = sample_log(spark)
+    near = train(log, TIERS, benchmark.LinearConfig(), str(tmp_path / "near"))
+    monkeypatch.setattr(isotonic, "MAX_LOCAL_STEPS", 1)
+    far = train(log, TIERS, benchmark.LinearConfig(), str(tmp_path / "far"))
+    assert isinstance(near.fitted.calibrators, Calibrators) and isinstance(far.fitted.calibrators, StepTable)
+    assert near.lambdas == far.lambdas
+    loaded = artifacts.load_predictor(spark, str(tmp_path / "far/predictor"))
+    assert isinstance(loaded.calibrators, StepTable)
+    cells = benchmark.prepare_fits(log, TIERS)
+    shown = lambda df: sorted(map(str, df.select("example_id", "mask", "predicted").collect()))
+    masks = cells.plan.masks(1)
+    a = predict.predict_excluding(cells.features, cells.plan, near.fitted.scorer, near.fitted.calibrators, masks)
+    b = predict.predict_excluding(cells.features, cells.plan, far.fitted.scorer, far.fitted.calibrators, masks)
+    assert shown(a) == shown(b) and a.count() == 8
+    whole = lambda f, c: shown(predict.predict_all(cells.features, f, c).withColumn("mask", F.lit(0)))
+    assert whole(near.fitted.scorer, near.fitted.calibrators) == whole(loaded.scorer, loaded.calibrators)
+    broken = spark.read.parquet(str(tmp_path / "far/predictor/steps")).withColumn("value", -F.col("value") * F.col("ub"))
+    broken.unionByName(broken.withColumn("value", F.col("value") + 1)).write.parquet(str(tmp_path / "steps"))
+    with pytest.raises(ValueError, match="out of order"):
+        artifacts.check_steps(isotonic.load(spark.read.parquet(str(tmp_path / "steps")).withColumn("model_pos", F.lit(0))))
+
+
 def test_shared_budget_training(spark, tmp_path):
     from tollway.schema import TierSpec
 

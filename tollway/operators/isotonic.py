@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from tollway.operators.folds import SubsetPlan
 from tollway.operators.prefix import RANGE, next_step, range_bounds, with_range
-from tollway.operators.scoring import Calibrators, Scorer, mask_passes
+from tollway.operators.scoring import Calibrators, Scorer, StepTable, mask_passes
 from tollway.session import materialize
 
 BLOCKS = "mask int, model_pos int, ub double, y double, n double"
-# Blocks of one key that a pooling task takes in, and blocks a scoring task can hold.
+# Blocks of one key that a pooling task takes in, and steps that a scoring task holds at most.
 GROUP_BLOCKS = 50_000
 MAX_LOCAL_STEPS = 4_000_000
 
@@ -132,14 +132,14 @@ def fit(pairs: DataFrame, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
         cut = placed.select(*keys, group.alias(RANGE), "ub", "y", "n")
 
 
-def load(steps: DataFrame) -> Calibrators:
-    """Step tables as task state; a table too long for that is used by ``next_step`` instead."""
+def load(steps: DataFrame) -> Calibrators | StepTable:
+    """A written step table as task state, or as the table it is when it is too long for that."""
 
-    rows = steps.select("mask", "model_pos", "ub", "value").limit(MAX_LOCAL_STEPS + 1).toPandas()
-    if len(rows) > MAX_LOCAL_STEPS:
-        raise ValueError("calibration steps exceed a task's memory; look them up with prefix.next_step")
+    slim = steps.select("mask", "model_pos", "ub", "value")
+    if slim.count() > MAX_LOCAL_STEPS:
+        return StepTable(slim)
     out = {}
-    for (mask, k), part in rows.sort_values(["mask", "model_pos", "ub"]).groupby(["mask", "model_pos"]):
+    for (mask, k), part in slim.toPandas().sort_values(["mask", "model_pos", "ub"]).groupby(["mask", "model_pos"]):
         out[(int(mask), int(k))] = (part["ub"].to_numpy(), part["value"].to_numpy())
     return Calibrators(out)
 

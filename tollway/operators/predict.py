@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollway.operators.folds import SubsetPlan
-from tollway.operators.scoring import SHIP_BYTES, Calibrators, Scorer, nano_array
+from tollway.operators.isotonic import apply_steps
+from tollway.operators.scoring import SHIP_BYTES, Calibrators, Scorer, StepTable, mask_passes, nano_array
+from tollway.session import materialize
 
 
 def _passes(scorer: Scorer, steps: Calibrators, masks: list[int]) -> list[list[int]]:
@@ -68,7 +70,21 @@ def _excluding_udf(plan: SubsetPlan, scorer: Scorer, steps: Calibrators, masks:
     return _left_out_udf(plan, masks, "bigint", lambda x, m: nano_array(steps.apply(scorer.score(x, m), m)))
 
 
-def predict_excluding(rows: DataFrame, plan: SubsetPlan, scorer: Scorer, steps: Calibrators, masks: list[int]) -> DataFrame:
+def _calibrated(scored: DataFrame, steps: StepTable) -> DataFrame:
+    """``scores`` of rows with ``mask`` replaced by ``predicted``, looked up in a step table of any length."""
+
+    written = materialize(scored.withColumn("_rid", F.monotonically_increasing_id()), "scored")
+    long = written.select("_rid", "mask", F.posexplode("scores").alias("model_pos", "score"))
+    value = F.col("value")
+    whole = F.when(
+        value.isNull() | F.isnan(value) | (F.abs(value) >= 10), F.raise_error(F.lit("prediction must be finite and below 10 in size"))
+    ).otherwise(F.rint(value * 1e9).cast("bigint"))
+    found = apply_steps(long, steps.steps).select("_rid", F.struct("model_pos", whole.alias("q")).alias("_v"))
+    lists = found.groupBy("_rid").agg(F.transform(F.array_sort(F.collect_list("_v")), lambda v: v["q"]).alias("predicted"))
+    return written.join(lists, "_rid").drop("_rid", "scores")
+
+
+def predict_excluding(rows: DataFrame, plan: SubsetPlan, scorer: Scorer, steps: Calibrators | StepTable, masks: list[int]) -> DataFrame:
     """One output row per input row and context that left the row's domain out.
 
     Adds ``mask`` and ``predicted`` (billionths, catalogue order).  Only the feature
@@ -76,6 +92,11 @@ def predict_excluding(rows: DataFrame, plan: SubsetPlan, scorer: Scorer, steps:
     """
 
     out = None
+    if isinstance(steps, StepTable):
+        for group in mask_passes(scorer, masks):
+            part = raw_scores(rows, plan, scorer.only(group), group)
+            out = part if out is None else out.unionByName(part)
+        return _calibrated(out, steps.only(masks))
     for group in _passes(scorer, steps, masks):
         udf = _excluding_udf(plan, scorer.only(group), steps.only(group), group)
         part = rows.withColumn("_p", F.explode(udf("x", "domain")))
@@ -86,19 +107,27 @@ def predict_excluding(rows: DataFrame, plan: SubsetPlan, scorer: Scorer, steps:
     return out
 
 
-def predict_all(rows: DataFrame, scorer: Scorer, steps: Calibrators, mask: int = 0) -> DataFrame:
+def predict_all(rows: DataFrame, scorer: Scorer, steps: Calibrators | StepTable, mask: int = 0) -> DataFrame:
     """Adds ``predicted`` from one fitted context, whatever the row's domain."""
 
     part_scorer, part_steps = scorer.only([mask]), steps.only([mask])
+    if isinstance(part_steps, StepTable):
+        scored = rows.withColumn("scores", _whole_udf(lambda x: part_scorer.score(x, mask), "double")("x"))
+        return _calibrated(scored.withColumn("mask", F.lit(mask)), part_steps).drop("mask")
+    udf = _whole_udf(lambda x: nano_array(part_steps.apply(part_scorer.score(x, mask), mask)), "bigint")
+    return rows.withColumn("predicted", udf("x"))
+
+
+def _whole_udf(scored, kind: str):
+    """One list of values per row, from a function of the feature matrix."""
 
     def run(x: pa.Array) -> pa.Array:
         values = _features(x)
-        nano = nano_array(part_steps.apply(part_scorer.score(values, mask), mask)) if len(values) else np.zeros((0, 0), dtype=np.int64)
-        width = nano.shape[1]
-        return pa.ListArray.from_arrays(pa.array((np.arange(len(nano) + 1) * width).astype(np.int32)), pa.array(nano.ravel()))
+        out = scored(values) if len(values) else np.zeros((0, 0), dtype=np.int64 if kind == "bigint" else np.float64)
+        return pa.ListArray.from_arrays(pa.array((np.arange(len(out) + 1) * out.shape[1]).astype(np.int32)), pa.array(out.ravel()))
 
     run.__annotations__ = {"x": pa.Array, "return": pa.Array}
-    return rows.withColumn("predicted", F.arrow_udf(run, "array<bigint>")("x"))
+    return F.arrow_udf(run, f"array<{kind}>")
 
 
 def raw_scores(rows: DataFrame, plan: SubsetPlan, scorer: Scorer, masks: list[int]) -> DataFrame:

@@ -16,11 +16,15 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tollway.functions.sizing import settle
 from tollway.session import materialize, shuffle_width
 
 RANGE = "_range"
 _SORT_KEY = "_range_key"
 _TIE = "_range_tie"
+_DEAL = "_range_deal"
+# Points of one key and range that share a sorted pass.
+GROUP_POINTS = 200_000
 
 
 def range_bounds(df: DataFrame, order: str, ranges: int | None = None) -> list[float]:
@@ -112,6 +116,13 @@ def running_totals(
     return out.select(*df.columns, *sums)
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(right[f"_k_{k}"])
+    return same
+
+
 def next_step(
     points: DataFrame,
     steps: DataFrame,
@@ -119,58 +130,78 @@ def next_step(
     point: str,
     bound: str,
     value: str,
+    group: int = GROUP_POINTS,
 ) -> DataFrame:
     """For each point the value of the first step whose bound is >= the point.
 
-    Points above every bound take the last step; null points get null.  Works for step
-    tables too long to broadcast: both sides are cut into the same ranges, and a range that
-    holds no later step takes the first step of a later range.  Equal points are looked up
-    once and joined back, so a common point crowds no range.
+    Points above every bound take the last step; null points, and points of keys without
+    steps, get null.  Neither side is joined or held: points and steps are cut into the same
+    ranges, the points of a (key, range) are dealt to groups of about ``group`` rows however
+    common a value is, and each group is one sorted pass over its points and a copy of the
+    range's steps.  There are enough ranges to keep the copies below a tenth of a full group.
+    A range that holds no later step takes the first step of a later range.
     """
 
-    places = points.select(*keys, point).where(F.col(point).isNotNull()).distinct()
-    places = materialize(places, "points")
-    found = _step_of(places, steps, keys, point, bound, value)
-    named = found.select(*[F.col(c).alias(f"_p_{c}") for c in [*keys, point]], value)
-    same = F.col(point) == F.col(f"_p_{point}")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
-    return points.join(named, same, "left").select(*points.columns, value)
-
-
-def _step_of(points: DataFrame, steps: DataFrame, keys: list[str], point: str, bound: str, value: str) -> DataFrame:
-    """``next_step`` for distinct points."""
-
-    bounds = range_bounds(points, point)
-    marks = steps.select(
-        *keys, F.col(bound).alias(point), F.struct(F.col(bound), F.col(value)).alias("_step")
+    spark = points.sparkSession
+    # The number that deals a point is written, so a task that runs again deals alike.
+    written = materialize(points.withColumn(_DEAL, F.monotonically_increasing_id()), "points")
+    ranges = max(shuffle_width(spark), -(-10 * steps.count() // group))
+    bounds = range_bounds(steps, bound, ranges)
+    live = with_range(written.where(F.col(point).isNotNull()), point, bounds)
+    cut = [*keys, RANGE]
+
+    counts = live.groupBy(*cut).agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).cast("int").alias("_groups"))
+    counts, _ = settle(materialize(counts, "point-counts"))
+    named = counts.select(*[F.col(k).alias(f"_k_{k}") for k in cut], "_groups")
+    dealt = live.join(named, _same(live, named, cut)).withColumn("_group", F.pmod(_DEAL, F.col("_groups")).cast("int"))
+
+    marks = with_range(
+        steps.select(*keys, F.col(bound).alias("_at"), F.struct(F.col(value).alias("v")).alias("_step")), "_at", bounds
+    )
+    firsts = marks.groupBy(*cut).agg(F.min_by("_step", "_at").alias("_first"))
+    lasts = marks.groupBy(*keys).agg(F.max_by("_step", "_at").alias("_last"))
+    # One row per (key, range) that occurs on either side; at most `ranges` per key.
+    blank = F.lit(None).cast(firsts.schema["_first"].dataType)
+    slots = firsts.unionByName(counts.select(*cut, blank.alias("_first"))).groupBy(*cut).agg(
+        F.first("_first", ignorenulls=True).alias("_first")
     )
-    tagged = points.withColumn("_step", F.lit(None).cast(marks.schema["_step"].dataType))
-    both = with_range(
-        tagged.withColumn("_is_step", F.lit(0)).unionByName(
-            marks.withColumn("_is_step", F.lit(1)), allowMissingColumns=True
-        ),
-        point,
-        bounds,
+    later = Window.partitionBy(*keys).orderBy(F.col(RANGE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("_later", F.last("_first", ignorenulls=True).over(later))
+    ends = lasts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_last")
+    beyond = slots.join(ends, _same(slots, ends, keys)).select(
+        *cut, F.lit(None).cast(marks.schema["_at"].dataType).alias("_at"), F.coalesce("_later", "_last").alias("_step")
     )
-    # A step with the same position as a point must come after it in this order.
-    ahead = Window.partitionBy(*keys, RANGE).orderBy(point, "_is_step")
-    ahead = ahead.rowsBetween(0, Window.unboundedFollowing)
-    local = both.withColumn("_hit", F.first("_step", ignorenulls=True).over(ahead))
-
-    step_ranges = with_range(steps, bound, bounds)
-    firsts = step_ranges.groupBy(*keys, RANGE).agg(
-        F.min(F.struct(F.col(bound), F.col(value))).alias("_first")
+
+    both = marks.select(*cut, "_at", "_step").unionByName(beyond)
+    copies = both.join(named, _same(both, named, cut)).select(
+        *cut, F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_group"), "_at", "_step", F.lit(1).alias("_is_step")
     )
-    lasts = steps.groupBy(*keys).agg(F.max(F.struct(F.col(bound), F.col(value))).alias("_last"))
-    # One row per (key, range) that occurs on either side; at most `ranges` per key.
-    slots = both.select(*keys, RANGE).distinct().join(firsts, [*keys, RANGE], "left")
-    later = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(1, Window.unboundedFollowing)
-    slots = slots.withColumn("_later", F.first("_first", ignorenulls=True).over(later)).drop("_first")
-    found = (
-        local.where("_is_step = 0")
-        .join(slots, [*keys, RANGE], "left")
-        .join(lasts, keys, "left")
-        .withColumn(value, F.coalesce(F.col("_hit"), F.col("_later"), F.col("_last"))[value])
+    row = F.struct(*[F.col(c) for c in points.columns])
+    seen = dealt.select(
+        *cut, "_group", F.col(point).alias("_at"), row.alias("_row"), F.lit(0).alias("_is_step")
     )
-    return found.select(*points.columns, value)
+    # From the top down: what lies beyond the range, then each step before the points it covers.
+    down = Window.partitionBy(*cut, "_group").orderBy(F.col("_at").desc_nulls_first(), F.col("_is_step").desc())
+    down = down.rowsBetween(Window.unboundedPreceding, 0)
+    merged = seen.unionByName(copies, allowMissingColumns=True).withColumn("_hit", F.last("_step", ignorenulls=True).over(down))
+    found = merged.where("_is_step = 0").select("_row.*", F.col("_hit.v").alias(value))
+    none = written.where(F.col(point).isNull()).withColumn(value, F.lit(None).cast(steps.schema[value].dataType))
+    return found.unionByName(none.select(*points.columns, value))
+
+
+def falls(steps: DataFrame, keys: list[str], bound: str, value: str) -> DataFrame:
+    """Places at which a step table repeats a bound or its value falls; empty for a monotone one.
+
+    Neighbours are compared inside ranges of the bound and across the ranges' ends, so no
+    task holds a key.
+    """
+
+    ranged = with_range(steps.select(*keys, bound, value), bound, range_bounds(steps, bound))
+    along = Window.partitionBy(*keys, RANGE).orderBy(bound)
+    inner = ranged.select(*keys, bound, value, F.lag(F.struct(bound, value)).over(along).alias("_before"))
+    here = F.struct(bound, value)
+    ends = ranged.groupBy(*keys, RANGE).agg(F.min(here).alias("_low"), F.max(here).alias("_high"))
+    across = F.lag("_high").over(Window.partitionBy(*keys).orderBy(RANGE))
+    outer = ends.select(*keys, "_low.*", across.alias("_before"))
+    wrong = (F.col(bound) <= F.col(f"_before.{bound}")) | (F.col(value) < F.col(f"_before.{value}"))
+    return inner.unionByName(outer).where(wrong)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 # Largest model state shipped to tasks at once; larger sets go in several passes.
 SHIP_BYTES = 64 * 1024 * 1024
@@ -81,6 +82,16 @@ class Calibrators:
         return sum(b.nbytes + v.nbytes for b, v in self.steps.values())
 
 
+@dataclass(frozen=True)
+class StepTable:
+    """Step functions too many for a task's memory: a written table (mask, model_pos, ub, value)."""
+
+    steps: DataFrame
+
+    def only(self, masks: list[int]) -> StepTable:
+        return StepTable(self.steps.where(self.steps["mask"].isin(masks)))
+
+
 def nano_array(predictions: np.ndarray) -> np.ndarray:
     """Predictions in whole billionths; the exact unit of all later comparisons."""
 

@@ -16,7 +16,7 @@ from tollway.operators.folds import SubsetPlan
 from tollway.operators.ledger import replay
 from tollway.operators.moments import Moments
 from tollway.operators.profile import Profile, profile
-from tollway.operators.scoring import Calibrators, Scorer
+from tollway.operators.scoring import Calibrators, Scorer, StepTable
 from tollway.plans.evaluate import baseline_policies, prepare
 from tollway.schema import MAX_DOMAINS, TierSpec, with_tiers
 from tollway.session import materialize, spread
@@ -76,7 +76,7 @@ class Prepared:
 @dataclass(frozen=True)
 class Fitted:
     scorer: Scorer
-    calibrators: Calibrators
+    calibrators: Calibrators | StepTable
     steps: DataFrame
     family: str
 
@@ -263,7 +263,7 @@ def run(
     return Benchmark(results, metrics.scorecard(results), tuned, fitted, p, list(configs))
 
 
-def fold_router(bench: Benchmark, domain: str, name: str | None = None) -> tuple[Scorer, Calibrators, int, dict[str, tuple[int, int]]]:
+def fold_router(bench: Benchmark, domain: str, name: str | None = None) -> tuple[Scorer, Calibrators | StepTable, int, dict[str, tuple[int, int]]]:
     """One outer fold's predictor, its context and its lambdas, ready for ``route``."""
 
     name = name or bench.names[0]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tollway.functions.encode import with_features
 from tollway.functions.surface import with_flags
 from tollway.operators import checks, policies, predict
-from tollway.operators.scoring import Calibrators, Scorer
+from tollway.operators.scoring import Calibrators, Scorer, StepTable
 from tollway.schema import COST, TierSpec, with_tiers
 from tollway.sources.embeddings import Embedded, attach_prompts
 
@@ -30,7 +30,7 @@ def route(
     tiers: list[TierSpec],
     lambdas: dict[str, tuple[int, int]] | None = None,
     scorer: Scorer | None = None,
-    calibrators: Calibrators | None = None,
+    calibrators: Calibrators | StepTable | None = None,
     keep: list[str] | None = None,
     mask: int = 0,
     embedded: Embedded | None = None,

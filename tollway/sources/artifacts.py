@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tollway.functions import fingerprint
 from tollway.operators import isotonic
-from tollway.operators.scoring import Calibrators, LinearScorer, Scorer, StumpScorer
+from tollway.operators.prefix import falls
+from tollway.operators.scoring import Calibrators, LinearScorer, Scorer, StepTable, StumpScorer
 from tollway.schema import TierSpec
 from tollway.sources.embeddings import EmbeddingIdentity
 
@@ -38,7 +39,7 @@ class Predictor:
     """A loaded predictor with what it was trained on."""
 
     scorer: Scorer
-    calibrators: Calibrators
+    calibrators: Calibrators | StepTable
     model_ids: list[str]
     domains: list[str]
     meta: dict
@@ -153,12 +154,21 @@ def load_predictor(spark: SparkSession, path: str, embedding: EmbeddingIdentity
     steps = spark.read.schema(STEP_ROWS).parquet(f"{path}/steps")
     positions = F.create_map(*[v for k, name in enumerate(ids) for v in (F.lit(name), F.lit(k))])
     calibrators = isotonic.load(steps.withColumn("model_pos", F.element_at(positions, F.col("model_id"))))
-    for (_, _), (bounds, values) in calibrators.steps.items():
-        if (np.diff(bounds) <= 0).any() or (np.diff(values) < 0).any():
-            raise ValueError("calibration steps are out of order")
+    check_steps(calibrators)
     return Predictor(scorer, calibrators, ids, list(m["domains"]), m)
 
 
+def check_steps(calibrators: Calibrators | StepTable) -> None:
+    """Refuses steps whose bounds repeat or whose values fall."""
+
+    if isinstance(calibrators, StepTable):
+        disordered = not falls(calibrators.steps, ["mask", "model_pos"], "ub", "value").isEmpty()
+    else:
+        disordered = any((np.diff(at) <= 0).any() or (np.diff(values) < 0).any() for at, values in calibrators.steps.values())
+    if disordered:
+        raise ValueError("calibration steps are out of order")
+
+
 def save_policy(
     spark: SparkSession,
     path: str,
