@@ -31,7 +31,7 @@ def run(spark, texts, key=KEY):
 
 def test_each_kind_keeps_its_format(spark):
     values = {
-        "card": [card("401288888888188"), "4012-8888-8888-1881", card("37828224631000")], "ip": ["42.144.35.254", "8.8.8.8"], "phone": ["+1 (988) 555-2485", "212-555-0175", "(415) 555-0100"],
+        "card": [card("401288888888188"), "4012-8888-8888-1881", card("37828224631000")], "ip": ["42.144.35.254", "8.8.8.8"], "phone": ["+1 (988) 555-2485", "212-555-0175", "(415) 555-0100", "+49 30 1234567", "+442071838750", "+7 495-123-45-67", "+358 40 1234567"],
         "ssn": ["123-45-6789", "667-01-0001", "899-99-9999", "001-01-0001"], "date": ["1987-03-31", "2000-02-29", "31.12.1999", "02/28/2015", "28/02/2015", "1900-01-01", "2099-12-31"],
         "email": ["Jane.Doe_77@mail8.example.com", "x@y.org"], "iban": [iban("DE", "500105175407324931"), iban("GB", "WEST12345698765432")],
     }
@@ -95,6 +95,32 @@ def test_equal_values_stay_linked_and_keys_matter(spark):
     assert run(spark, texts, "k2")[0].text != one.text
 
 
+def test_a_day_is_linked_in_all_spellings(spark):
+    days = [datetime.date(1900, 1, 1), datetime.date(2000, 2, 29), datetime.date(2020, 5, 3), datetime.date(2021, 11, 25), datetime.date(2099, 12, 31)]
+    for day in days:
+        forms = ["%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", *(["%d/%m/%Y"] if day.day > 12 else [])]
+        out = [r.text for r in run(spark, [day.strftime(f) for f in forms])]
+        moved = {datetime.datetime.strptime(t, f).date() for t, f in zip(out, forms)}
+        assert len(moved) == 1 and moved != {day}
+        assert (moved.pop().day > 12) == (day.day > 12)
+
+
+def test_days_are_permuted_one_to_one(spark):
+    day = F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int"))
+    docs = spark.range(0, pii.DAYS, 1, 8).select(F.col("id").alias("doc_id"), day.cast("string").alias("text"))
+    days = pii.pseudonymize(docs, KEY).where("n_date = 1").agg(F.count_distinct(F.col("text").cast("date")), F.min("text"), F.max("text")).first()
+    assert tuple(days) == (pii.DAYS, "1900-01-01", "2099-12-31")
+
+
+def test_phone_numbers_of_other_countries(spark):
+    texts = ["ring +49 30 1234567.", "+49-30-1234567", "+27.1828182845 and +3.14159265", "+49 30 12", "+4930123456789012345"]
+    a, b, *others = run(spark, texts)
+    assert a.n_phone == b.n_phone == 1 and a.text != texts[0]
+    digits = [re.sub(r"\D", "", r.text) for r in (a, b)]
+    assert digits[0] == digits[1] and digits[0].startswith("49") and len(digits[0]) == 11
+    assert [(r.text, r.n_phone) for r in others] == [(t, 0) for t in texts[2:]]
+
+
 def test_permutations_are_one_to_one(spark):
     numbers = spark.range(0, 5000).select("id", pii.permute_number(F.col("id"), 50, 100, KEY, F.lit("t")).alias("y"))
     assert sorted(r.y for r in numbers.collect()) == list(range(5000))

@@ -9,10 +9,10 @@ remain.  Without the key the permutation can't be undone.
 | --- | --- | --- |
 | card | 13 to 19 digits from 3 to 6 on, Luhn; the longest such run of whole digit groups | all digits but the first; the last is the checksum |
 | iban | ISO 13616 checksum, in one piece or in groups of four | account digits and letters; check digits anew |
-| phone | ten digits as in North America, with +1, (area) or valid codes | area, exchange and line; valid codes stay valid |
+| phone | ten digits as in North America, with +1, (area) or valid codes; + with another country code, 8 to 15 digits in groups divided by a blank or hyphen | area, exchange and line, valid codes stay valid; all digits after the country code |
 | ssn | no 000, 666, 9xx area; no 00 group; no 0000 serial | all three parts |
 | ip | four octets up to 255 | the address |
-| date | a day of 1900 to 2099, as yyyy-MM-dd, dd.MM.yyyy, MM/dd/yyyy, or dd/MM/yyyy with dd over 12 | the day |
+| date | a day of 1900 to 2099, as yyyy-MM-dd, dd.MM.yyyy, MM/dd/yyyy, or dd/MM/yyyy with dd over 12 | the day, alike in all spellings; days up to the 12th stay among such days, so that no spelling becomes ambiguous |
 | email | name, @, domain | letters and digits of the name, each within its class |
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 #: Rounds after which a permutation that left the valid values has come back with all but 1e-18 certainty.
-WALK = 48
+WALK = 84
 KINDS = ["email", "ip", "iban", "card", "phone", "ssn", "date"]
 
 _OCTET = r"(?:0|[1-9][0-9]{0,2})"
@@ -35,11 +35,13 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "date": r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])(?:(?:\+?1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:1[ .-])?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-]?[0-9]{4})(?![0-9])",
+    "phone": r"(?<![0-9+])(?:(?:\+?1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:1[ .-])?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-]?[0-9]{4}|\+(?:7|[2-9][0-9])(?:[ -]?[0-9]){6,13})(?![0-9])",
     "card": r"(?<![0-9-])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 #: An IBAN in groups of four, the last of up to four.
 GROUPED_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = "20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 #: Kinds whose places the pattern alone tells; cards and grouped IBANs end where their checksum says, see :func:`_pattern`.
 FIXED = ("email", "ip", "iban", "date", "ssn", "phone")
 
@@ -204,6 +206,16 @@ def pseudonym(kind: Column, m: Column, key: str) -> Column:
         F.substr(d, F.lit(1), F.length(d) - 10), F.lpad((F.floor(x / size) + base).cast("string"), 3, "0"),
         F.lpad((F.floor(F.pmod(x, size) / 10_000) + exchange).cast("string"), 3, "0"), F.lpad(F.pmod(x, F.lit(10_000)).cast("string"), 4, "0"))))[0]
 
+    code = F.when(d.startswith("7"), 1).when(d.rlike(f"^(?:{TWO_DIGIT_CODES})"), 2).otherwise(3)
+    rest = F.length(d) - code
+    half = F.floor(rest / 2).cast("int")
+    abroad = permute_number(
+        F.substr(d, code + 1, rest).cast("long"), F.pow(F.lit(10.0), half).cast("long"), F.pow(F.lit(10.0), rest - half).cast("long"),
+        key, F.concat_ws("|", F.lit("phone"), F.substr(d, F.lit(1), code), rest.cast("string")),
+    )
+    abroad = refill(m, F.concat(F.substr(d, F.lit(1), code), F.lpad(abroad.cast("string"), rest, F.lit("0"))))
+    phone = F.when(m.rlike(r"^\+[2-9]"), abroad).otherwise(phone)
+
     area = _part(d, 1, 3)
     person = permute_number((area - 1 - (area > 666).cast("long")) * 989_901 + (_part(d, 4, 2) - 1) * 9_999 + _part(d, 6, 4) - 1, 898, 989_901, key, F.lit("ssn"))
 
@@ -217,9 +229,16 @@ def pseudonym(kind: Column, m: Column, key: str) -> Column:
     first = F.lit("1900-01-01").cast("date")
     day_of = lambda x: F.date_add(first, x.cast("int"))
     late = m.contains("/") & (F.substring(m, 1, 2).cast("int") > 12)
-    form = F.when(m.contains("-"), F.lit("iso")).when(m.contains("."), F.lit("dot")).when(late, F.lit("day/month")).otherwise(F.lit("month/day"))
-    day = walk(F.datediff(_as_date(m), first).cast("long"), lambda x: permute_number(x, DAY_A, DAY_B, key, F.concat(F.lit("date|"), form)), lambda x: (x < DAYS) & (~late | (F.dayofmonth(day_of(x)) > 12)))
-    date = F.transform(F.array(day_of(day)), lambda t: F.when(m.contains("-"), F.date_format(t, "yyyy-MM-dd")).when(m.contains("."), F.date_format(t, "dd.MM.yyyy")).when(late, F.date_format(t, "dd/MM/yyyy")).otherwise(F.date_format(t, "MM/dd/yyyy")))[0]
+
+    def moved(t: Column) -> Column:
+        same_class = lambda x: (F.dayofmonth(day_of(x)) > 12) == (F.dayofmonth(t) > 12)
+        return day_of(walk(F.datediff(t, first).cast("long"), lambda x: permute_number(x, DAY_A, DAY_B, key, F.lit("date")), lambda x: (x < DAYS) & same_class(x)))
+
+    def written(t: Column) -> Column:
+        form = lambda pattern: F.date_format(t, pattern)
+        return F.when(m.contains("-"), form("yyyy-MM-dd")).when(m.contains("."), form("dd.MM.yyyy")).when(late, form("dd/MM/yyyy")).otherwise(form("MM/dd/yyyy"))
+
+    date = F.transform(F.transform(F.array(_as_date(m)), moved), written)[0]
 
     out = F.when(kind == "email", email)
     for name_, value in (("ip", ip), ("iban", account), ("card", card), ("phone", phone), ("ssn", ssn), ("date", date)):
