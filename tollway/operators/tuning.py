@@ -29,10 +29,12 @@ from tollway.session import materialize
 
 QUALITY_SUM = "decimal(38,12)"
 # Pieces an interval is cut into, and intervals of one ledger that a round looks at.
-FAN = 16
-LIVE = 32
+FAN = 8
+LIVE = 8
+# The most promising of them, which are replayed.
+TRIES = 2
 # Passes that narrow the balances of an interval.
-NARROWINGS = 3
+NARROWINGS = 2
 
 
 def _options(fits: Column) -> Column:
@@ -122,18 +124,20 @@ def interval_bounds(rows: DataFrame, intervals: DataFrame, keys: list[str]) -> D
 
     own = [*keys, "a"]
 
-    def possible() -> Column:
-        def beaten(m: Column) -> Column:
-            return F.exists(
-                m["above"],
-                lambda j: (j["quoted"] <= F.col("_low"))
-                & ((j["key"] > F.col("kb")) | F.coalesce(j["key"] >= m["hi"]["key"], F.lit(False))),
-            )
+    def choice(m: Column) -> Column:
+        """A model that some lambda of the interval chooses, and the balance from which a dearer one always beats it."""
+
+        beats = F.filter(m["above"], lambda j: (j["key"] > F.col("kb")) | F.coalesce(j["key"] >= m["hi"]["key"], F.lit(False)))
+        return F.struct(
+            m["quoted"].alias("quoted"), m["realized"].alias("realized"), m["quality"].alias("quality"),
+            F.array_min(F.transform(beats, lambda j: j["quoted"])).alias("beaten"),
+        )
 
+    def possible() -> Column:
         return F.filter(
-            "_o",
+            "_c",
             lambda m: (m["quoted"] <= F.col("_high")) & (m["realized"] <= F.col("_high"))
-            & (m["hi"].isNull() | (m["hi"]["key"] > F.col("ka"))) & ~beaten(m),
+            & (m["beaten"].isNull() | (m["beaten"] > F.col("_low"))),
         )
 
     def charge(pick, models: Column) -> Column:
@@ -141,6 +145,8 @@ def interval_bounds(rows: DataFrame, intervals: DataFrame, keys: list[str]) -> D
 
     bounds = range_bounds(rows, "ord")
     slim = rows.select(*keys, "ord", "budget", "_o").join(intervals.select(*own, "ka", "kb"), keys)
+    reached = F.filter("_o", lambda m: m["hi"].isNull() | (m["hi"]["key"] > F.col("ka")))
+    slim = slim.select(*own, "ord", "budget", F.transform(reached, choice).alias("_c"))
     slim = slim.withColumns({"_low": F.lit(0).cast(COST_SUM), "_high": F.col("budget").cast(COST_SUM)})
     for _ in range(NARROWINGS):
         left = slim.withColumn("_p", possible())
@@ -166,9 +172,9 @@ def _replayed(rows: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """Exact replay of each (ledger, lambda): sums, and whether every row was feasible."""
 
     own = [*keys, "a"]
-    pending = rows.drop("_o").join(points.select(*own, "num", "den"), keys)
-    pending = pending.withColumns({"policy": F.lit("candidate"), "observable_tag": F.lit(None).cast("string")} if "observable_tag" not in keys
-                                  else {"policy": F.lit("candidate")})
+    pending = rows.drop("_o", "weight").join(points.select(*own, "num", "den"), keys).withColumn("policy", F.lit("candidate"))
+    if "observable_tag" not in keys:
+        pending = pending.withColumn("observable_tag", F.lit(None).cast("string"))
     pending = materialize(pending, "candidate-rows")
     state = pending.groupBy(*own).agg(F.first("budget").cast(COST_SUM).alias("balance"), (F.min("ord") - 1).alias("pos"))
     done = settle(pending, state, own, [lambda_rule(F.col("num"), F.col("den"), "candidate")])
@@ -199,6 +205,7 @@ def tune_shared_budget(
     ledger_keys: list[str] | None = None,
     fan: int = FAN,
     live: int = LIVE,
+    tries: int = TRIES,
 ) -> DataFrame:
     """Best lambda of all lambdas per tier and ledger when a ledger's ordered rows share its budget.
 
@@ -206,12 +213,12 @@ def tune_shared_budget(
     not null.  The best replay has no infeasible row, most quality, then least spend, then the
     smallest lambda; a ledger without such a replay has no row.  ``replayed`` tells how many of
     the ledger's ``candidates`` were replayed in full.  A round takes at most ``live`` intervals
-    of a ledger, the most promising first; the others wait for a later round, none is dropped
-    but by its bound.
+    of a ledger, the most promising first, and replays the first ``tries`` of them; the others
+    wait for a later round, none is dropped but by its bound.
     """
 
-    if fan < 2 or live < 1:
-        raise ValueError("an interval is cut into two pieces at least, and a round takes one at least")
+    if fan < 2 or live < 1 or tries < 1:
+        raise ValueError("an interval is cut into two pieces at least, and a round takes and replays one at least")
     keys = ["tier", *(ledger_keys or [])]
     rows = materialize(_ledger_rows(log, tiers, ledger_keys or []), "tuning-rows")
     grid = switch_points(rows, keys)
@@ -223,16 +230,18 @@ def tune_shared_budget(
     spark = log.sparkSession
     best = tried = None
     result = [*keys, "key", "num", "den", "quality_sum", "spend"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("most").desc_nulls_first(), "least", "ka"))
     while not waiting.isEmpty():
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("most").desc_nulls_first(), "least", "ka"))
         ranked = waiting.withColumn("_place", place)
         taken = materialize(ranked.where(F.col("_place") <= live).drop("_place"), "taken")
         later = ranked.where(F.col("_place") > live).drop("_place")
         bounded = taken.drop("most", "least").join(interval_bounds(rows, taken, keys), [*keys, "a"]).select(*fields)
         if best is not None:
             bounded = _hopeful(bounded, best, keys)
-        bounded = materialize(bounded, "bounded")
-        replays = materialize(_replayed(rows, bounded, keys).join(bounded.select(*keys, "a", F.col("ka").alias("key"), "num", "den"), [*keys, "a"]), "replays")
+        bounded = materialize(bounded.withColumn("_try", place <= tries), "bounded")
+        tries_now = bounded.where("_try")
+        points = tries_now.select(*keys, "a", F.col("ka").alias("key"), "num", "den")
+        replays = materialize(_replayed(rows, tries_now, keys).join(points, [*keys, "a"]), "replays")
         count = replays.groupBy(*keys).agg(F.count(F.lit(1)).alias("replayed"))
         tried = count if tried is None else tried.unionByName(count)
         good = replays.where("feasible").select(*result)
@@ -242,8 +251,10 @@ def tune_shared_budget(
             *keys, "t.key", "t.num", "t.den", "t.quality_sum", "t.spend"
         )
         best = materialize(best, "best")
-        rest = _pieces(bounded.select(*keys, F.col("a").alias("_a"), F.col("b").alias("_b"), "most", "least"), F.col("_a") + 1, F.col("_b"), fan)
-        rest = _keyed(rest.drop("_a", "_b"), grid, keys).select(*fields)
+        first = F.col("_a") + F.col("_try").cast("bigint")
+        whole = bounded.select(*keys, F.col("a").alias("_a"), F.col("b").alias("_b"), "most", "least", "_try")
+        rest = _pieces(whole, first, F.col("_b"), fan)
+        rest = _keyed(rest.drop("_a", "_b", "_try"), grid, keys).select(*fields)
         waiting = materialize(_hopeful(rest.unionByName(later.select(*fields)), best, keys), "intervals")
     if best is None:
         best = spark.createDataFrame([], grid.drop("idx").schema).withColumns(
