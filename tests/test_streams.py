@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import pytest
 
+from tollway.catalog import load
 from tollway.streaming import budgets
 from tollway.streaming.epochs import EpochTables
 from tollway.streaming.retention import RetentionStream
@@ -102,3 +103,12 @@ def test_retention_stops_at_steps_out_of_order(spark, tmp_path):
     job.process(spark.createDataFrame([row("slow", 2)], schema), 1)
     with pytest.raises(ValueError, match="out of order"):
         job.process(spark.createDataFrame([row("fast", 4), row("slow", 3)], schema), 2)
+
+
+@pytest.mark.parametrize("name", ["stream_retention", "stream_route_prompts"])
+def test_streams_read_a_table_of_part_files(spark, sf_dir, tmp_path, name):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    query = load().QUERIES[name]
+    rows = lambda folder: sorted(map(repr, query(spark, str(folder)).collect()))
+    parts = rows(tmp_path)
+    assert parts and parts == rows(sf_dir)

@@ -26,10 +26,11 @@ from tollway.streaming.route import FittedRouting, release, routed, start_routin
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table's file as a file stream over its folder."""
+    """The table as a file stream, whether it is one file or a folder of part files."""
 
+    # a stream lists folders; the glob keeps a single file as it is
     reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 @query("stream_route_prompts", "ST1 B11 B12", f"""WITH {sql_log()}, {DEMO_SQL}
