@@ -85,6 +85,23 @@ def test_names_are_forgotten_after_a_while(spark, tmp_path):
     assert sorted((r["call_id"], r["late"]) for r in found) == [("c1", False), ("c1", True), ("c2", False)]
 
 
+def test_ledgers_of_a_bucket_keep_their_own_balances_and_names(spark, tmp_path):
+    def take(*rows):
+        spark.createDataFrame(list(rows), budgets.CALL_FIELDS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(budgets.CALL_FIELDS).parquet(f"{tmp_path}/in")
+        settled = budgets.settle_stream(stream, Decimal(10), "5 minutes", buckets=1)
+        budgets.start(settled, f"{tmp_path}/out", f"{tmp_path}/progress").awaitTermination()
+
+    keys = ["a", "b", None]
+    take(*[call(k, 1, 0, 2 + i, 2 + i) for i, k in enumerate(keys)], call("a", 2, 30, 9, 9), call("b", 2, 30, 7, 7))
+    take(call("a", 1, 0, 2, 2), call("c", 1, 0, 1, 1), TICK)
+    found = budgets.settled_calls(spark, f"{tmp_path}/out").collect()
+    got = {(r["ledger_key"], r["call_id"]): (r["late"], r["accepted"], r["remaining_after"]) for r in found}
+    assert len(found) == len(got) == 6
+    assert [got[k, "c1"] for k in keys] == [(False, True, 8), (False, True, 7), (False, True, 6)]
+    assert got["a", "c2"] == (False, False, 8) and got["b", "c2"] == (False, True, 0) and got["c", "c1"] == (True, False, None)
+
+
 def test_retention_carries_over(spark, tmp_path):
     schema = "tier string, ord bigint, realized decimal(28,12), quality decimal(20,12), oracle_quality decimal(20,12)"
     job = RetentionStream(EpochTables(str(tmp_path / "state")))
