@@ -152,6 +152,21 @@ def test_sequential_replay_equals_the_recurrence(spark, stable):
         assert (r["decision"], r["cost"], r["feasible"]) == (pick, cost, ok), r
 
 
+def test_ledger_rows_are_not_sorted_for_joins(spark):
+    # balances, range totals and decisions meet the rows without a second shuffle, whatever Spark thinks of their sizes
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        budget = [TierSpec(t.tier, t.budget * 4, t.weight) for t in TIERS]
+        got = sequential_replay(sample_log(spark), budget, [policies.always_cheapest(), policies.always_premium("expert")], ["domain"])
+        calls = spark.createDataFrame([(k % 3, k, Decimal(k)) for k in range(40)], "k int, ord bigint, c decimal(28,12)")
+        spent = cumulative(calls, ["k"], "ord", "c", cost_lit(9), bounds=[10.0, 20.0])
+        for df in (got, spent):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
+        assert got.count() == 48 and spent.agg(F.max("spent")).first()[0] == 273
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_multi_call(spark):
     schema = "policy string, tier string, example_id string, call_idx int, model_id string, quoted decimal(28,12), realized decimal(28,12), quality decimal(20,12), budget decimal(28,12), selected boolean"
     D = Decimal

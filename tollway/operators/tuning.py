@@ -177,8 +177,7 @@ def _replayed(rows: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
         pending = pending.withColumn("observable_tag", F.lit(None).cast("string"))
     pending = materialize(pending, "candidate-rows")
     state = pending.groupBy(*own).agg(F.first("budget").cast(COST_SUM).alias("balance"), (F.min("ord") - 1).alias("pos"))
-    done = settle(pending, state, own, [lambda_rule(F.col("num"), F.col("den"), "candidate")])
-    out = pending.join(done, [*own, "example_id", "ord"])
+    out = settle(pending, state, own, [lambda_rule(F.col("num"), F.col("den"), "candidate")])
     out = out.withColumns(per_query_columns(F.col("models"), F.col("_d"), F.col("_r")))
     return out.groupBy(*own).agg(
         F.sum("quality").cast(QUALITY_SUM).alias("quality_sum"), F.sum("cost").cast(COST_SUM).alias("spend"),
