@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tollway.functions.costs import add_cost, cost_text, divide_cost, parse_cost, scale_cost, subtract_cost
+from tollway.functions import surface
 from tollway.functions.encode import FEATURE_NAMES, with_features
 from tollway.functions.surface import with_surface
 
@@ -77,3 +78,14 @@ def test_costs(spark):
     assert list(r) == ["0.4", "0.2", "0.9", "0.075"]
     with pytest.raises(Exception, match="negative"):
         one.select(subtract_cost(F.col("b"), F.col("a"))).collect()
+
+
+def test_single_characters_are_searched_as_bytes(spark):
+    odd = [*surface.MATH_SYMBOLS, *(f"a{c}b" for c in surface.CONTROL_SPACES), "ınt", "plain a<b", None]
+    rows = surface.with_flags(spark.createDataFrame([(k, p) for k, p in enumerate(odd)], "k int, prompt string")).drop("_hangul")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    for characters in (surface.MATH_SYMBOLS, surface.CONTROL_SPACES, surface.FOLDED_LETTERS):
+        assert f"[{characters}]" not in plan
+    got = rows.orderBy("k").collect()
+    assert [r["has_math"] for r in got] == [True] * 7 + [False] * 6 + [None]
+    assert [r["n_word"] for r in got] == [1] * 7 + [2] * 4 + [1, 2, None] and got[11]["_low"] == "int"
