@@ -7,7 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from samples import MODELS, TIERS, sample_log
+from tollway.catalog.logs import embedded_log
+from tollway.catalog.sample import dense_log
+from tollway.functions.encode import with_features
 from tollway.functions.surface import prompt_hash
+from tollway.operators import policies
 from tollway.plans import benchmark
 from tollway.plans.route import route
 from tollway.plans.train import train
@@ -79,6 +83,18 @@ def test_equal_prompts_share_their_vector(spark):
     assert len(found) == 2 * log.count() and all(r["embedding"] == [len(r["prompt"]), -len(r["prompt"])] for r in found)
 
 
+def test_texts_do_not_travel_to_the_vectors(spark, sf_dir):
+    log, recorded = embedded_log(spark, sf_dir, [policies.seeded_random()])
+    joined = with_features(embeddings.attach(log, recorded, 64), "embedding", 64)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "prompt#" not in plan and "text#" not in plan
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("ord"), "embedding")
+    plain = with_features(dense_log(spark, sf_dir).join(vectors, "ord"), "embedding", 64)
+    plain = policies.with_facts(plain, [policies.seeded_random()], ["fast", "balanced", "premium"])
+    shown = lambda df: df.select("example_id", "x", "_facts").orderBy("example_id").collect()
+    assert shown(joined) == shown(plain) and joined.count() == plain.count()
+
+
 def test_vectors_are_written_with_their_identity(spark):
     good = vectors_of(sample_log(spark))
     path = scratch_path(spark, "vectors-test")

@@ -361,6 +361,6 @@ def embedded_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The learned benchmark on the documents that have a vector, surface plus embedding features."""
 
     from tollway.catalog.logs import embedded_log
-    log, recorded = embedded_log(spark, sf_dir)
+    log, recorded = embedded_log(spark, sf_dir, [policies.seeded_random(), policies.length_heuristic("", "")])
     joined = vectors.attach(log, recorded, 64)
     return shown_card(benchmark.run(joined, tiers(), {"bilinear": benchmark.LinearConfig()}, embedding="embedding", embedding_width=64).card)

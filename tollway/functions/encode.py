@@ -35,9 +35,12 @@ def raw_vector(embedding: Column | None = None) -> Column:
 
 
 def with_features(log: DataFrame, embedding: str | None = None, width: int = 0) -> DataFrame:
-    """Adds ``x``; fails on an embedding of the wrong width or with a non-finite entry."""
+    """Adds ``x``; fails on an embedding of the wrong width or with a non-finite entry.
 
-    rows = with_surface(log)
+    Rows without ``prompt`` bring the columns of :func:`with_surface` themselves.
+    """
+
+    rows = with_surface(log) if "prompt" in log.columns else log
     if embedding is None:
         return rows.withColumn("x", raw_vector())
     e = F.col(embedding)

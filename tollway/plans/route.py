@@ -46,6 +46,7 @@ def route(
 
     rows = prompts.withColumn("candidates", catalogue_array(catalogue))
     if scorer is not None and embedded is not None:
+        rows = rows if "prompt" in (keep or []) else policies.read_texts(rows, [], [])
         rows = with_features(attach_prompts(rows, embedded), "embedding", embedded.identity.width)
         rows = predict.predict_all(rows, scorer, calibrators, mask)
     elif scorer is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tollway.functions import fingerprint
 from tollway.functions.encode import FEATURE_NAMES
 from tollway.functions.sizing import small_copy
-from tollway.operators import lambdas, predict, tuning
+from tollway.operators import lambdas, policies, predict, tuning
 from tollway.plans.benchmark import Config, Fitted, Prepared, fit, prepare_fits, tune
 from tollway.schema import TierSpec
 from tollway.sources import artifacts
@@ -51,7 +51,7 @@ def train(
     else:
         identity_of = embedded.identity.to_json()
         names += [f"embedding:{k}" for k in range(embedded.identity.width)]
-        p = prepare_fits(attach_prompts(log, embedded), tiers, "embedding", embedded.identity.width)
+        p = prepare_fits(attach_prompts(policies.read_texts(log, [], []), embedded), tiers, "embedding", embedded.identity.width)
     base = [0, *p.plan.masks(1), *p.plan.masks(2)]
     fitted = fit(p, config, base, [0, *p.plan.masks(1)])
     crossed = predict.predict_excluding(p.cells, p.plan, fitted.scorer, fitted.calibrators, p.plan.masks(1))

@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollway.functions.surface import prompt_hash
+from tollway.functions.surface import with_hash
 from tollway.operators import checks
 
 VECTOR_ROWS = "prompt_sha256 string, embedding array<float>"
@@ -84,10 +84,10 @@ def attach_prompts(rows: DataFrame, embedded: Embedded) -> DataFrame:
 
     For prompts without a logged outcome as well: nothing but the text names the vector.  Vectors have
     one row per prompt, so a prompt that many rows share is a hot key of the rows' side only, which adaptive
-    execution splits.
+    execution splits.  The join moves the rows as they are, so long texts are read before it (``policies.read_texts``).
     """
 
-    keyed = rows.withColumn("prompt_sha256", prompt_hash(F.col("prompt")))
+    keyed = with_hash(rows)
     found = embedded.vectors.select("prompt_sha256", F.col("embedding").alias("_vector"))
     missing = F.raise_error(F.lit("a prompt has no embedding")).cast("array<float>")
     vector = F.when(F.col("_vector").isNull(), missing).otherwise(F.col("_vector"))
@@ -108,7 +108,7 @@ def vector_violations(vectors: DataFrame, width: int) -> DataFrame:
 def match_violations(log: DataFrame, vectors: DataFrame) -> DataFrame:
     """Examples without a vector, vectors without an example, and changed prompts."""
 
-    left = log.select("example_id", prompt_hash(F.col("prompt")).alias("now"))
+    left = with_hash(log).select("example_id", F.col("prompt_sha256").alias("now"))
     right = vectors.select("example_id", F.col("prompt_sha256").alias("then"))
     problem = (
         F.when(F.col("then").isNull(), "no embedding")
@@ -119,12 +119,14 @@ def match_violations(log: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def attach(log: DataFrame, vectors: DataFrame, width: int, validated: bool = False) -> DataFrame:
-    """Adds ``embedding`` by example and prompt hash; any mismatch is an error."""
+    """Adds ``embedding`` by example and prompt hash; any mismatch is an error.
+
+    The join moves the rows as they are: a log of long texts comes from ``policies.read_texts``.
+    """
 
     if not validated:
         checks.require_empty(vector_violations(vectors, width), "bad embedding")
         checks.require_empty(match_violations(log, vectors), "embeddings do not match the log")
-    keyed = log.withColumn("prompt_sha256", prompt_hash(F.col("prompt")))
-    return keyed.join(
+    return with_hash(log).join(
         vectors.select("example_id", "prompt_sha256", "embedding"), ["example_id", "prompt_sha256"]
     ).drop("prompt_sha256")
