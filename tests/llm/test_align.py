@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -91,6 +92,42 @@ def test_words_equal_whole_texts(libraries):
         assert found.decode() == wanted, text
 
 
+def test_only_ends_of_new_words_are_merged(monkeypatch):
+    merged = []
+    common = align.common_ends
+    monkeypatch.setattr(align, "common_ends", lambda a, b, *piece: merged.append(len(a) + len(b)) or common(a, b, *piece))
+    sides, known = align.tokenizers(A, B), {}
+    texts = ["one word and one more word"] * 50
+    first = align.Slice(texts, sides, known).group_texts(sides)
+    # "one", "word", "and" and "more" are one token or two on either side
+    assert 0 < sum(merged) <= 16
+    assert align.Slice([*texts, "more and more"], sides, known).group_texts(sides)[:50] == first
+    assert sum(merged) <= 16
+
+
+@pytest.mark.parametrize("remembered", [1, 4, 12, 40])
+def test_words_that_come_again_are_kept_when_room_is_made(libraries, monkeypatch, remembered):
+    monkeypatch.setattr(align, "REMEMBERED", remembered)
+    sides, known = align.tokenizers(A, B), {}
+    for k in range(12):
+        texts = [f"the unhappiness of number{k} thththth", *ODD[k : k + 3], None, "", f"▁ the {k}", "x" * 40 * k]
+        s = align.Slice(texts, sides, known, 5)
+        wanted = [plain_groups(libraries, text) for text in texts]
+        assert s.group_texts(sides) == [";".join(",".join(map(str, one)) + "|" + ",".join(map(str, other)) for one, other in groups).encode() for groups in wanted]
+        held = [Counter(x * len(sides[1].bytes) + y for one, other in groups for x in one for y in other) for groups in wanted]
+        assert list(zip(*(x.tolist() for x in s.links()), strict=True)) == [(d, c, n) for d, links in enumerate(held) for c, n in sorted(links.items())]
+        if remembered == 40:
+            assert k < 2 or known[sides].again[known[sides].number["the"]]
+
+
+def test_texts_are_cut_at_single_spaces_only():
+    rng = np.random.default_rng(7)
+    odd, single = re.compile(r"\s\s|\A\s|\s\Z"), re.compile(r"(?<=\S) (?=\S)")
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab \n\t\x1c\x85\u3000\u200b"), rng.integers(1, 9), p=[0.3, 0.2, 0.3, *[0.2 / 6] * 6]))
+        assert align.cut_words(text) == (single.split(text) if odd.search(text) else text.split(" ")) == single.split(text)
+
+
 def test_whole_table_equals_a_plain_run(spark, sf_dir, libraries):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert rows_of(queries.QUERIES["op12_merge_path_alignment"](spark, sf_dir)) == plain_scores(libraries, rows)

@@ -9,6 +9,9 @@ diagonals finds how many ends of either side come before it, so every piece hold
 of ends whatever the lengths of the texts are.  Pieces look for common ends on their own; a common end whose
 two sides fall into neighbouring pieces is found where the pieces are stitched together.
 
+Both sides' tokens end where a word ends, so no group goes beyond a word.  The ends that are merged are
+those of words not met before; the groups and links of a text are those of its words in turn.
+
 Counts of linked id pairs (in how many documents a pair is linked) are added up over blocks of documents
 and come back to each block for its own pairs only, so nothing that grows with the corpus is sent to
 all tasks, and a pair that every document holds is one row per block.
@@ -19,8 +22,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +38,14 @@ from tollway.llm.common import materialize, slices
 PIECE = 1 << 15
 #: Text bytes handled at once, and text bytes of a block of documents.
 STEP_BYTES, BLOCK_BYTES = 2 << 20, 12 << 20
-#: Words whose ids a worker remembers, and the longest that it remembers.
-REMEMBERED, LONGEST = 250_000, 64
+#: Words that a task remembers, and the characters, tokens or links that it holds for each of them on average.
+REMEMBERED, MEAN = 250_000, 16
+#: Words that are given to a tokenizer as one text.
+JOINED = 200
 #: Groups with more links than this are counted by their distinct ids.
 WIDE = 1024
 #: A space between two characters that are no white space: neither tokenizer has a token across it.
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 MARK = "▁"
 
 
@@ -106,33 +112,6 @@ class Side:
     def ids(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def of_words(self, words: list[str]) -> list[np.ndarray | None]:
-        """Ids of each word with a space before it; None where their bytes are others than the word's.
-
-        Words without white space at their ends are joined to longer texts, which are
-        cut again where a word's bytes end.
-        """
-
-        out: list[np.ndarray | None] = [None] * len(words)
-        plain = [k for k, w in enumerate(words) if w and not w[0].isspace() and not w[-1].isspace()]
-        alone = sorted(set(range(len(words))).difference(plain))
-        parts = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
-        for part, found in zip(parts, self.ids([" ".join([words[k] for k in part]) for part in parts]), strict=True):
-            ids = np.array(found, dtype=np.int32)
-            ends = np.cumsum(self.size[ids])
-            raw = [(" " + words[k]).encode() for k in part]
-            wanted = np.cumsum([len(r) for r in raw])
-            cut = np.searchsorted(ends, wanted) + 1
-            if b"".join([self.bytes[k] for k in found]) != b"".join(raw) or not np.array_equal(ends[cut - 1], wanted):
-                alone += part
-                continue
-            for k, one in zip(part, np.split(ids, cut[:-1]), strict=True):
-                out[k] = one
-        for k, found in zip(alone, self.ids([words[k] for k in alone]), strict=True):
-            if b"".join([self.bytes[x] for x in found]) == (" " + words[k]).encode():
-                out[k] = np.array(found, dtype=np.int32)
-        return out
-
 
 class ByteLevel(Side):
     """A byte-level BPE of the tokenizers library; special tokens in texts are plain text."""
@@ -173,51 +152,68 @@ def tokenizers(a_path: str, b_path: str) -> tuple[Side, Side]:
     return ByteLevel(a_path), Pieces(b_path)
 
 
+def of_words(words: list[str], sides: tuple[Side, Side]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each side the ids of all words, with a space before each, and how many ids each word has.
+
+    A word has no ids where their bytes are others than the word's.  Words without white space at their ends are
+    joined to longer texts, which are cut again where a word's bytes end.
+    """
+
+    plain = [k for k, w in enumerate(words) if w and w.strip() == w]
+    others = sorted(set(range(len(words))).difference(plain))
+    parts = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+    texts = [" ".join([words[k] for k in part]) for part in parts]
+    raw = [(" " + t).encode() for t in texts]
+    length = np.array([len(w.encode()) + 1 for w in words], dtype=np.int64)
+    out = []
+    for side in sides:
+        size, start = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        flat, total, alone = [np.zeros(0, dtype=np.int32)], 0, list(others)
+        for part, text, found in zip(parts, raw, side.ids(texts), strict=True):
+            ids = np.array(found, dtype=np.int32)
+            ends, wanted = np.cumsum(side.size[ids]), np.cumsum(length[part])
+            cut = np.searchsorted(ends, wanted) + 1
+            if b"".join(map(side.bytes.__getitem__, found)) != text or not np.array_equal(ends[cut - 1], wanted):
+                alone += part
+                continue
+            size[part] = np.diff(cut, prepend=0)
+            start[part] = total + cut - size[part]
+            flat.append(ids)
+            total += len(ids)
+        for k, found in zip(alone, side.ids([words[k] for k in alone]), strict=True):
+            if b"".join(map(side.bytes.__getitem__, found)) == (" " + words[k]).encode():
+                size[k], start[k] = len(found), total
+                flat.append(np.array(found, dtype=np.int32))
+                total += len(found)
+        out.append((np.concatenate(flat)[_runs(start, size)], size))
+    return out
+
+
 def cut_words(text: str) -> list[str]:
     """A text cut at single spaces between other characters."""
 
-    return _SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+    odd = len(" ".join(text.split())) != len(text)  # white space side by side or at an end
+    return _SPACE.split(text) if odd else text.split(" ")
 
 
-class Slice:
-    """Both tokenizers' tokens of some texts, end to end, and the groups that they form.
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the runs that begin at ``start`` and hold ``size`` entries each, one run after another."""
+
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+class Groups:
+    """The groups that both tokenizers' tokens of some texts form, end to end.
 
     ``doc_a`` and ``doc_b`` are the numbers of tokens up to each text's end, ``group_a`` and ``group_b`` those up to
-    each group's end, ``doc_groups`` the groups up to each text's end.  Texts that are null or empty or that a
-    tokenizer does not give back byte by byte have no tokens.
+    each group's end, ``doc_groups`` the groups up to each text's end.
     """
 
-    def __init__(self, texts: list[str | None], sides: tuple[Side, Side], known: dict, piece: int = PIECE):
-        cut = [cut_words(t) if t else [] for t in texts]
-        distinct = list(set().union(*cut))
-        new = [w for w in distinct if w not in known]
-        pairs = dict(zip(new, zip(*(s.of_words(new) for s in sides), strict=True), strict=True))
-        if len(known) + len(new) > REMEMBERED:
-            pairs |= {w: known[w] for w in distinct if w in known}
-            known.clear()
-        known.update((w, p) for w, p in pairs.items() if len(w) <= LONGEST)
-        found = [pairs.get(w) or known[w] for w in distinct]
-        bad = {w for w, (a, b) in zip(distinct, found, strict=True) if a is None or b is None}
-        if bad:
-            cut = [[] if bad.intersection(ws) else ws for ws in cut]
-        number = {w: k for k, w in enumerate(distinct)}
-        order = np.fromiter((number[w] for ws in cut for w in ws), dtype=np.int64, count=sum(map(len, cut)))
-        words = np.cumsum([len(ws) for ws in cut])
-        none = np.zeros(0, dtype=np.int32)
-        self.ids, self.ends, self.docs = [], [], []
-        for k, side in enumerate(sides):
-            flat = [none if f[k] is None else f[k] for f in found]
-            size = np.array([len(f) for f in flat], dtype=np.int64)
-            start = np.cumsum(size) - size
-            took = size[order]
-            place = np.arange(took.sum()) + np.repeat(start[order] - (np.cumsum(took) - took), took)
-            ids = np.concatenate([none, *flat])[place]
-            self.ids.append(ids)
-            self.ends.append(np.cumsum(side.size[ids]))
-            self.docs.append(np.append(0, np.cumsum(took))[words].astype(np.int64))
-        in_a, in_b = common_ends(*self.ends, piece)
+    def __init__(self, tokens: list[tuple[np.ndarray, np.ndarray]], sides: tuple[Side, Side], piece: int = PIECE):
+        self.ids = [ids for ids, _ in tokens]
+        self.doc_a, self.doc_b = (np.cumsum(size) for _, size in tokens)
+        in_a, in_b = common_ends(*(np.cumsum(side.size[ids]) for side, ids in zip(sides, self.ids, strict=True)), piece)
         self.group_a, self.group_b = in_a + 1, in_b + 1
-        self.doc_a, self.doc_b = self.docs
         self.doc_groups = np.searchsorted(self.group_a, self.doc_a, side="right")
 
     def sizes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -244,11 +240,7 @@ class Slice:
             codes.append((left.astype(np.int64)[:, None] * b_size + right[None, :]).ravel())
             times.append((n_left[:, None] * n_right[None, :]).ravel())
             docs.append(np.full(len(codes[-1]), document[g]))
-        doc, code, n = np.concatenate(docs), np.concatenate(codes), np.concatenate(times)
-        order = np.lexsort((code, doc)) if len(docs) > 1 else np.argsort(doc * (int(code.max(initial=0)) + 1) + code, kind="stable")
-        doc, code, n = doc[order], code[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])) if len(doc) else np.zeros(0, dtype=np.int64)
-        return doc[first], code[first], np.add.reduceat(n, first) if len(doc) else n
+        return _summed(np.concatenate(docs), np.concatenate(codes), np.concatenate(times))
 
     def group_texts(self, sides: tuple[Side, Side]) -> list[bytes]:
         """Each document's groups as ``a1,a2|b1;a3|b2,b3``, decimal ids in order."""
@@ -273,6 +265,150 @@ class Slice:
         return [flat[a : b - 1] if b > a else b"" for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def _summed(doc: np.ndarray, code: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, code, times) with the times of equal ones added up, sorted."""
+
+    if not len(doc):
+        return doc, code, times
+    span = int(code.max()) + 1
+    key = doc * span + code
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first] // span, key[first] % span, np.add.reduceat(times[order], first)
+
+
+class Lists:
+    """Lists of numbers, end to end in one array for each of some columns."""
+
+    def __init__(self, *kinds: type):
+        self.size, self.start = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.columns = [np.zeros(0, dtype=k) for k in kinds]
+
+    def add(self, size: np.ndarray, *columns: np.ndarray) -> None:
+        self.start = np.append(self.start, len(self.columns[0]) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.columns = [np.append(old, new.astype(old.dtype)) for old, new in zip(self.columns, columns, strict=True)]
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The sizes of some lists, and their columns end to end."""
+
+        size = self.size[numbers]
+        at = _runs(self.start[numbers], size)
+        return size, *(c[at] for c in self.columns)
+
+
+class Words:
+    """Tokens, groups and links of the words met so far, by the words' numbers.
+
+    When they are too many, those that came again since are kept.  A word that a tokenizer does not give
+    back byte by byte has no tokens.
+    """
+
+    def __init__(self, sides: tuple[Side, Side]):
+        self.sides = sides
+        self._begin([])
+
+    def _begin(self, words: list[str]) -> None:
+        self.number = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
+        self.characters = sum(map(len, words))
+        self.again = np.zeros(len(words), dtype=bool)
+        self.ids, self.groups, self.links = [Lists(np.int32), Lists(np.int32)], Lists(np.int32, np.int32), Lists(np.int64, np.int64)
+        self.texts: list[bytes] = []
+
+    def _full(self, part: float) -> bool:
+        held = max(self.characters, *(len(lists.columns[0]) for lists in (*self.ids, self.links)))
+        return max(len(self.texts), held / MEAN) > part * REMEMBERED
+
+    def make_room(self) -> None:
+        if not self._full(1):
+            return
+        kept, words, texts = np.flatnonzero(self.again), list(self.number), self.texts
+        old = (*self.ids, self.groups, self.links)
+        self._begin([words[k] for k in kept.tolist()])
+        for new, lists in zip((*self.ids, self.groups, self.links), old, strict=True):
+            new.add(*lists.of(kept))
+        self.texts = [texts[k] for k in kept.tolist()]
+        if self._full(0.5):
+            self._begin([])
+
+    def numbers(self, words: Iterable[str], n: int, piece: int) -> np.ndarray:
+        """The numbers of n words; what is not known of them yet is found."""
+
+        before = len(self.texts)
+        order = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=n)
+        self.again[order[order < before]] = True
+        new = list(islice(self.number, before, None))
+        if new:
+            self._learn(new, piece)
+        return order
+
+    def _learn(self, new: list[str], piece: int) -> None:
+        tokens = of_words(new, self.sides)
+        whole = (tokens[0][1] > 0) & (tokens[1][1] > 0)
+        tokens = [(ids[np.repeat(whole, size)], size * whole) for ids, size in tokens]
+        found = Groups(tokens, self.sides, piece)
+        for lists, (ids, size) in zip(self.ids, tokens, strict=True):
+            lists.add(size, ids)
+        self.groups.add(np.diff(found.doc_groups, prepend=0), *found.sizes())
+        word, code, times = found.links(len(self.sides[1].bytes))
+        self.links.add(np.bincount(word, minlength=len(new)), code, times)
+        self.texts += found.group_texts(self.sides)
+        self.again = np.append(self.again, np.zeros(len(new), dtype=bool))
+        self.characters += sum(map(len, new))
+
+
+class Slice:
+    """Tokens, groups and links of some texts, put together from those of their words.
+
+    ``known`` holds the words met so far and is added to.  Texts that are null or empty or that a
+    tokenizer does not give back byte by byte have no tokens.
+    """
+
+    def __init__(self, texts: list[str | None], sides: tuple[Side, Side], known: dict[tuple[Side, Side], Words], piece: int = PIECE):
+        self.known, self.words = known, known.setdefault(sides, Words(sides))
+        words = self.words
+        words.make_room()
+        cut = [cut_words(t) if t else [] for t in texts]
+        size = np.array([len(c) for c in cut], dtype=np.int64)
+        self.order = words.numbers(chain.from_iterable(cut), int(size.sum()), piece)
+        none = words.ids[0].size[self.order] == 0
+        if none.any():
+            doc = np.repeat(np.arange(len(cut)), size)
+            size[doc[none]] = 0
+            self.order = self.order[size[doc] > 0]
+        self.size = size
+        self.doc_a, self.doc_b = (self._ends(lists) for lists in words.ids)
+        self.doc_groups = self._ends(words.groups)
+
+    def _ends(self, lists: Lists) -> np.ndarray:
+        """Entries in the lists of all words up to each text's end."""
+
+        return np.append(0, np.cumsum(lists.size[self.order]))[np.cumsum(self.size)]
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(lists.of(self.order)[1] for lists in self.words.ids)
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of A and of B up to each group's end."""
+
+        _, of_a, of_b = self.words.groups.of(self.order)
+        return np.cumsum(of_a, dtype=np.int64), np.cumsum(of_b, dtype=np.int64)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, a * size of B + b, times) of all linked id pairs, summed per document and sorted."""
+
+        size, code, times = self.words.links.of(self.order)
+        return _summed(np.repeat(np.repeat(np.arange(len(self.size)), self.size), size), code, times)
+
+    def group_texts(self, sides: tuple[Side, Side]) -> list[bytes]:
+        """Each document's groups as ``a1,a2|b1;a3|b2,b3``, decimal ids in order."""
+
+        texts = list(map(self.known[sides].texts.__getitem__, self.order.tolist()))
+        ends = np.cumsum(self.size).tolist()
+        return [b";".join(texts[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from slices(batch, limit=STEP_BYTES)
@@ -290,9 +426,10 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, piece: int = PIECE) ->
             s = Slice(part.column("text").to_pylist(), sides, known, piece)
             nested = lambda values, ends: pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values, pa.int32()))
             groups = np.diff(s.doc_groups, prepend=0)
-            base = [np.repeat(d - np.diff(d, prepend=0), groups) for d in s.docs]
+            base = [np.repeat(d - np.diff(d, prepend=0), groups) for d in (s.doc_a, s.doc_b)]
+            (a_ids, b_ids), (group_a, group_b) = s.ids(), s.groups()
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), nested(s.ids[0], s.doc_a), nested(s.ids[1], s.doc_b), nested(s.group_a - base[0], s.doc_groups), nested(s.group_b - base[1], s.doc_groups)],
+                [part.column("doc_id"), nested(a_ids, s.doc_a), nested(b_ids, s.doc_b), nested(group_a - base[0], s.doc_groups), nested(group_b - base[1], s.doc_groups)],
                 names=["doc_id", "a_ids", "b_ids", "group_a", "group_b"],
             )
 
@@ -357,7 +494,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, piece: int, block_bytes:
             total += part.column("text").nbytes
             n = part.num_rows
             s = Slice(part.column("text").to_pylist(), sides, known, piece)
-            doc, code, times = s.links(b_size)
+            doc, code, times = s.links()
             ends = np.searchsorted(doc, np.arange(n), side="right")
             summed = np.append(0, np.cumsum(times))[ends]
             digest = [hashlib.sha256(t).hexdigest() if t else "" for t in s.group_texts(sides)]
