@@ -309,9 +309,11 @@ def stepped_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("balanced_diagnostic", "K8 W5 A9 A10 P7 P8 S4 S5")
 def balanced_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested benchmark on half of every domain of the wide log, quotes from the other half."""
+    """Nested benchmark on half of every domain of the wide log, quotes from the other half; documents may be blank."""
 
-    d = diagnostic.balanced_diagnostic(stepped_wide(spark, sf_dir), "rev1", {"bilinear": benchmark.LinearConfig()}, calibrate=1, evaluate=1)
+    d = diagnostic.balanced_diagnostic(
+        stepped_wide(spark, sf_dir), "rev1", {"bilinear": benchmark.LinearConfig()}, calibrate=1, evaluate=1, blank_prompts=True
+    )
     return shown_card(d.benchmark.card)
 
 

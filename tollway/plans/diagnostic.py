@@ -30,15 +30,17 @@ def balanced_diagnostic(
     calibrate: int = splits.CALIBRATION_PER_DOMAIN,
     evaluate: int = splits.EVALUATION_PER_DOMAIN,
     cap: int | None = None,
+    blank_prompts: bool = False,
 ) -> Diagnostic:
     """Nested benchmark on the evaluation share of every domain, quotes from calibration rows only.
 
     ``table`` is a wide log with ``ord``; ``calibrate`` to ``evaluate`` is the proportion.
     Every breakpoint of lambda is searched unless ``cap`` asks for a sample.  Quotes are the calibration rows' largest
-    charges; an evaluation charge above its quote stops the run before any fit.
+    charges; an evaluation charge above its quote stops the run before any fit.  A blank prompt is an
+    error unless ``blank_prompts`` allows it.
     """
 
-    wide.require_valid(table)
+    wide.require_valid(table, blank_prompts)
     scoped = table.withColumn("domain", wide.eval_domain(F.col("eval_name")))
     counts = splits.domain_counts(scoped)
     inside = scoped.where("domain is not null").withColumn("example_id", F.col("sample_id"))
@@ -47,6 +49,9 @@ def balanced_diagnostic(
     quotes = wide.quote_map(wide.max_quotes(wide.to_long(chosen)))
     tiers = wide.diagnostic_tiers(quotes)
     log = wide.to_log(split.where("role = 'evaluation'").select(*table.columns), quotes)
+    # texts are read before the rows are moved to be numbered
+    asked = [policies.seeded_random(), policies.length_heuristic("", "")]
+    log = materialize(policies.read_texts(log, asked, [t.tier for t in tiers]), "balanced-texts")
     log = materialize(splits.surrogate_ids(log, "evaluation-"), "balanced-evaluation")
     checks.require_empty(checks.quote_underruns(log), "evaluation charge above its calibration quote")
     return Diagnostic(run(log, tiers, configs, cap), tiers, counts)
