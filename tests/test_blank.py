@@ -66,3 +66,19 @@ def test_blank_lines_are_refused_unless_allowed(spark, tmp_path):
 def test_json_round_trip_takes_blank_documents(spark, blank_dir):
     want = QUERIES["outcomes_with_quotes"](spark, blank_dir).collect()
     assert len(want) == 5 * 227 and sorted(QUERIES["replay_json_round_trip"](spark, blank_dir).collect()) == sorted(want)
+
+
+def test_prefix_replay_takes_blank_documents(spark, blank_dir):
+    inside = spark.read.parquet(f"{blank_dir}/documents.parquet").where("doc_id % 9 <> 8").count()
+    (row,) = QUERIES["prefix_smoke_replay"](spark, blank_dir).collect()
+    assert (row["policy"], row["n_queries"], row["n_failed"]) == ("always-cheapest", inside - inside // 5, 0)
+
+
+def test_prefix_replay_still_checks_texts(spark, blank_dir):
+    from tollway.catalog.logs import wide_log
+    from tollway.plans.diagnostic import prefix_replay
+
+    with pytest.raises(ValueError, match="empty text"):
+        prefix_replay(wide_log(spark, blank_dir))
+    with pytest.raises(ValueError, match="empty text"):
+        prefix_replay(wide_log(spark, blank_dir).withColumn("m2|model_response", F.lit(" ")), blank_prompts=True)

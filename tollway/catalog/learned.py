@@ -328,7 +328,9 @@ cheap AS (SELECT arg_min(model_id, quoted) AS model_id FROM quote)
 SELECT 'always-cheapest' AS policy, 'fast' AS tier, count(*) AS n_queries, 0 AS n_failed, round(sum(q) / 1000.0 / count(*), 6) AS mean_quality, CAST(sum(realized) AS BIGINT) AS spent_micro
 FROM inside JOIN cheap USING (model_id), cal WHERE rn > k""")
 def prefix_smoke_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = rounded(diagnostic.prefix_replay(wide_log(spark, sf_dir)))
+    """The cheapest model on all but the first fifth of the wide log; documents may be blank."""
+
+    s = rounded(diagnostic.prefix_replay(wide_log(spark, sf_dir), blank_prompts=True))
     return s.select("policy", "tier", "n_queries", F.col("n_failed").cast("int").alias("n_failed"), "mean_quality", micro(F.col("spent")).alias("spent_micro"))
 
 

@@ -57,16 +57,18 @@ def balanced_diagnostic(
     return Diagnostic(run(log, tiers, configs, cap), tiers, counts)
 
 
-def prefix_replay(table: DataFrame, one_in: int = splits.PREFIX_ONE_IN) -> DataFrame:
+def prefix_replay(table: DataFrame, one_in: int = splits.PREFIX_ONE_IN, blank_prompts: bool = False) -> DataFrame:
     """Cheapest-model smoke replay of a log in source order with mean quotes.
 
     The first part in ``one_in`` gives the quotes, all other rows are replayed under one
-    budget that covers the cheapest model's quote and largest charge.
+    budget that covers the cheapest model's quote and largest charge.  Texts are checked, then left
+    behind: numbering moves the rows, and neither quotes nor the cheapest model's replay read one.
+    A blank prompt is an error unless ``blank_prompts`` allows it.
     """
 
-    wide.require_valid(table)
+    wide.require_valid(table, blank_prompts)
     scoped = table.withColumn("domain", wide.eval_domain(F.col("eval_name"))).where("domain is not null")
-    first = materialize(splits.prefix_split(scoped, one_in), "prefix")
+    first = materialize(splits.prefix_split(wide.without_texts(scoped), one_in), "prefix")
     chosen = first.where("role = 'calibration'").select(*table.columns)
     quotes = wide.quote_map(wide.mean_quotes(wide.to_long(chosen)))
     log = wide.to_log(first.where("role = 'evaluation'").select(*table.columns), quotes)
